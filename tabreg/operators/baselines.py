@@ -84,3 +84,133 @@ BASELINE_SQL = f"""
     union all select 'p3', split, row_key, charge, p3_intercept + p3_slope * (l_extendedprice * (1 - l_discount)) from lc, fit
     union all select 'p4', split, row_key, charge, p4_intercept + p4_slope * l_quantity from lc, fit)
 """
+
+
+# Display names of the baseline predictors.
+BASELINE_NAMES = {"p0": "Train Mean", "p1": "Extended Price", "p2": "OLS Price", "p3": "OLS Net Price",
+                  "p4": "OLS Quantity"}
+
+
+def _ols_from_sums(n, sx, sy, sxx, sxy):
+    den = n * sxx - sx * sx
+    slope = F.coalesce(F.try_divide(n * sxy - sx * sy, F.when(den != 0, den)), F.lit(0.0))
+    return slope, (sy - slope * sx) / n
+
+
+def baseline_cv_predictions(split_df: DataFrame, label: str = "charge", folds: int = 5,
+                            salt: str = "fold42") -> DataFrame:
+    """K-fold predictions of the baseline predictors on the train rows, all folds in one pass.
+
+    Each fold's model is fitted on the other folds: per-fold sufficient statistics (n, sums of x, y,
+    x*x, x*y) come from one ``groupBy(fold)``; the complement of fold f is total minus fold f, so no
+    training row is read more than once for fitting. The k coefficient rows are broadcast (k is the
+    fold count).
+    """
+    from tabreg.functions.stats import hash_bucket
+    train = split_df.where(F.col("split") == "train").withColumn(
+        "fold", hash_bucket(F.col("row_key"), salt, folds))
+    y = F.col(label).cast("double")
+    sums = [F.count(F.lit(1)).cast("double").alias("n"), F.sum(y).alias("sy")]
+    for name, x in OLS_INPUTS.items():
+        sums += [F.sum(x).alias(f"{name}_sx"), F.sum(x * x).alias(f"{name}_sxx"), F.sum(x * y).alias(f"{name}_sxy")]
+    per_fold = train.groupBy("fold").agg(*sums)
+    totals = per_fold.groupBy().agg(*[F.sum(c).alias(f"t_{c}") for c in per_fold.columns if c != "fold"])
+    comp = per_fold.crossJoin(F.broadcast(totals))
+    n = F.col("t_n") - F.col("n")
+    sy = F.col("t_sy") - F.col("sy")
+    coefs = [sig_round(sy / n, COEF_DIGITS).alias("mean_label")]
+    for name in OLS_INPUTS:
+        sx = F.col(f"t_{name}_sx") - F.col(f"{name}_sx")
+        sxx = F.col(f"t_{name}_sxx") - F.col(f"{name}_sxx")
+        sxy = F.col(f"t_{name}_sxy") - F.col(f"{name}_sxy")
+        slope, icpt = _ols_from_sums(n, sx, sy, sxx, sxy)
+        coefs += [sig_round(slope, COEF_DIGITS).alias(f"{name}_slope"),
+                  sig_round(icpt, COEF_DIGITS).alias(f"{name}_intercept")]
+    fit = comp.select("fold", *coefs)
+    scored = train.join(F.broadcast(fit), "fold")
+    cols = {"pred_p0": F.col("mean_label"), "pred_p1": F.col("l_extendedprice")}
+    for name, x in OLS_INPUTS.items():
+        cols[f"pred_{name}"] = F.col(f"{name}_intercept") + F.col(f"{name}_slope") * x
+    scored = scored.withColumns(cols)
+    models = ["p0", "p1", *OLS_INPUTS]
+    return scored.select("fold", F.col(label).alias("label"), F.explode(F.array(*[
+        F.struct(F.lit(m).alias("model"), F.col(f"pred_{m}").alias("prediction")) for m in models])).alias("mp")
+    ).select("mp.model", "fold", "label", "mp.prediction")
+
+
+def cv_fold_metrics(cv_preds: DataFrame) -> DataFrame:
+    """R2, MAE, RMSE per (model, fold)."""
+    from tabreg.operators.evaluate import regression_metrics
+    return regression_metrics(cv_preds, by=["model", "fold"])
+
+
+def cv_summary(fold_metrics: DataFrame, by: str = "model") -> DataFrame:
+    """Mean and population std of fold R2, mean MAE and RMSE per model."""
+    return fold_metrics.groupBy(by).agg(
+        F.avg("r2").alias("cv_r2_mean"), F.stddev_pop("r2").alias("cv_r2_std"),
+        F.avg("mae").alias("cv_mae_mean"), F.avg("rmse").alias("cv_rmse_mean"))
+
+
+def baseline_results(split_df: DataFrame, label: str = "charge") -> DataFrame:
+    """Results table of the baseline pool: train/test metrics, gap and CV summary per algorithm."""
+    from tabreg.operators.evaluate import train_test_metrics
+    tt = train_test_metrics(baseline_predictions(split_df, label), by=["model"])
+    cv = cv_summary(cv_fold_metrics(baseline_cv_predictions(split_df, label)))
+    names = F.create_map(*[x for k, v in BASELINE_NAMES.items() for x in (F.lit(k), F.lit(v))])
+    return tt.join(cv, "model").withColumn("algorithm", names[F.col("model")])
+
+
+def _fold_fit_sql(salt: str = "fold42", folds: int = 5) -> str:
+    from tabreg.sources.tables import bucket_sql
+    return f"""
+  tr as (select *, {bucket_sql('row_key', salt, folds)} as fold from lc where split = 'train'),
+  fl as (select distinct fold as f from tr),
+  cvfit as (
+    select fl.f as fold, {_c('avg(charge)')} as mean_label,
+           {_c('regr_slope(charge, l_extendedprice)')} as p2_slope,
+           {_c('regr_intercept(charge, l_extendedprice)')} as p2_intercept,
+           {_c('regr_slope(charge, l_extendedprice * (1 - l_discount))')} as p3_slope,
+           {_c('regr_intercept(charge, l_extendedprice * (1 - l_discount))')} as p3_intercept,
+           {_c('regr_slope(charge, l_quantity)')} as p4_slope, {_c('regr_intercept(charge, l_quantity)')} as p4_intercept
+    from fl join tr on tr.fold <> fl.f group by fl.f),
+  cvp as (
+    select 'p0' as model, fold, charge as label, mean_label as prediction from tr join cvfit using (fold)
+    union all select 'p1', fold, charge, l_extendedprice from tr join cvfit using (fold)
+    union all select 'p2', fold, charge, p2_intercept + p2_slope * l_extendedprice from tr join cvfit using (fold)
+    union all select 'p3', fold, charge, p3_intercept + p3_slope * (l_extendedprice * (1 - l_discount))
+      from tr join cvfit using (fold)
+    union all select 'p4', fold, charge, p4_intercept + p4_slope * l_quantity from tr join cvfit using (fold)),
+  cvm as (
+    select model, fold, cast(count(*) as bigint) as n, avg(abs(label - prediction)) as mae,
+           avg((label - prediction) * (label - prediction)) as mse,
+           sqrt(avg((label - prediction) * (label - prediction))) as rmse,
+           1 - sum((label - prediction) * (label - prediction)) / nullif(var_pop(label) * count(*), 0) as r2
+    from cvp group by model, fold),
+  cvs as (
+    select model, avg(r2) as cv_r2_mean, stddev_pop(r2) as cv_r2_std, avg(mae) as cv_mae_mean,
+           avg(rmse) as cv_rmse_mean from cvm group by model)
+"""
+
+
+CV_SQL = _fold_fit_sql()
+
+RESULTS_SQL = BASELINE_SQL + "," + CV_SQL + """,
+  side as (
+    select model,
+      avg(abs(label - prediction)) filter (where split = 'train') as train_mae,
+      avg((label - prediction) * (label - prediction)) filter (where split = 'train') as train_mse,
+      1 - sum((label - prediction) * (label - prediction)) filter (where split = 'train')
+        / nullif(var_pop(label) filter (where split = 'train') * count(*) filter (where split = 'train'), 0) as train_r2,
+      cast(count(*) filter (where split = 'train') as bigint) as train_n,
+      avg(abs(label - prediction)) filter (where split = 'test') as mae,
+      avg((label - prediction) * (label - prediction)) filter (where split = 'test') as mse,
+      1 - sum((label - prediction) * (label - prediction)) filter (where split = 'test')
+        / nullif(var_pop(label) filter (where split = 'test') * count(*) filter (where split = 'test'), 0) as r2,
+      cast(count(*) filter (where split = 'test') as bigint) as n
+    from preds group by model),
+  results as (
+    select s.model, """ + "case " + " ".join(f"when s.model = '{k}' then '{v}'" for k, v in BASELINE_NAMES.items()) + """ end as algorithm,
+      train_mae, train_mse, sqrt(train_mse) as train_rmse, train_r2, train_n, mae, mse, sqrt(mse) as rmse, r2, n,
+      train_r2 - r2 as r2_gap, cv_r2_mean, cv_r2_std, cv_mae_mean, cv_rmse_mean
+    from side s join cvs using (model))
+"""

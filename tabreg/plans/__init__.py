@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("q_evaluate",)
+MODULES = ("q_evaluate", "q_profile", "q_rank")
 
 
 def load_all() -> None:
