@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("q_evaluate", "q_profile", "q_rank")
+MODULES = ("q_evaluate", "q_profile", "q_rank", "q_history")
 
 
 def load_all() -> None:
