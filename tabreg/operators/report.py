@@ -29,8 +29,13 @@ def visible_subset(df: DataFrame, preferred: Sequence[str]) -> DataFrame:
 
 def alias_columns(df: DataFrame, renames: Mapping[str, str]) -> DataFrame:
     """Rename source -> target only when the source exists and the target does not (schema only)."""
-    cols = set(df.columns)
-    return df.withColumnsRenamed({s: t for s, t in renames.items() if s in cols and t not in cols})
+    taken = set(df.columns)
+    plan: dict[str, str] = {}
+    for s, t in renames.items():
+        if s in df.columns and t not in taken:
+            plan[s] = t
+            taken.add(t)
+    return df.withColumnsRenamed(plan)
 
 
 def first_present(df: DataFrame, target: str, candidates: Sequence[str]) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("q_evaluate", "q_profile", "q_rank", "q_history")
+MODULES = ("q_evaluate", "q_profile", "q_rank", "q_history", "q_columns")
 
 
 def load_all() -> None:
