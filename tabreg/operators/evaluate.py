@@ -115,3 +115,33 @@ def learning_curve_sizes(n: int, fractions: Sequence[float] = (0.2, 0.4, 0.6, 0.
 
 def with_abs(col: str) -> Column:
     return F.abs(F.col(col))
+
+
+def learning_curve(candidate, train: DataFrame, numeric, categorical, interaction, label: str, key: str,
+                   fractions: Sequence[float] = (0.2, 0.4, 0.6, 0.8, 1.0), folds: int = 5,
+                   salt: str = "fold42", size_salt: str = "size42") -> DataFrame:
+    """For each training fraction and fold: fit on that fraction of the other folds (nested hash subsets,
+    so a larger size contains the smaller ones), score the subset (train R2) and the held-out fold
+    (validation R2). Returns one row per fraction: n_train_mean, train/validation R2 mean and
+    population std over folds."""
+    from tabreg.functions.stats import hash_bucket
+    from tabreg.operators.models import fit_candidate, run_concurrently, score
+    data = (train.withColumn("__fold", hash_bucket(F.col(key), salt, folds))
+            .withColumn("__size", hash_bucket(F.col(key), size_salt, 1000)).persist())
+
+    def one(task):
+        frac, f = task
+        sub = data.where((F.col("__fold") != f) & (F.col("__size") < int(round(frac * 1000))))
+        model, _ = fit_candidate(candidate, sub, numeric, categorical, interaction, label)
+        tr = regression_metrics(score(model, sub), label=label).first()
+        va = regression_metrics(score(model, data.where(F.col("__fold") == f)), label=label).first()
+        return (float(frac), f, int(tr["n"]), float(tr["r2"]), float(va["r2"]))
+
+    rows = run_concurrently(one, [(frac, f) for frac in fractions for f in range(folds)])
+    data.unpersist()
+    per_fold = train.sparkSession.createDataFrame(
+        rows, "fraction double, fold int, n_train bigint, train_r2 double, validation_r2 double")
+    return per_fold.groupBy("fraction").agg(
+        F.avg("n_train").alias("n_train_mean"), F.avg("train_r2").alias("train_r2_mean"),
+        F.stddev_pop("train_r2").alias("train_r2_std"), F.avg("validation_r2").alias("validation_r2_mean"),
+        F.stddev_pop("validation_r2").alias("validation_r2_std"))
