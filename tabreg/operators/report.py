@@ -61,3 +61,77 @@ def comparison_table(ranked: DataFrame) -> DataFrame:
         "deployment_rank", "algorithm",
         *[F.format_string("%.4f", c).alias(c) for c in ("r2", "rmse", "mae", "cv_r2_mean")],
         F.format_string("%.2f", "deployment_score").alias("deployment_score"))
+
+
+def _facts(pairs) -> Column:
+    return F.explode(F.array(*[F.struct(F.lit(k).alias("fact"), v.cast("string").alias("value")) for k, v in pairs]))
+
+
+def data_understanding(df: DataFrame, target: str, exclude_from_duplicates: Sequence[str] = ()) -> DataFrame:
+    """Overview facts: rows, columns, target, duplicate rows, total missing values (fact, value)."""
+    from tabreg.operators.profile import duplicate_rows, missing_by_column
+    dup_cols = [c for c in df.columns if c not in set(exclude_from_duplicates)]
+    dups = duplicate_rows(df, dup_cols)
+    miss = missing_by_column(df).agg(F.sum("missing").cast("bigint").alias("missing_total"))
+    rows = df.agg(F.count(F.lit(1)).cast("bigint").alias("n_rows"))
+    one = rows.crossJoin(dups).crossJoin(miss)
+    return one.select(_facts([("n_rows", F.col("n_rows")), ("n_columns", F.lit(len(df.columns))),
+                              ("target", F.lit(target)), ("duplicate_rows", F.col("duplicate_rows")),
+                              ("missing_total", F.col("missing_total"))]).alias("kv")).select("kv.*")
+
+
+def eda_summary(df: DataFrame, target: str, cols: Sequence[str]) -> DataFrame:
+    """(section, column, value): target correlations, bias-corrected skew, IQR outlier counts."""
+    from tabreg.operators.profile import corr_target, iqr_outlier_summary, moment_table
+    corr = corr_target(df, target, cols).select(F.lit("correlation").alias("section"), "column", F.col("r").alias("value"))
+    skew = moment_table(df, [*cols, target]).select(F.lit("skewness").alias("section"), "column",
+                                                    F.col("skewness").alias("value"))
+    out = iqr_outlier_summary(df, [*cols, target]).select(F.lit("outlier_count").alias("section"), "column",
+                                                          F.col("outlier_count").cast("double").alias("value"))
+    return corr.unionByName(skew).unionByName(out)
+
+
+def evaluation_table(metrics_row: DataFrame, metrics: Sequence[str]) -> DataFrame:
+    """(metric, value) with 4-dp text from a one-row metrics table."""
+    return metrics_row.select(F.explode(F.array(*[
+        F.struct(F.lit(m).alias("metric"), F.format_string("%.4f", F.col(m)).alias("value")) for m in metrics]))
+        .alias("kv")).select("kv.*")
+
+
+def findings(df: DataFrame, target: str, cols: Sequence[str]) -> DataFrame:
+    """Data-driven findings (finding, subject, value): strong/moderate target correlations, columns with
+    missing values, with IQR outliers, highly skewed columns, and the target's shape."""
+    from tabreg.functions.bands import band_target_shape
+    from tabreg.operators.profile import corr_target, iqr_outlier_summary, missing_by_column, moment_table
+    ct = corr_target(df, target, cols)
+    r = F.col("r")
+    corr = ct.select(
+        F.when(r >= 0.6, F.lit("strong positive correlation")).when(r <= -0.6, F.lit("strong negative correlation"))
+        .when((F.abs(r) >= 0.3) & (F.abs(r) < 0.6), F.lit("moderate correlation")).alias("finding"),
+        F.col("column").alias("subject"), F.format_string("%.4f", r).alias("value")).where(F.col("finding").isNotNull())
+    miss = missing_by_column(df, [*cols, target]).where(F.col("missing") > 0).select(
+        F.lit("missing values").alias("finding"), F.col("column").alias("subject"),
+        F.col("missing").cast("string").alias("value"))
+    outl = iqr_outlier_summary(df, [*cols, target]).where(F.col("outlier_count") > 0).select(
+        F.lit("outliers").alias("finding"), F.col("column").alias("subject"),
+        F.col("outlier_count").cast("string").alias("value"))
+    mom = moment_table(df, [*cols, target])
+    skew = mom.where(F.abs("skewness") > 1.0).select(
+        F.lit("highly skewed").alias("finding"), F.col("column").alias("subject"),
+        F.format_string("%.4f", "skewness").alias("value"))
+    shape = mom.where(F.col("column") == target).select(
+        F.lit("target shape").alias("finding"), F.col("column").alias("subject"),
+        band_target_shape(F.col("skewness")).alias("value"))
+    return corr.unionByName(miss).unionByName(outl).unionByName(skew).unionByName(shape)
+
+
+def threshold_filters(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """(rule, column, value) rows for missing > 0, outliers > 0 and |skew| > 1."""
+    from tabreg.operators.profile import iqr_outlier_summary, missing_by_column, moment_table
+    miss = missing_by_column(df, cols).where(F.col("missing") > 0).select(
+        F.lit("missing > 0").alias("rule"), "column", F.col("missing").cast("double").alias("value"))
+    outl = iqr_outlier_summary(df, cols).where(F.col("outlier_count") > 0).select(
+        F.lit("outliers > 0").alias("rule"), "column", F.col("outlier_count").cast("double").alias("value"))
+    skew = moment_table(df, cols).where(F.abs("skewness") > 1.0).select(
+        F.lit("abs skew > 1").alias("rule"), "column", F.col("skewness").alias("value"))
+    return miss.unionByName(outl).unionByName(skew)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("q_evaluate", "q_profile", "q_rank", "q_history", "q_columns", "q_models")
+MODULES = ("q_evaluate", "q_profile", "q_rank", "q_history", "q_columns", "q_models", "q_report")
 
 
 def load_all() -> None:
