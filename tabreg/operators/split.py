@@ -22,21 +22,34 @@ def kfold_hash(df: DataFrame, key: str, k: int = 5, salt: str = "fold42") -> Dat
     return df.withColumn("fold", hash_bucket(F.col(key), salt, k))
 
 
-def kfold_contiguous(df: DataFrame, order_col: str, k: int = 5, exact: bool = False,
-                     relative_error: float = 1e-4) -> DataFrame:
-    """Contiguous folds over ``order_col`` (unshuffled CV).
+def global_rank(df: DataFrame, order_cols: list[str] | tuple[str, ...]) -> DataFrame:
+    """Adds ``rank`` = 0-based position of each row in ``order_cols`` order (keys must be unique).
 
-    Default: fold cut points from ``approxQuantile`` (distributed sketch) and a ``Bucketizer``-style
-    range test, no global sort. ``exact=True`` uses ``ntile(k)`` over a global order, which moves all
-    rows through one task: only for small inputs.
+    Distributed: range-partition by the key (sampled bounds, balanced partitions), sort inside each
+    partition, number rows locally (``monotonically_increasing_id`` keeps the partition id in its upper
+    bits), and add the cumulative row count of the earlier partitions (a table with one row per
+    partition, broadcast). No task ever holds more than one range partition.
     """
-    if exact:
-        return df.withColumn("fold", F.ntile(k).over(Window.orderBy(order_col)) - 1)
-    cuts = df.approxQuantile(order_col, [i / k for i in range(1, k)], relative_error)
-    fold = F.lit(0)
-    for c in cuts:
-        fold = fold + (F.col(order_col) > F.lit(c)).cast("int")
-    return df.withColumn("fold", fold)
+    ranged = df.repartitionByRange(*order_cols).sortWithinPartitions(*order_cols)
+    ids = ranged.withColumn("__pid", F.spark_partition_id()).withColumn("__mid", F.monotonically_increasing_id())
+    local = F.col("__mid") - F.shiftleft(F.col("__pid").cast("bigint"), 33)
+    counts = ids.groupBy("__pid").agg(F.count(F.lit(1)).alias("__c"))
+    before = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    offsets = counts.select("__pid", F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__off"))
+    return (ids.join(F.broadcast(offsets), "__pid")
+            .withColumn("rank", F.col("__off") + local).drop("__pid", "__mid", "__off"))
+
+
+def kfold_contiguous(df: DataFrame, order_cols: list[str] | tuple[str, ...], k: int = 5) -> DataFrame:
+    """Unshuffled k folds over the key order with scikit-learn's sizes: the first n % k folds get
+    n // k + 1 rows, the rest n // k. Adds ``fold`` (and keeps ``rank``)."""
+    ranked = global_rank(df, order_cols)
+    n = df.agg(F.count(F.lit(1)).alias("__n"))
+    size, extra = F.floor(F.col("__n") / k), F.col("__n") % k
+    big = extra * (size + 1)  # rows covered by the larger folds
+    fold = F.when(F.col("rank") < big, F.floor(F.col("rank") / (size + 1))).otherwise(
+        extra + F.floor((F.col("rank") - big) / size))
+    return ranked.crossJoin(F.broadcast(n)).withColumn("fold", fold.cast("int")).drop("__n")
 
 
 def split_overlap(train: DataFrame, test: DataFrame, key: str) -> DataFrame:

@@ -243,3 +243,31 @@ def q_split_cover(spark, sf_dir):
     s = line_charge_split(spark, sf_dir)
     full = s.drop("split")
     return split_cover(full, s.where("split = 'train'").drop("split"), s.where("split = 'test'").drop("split"))
+
+
+@query("kfold_contiguous", sql=f"""
+  with r as (select row_key, row_number() over (order by row_key) - 1 as rk, count(*) over () as n from {LC})
+  select row_key, cast(rk as bigint) as rank,
+         cast(case when rk < (n % 5) * (n // 5 + 1) then rk // (n // 5 + 1)
+                   else n % 5 + (rk - (n % 5) * (n // 5 + 1)) // (n // 5) end as integer) as fold
+  from r""")
+def q_kfold_contiguous(spark, sf_dir):
+    """Unshuffled 5 folds over the key order (distributed global rank, scikit-learn fold sizes)."""
+    from tabreg.operators.split import kfold_contiguous
+    return kfold_contiguous(line_charge(spark, sf_dir).select("row_key"), ["row_key"], 5).select(
+        "row_key", "rank", "fold")
+
+
+@query("attach_actuals", sql=f"""
+  with lc as ({LINE_SPLIT_SQL}),""" + __import__("tabreg.operators.baselines", fromlist=["x"]).BASELINE_SQL + f"""
+  select p.row_key, {r6('a.charge')} as actual, {r6('p.prediction')} as predicted
+  from (select row_key, prediction from preds where model = 'p3' and split = 'test') p
+  join (select row_key, charge from lc) a on p.row_key = a.row_key""")
+def q_attach_actuals(spark, sf_dir):
+    """Test predictions (p3) aligned to actual values by key (inner join on the row key)."""
+    from tabreg.operators.baselines import baseline_predictions
+    s = line_charge_split(spark, sf_dir)
+    preds = baseline_predictions(s).where("model = 'p3' and split = 'test'").select("row_key", "prediction")
+    actual = line_charge(spark, sf_dir).select("row_key", "charge")
+    return rounded(preds.join(actual, "row_key").select("row_key", F.col("charge").alias("actual"),
+                                                         F.col("prediction").alias("predicted")))
