@@ -21,11 +21,16 @@ COEF_DIGITS = 9
 # The five SQL-expressible predictors of charge on line_charge.
 #   p0 train mean; p1 l_extendedprice as is; p2 OLS on l_extendedprice;
 #   p3 OLS on l_extendedprice * (1 - l_discount); p4 OLS on l_quantity.
-OLS_INPUTS: dict[str, Column] = {
-    "p2": F.col("l_extendedprice"),
-    "p3": F.col("l_extendedprice") * (1 - F.col("l_discount")),
-    "p4": F.col("l_quantity"),
-}
+def ols_inputs() -> dict[str, Column]:
+    """Inputs of the one-feature least-squares predictors (built on call: needs an active session)."""
+    return {
+        "p2": F.col("l_extendedprice"),
+        "p3": F.col("l_extendedprice") * (1 - F.col("l_discount")),
+        "p4": F.col("l_quantity"),
+    }
+
+
+OLS_NAMES = ("p2", "p3", "p4")
 
 
 def fit_simple_ols(train: DataFrame, label: str, inputs: Mapping[str, Column]) -> DataFrame:
@@ -54,9 +59,10 @@ def score_simple(df: DataFrame, fit: DataFrame, inputs: Mapping[str, Column]) ->
 
 def baseline_predictions(split_df: DataFrame, label: str = "charge") -> DataFrame:
     """Long table (model, split, key, label, prediction) for the five baseline predictors."""
-    fit = fit_simple_ols(split_df.where(F.col("split") == "train"), label, OLS_INPUTS)
-    wide = score_simple(split_df, fit, OLS_INPUTS)
-    models = ["p0", "p1", *OLS_INPUTS]
+    inputs = ols_inputs()
+    fit = fit_simple_ols(split_df.where(F.col("split") == "train"), label, inputs)
+    wide = score_simple(split_df, fit, inputs)
+    models = ["p0", "p1", *inputs]
     return wide.select(
         "row_key", "split", F.col(label).alias("label"),
         F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.col(f"pred_{m}").alias("prediction"))
@@ -111,7 +117,8 @@ def baseline_cv_predictions(split_df: DataFrame, label: str = "charge", folds: i
         "fold", hash_bucket(F.col("row_key"), salt, folds))
     y = F.col(label).cast("double")
     sums = [F.count(F.lit(1)).cast("double").alias("n"), F.sum(y).alias("sy")]
-    for name, x in OLS_INPUTS.items():
+    inputs = ols_inputs()
+    for name, x in inputs.items():
         sums += [F.sum(x).alias(f"{name}_sx"), F.sum(x * x).alias(f"{name}_sxx"), F.sum(x * y).alias(f"{name}_sxy")]
     per_fold = train.groupBy("fold").agg(*sums)
     totals = per_fold.groupBy().agg(*[F.sum(c).alias(f"t_{c}") for c in per_fold.columns if c != "fold"])
@@ -119,7 +126,7 @@ def baseline_cv_predictions(split_df: DataFrame, label: str = "charge", folds: i
     n = F.col("t_n") - F.col("n")
     sy = F.col("t_sy") - F.col("sy")
     coefs = [sig_round(sy / n, COEF_DIGITS).alias("mean_label")]
-    for name in OLS_INPUTS:
+    for name in inputs:
         sx = F.col(f"t_{name}_sx") - F.col(f"{name}_sx")
         sxx = F.col(f"t_{name}_sxx") - F.col(f"{name}_sxx")
         sxy = F.col(f"t_{name}_sxy") - F.col(f"{name}_sxy")
@@ -129,10 +136,10 @@ def baseline_cv_predictions(split_df: DataFrame, label: str = "charge", folds: i
     fit = comp.select("fold", *coefs)
     scored = train.join(F.broadcast(fit), "fold")
     cols = {"pred_p0": F.col("mean_label"), "pred_p1": F.col("l_extendedprice")}
-    for name, x in OLS_INPUTS.items():
+    for name, x in inputs.items():
         cols[f"pred_{name}"] = F.col(f"{name}_intercept") + F.col(f"{name}_slope") * x
     scored = scored.withColumns(cols)
-    models = ["p0", "p1", *OLS_INPUTS]
+    models = ["p0", "p1", *inputs]
     return scored.select("fold", F.col(label).alias("label"), F.explode(F.array(*[
         F.struct(F.lit(m).alias("model"), F.col(f"pred_{m}").alias("prediction")) for m in models])).alias("mp")
     ).select("mp.model", "fold", "label", "mp.prediction")

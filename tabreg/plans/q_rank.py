@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tabreg.functions.bands import (band_generalisation_sql, band_stability_sql, complexity_sql)
 from tabreg.operators import rank as R
-from tabreg.operators.baselines import (BASELINE_NAMES, CV_SQL, OLS_INPUTS, RESULTS_SQL, baseline_cv_predictions,
+from tabreg.operators.baselines import (BASELINE_NAMES, CV_SQL, OLS_NAMES, RESULTS_SQL, baseline_cv_predictions,
                                         baseline_results, cv_fold_metrics, cv_summary, fit_simple_ols)
 from tabreg.operators.reshape import melt, pivot_long
 from tabreg.plans.registry import query, r6, rounded
@@ -53,10 +53,11 @@ def ranked(spark, sf_dir):
 def q_simple_ols_sql(spark, sf_dir):
     """One-feature least squares fitted on train rows by regr_slope/regr_intercept (one aggregation)."""
     lc = line_charge_split(spark, sf_dir)
-    fit = fit_simple_ols(lc.where(F.col("split") == "train"), "charge", OLS_INPUTS)
+    from tabreg.operators.baselines import ols_inputs
+    fit = fit_simple_ols(lc.where(F.col("split") == "train"), "charge", ols_inputs())
     return fit.select(F.explode(F.array(*[
         F.struct(F.lit(m).alias("model"), F.col(f"{m}_slope").alias("slope"), F.col(f"{m}_intercept").alias("intercept"))
-        for m in OLS_INPUTS])).alias("kv")).select("kv.*")
+        for m in OLS_NAMES])).alias("kv")).select("kv.*")
 
 
 @query("kfold_assign", sql=LC + CV_SQL.split("fl as")[0].rstrip().rstrip(",") + """
