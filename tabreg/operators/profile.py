@@ -245,15 +245,42 @@ def iqr_outlier_summary(df: DataFrame, cols: Sequence[str] | None = None, thresh
             .orderBy(F.col("outlier_count").desc(), "column"))
 
 
+def _pair_corr_sums(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
+    """Pearson r for many column pairs in two simple aggregations.
+
+    Pass 1: one mean per column (the centring constants). Pass 2: per pair, over rows where both values
+    are present (pandas pairwise-complete), n and the sums of centred x, y, x*x, y*y, x*y -- plain SUMs,
+    which stay inside whole-stage codegen. Centring keeps the sums well conditioned; r is NULL for a
+    constant side. Output: one row with columns r0, r1, ... in pair order.
+    """
+    cols = sorted({c for p in pairs for c in p})
+    x = {c: F.when(~F.isnan(c), F.col(c).cast("double")) for c in cols}
+    means = df.agg(*[F.avg(x[c]).alias(f"m_{i}") for i, c in enumerate(cols)])
+    idx = {c: i for i, c in enumerate(cols)}
+    centred = df.crossJoin(F.broadcast(means))  # one row
+    aggs = []
+    for k, (a, b) in enumerate(pairs):
+        both = x[a].isNotNull() & x[b].isNotNull()
+        ca = F.when(both, x[a] - F.col(f"m_{idx[a]}"))
+        cb = F.when(both, x[b] - F.col(f"m_{idx[b]}"))
+        aggs += [F.count(ca).alias(f"n{k}"), F.sum(ca).alias(f"sa{k}"), F.sum(cb).alias(f"sb{k}"),
+                 F.sum(ca * ca).alias(f"saa{k}"), F.sum(cb * cb).alias(f"sbb{k}"), F.sum(ca * cb).alias(f"sab{k}")]
+    sums = centred.agg(*aggs)
+    out = []
+    for k in range(len(pairs)):
+        n, sa, sb = F.col(f"n{k}").cast("double"), F.col(f"sa{k}"), F.col(f"sb{k}")
+        vaa = n * F.col(f"saa{k}") - sa * sa
+        vbb = n * F.col(f"sbb{k}") - sb * sb
+        cov = n * F.col(f"sab{k}") - sa * sb
+        out.append(F.when((vaa > 0) & (vbb > 0), cov / F.sqrt(vaa * vbb)).alias(f"r{k}"))
+    return sums.select(*out)
+
+
 def corr_matrix(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
-    """Lower triangle of the Pearson matrix: (column_a, column_b, r) for a before b; one aggregation."""
+    """Lower triangle of the Pearson matrix: (column_a, column_b, r) for a before b."""
     cols = list(cols or numeric_columns(df))
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
-    x = {c: F.when(~F.isnan(c), F.col(c).cast("double")) for c in cols}
-    # pairwise-complete observations as pandas: both values present
-    aggs = [guarded_corr(F.when(x[b].isNotNull(), x[a]), F.when(x[a].isNotNull(), x[b])).alias(f"r{i}")
-            for i, (a, b) in enumerate(pairs)]
-    wide = df.agg(*aggs)
+    wide = _pair_corr_sums(df, pairs)
     return wide.select(F.explode(F.array(*[
         F.struct(F.lit(a).alias("column_a"), F.lit(b).alias("column_b"), F.col(f"r{i}").alias("r"))
         for i, (a, b) in enumerate(pairs)])).alias("kv")).select("kv.*")
@@ -262,12 +289,7 @@ def corr_matrix(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
 def corr_target(df: DataFrame, target: str, cols: Sequence[str] | None = None) -> DataFrame:
     """column, r, abs_r against the target, ordered by abs_r desc then column."""
     cols = [c for c in (cols or numeric_columns(df)) if c != target]
-    y = F.when(~F.isnan(target), F.col(target).cast("double"))
-    aggs = []
-    for i, c in enumerate(cols):
-        x = F.when(~F.isnan(c), F.col(c).cast("double"))
-        aggs.append(guarded_corr(F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)).alias(f"r{i}"))
-    wide = df.agg(*aggs)
+    wide = _pair_corr_sums(df, [(c, target) for c in cols])
     return (wide.select(_stack([(c, F.col(f"r{i}")) for i, c in enumerate(cols)], ("column", "r")).alias("kv"))
             .select("kv.column", "kv.r").withColumn("abs_r", F.abs("r"))
             .orderBy(F.col("abs_r").desc_nulls_last(), "column"))
