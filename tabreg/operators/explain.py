@@ -39,8 +39,15 @@ def importance_native(model, names: Sequence[str]) -> DataFrame:
 
 
 def importance_permutation(model: PipelineModel, df: DataFrame, features: Sequence[str], key: str,
-                           label: str, repeats: int = 10, buckets: int = 64, seed: int = 42) -> DataFrame:
-    """Mean and population std over repeats of the drop in R2 when one input column is shuffled."""
+                           label: str, repeats: int = 10, buckets: int | None = None, seed: int = 42,
+                           rows_per_bucket: int = 1_000_000) -> DataFrame:
+    """Mean and population std over repeats of the drop in R2 when one input column is shuffled.
+
+    Values are permuted inside hash buckets of about ``rows_per_bucket`` rows (bucket count from the
+    row count unless given), so every permutation window stays bounded as the table grows.
+    """
+    if buckets is None:
+        buckets = max(1, -(-df.count() // rows_per_bucket))
     base = df.select(key, label, *features).withColumn("__b", hash_bucket(F.col(key), f"perm{seed}", buckets))
     spark = df.sparkSession
     grid = spark.createDataFrame([(f, r) for f in features for r in range(repeats)],

@@ -17,7 +17,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import (BooleanType, DateType, DoubleType, FloatType, NumericType, StringType,
+from pyspark.sql.types import (BooleanType, DateType, DecimalType, DoubleType, FloatType, NumericType,
                                TimestampNTZType, TimestampType)
 
 from tabreg.functions.bands import band_skew, possible_type
@@ -81,21 +81,35 @@ def duplicate_rows(df: DataFrame, cols: Sequence[str] | None = None) -> DataFram
     return groups.agg(F.coalesce(F.sum(F.col("c") - 1), F.lit(0)).cast("bigint").alias("duplicate_rows"))
 
 
-def _value_as_text(df: DataFrame, c: str) -> Column:
-    """Value used for distinct counting: NaN -> NULL, -0.0 folded into 0.0, as text."""
+def _typed_slots(df: DataFrame, c: str) -> tuple[Column, Column, Column]:
+    """(integral, floating, text) slots of a value; exactly one is set, NULL in all = missing.
+
+    Grouping on typed slots avoids formatting every double as text (and keeps 64-bit ids exact); NaN is
+    missing and -0.0 is folded into 0.0 as pandas does.
+    """
     dt = df.schema[c].dataType
+    none_l, none_d, none_s = F.lit(None).cast("bigint"), F.lit(None).cast("double"), F.lit(None).cast("string")
     if isinstance(dt, (DoubleType, FloatType)):
-        v = F.when(~F.isnan(c), F.col(c).cast("double") + F.lit(0.0))
-        return v.cast("string")
-    return F.col(c).cast("string")
+        return none_l, F.when(~F.isnan(c), F.col(c).cast("double") + F.lit(0.0)), none_s
+    if isinstance(dt, NumericType) and not isinstance(dt, DecimalType):
+        return F.col(c).cast("bigint"), none_d, none_s
+    return none_l, none_d, F.col(c).cast("string")
 
 
 def value_frequencies(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
-    """(column, value, n) frequency table over all columns; NULL value = missing."""
+    """(column, value, n) frequency table over all columns; NULL value = missing.
+
+    Values are grouped in typed slots; only the distinct values are turned into text at the end.
+    """
     cols = list(cols or df.columns)
-    stacked = df.select(_stack([(c, _value_as_text(df, c)) for c in cols]).alias("kv"))
-    return (stacked.groupBy(F.col("kv.column").alias("column"), F.col("kv.value").alias("value"))
-            .agg(F.count(F.lit(1)).alias("n")))
+    structs = []
+    for c in cols:
+        li, db, tx = _typed_slots(df, c)
+        structs.append(F.struct(F.lit(c).alias("column"), li.alias("l"), db.alias("d"), tx.alias("s")))
+    stacked = df.select(F.explode(F.array(*structs)).alias("kv")).select("kv.*")
+    freq = stacked.groupBy("column", "l", "d", "s").agg(F.count(F.lit(1)).alias("n"))
+    text = F.coalesce(F.col("l").cast("string"), F.col("d").cast("string"), F.col("s"))
+    return freq.select("column", text.alias("value"), "n")
 
 
 def column_summary(df: DataFrame, cols: Sequence[str] | None = None, approximate: bool = False) -> DataFrame:
@@ -108,7 +122,8 @@ def column_summary(df: DataFrame, cols: Sequence[str] | None = None, approximate
         [(c, pandas_dtype(df.schema[c].dataType), i) for i, c in enumerate(cols)],
         "column string, data_type string, position int")
     if approximate:
-        wide = df.agg(*[F.approx_count_distinct(_value_as_text(df, c)).alias(f"u{i}") for i, c in enumerate(cols)])
+        wide = df.agg(*[F.approx_count_distinct(F.coalesce(*_typed_slots(df, c))).alias(f"u{i}")
+                        for i, c in enumerate(cols)])
         uniq = wide.select(_stack([(c, F.col(f"u{i}")) for i, c in enumerate(cols)], ("column", "unique"))
                            .alias("kv")).select("kv.column", F.col("kv.unique").cast("bigint").alias("unique"))
         miss = missing_by_column(df, cols)
@@ -166,16 +181,16 @@ def describe_numeric(df: DataFrame, cols: Sequence[str] | None = None, accuracy:
 def describe_text(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """``describe(include='all')`` part for text columns: column, count, unique, top, freq.
 
-    ``top`` is the most frequent value; ties go to the smallest value (pandas leaves ties to hash order).
+    ``top`` is the most frequent value; ties go to the smallest value (pandas leaves ties to hash
+    order). Found with ``min(struct(-n, value))`` in the same aggregation as count and unique, so no task
+    ever holds all distinct values of a column.
     """
     freq = value_frequencies(df, cols).where(F.col("value").isNotNull())
-    w = Window.partitionBy("column").orderBy(F.col("n").desc(), F.col("value"))
-    # The window runs over distinct values per column only; top-1 per group gets a group limit.
-    top = freq.withColumn("rk", F.row_number().over(w)).where(F.col("rk") == 1).select(
-        "column", F.col("value").alias("top"), F.col("n").cast("bigint").alias("freq"))
-    agg = freq.groupBy("column").agg(F.sum("n").cast("bigint").alias("count"),
-                                     F.count(F.lit(1)).cast("bigint").alias("unique"))
-    return agg.join(top, "column").select("column", "count", "unique", "top", "freq")
+    agg = freq.groupBy("column").agg(
+        F.sum("n").cast("bigint").alias("count"), F.count(F.lit(1)).cast("bigint").alias("unique"),
+        F.min(F.struct((-F.col("n")).alias("neg_n"), F.col("value").alias("v"))).alias("best"))
+    return agg.select("column", "count", "unique", F.col("best.v").alias("top"),
+                      (-F.col("best.neg_n")).cast("bigint").alias("freq"))
 
 
 def target_summary(df: DataFrame, target: str, accuracy: int | None = None) -> DataFrame:

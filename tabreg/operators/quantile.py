@@ -23,6 +23,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 DEFAULT_ACCURACY = 10000
+MAX_ACCURACY = 1_000_000
+TARGET_BRACKET_ROWS = 1_000_000
+
+
+def adaptive_accuracy(n_rows: int) -> int:
+    """Sketch accuracy so that a bracket (about 4/accuracy of the rows) holds at most ~1M rows,
+    between 10^4 and 10^6 (the sketch's memory grows with the accuracy)."""
+    return int(min(MAX_ACCURACY, max(DEFAULT_ACCURACY, 4 * n_rows // TARGET_BRACKET_ROWS)))
 
 
 def long_values(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -71,11 +79,11 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
                     accuracy: int | None = None) -> DataFrame:
     """Exact linear-interpolation quantiles: one row per (column, p) with ``value`` (NULL if no values).
 
-    ``accuracy`` is the sketch accuracy used only to size the brackets (default 10000; raise it for
-    very large tables so brackets stay small). The broadcast bracket table has len(cols) * len(probs)
-    rows, a bound fixed by the call, not by the data.
+    ``accuracy`` is the sketch accuracy used only to size the brackets; by default it is chosen from the
+    row count (``adaptive_accuracy``) so brackets stay near a million rows at any table size. The
+    broadcast bracket table has len(cols) * len(probs) rows, a bound fixed by the call, not by the data.
     """
-    acc = int(accuracy or DEFAULT_ACCURACY)
+    acc = int(accuracy) if accuracy else adaptive_accuracy(df.count())
     probs = [float(p) for p in probs]
     margin = 2.0 / acc
     grid = sorted({min(1.0, max(0.0, p + s * margin)) for p in probs for s in (-1, 1)})
