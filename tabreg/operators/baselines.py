@@ -221,3 +221,46 @@ RESULTS_SQL = BASELINE_SQL + "," + CV_SQL + """,
       train_r2 - r2 as r2_gap, cv_r2_mean, cv_r2_std, cv_mae_mean, cv_rmse_mean
     from side s join cvs using (model))
 """
+
+
+def baseline_learning_curve(split_df: DataFrame, label: str = "charge", model: str = "p3", folds: int = 5,
+                            levels: int = 5, salt: str = "fold42", size_salt: str = "size42") -> DataFrame:
+    """Learning curve of one least-squares baseline: for fraction L/levels (L = 1..levels) and fold f, fit
+    on the training rows outside fold f whose size level is <= L, then R2 on that subset (train) and on
+    fold f (validation); mean and population std over folds per fraction.
+
+    All levels x folds fits come from one ``groupBy(fold, level)`` of sufficient statistics (cumulative
+    over levels, complement over folds); scoring replicates each row over the (fold, level) grid it belongs
+    to (at most folds x levels rows, broadcast coefficient table of the same size) and aggregates once.
+    """
+    from tabreg.functions.stats import hash_bucket, r2_expr
+    x = ols_inputs()[model]
+    y = F.col(label).cast("double")
+    tr = (split_df.where(F.col("split") == "train")
+          .withColumn("fold", hash_bucket(F.col("row_key"), salt, folds))
+          .withColumn("level", (F.floor(hash_bucket(F.col("row_key"), size_salt, 1000) * levels / 1000) + 1).cast("int"))
+          .withColumn("__x", x).withColumn("__y", y))
+    cell = tr.groupBy("fold", "level").agg(
+        F.count(F.lit(1)).cast("double").alias("n"), F.sum("__x").alias("sx"), F.sum("__y").alias("sy"),
+        F.sum(F.col("__x") * F.col("__x")).alias("sxx"), F.sum(F.col("__x") * F.col("__y")).alias("sxy"))
+    spark = split_df.sparkSession
+    grid = spark.createDataFrame([(f, lv) for f in range(folds) for lv in range(1, levels + 1)],
+                                 "f int, L int")  # folds x levels rows
+    fitrows = grid.crossJoin(cell).where((F.col("fold") != F.col("f")) & (F.col("level") <= F.col("L")))
+    sums = fitrows.groupBy("f", "L").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "sxy")])
+    slope, icpt = _ols_from_sums(F.col("n"), F.col("sx"), F.col("sy"), F.col("sxx"), F.col("sxy"))
+    coefs = sums.select("f", "L", sig_round(slope, COEF_DIGITS).alias("b"), sig_round(icpt, COEF_DIGITS).alias("a"))
+    scored = (tr.crossJoin(F.broadcast(coefs))
+              .withColumn("role", F.when(F.col("fold") == F.col("f"), F.lit("validation"))
+                          .when(F.col("level") <= F.col("L"), F.lit("train")))
+              .where(F.col("role").isNotNull())
+              .withColumn("prediction", F.col("a") + F.col("b") * F.col("__x")))
+    per = scored.groupBy("L", "f", "role").agg(r2_expr("__y", "prediction").alias("r2"),
+                                                F.count(F.lit(1)).alias("n"))
+    return per.groupBy(F.col("L").alias("level")).agg(
+        F.first(F.col("L") / F.lit(float(levels))).alias("fraction"),
+        F.avg(F.when(F.col("role") == "train", F.col("n"))).alias("n_train_mean"),
+        F.avg(F.when(F.col("role") == "train", F.col("r2"))).alias("train_r2_mean"),
+        F.stddev_pop(F.when(F.col("role") == "train", F.col("r2"))).alias("train_r2_std"),
+        F.avg(F.when(F.col("role") == "validation", F.col("r2"))).alias("validation_r2_mean"),
+        F.stddev_pop(F.when(F.col("role") == "validation", F.col("r2"))).alias("validation_r2_std"))

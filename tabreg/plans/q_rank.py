@@ -230,3 +230,35 @@ def q_report_comparison(spark, sf_dir):
 
 
 _ = BASELINE_NAMES
+
+
+def _lc_sql():
+    from tabreg.sources.tables import bucket_sql
+    from tabreg.operators.baselines import _c
+    x = "l_extendedprice * (1 - l_discount)"
+    return LC + f"""
+  tr as (select *, {bucket_sql('row_key', 'fold42', 5)} as fold,
+                cast(floor({bucket_sql('row_key', 'size42', 1000)} * 5 / 1000) + 1 as integer) as level,
+                {x} as x, charge as y from lc where split = 'train'),
+  grid as (select f, l from range(5) a(f), range(1, 6) b(l)),
+  co as (select g.f, g.l, {_c('regr_slope(y, x)')} as b, {_c('regr_intercept(y, x)')} as a
+         from grid g join tr on tr.fold <> g.f and tr.level <= g.l group by g.f, g.l),
+  sc as (select co.l, co.f, case when tr.fold = co.f then 'validation' else 'train' end as role, tr.y,
+                co.a + co.b * tr.x as p
+         from tr join co on tr.fold = co.f or (tr.fold <> co.f and tr.level <= co.l)),
+  per as (select l, f, role, 1 - sum((y - p) * (y - p)) / nullif(var_pop(y) * count(*), 0) as r2, count(*) as n
+          from sc group by l, f, role)
+  select cast(l as integer) as level, {r6('l / 5.0')} as fraction,
+    {r6("avg(n) filter (where role = 'train')")} as n_train_mean,
+    {r6("avg(r2) filter (where role = 'train')")} as train_r2_mean,
+    {r6("stddev_pop(r2) filter (where role = 'train')")} as train_r2_std,
+    {r6("avg(r2) filter (where role = 'validation')")} as validation_r2_mean,
+    {r6("stddev_pop(r2) filter (where role = 'validation')")} as validation_r2_std
+  from per group by l"""
+
+
+@query("learning_curve_sql", sql=_lc_sql())
+def q_learning_curve_sql(spark, sf_dir):
+    """Learning curve (20..100 % x 5 folds) of the least-squares member p3, all fits in one pass."""
+    from tabreg.operators.baselines import baseline_learning_curve
+    return rounded(baseline_learning_curve(line_charge_split(spark, sf_dir)))
