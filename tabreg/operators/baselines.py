@@ -115,6 +115,11 @@ def baseline_cv_predictions(split_df: DataFrame, label: str = "charge", folds: i
     from tabreg.functions.stats import hash_bucket
     train = split_df.where(F.col("split") == "train").withColumn(
         "fold", hash_bucket(F.col("row_key"), salt, folds))
+    return baseline_cv_on_folds(train, label)
+
+
+def baseline_cv_on_folds(train: DataFrame, label: str = "charge") -> DataFrame:
+    """K-fold predictions for rows that already carry a ``fold`` column (hash or contiguous folds)."""
     y = F.col(label).cast("double")
     sums = [F.count(F.lit(1)).cast("double").alias("n"), F.sum(y).alias("sy")]
     inputs = ols_inputs()

@@ -262,3 +262,18 @@ def q_learning_curve_sql(spark, sf_dir):
     """Learning curve (20..100 % x 5 folds) of the least-squares member p3, all fits in one pass."""
     from tabreg.operators.baselines import baseline_learning_curve
     return rounded(baseline_learning_curve(line_charge_split(spark, sf_dir)))
+
+
+@query("cross_validate_contiguous", sql=LC + """
+  tr as (select *, cast(case when rk < (n % 5) * (n // 5 + 1) then rk // (n // 5 + 1)
+                        else n % 5 + (rk - (n % 5) * (n // 5 + 1)) // (n // 5) end as integer) as fold
+         from (select *, row_number() over (order by row_key) - 1 as rk, count(*) over () as n from lc)),
+""" + CV_SQL.split("fl as", 1)[1].join(["  fl as", ""]).rstrip().rstrip(",") + """
+  select model, cast(fold as integer) as fold, n, """ + ", ".join(
+    f"{r6(c)} as {c}" for c in ("mae", "mse", "rmse", "r2")) + " from cvm")
+def q_cross_validate_contiguous(spark, sf_dir):
+    """Unshuffled 5-fold CV over ALL rows in key order (the evaluation-time CV mode), baseline pool."""
+    from tabreg.operators.baselines import baseline_cv_on_folds
+    from tabreg.operators.split import kfold_contiguous
+    lc = kfold_contiguous(line_charge_split(spark, sf_dir), ["row_key"], 5)
+    return rounded(cv_fold_metrics(baseline_cv_on_folds(lc)))

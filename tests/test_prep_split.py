@@ -99,3 +99,17 @@ def test_prepare_input_idempotent(spark):
     once = prepare_input(lc, INTERACTION)
     twice = prepare_input(once, INTERACTION)
     assert once.columns == twice.columns and once.columns.count("price_discount") == 1
+
+
+def test_global_rank_is_a_permutation_in_key_order(spark):
+    from tabreg.operators.split import global_rank, kfold_contiguous
+    lc = line_charge(spark, SF_SMALL)
+    r = global_rank(lc, ["row_key"])
+    n = lc.count()
+    s = r.agg(F.count("rank"), F.countDistinct("rank"), F.min("rank"), F.max("rank")).first()
+    assert tuple(s) == (n, n, 0, n - 1)
+    rows = r.select("row_key", "rank").orderBy("rank").collect()
+    keys = [x["row_key"] for x in rows]
+    assert keys == sorted(keys)
+    sizes = sorted(x["count"] for x in kfold_contiguous(lc, ["row_key"], 5).groupBy("fold").count().collect())
+    assert sizes[-1] - sizes[0] <= 1 and sum(sizes) == n
