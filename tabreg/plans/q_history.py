@@ -32,12 +32,12 @@ def users(spark, sf_dir):
                     F.concat(F.lower(F.replace("c_name", F.lit("#"), F.lit("."))), F.lit("@"),
                              F.lower("c_mktsegment"), F.lit(".example")).alias("email"),
                     F.col("c_mktsegment").alias("segment"),
-                    F.lit(None).cast("timestamp").alias("last_login_at"), F.lit(True).alias("is_active"))
+                    F.lit(None).cast("timestamp_ntz").alias("last_login_at"), F.lit(True).alias("is_active"))
 
 
 @query("history_append", sql=f"""
   select event_id as id, user_id, ts as created_at, value as prediction, event_type as model_name,
-         to_json({{'event_type': event_type, 'value': value}}) as inputs_json from events""")
+         cast(to_json({{'event_type': event_type, 'value': value}}) as varchar) as inputs_json from events""")
 def q_history_append(spark, sf_dir):
     """History rows built from scored events with the inputs as a JSON object (the rows an append writes)."""
     e = load(spark, sf_dir, "events")

@@ -211,7 +211,7 @@ def _onehot_sql():
          union all select 'l_linestatus', l_linestatus from t where split = 'train' group by 2),
   kept as (select c, v from (select c, v, row_number() over (partition by c order by v) as rk from lv) where rk > 1)
   select row_key, c || '_' || v as dummy, case when (c = 'l_returnflag' and l_returnflag = v)
-                                         or (c = 'l_linestatus' and l_linestatus = v) then 1.0 else 0.0 end as value
+                                         or (c = 'l_linestatus' and l_linestatus = v) then 1.0 else 0.0 end::double as value
   from t, kept"""
 
 
@@ -240,9 +240,9 @@ def _prep_sql(scale: bool) -> str:
   with t as (select *, l_extendedprice * l_discount as price_discount from ({LS})),
   s as (select {stats} from t where split = 'train')
   select row_key, {', '.join(r6(e) + f' as {c}' for e, c in zip(exprs, cols))},
-    case when l_returnflag = 'N' then 1.0 else 0.0 end as l_returnflag_N,
-    case when l_returnflag = 'R' then 1.0 else 0.0 end as l_returnflag_R,
-    case when l_linestatus = 'O' then 1.0 else 0.0 end as l_linestatus_O
+    case when l_returnflag = 'N' then 1.0 else 0.0 end::double as l_returnflag_N,
+    case when l_returnflag = 'R' then 1.0 else 0.0 end::double as l_returnflag_R,
+    case when l_linestatus = 'O' then 1.0 else 0.0 end::double as l_linestatus_O
   from t, s"""
 
 

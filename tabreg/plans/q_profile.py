@@ -155,7 +155,7 @@ _QP = [0.1, 0.25, 0.5, 0.75, 0.9]
 
 
 @query("quantiles", sql="select * from (" + _union([
-    f"select '{c}' as column, {p!r} as p, cast(count({c}) as bigint) as n, {r6(f'quantile_cont({c}, {p!r})')} as value "
+    f"select '{c}' as column, cast({p!r} as double) as p, cast(count({c}) as bigint) as n, {r6(f'quantile_cont({c}, {p!r})')} as value "
     f"from events" for c in ("value", "user_id") for p in _QP]) + ")")
 def q_quantiles(spark, sf_dir):
     """Exact linear-interpolated deciles/quartiles of events.value and events.user_id (distributed)."""
