@@ -11,8 +11,9 @@ DuckDB ``quantile_cont`` answer in a distributed way:
 3. a window over the bracket's distinct values only (bounded by about 4/accuracy of the rows) gives
    exact ranks; the exact order statistics at floor/ceil of (n-1)p are interpolated.
 
-If the sketch bound ever fails (the bracket does not contain the wanted ranks), that (column, p) is
-recomputed with the full range as its bracket, so the result is always exact.
+If the sketch bound ever fails (the bracket does not contain the wanted ranks), only that (column, p)
+is retried with a 16x wider bracket, and as a last resort with the full range, so the result is always
+exact.
 """
 
 from __future__ import annotations
@@ -85,41 +86,59 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
     """
     acc = int(accuracy) if accuracy else adaptive_accuracy(df.count())
     probs = [float(p) for p in probs]
-    margin = 2.0 / acc
-    grid = sorted({min(1.0, max(0.0, p + s * margin)) for p in probs for s in (-1, 1)})
-    pos = {q: i for i, q in enumerate(grid)}
+    spark = df.sparkSession
     long = long_values(df, cols)
-    stats = long.groupBy("column").agg(
+    result = None
+    todo = [(c, p) for c in cols for p in probs]
+    # Bracket margin in probability: the sketch's rank error is 1/acc, so 2/acc holds; a miss (ties,
+    # tiny groups) retries only the missing pairs with a 16x wider margin, then with the full range.
+    for margin in (2.0 / acc, 32.0 / acc, None):
+        brackets = _brackets(spark, long, todo, acc, margin).cache()
+        cand = _candidates(long, brackets).cache()
+        part = _pick(cand, brackets)
+        failed = [(r["column"], r["p"]) for r in part.where(~F.col("ok")).select("column", "p").collect()]
+        if failed and margin is not None:
+            bad = spark.createDataFrame(failed, "column string, p double")
+            part = part.join(F.broadcast(bad), ["column", "p"], "left_anti")
+        result = part if result is None else result.unionByName(part)
+        todo = failed
+        if not todo or margin is None:
+            break
+    return result.select("column", "p", "n", "value")
+
+
+def _brackets(spark, long: DataFrame, pairs, acc: int, margin: float | None) -> DataFrame:
+    """(column, p, n, h, klo, khi, lo, hi): target ranks and a value bracket per pair.
+
+    With ``margin`` None the bracket is [min, max] (always contains the ranks)."""
+    probs = sorted({p for _, p in pairs})
+    cols = sorted({c for c, _ in pairs})
+    if margin is None:
+        grid = [0.5]
+    else:
+        grid = sorted({min(1.0, max(0.0, p + s * margin)) for p in probs for s in (-1, 1)})
+    pos = {q: i for i, q in enumerate(grid)}
+    stats = long.where(F.col("column").isin(*cols)).groupBy("column").agg(
         F.count(F.lit(1)).alias("n"), F.min("value").alias("mn"), F.max("value").alias("mx"),
         F.percentile_approx("value", grid, acc).alias("approx"))
-    spark = df.sparkSession
-    wanted = spark.createDataFrame(
-        [(c, p, pos[min(1.0, max(0.0, p - margin))], pos[min(1.0, max(0.0, p + margin))])
-         for c in cols for p in probs],
-        "column string, p double, ilo int, ihi int")
+
+    def idx(p, sgn):
+        return 0 if margin is None else pos[min(1.0, max(0.0, p + sgn * margin))]
+
+    wanted = spark.createDataFrame([(c, p, idx(p, -1), idx(p, 1)) for c, p in pairs],
+                                   "column string, p double, ilo int, ihi int")
+    m = margin if margin is not None else 2.0
     h = (F.col("n") - 1) * F.col("p")
-    brackets = (F.broadcast(wanted).join(stats, "column", "left")
-                .fillna(0, ["n"])
-                .withColumn("h", h)
-                .withColumn("klo", F.floor(h).cast("bigint"))
-                .withColumn("khi", F.ceil(h).cast("bigint"))
-                .withColumn("lo", F.when(F.col("p") - margin <= 0, F.col("mn"))
-                            .otherwise(F.element_at("approx", F.col("ilo") + 1)))
-                .withColumn("hi", F.when(F.col("p") + margin >= 1, F.col("mx"))
-                            .otherwise(F.element_at("approx", F.col("ihi") + 1)))
-                .select("column", "p", "n", "h", "klo", "khi", "lo", "hi", "mn", "mx"))
-    brackets = brackets.cache()
-    cand = _candidates(long, brackets).cache()
-    result = _pick(cand, brackets)
-    failed = [(r["column"], r["p"]) for r in result.where(~F.col("ok")).select("column", "p").collect()]
-    if failed:
-        # Sketch bound missed: widen only the failing brackets to [min, max] and redo them exactly.
-        bad = spark.createDataFrame(failed, "column string, p double")
-        wide = (brackets.join(F.broadcast(bad), ["column", "p"], "left_semi")
-                .withColumn("lo", F.col("mn")).withColumn("hi", F.col("mx")))
-        redo = _pick(_candidates(long, wide), wide)
-        result = result.join(F.broadcast(bad), ["column", "p"], "left_anti").unionByName(redo)
-    return result.select("column", "p", "n", "value")
+    return (F.broadcast(wanted).join(stats, "column", "left")
+            .fillna(0, ["n"])
+            .withColumn("h", h)
+            .withColumn("klo", F.floor(h).cast("bigint"))
+            .withColumn("khi", F.ceil(h).cast("bigint"))
+            .withColumn("lo", F.when(F.col("p") - m <= 0, F.col("mn"))
+                        .otherwise(F.element_at("approx", F.col("ilo") + 1)))
+            .withColumn("hi", F.when(F.col("p") + m >= 1, F.col("mx"))
+                        .otherwise(F.element_at("approx", F.col("ihi") + 1)))
+            .select("column", "p", "n", "h", "klo", "khi", "lo", "hi"))
 
 
 def quantile_wide(df: DataFrame, cols: Sequence[str], probs: Sequence[float], names: Sequence[str],
