@@ -20,6 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -84,17 +85,21 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
     row count (``adaptive_accuracy``) so brackets stay near a million rows at any table size. The
     broadcast bracket table has len(cols) * len(probs) rows, a bound fixed by the call, not by the data.
     """
-    acc = int(accuracy) if accuracy else adaptive_accuracy(df.count())
     probs = [float(p) for p in probs]
     spark = df.sparkSession
-    long = long_values(df, cols)
+    # The passes below (count, sketch, classify, retries) all read the stacked values: persist them once
+    # (memory, spilling to disk; recomputable from lineage if an executor is lost).
+    long = long_values(df, cols).persist(StorageLevel.MEMORY_AND_DISK)
+    acc = int(accuracy) if accuracy else adaptive_accuracy(long.count() // max(1, len(cols)))
     result = None
+    cached = [long]
     todo = [(c, p) for c in cols for p in probs]
     # Bracket margin in probability: the sketch's rank error is 1/acc, so 2/acc holds; a miss (ties,
     # tiny groups) retries only the missing pairs with a 16x wider margin, then with the full range.
     for margin in (2.0 / acc, 32.0 / acc, None):
         brackets = _brackets(spark, long, todo, acc, margin).cache()
         cand = _candidates(long, brackets).cache()
+        cached += [brackets, cand]
         part = _pick(cand, brackets)
         failed = [(r["column"], r["p"]) for r in part.where(~F.col("ok")).select("column", "p").collect()]
         if failed and margin is not None:
@@ -104,7 +109,11 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
         todo = failed
         if not todo or margin is None:
             break
-    return result.select("column", "p", "n", "value")
+    out = result.select("column", "p", "n", "value")
+    out = spark.createDataFrame(out.collect(), out.schema)  # len(cols) * len(probs) rows
+    for c in cached:
+        c.unpersist()
+    return out
 
 
 def _brackets(spark, long: DataFrame, pairs, acc: int, margin: float | None) -> DataFrame:
