@@ -43,6 +43,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if current.isDefined():
         return current.get()
     local_dir = tempfile.mkdtemp(prefix="tabreg-ckpt-", dir=os.environ.get("TABREG_SCRATCH", "/tmp"))
-    spark.conf.set("spark.checkpoint.dir", local_dir)
     spark.sparkContext.setCheckpointDir(local_dir)
+    try:
+        spark.conf.set("spark.checkpoint.dir", local_dir)
+    except Exception:  # noqa: BLE001 - core configs may be read-only at runtime; the context has it
+        pass
     return local_dir
