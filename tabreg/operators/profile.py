@@ -74,10 +74,24 @@ def missing_by_column(df: DataFrame, cols: Sequence[str] | None = None) -> DataF
                               ("column", "missing")).alias("kv")).select("kv.column", "kv.missing")
 
 
-def duplicate_rows(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
-    """Rows equal to an earlier row over ``cols`` (NULLs compare equal), as one count."""
+def row_digest(cols: Sequence[str]) -> list[Column]:
+    """Two independent digests of a row's canonical JSON serialisation (NULL fields kept by name)."""
+    canon = F.to_json(F.struct(*[F.col(c) for c in cols]), {"ignoreNullFields": "false"})
+    return [F.xxhash64(canon).alias("__h64"), F.sha2(canon, 256).alias("__h256")]
+
+
+def duplicate_rows(df: DataFrame, cols: Sequence[str] | None = None, by_digest: bool = False) -> DataFrame:
+    """Rows equal to an earlier row over ``cols`` (NULLs compare equal), as one count.
+
+    ``by_digest=True`` groups on a 64-bit + 256-bit digest of each row instead of the row itself, so
+    wide rows (long texts) are not shuffled; a false match would need both digests to collide.
+    """
     cols = list(cols or df.columns)
-    groups = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("c"))
+    if by_digest:
+        keyed = df.select(*row_digest(cols))
+        groups = keyed.groupBy("__h64", "__h256").agg(F.count(F.lit(1)).alias("c"))
+    else:
+        groups = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("c"))
     return groups.agg(F.coalesce(F.sum(F.col("c") - 1), F.lit(0)).cast("bigint").alias("duplicate_rows"))
 
 

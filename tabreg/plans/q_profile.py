@@ -51,8 +51,9 @@ def q_missing_by_column(spark, sf_dir):
   select cast(coalesce(sum(c - 1), 0) as bigint) as duplicate_rows
   from (select count(*) as c from documents group by text, lang, source, n_chars)""")
 def q_duplicate_rows(spark, sf_dir):
-    """Rows of documents (all columns but the id) equal to an earlier row."""
-    return P.duplicate_rows(load(spark, sf_dir, "documents").drop("doc_id"))
+    """Rows of documents (all columns but the id) equal to an earlier row; rows are grouped by digest so
+    long texts are not shuffled."""
+    return P.duplicate_rows(load(spark, sf_dir, "documents").drop("doc_id"), by_digest=True)
 
 
 @query("distinct_with_null", sql="select * from (" + _union([

@@ -66,3 +66,12 @@ def test_sig_round(spark):
     assert got[1] == 0.0 and math.copysign(1, got[1]) == 1
     assert got[2] == pytest.approx(1.23456789e-7, rel=1e-12)
     assert got[3] is None
+
+
+def test_duplicate_rows_digest_matches_exact(spark):
+    from tabreg.operators.profile import duplicate_rows
+    rows = [("a", 1.0), ("a", 1.0), (None, 2.0), (None, 2.0), ("b", None), ("b", None), ("b", 3.0), ("a", 1.0)]
+    df = spark.createDataFrame(rows, "t string, x double")
+    exact = duplicate_rows(df).first()[0]
+    digest = duplicate_rows(df, by_digest=True).first()[0]
+    assert exact == digest == 4
