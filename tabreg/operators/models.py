@@ -14,6 +14,7 @@ from concurrent.futures import ThreadPoolExecutor
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.regression import (DecisionTreeRegressionModel, DecisionTreeRegressor, GBTRegressor,
                                    LinearRegression, RandomForestRegressor)
@@ -101,7 +102,8 @@ def score(model: PipelineModel, df: DataFrame) -> DataFrame:
 
 
 def train_all(split_df: DataFrame, candidates: Mapping[str, Candidate], numeric, categorical, interaction,
-              label: str, key: str, folds: int = 0) -> tuple[DataFrame, DataFrame, dict[str, PipelineModel]]:
+              label: str, key: str, folds: int = 0,
+              workers: int = 1) -> tuple[DataFrame, DataFrame, dict[str, PipelineModel]]:
     """Fit every candidate on the train rows, time it, compute train/test metrics and optional k-fold CV.
 
     One failure does not stop the rest; failures are returned as an (algorithm, failure) DataFrame and an
@@ -111,8 +113,8 @@ def train_all(split_df: DataFrame, candidates: Mapping[str, Candidate], numeric,
     data = split_df.persist()
     train = data.where(F.col("split") == "train")
     facts = training_facts(train, label)
-    rows, failures, fitted = [], [], {}
-    for name, c in candidates.items():
+    def one(item):
+        name, c = item
         try:
             model, secs = fit_candidate(c, train, numeric, categorical, interaction, label, facts)
             m = train_test_metrics(score(model, data), label=label).first().asDict()
@@ -122,11 +124,20 @@ def train_all(split_df: DataFrame, candidates: Mapping[str, Candidate], numeric,
                              F.avg("mae").alias("cv_mae_mean"), F.avg("rmse").alias("cv_rmse_mean")).first().asDict()
             else:
                 cv = {"cv_r2_mean": None, "cv_r2_std": None, "cv_mae_mean": None, "cv_rmse_mean": None}
-            rows.append({"algorithm": name, **{k: _f(v) for k, v in m.items()}, **{k: _f(v) for k, v in cv.items()},
-                         "training_seconds": secs})
-            fitted[name] = model
+            row = {"algorithm": name, **{k: _f(v) for k, v in m.items()}, **{k: _f(v) for k, v in cv.items()},
+                   "training_seconds": secs}
+            return name, row, model, None
         except Exception as exc:  # noqa: BLE001 - one candidate's failure must not stop the pool
-            failures.append((name, f"{type(exc).__name__}: {exc}"[:1000]))
+            return name, None, None, f"{type(exc).__name__}: {exc}"[:1000]
+
+    # workers > 1 overlaps the candidates' jobs (fit times then include contention)
+    rows, failures, fitted = [], [], {}
+    for name, row, model, err in run_concurrently(one, list(candidates.items()), workers):
+        if err is None:
+            rows.append(row)
+            fitted[name] = model
+        else:
+            failures.append((name, err))
     data.unpersist()
     if not rows:
         raise RuntimeError("No regression model trained successfully: " + "; ".join(m for _, m in failures))
@@ -260,17 +271,21 @@ class AdaBoostR2(Estimator):
         cur = df.select(self._features, F.col(self._label).cast("double").alias("__y"),
                         F.lit(1.0 / n).alias("__w"))
         trees, weights = [], []
+        prev = None
         for r in range(self.rounds):
             tree = DecisionTreeRegressor(maxDepth=self.depth, weightCol="__w", labelCol="__y",
                                          featuresCol=self._features, predictionCol="__p", seed=self.seed + r).fit(cur)
             scored = tree.transform(cur).withColumn("__e", F.abs(F.col("__y") - F.col("__p")))
-            emax = scored.agg(F.max("__e")).first()[0] or 0.0
+            # one aggregation: max error and the weight sums give the weighted linear loss
+            st = scored.agg(F.max("__e").alias("emax"), F.sum(F.col("__w") * F.col("__e")).alias("we"),
+                            F.sum("__w").alias("w")).first()
+            emax = st["emax"] or 0.0
             if emax <= 0:  # perfect fit: this tree alone decides
                 trees.append(tree)
                 weights.append(1.0)
                 break
             loss = F.col("__e") / F.lit(emax)
-            err = scored.agg(F.sum(F.col("__w") * loss) / F.sum("__w")).first()[0]
+            err = st["we"] / emax / st["w"]
             if err >= 0.5:
                 if not trees:
                     trees.append(tree)
@@ -279,9 +294,17 @@ class AdaBoostR2(Estimator):
             beta = max(err, 1e-12) / (1.0 - err)
             trees.append(tree)
             weights.append(self.lr * math.log(1.0 / beta))
-            nxt = scored.withColumn("__w", F.col("__w") * F.pow(F.lit(beta), (F.lit(1.0) - loss) * self.lr))
-            tot = nxt.agg(F.sum("__w")).first()[0]
-            cur = nxt.select(self._features, "__y", (F.col("__w") / F.lit(tot)).alias("__w"))
+            # weights are not renormalised each round: the tree's weighted impurity and the weighted
+            # error above are both invariant to a common scale
+            nxt = scored.select(self._features, "__y",
+                                (F.col("__w") * F.pow(F.lit(beta), (F.lit(1.0) - loss) * self.lr)).alias("__w"))
             if (r + 1) % self.checkpoint_every == 0:
-                cur = cur.checkpoint(eager=True)
+                nxt = nxt.checkpoint(eager=True)  # reliable: cuts the lineage of the weight updates
+            else:
+                nxt = nxt.persist(StorageLevel.MEMORY_AND_DISK)  # recomputable from the last checkpoint
+            if prev is not None:
+                prev.unpersist()
+            prev = cur = nxt
+        if prev is not None:
+            prev.unpersist()
         return AdaBoostR2Model(trees, weights, self._features, self._prediction)

@@ -68,7 +68,8 @@ def q_model_pool(spark, sf_dir):
     from tabreg.operators.rank import rank_models
     data = _split(spark, sf_dir)
     pool = {k: v for k, v in M.catalogue(0.02).items() if k != "AdaBoost"}
-    results, _, _ = M.train_all(data, pool, NUMERIC_FEATURES, CATEGORICAL_FEATURES, INTERACTION, TARGET, "row_key")
+    results, _, _ = M.train_all(data, pool, NUMERIC_FEATURES, CATEGORICAL_FEATURES, INTERACTION, TARGET, "row_key",
+                                workers=4)
     res = results.withColumns({"cv_r2_mean": F.col("r2"), "cv_r2_std": F.lit(0.0)})
     return rounded(rank_models(res).select("deployment_rank", "algorithm", "r2", "rmse", "mae", "r2_gap",
                                            "generalisation", "complexity"))
