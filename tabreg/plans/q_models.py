@@ -104,11 +104,11 @@ def q_importance_native(spark, sf_dir):
 
 @query("importance_permutation")
 def q_importance_permutation(spark, sf_dir):
-    """Permutation importance (drop in test R2, 3 repeats) of every raw input of the linear pipeline."""
+    """Permutation importance (drop in test R2, 10 repeats) of every raw input of the linear pipeline."""
     model, data = _fit_one(spark, sf_dir, "Linear Regression")
     test = data.where(F.col("split") == "test")
     return rounded(X.importance_permutation(model, test, [*NUMERIC_FEATURES, *CATEGORICAL_FEATURES], "row_key",
-                                            TARGET, repeats=3, buckets=16))
+                                            TARGET, repeats=10))
 
 
 def _linear_contributions(spark, sf_dir):
