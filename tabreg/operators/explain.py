@@ -65,7 +65,7 @@ def importance_permutation(model: PipelineModel, df: DataFrame, features: Sequen
         f: F.when(F.col("__feature") == f, F.col("__v").cast(dtypes[f])).otherwise(F.col(f)) for f in features})
     scored = model.transform(permuted)
     per_rep = scored.groupBy("__feature", "__repeat").agg(r2_expr(label, "prediction").alias("r2"))
-    base_r2 = model.transform(df).agg(r2_expr(label, "prediction").alias("base_r2"))
+    base_r2 = model.transform(df.select(key, label, *features)).agg(r2_expr(label, "prediction").alias("base_r2"))
     return (per_rep.crossJoin(F.broadcast(base_r2))
             .withColumn("drop", F.col("base_r2") - F.col("r2"))
             .groupBy(F.col("__feature").alias("feature"))

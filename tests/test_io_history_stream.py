@@ -99,3 +99,25 @@ def test_stream_scoring_appends_history(spark, scratch):
     q = append_history_stream(rows, os.path.join(scratch, "hist"), os.path.join(scratch, "ckpt"))
     q.awaitTermination(120)
     assert spark.read.parquet(os.path.join(scratch, "hist")).count() == 50
+
+
+def test_workflow_train_then_evaluate(spark, scratch):
+    from tabreg.operators import models as M
+    from tabreg.sources.tables import CATEGORICAL_FEATURES, INTERACTION, NUMERIC_FEATURES, line_charge
+    from tabreg import workflow as W
+    lc = line_charge(spark, SF_SMALL)
+    small_pool = {k: v for k, v in M.catalogue(0.02).items() if k in ("Linear Regression", "Decision Tree")}
+    orig = M.catalogue
+    M.catalogue = lambda rounds=1.0, seed=42: small_pool  # keep the smoke test short
+    try:
+        ranked = W.train(lc, "charge", "row_key", NUMERIC_FEATURES, CATEGORICAL_FEATURES, INTERACTION, scratch,
+                         folds=2)
+        assert ranked.count() == 2
+        metrics = W.evaluate(lc, "charge", "row_key", NUMERIC_FEATURES, CATEGORICAL_FEATURES, INTERACTION, scratch,
+                             os.path.join(scratch, "model"), folds=2, algorithm="Linear Regression")
+        assert metrics.first()["r2"] > 0.9
+    finally:
+        M.catalogue = orig
+    for sub in ("model_comparison", "model_metadata", "unseen_test_predictions", "evaluation_metrics",
+                "learning_curve", "cross_validation_scores", "permutation_importance"):
+        assert os.path.isdir(os.path.join(scratch, sub)), sub
