@@ -131,8 +131,12 @@ def sig_round(c, digits: int = 9) -> Column:
     """
     col = _c(c).cast("double")
     k = F.lit(digits - 1) - F.floor(F.log10(F.abs(col)))
-    up = F.round(col * F.pow(F.lit(10.0), k), 0) / F.pow(F.lit(10.0), k)
-    down = F.round(col / F.pow(F.lit(10.0), -k), 0) * F.pow(F.lit(10.0), -k)
+
+    def half_away(y):  # round half away from zero with plain double arithmetic (no BigDecimal)
+        return F.signum(y) * F.floor(F.abs(y) + F.lit(0.5)).cast("double")
+
+    up = half_away(col * F.pow(F.lit(10.0), k)) / F.pow(F.lit(10.0), k)
+    down = half_away(col / F.pow(F.lit(10.0), -k)) * F.pow(F.lit(10.0), -k)
     scaled = F.when(k >= 0, up).otherwise(down)
     return F.when(F.isnan(col) | (col == 0) | F.isnull(col), col).otherwise(scaled) + F.lit(0.0)
 
@@ -141,6 +145,8 @@ def sig_round_sql(expr: str, digits: int = 9) -> str:
     """SQL text twin of ``sig_round``."""
     x = f"cast({expr} as double)"
     k = f"({digits - 1} - floor(log10(abs({x}))))"
+    def half_away(y):
+        return f"(cast(sign({y}) as double) * cast(floor(abs({y}) + 0.5) as double))"
     return (f"(case when {x} is null or isnan({x}) or {x} = 0 then {x} "
-            f"when {k} >= 0 then round({x} * pow(10.0, {k}), 0) / pow(10.0, {k}) "
-            f"else round({x} / pow(10.0, -{k}), 0) * pow(10.0, -{k}) end + 0.0)")
+            f"when {k} >= 0 then {half_away(f'{x} * pow(10.0, {k})')} / pow(10.0, {k}) "
+            f"else {half_away(f'{x} / pow(10.0, -{k})')} * pow(10.0, -{k}) end + 0.0)")

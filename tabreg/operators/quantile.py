@@ -4,8 +4,8 @@ Spark's ``percentile`` is exact but its final aggregation holds every distinct v
 one task; ``percentile_approx`` scales but is approximate. This operator gets the exact pandas /
 DuckDB ``quantile_cont`` answer in a distributed way:
 
-1. one aggregation per column: count, min, max and ``percentile_approx`` at p +- margin
-   (the sketch is merged partially on every executor);
+1. one wide aggregation: per column count, min, max and ``percentile_approx`` at p +- margin
+   (the sketches are merged partially on every executor);
 2. one pass that classifies every value as below / inside / above its bracket and counts values per
    distinct value inside (partial aggregation collapses hot values and the two outside classes);
 3. a window over the bracket's distinct values only (bounded by about 4/accuracy of the rows) gives
@@ -20,7 +20,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -81,23 +80,33 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
                     accuracy: int | None = None) -> DataFrame:
     """Exact linear-interpolation quantiles: one row per (column, p) with ``value`` (NULL if no values).
 
-    ``accuracy`` is the sketch accuracy used only to size the brackets; by default it is chosen from the
-    row count (``adaptive_accuracy``) so brackets stay near a million rows at any table size. The
+    ``accuracy`` is the sketch accuracy used only to size the brackets; by default the sketch runs at
+    10^4 in the same aggregation that counts the rows, and is redone at a higher accuracy
+    (``adaptive_accuracy``) only when a column is so large that brackets would exceed ~1M rows. The
     broadcast bracket table has len(cols) * len(probs) rows, a bound fixed by the call, not by the data.
     """
     probs = [float(p) for p in probs]
     spark = df.sparkSession
-    # The passes below (count, sketch, classify, retries) all read the stacked values: persist them once
-    # (memory, spilling to disk; recomputable from lineage if an executor is lost).
-    long = long_values(df, cols).persist(StorageLevel.MEMORY_AND_DISK)
-    acc = int(accuracy) if accuracy else adaptive_accuracy(long.count() // max(1, len(cols)))
-    result = None
-    cached = [long]
+    cols = list(cols)
+    long = long_values(df, cols)
+    acc = int(accuracy) if accuracy else DEFAULT_ACCURACY
+    result, cached = None, []
     todo = [(c, p) for c in cols for p in probs]
     # Bracket margin in probability: the sketch's rank error is 1/acc, so 2/acc holds; a miss (ties,
     # tiny groups) retries only the missing pairs with a 16x wider margin, then with the full range.
-    for margin in (2.0 / acc, 32.0 / acc, None):
-        brackets = _brackets(spark, long, todo, acc, margin).cache()
+    first = True
+    for margin in ("base", "wide", None):
+        stats = None
+        if margin is not None:
+            stats = _sketch(df, sorted({c for c, _ in todo}), probs, acc, _margin(acc, margin))
+            if first and not accuracy:
+                biggest = max((r["n"] or 0) for r in stats.select("n").collect())
+                if adaptive_accuracy(biggest) > acc:  # very large table: re-sketch for small brackets
+                    acc = adaptive_accuracy(biggest)
+                    stats = _sketch(df, sorted({c for c, _ in todo}), probs, acc, _margin(acc, margin))
+        first = False
+        m = _margin(acc, margin) if margin is not None else None
+        brackets = _brackets(spark, long, stats, todo, m).cache()
         cand = _candidates(long, brackets).cache()
         cached += [brackets, cand]
         part = _pick(cand, brackets)
@@ -116,20 +125,42 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
     return out
 
 
-def _brackets(spark, long: DataFrame, pairs, acc: int, margin: float | None) -> DataFrame:
+def _margin(acc: int, kind: str) -> float:
+    return (2.0 if kind == "base" else 32.0) / acc
+
+
+def _grid(probs: Sequence[float], margin: float) -> list[float]:
+    return sorted({min(1.0, max(0.0, p + s * margin)) for p in probs for s in (-1, 1)})
+
+
+def _sketch(df: DataFrame, cols: Sequence[str], probs: Sequence[float], acc: int, margin: float) -> DataFrame:
+    """(column, n, mn, mx, approx): one wide aggregation over the table (one sketch per column, no
+    stacking), then stacked into len(cols) rows."""
+    grid = _grid(probs, margin)
+    aggs = []
+    for i, c in enumerate(cols):
+        v = F.col(c).cast("double")
+        v = F.when(~F.isnan(v), v)
+        aggs += [F.count(v).alias(f"n{i}"), F.min(v).alias(f"mn{i}"), F.max(v).alias(f"mx{i}"),
+                 F.percentile_approx(v, grid, acc).alias(f"a{i}")]
+    wide = df.agg(*aggs)
+    return wide.select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("column"), F.col(f"n{i}").alias("n"), F.col(f"mn{i}").alias("mn"),
+                 F.col(f"mx{i}").alias("mx"), F.col(f"a{i}").alias("approx")) for i, c in enumerate(cols)]))
+        .alias("kv")).select("kv.*")
+
+
+def _brackets(spark, long: DataFrame, stats: DataFrame | None, pairs, margin: float | None) -> DataFrame:
     """(column, p, n, h, klo, khi, lo, hi): target ranks and a value bracket per pair.
 
     With ``margin`` None the bracket is [min, max] (always contains the ranks)."""
     probs = sorted({p for _, p in pairs})
     cols = sorted({c for c, _ in pairs})
-    if margin is None:
-        grid = [0.5]
-    else:
-        grid = sorted({min(1.0, max(0.0, p + s * margin)) for p in probs for s in (-1, 1)})
-    pos = {q: i for i, q in enumerate(grid)}
-    stats = long.where(F.col("column").isin(*cols)).groupBy("column").agg(
-        F.count(F.lit(1)).alias("n"), F.min("value").alias("mn"), F.max("value").alias("mx"),
-        F.percentile_approx("value", grid, acc).alias("approx"))
+    if stats is None:
+        stats = long.where(F.col("column").isin(*cols)).groupBy("column").agg(
+            F.count(F.lit(1)).alias("n"), F.min("value").alias("mn"), F.max("value").alias("mx"),
+            F.array().cast("array<double>").alias("approx"))
+    pos = {q: i for i, q in enumerate(_grid(probs, margin))} if margin is not None else {}
 
     def idx(p, sgn):
         return 0 if margin is None else pos[min(1.0, max(0.0, p + sgn * margin))]
