@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabreg.llm import bytesops as B
-from tabreg.llm.shared import arrow, read_back, row_key, write_table
+from tabreg.llm.shared import arrow, row_key, written
 
 U64 = np.uint64
 MIN_LEN, GRAM, HOT, BLOCK = 200, 32, 512, 1 << 20
@@ -308,37 +308,36 @@ def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     ``row_key`` is ``shared.row_key(id_col, text_col)``. Ranges may touch or overlap; merge on use.
     """
-    spark = docs.sparkSession
     texts = docs.select(row_key(id_col, text_col), F.col(text_col).cast("binary").alias("text"))
-    runs = read_back(spark, *write_table(texts.transform(arrow, _emit_runs(min_len, gram), RUNS), "runs"))
-    distinct = runs.groupBy("key", "ctx", "n_win", "off").agg(
-        F.count("*").alias("n"), F.min(F.struct("row_key", "s0")).alias("one"))
-    again = distinct.groupBy("key").agg(F.sum("n").alias("total"), F.count("*").alias("kinds")).where("total > 1")
-    wanted = (distinct.join(again, "key")
-              .groupBy(F.col("one.row_key").alias("row_key"))
-              .agg(F.collect_list(F.struct(F.col("one.s0").alias("s0"), "n_win", "off", "key", "ctx",
-                                           F.least("n", F.lit(2)).cast("int").alias("n"),
-                                           (F.col("kinds") > hot).alias("hot"))).alias("wanted")))
+    runs = written(texts.transform(arrow, _emit_runs(min_len, gram), RUNS), "runs")
+    # keys seen twice; written, so that the join below deals out plain shuffles and can split a hot key
+    again = written(runs.groupBy("key").agg(F.count("*").alias("total")).where("total > 1").select("key"), "again")
+    distinct = (runs.join(again, "key").groupBy("key", "ctx")
+                .agg(F.count("*").alias("n"), F.min(F.struct("row_key", "s0", "n_win", "off")).alias("one")))
+    distinct = written(distinct.select("key", "ctx", "n", "one.*"), "distinct")
+    crowded = distinct.groupBy("key").agg(F.count("*").alias("kinds")).where(F.col("kinds") > hot)
+    wanted = (distinct.join(crowded, "key", "left").groupBy("row_key")
+              .agg(F.collect_list(F.struct("s0", "n_win", "off", "key", "ctx", F.least("n", F.lit(2)).cast("int").alias("n"),
+                                           F.col("kinds").isNotNull().alias("hot"))).alias("wanted")))
     cut = texts.join(wanted, "row_key").select("text", "wanted")
-    contexts = read_back(spark, *write_table(
-        cut.transform(arrow, _cut_contexts(min_len), "key long, ctx long, off int, n int, hot boolean, body binary"), "ctx"))
+    contexts = written(cut.transform(
+        arrow, _cut_contexts(min_len), "key long, ctx long, off int, n int, hot boolean, body binary"), "ctx")
     contexts = contexts.withColumn("size", F.length("body"))
     found = _solve(contexts.where("not hot"), min_len, block)
     # hot keys: the same windows under finer keys, exactly; results carried back to the context they lie in
     heated, back = contexts.where("hot"), None
-    for width in (16, 1):
+    for width in (min(16, min_len), 1):
         if heated.isEmpty():
             break
-        fine = read_back(spark, *write_table(
-            heated.select("key", "ctx", "off", "n", "size", "body").transform(arrow, 
-                _banded(width, min_len), "key long, ctx long, off int, n int, up_key long, up_ctx long, "
-                "up_size int, shift int, body binary"), "band"))
+        fine = written(heated.select("key", "ctx", "off", "n", "size", "body").transform(
+            arrow, _banded(width, min_len), "key long, ctx long, off int, n int, up_key long, up_ctx long, "
+            "up_size int, shift int, body binary"), "band")
         fine = fine.withColumn("size", F.length("body"))
         kinds = fine.groupBy("key", "ctx", "size", "off").agg(F.sum("n").alias("n"), F.min("body").alias("body"))
         again = kinds.groupBy("key").agg(F.sum("n").alias("total"), F.count("*").alias("kinds")).where("total > 1")
-        kinds = read_back(spark, *write_table(
-            kinds.join(again, "key").select("key", "ctx", "off", F.least("n", F.lit(2)).cast("int").alias("n"), "size",
-                                            "body", (F.col("kinds") > hot).alias("hot")), "kinds"))
+        kinds = written(kinds.join(again, "key").select(
+            "key", "ctx", "off", F.least("n", F.lit(2)).cast("int").alias("n"), "size", "body",
+            (F.col("kinds") > hot).alias("hot")), "kinds")
         links = fine.select("key", "ctx", "size", "up_key", "up_ctx", "up_size", "shift")
         if back is not None:  # to the contexts of the first level
             up = back.select(F.col("key").alias("up_key"), F.col("ctx").alias("up_ctx"), F.col("size").alias("up_size"),
@@ -353,7 +352,7 @@ def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             F.col("up_key").alias("key"), F.col("up_ctx").alias("ctx"), F.col("up_size").alias("size"),
             (F.col("a") + F.col("shift")).alias("a"), (F.col("b") + F.col("shift")).alias("b")))
         heated, back = kinds.where("hot"), links
-    per_ctx = found.groupBy("key", "ctx", "size").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    per_ctx = written(found.groupBy("key", "ctx", "size").agg(F.collect_list(F.struct("a", "b")).alias("spans")), "found")
     return (runs.withColumn("size", F.col("n_win") + (min_len - 1)).join(per_ctx, ["key", "ctx", "size"])
             .groupBy("row_key")
             .agg(F.flatten(F.collect_list(F.transform("spans", lambda x: F.struct(
