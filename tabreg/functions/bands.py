@@ -38,6 +38,7 @@ COMPLEXITY = {
     "Linear Regression": "Low", "Ridge Regression": "Low", "Lasso Regression": "Low",
     "Decision Tree": "Medium", "Random Forest": "High", "Gradient Boosting": "High", "SVR": "Medium",
     "XGBoost": "High", "Extra Trees": "High", "AdaBoost": "Medium", "CatBoost": "High", "LightGBM": "High",
+    "gbt_subsampled": "High", "forest_subspace": "High", "gbt_deep": "High", "gbt_wide": "High",
 }
 
 

@@ -15,13 +15,6 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def clean_double(c, dtype=None) -> Column:
-    """NaN -> NULL for float/double columns (pandas treats NaN as missing; Spark aggregates do not)."""
-    col = _c(c)
-    if dtype is None or isinstance(dtype, (DoubleType, FloatType)):
-        return F.when(~F.isnan(col.cast("double")), col.cast("double"))
-    return col.cast("double")
-
 
 def sample_skew(c) -> Column:
     """Bias-corrected (adjusted Fisher-Pearson) skewness as pandas/DuckDB; NULL for n < 3 or constant."""
@@ -64,10 +57,6 @@ def hash_bucket(key: Column, salt: str, modulo: int) -> Column:
     return (F.conv(hexed, 16, 10).cast("bigint") % F.lit(modulo)).cast("int")
 
 
-def round6(c) -> Column:
-    """Round to 6 digits and fold -0.0 into 0.0 (for order-independent comparisons)."""
-    return F.round(_c(c), 6) + F.lit(0.0)
-
 
 # Coefficients of Acklam's rational approximation of the inverse normal CDF
 # (published algorithm, relative error below 1.15e-9), and its tail switch point.

@@ -25,6 +25,12 @@ NAME_MAX, NAME_KEEP, ELLIPSIS = 24, 22, "…"
 NOT_AVAILABLE = "Not available"
 
 
+def strip(c: Column) -> Column:
+    """Without white space (of any kind, not blanks alone) at either end."""
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+
+
+# The patterns of the next two functions.
 def safe_file_name(c: Column) -> Column:
     """Runs of characters outside [A-Za-z0-9._-] become '_', then leading/trailing '_' are trimmed."""
     return F.regexp_replace(F.regexp_replace(c, r"[^A-Za-z0-9._-]+", "_"), r"^_+|_+$", "")
@@ -43,8 +49,8 @@ def display_name(c: Column) -> Column:
 
 def identity_error(username: Column, email: Column, password: Column | None = None) -> Column:
     """First failing identity rule's message after normalisation (username trimmed, email trimmed+lowered)."""
-    u = F.trim(username)
-    e = F.lower(F.trim(email))
+    u = strip(username)
+    e = F.lower(strip(email))
     chain = (F.when(F.length(u) < USERNAME_MIN, F.lit(MESSAGES["username_short"]))
              .when(F.length(u) > USERNAME_MAX, F.lit(MESSAGES["username_long"]))
              .when(~u.rlike(USERNAME_CHARSET), F.lit(MESSAGES["username_charset"]))
@@ -58,7 +64,8 @@ def identity_error(username: Column, email: Column, password: Column | None = No
 
 
 def identity_error_sql(username: str, email: str, password: str | None = None) -> str:
-    u, e = f"trim({username})", f"lower(trim({email}))"
+    u, e = (f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')" for x in (username, email))
+    e = f"lower({e})"
     parts = [
         f"when length({u}) < {USERNAME_MIN} then '{MESSAGES['username_short']}'",
         f"when length({u}) > {USERNAME_MAX} then '{MESSAGES['username_long']}'",

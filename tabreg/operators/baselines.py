@@ -7,7 +7,7 @@ that is cross-joined (broadcast, one row) to score any number of rows without a
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -57,12 +57,15 @@ def score_simple(df: DataFrame, fit: DataFrame, inputs: Mapping[str, Column]) ->
     return scored.withColumns(cols)
 
 
-def baseline_predictions(split_df: DataFrame, label: str = "charge") -> DataFrame:
-    """Long table (model, split, key, label, prediction) for the five baseline predictors."""
-    inputs = ols_inputs()
+def baseline_predictions(split_df: DataFrame, label: str = "charge", models: Sequence[str] | None = None) -> DataFrame:
+    """Long table (model, split, key, label, prediction) for the wanted baseline predictors (all five if None)."""
+    inputs = {k: v for k, v in ols_inputs().items() if models is None or k in models}
     fit = fit_simple_ols(split_df.where(F.col("split") == "train"), label, inputs)
     wide = score_simple(split_df, fit, inputs)
-    models = ["p0", "p1", *inputs]
+    models = [m for m in ("p0", "p1", *inputs) if models is None or m in models]
+    if len(models) == 1:
+        return wide.select(F.lit(models[0]).alias("model"), "split", "row_key", F.col(label).alias("label"),
+                           F.col(f"pred_{models[0]}").alias("prediction"))
     return wide.select(
         "row_key", "split", F.col(label).alias("label"),
         F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.col(f"pred_{m}").alias("prediction"))
@@ -235,33 +238,49 @@ def baseline_learning_curve(split_df: DataFrame, label: str = "charge", model: s
     fold f (validation); mean and population std over folds per fraction.
 
     All levels x folds fits come from one ``groupBy(fold, level)`` of sufficient statistics (cumulative
-    over levels, complement over folds); scoring replicates each row over the (fold, level) grid it belongs
-    to (at most folds x levels rows, broadcast coefficient table of the same size) and aggregates once.
+    over levels, complement over folds), and so do the R2 values: the errors of a line follow from the same
+    centred sums, so the rows are read once for the means and once for the sums.
     """
-    from tabreg.functions.stats import hash_bucket, r2_expr
+    from tabreg.functions.stats import hash_bucket
     x = ols_inputs()[model]
     y = F.col(label).cast("double")
     tr = (split_df.where(F.col("split") == "train")
           .withColumn("fold", hash_bucket(F.col("row_key"), salt, folds))
           .withColumn("level", (F.floor(hash_bucket(F.col("row_key"), size_salt, 1000) * levels / 1000) + 1).cast("int"))
           .withColumn("__x", x).withColumn("__y", y))
+    centre = tr.agg(F.avg("__x").alias("__cx"), F.avg("__y").alias("__cy"))  # one row; keeps the sums well conditioned
+    tr = (tr.crossJoin(F.broadcast(centre)).withColumn("__x", F.col("__x") - F.col("__cx"))
+          .withColumn("__y", F.col("__y") - F.col("__cy")))
+    sums6 = ("n", "sx", "sy", "sxx", "sxy", "syy")
     cell = tr.groupBy("fold", "level").agg(
         F.count(F.lit(1)).cast("double").alias("n"), F.sum("__x").alias("sx"), F.sum("__y").alias("sy"),
-        F.sum(F.col("__x") * F.col("__x")).alias("sxx"), F.sum(F.col("__x") * F.col("__y")).alias("sxy"))
+        F.sum(F.col("__x") * F.col("__x")).alias("sxx"), F.sum(F.col("__x") * F.col("__y")).alias("sxy"),
+        F.sum(F.col("__y") * F.col("__y")).alias("syy"), F.first("__cx").alias("cx"), F.first("__cy").alias("cy"))
     spark = split_df.sparkSession
     grid = spark.createDataFrame([(f, lv) for f in range(folds) for lv in range(1, levels + 1)],
                                  "f int, L int")  # folds x levels rows
-    fitrows = grid.crossJoin(cell).where((F.col("fold") != F.col("f")) & (F.col("level") <= F.col("L")))
-    sums = fitrows.groupBy("f", "L").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "sxy")])
-    slope, icpt = _ols_from_sums(F.col("n"), F.col("sx"), F.col("sy"), F.col("sxx"), F.col("sxy"))
-    coefs = sums.select("f", "L", sig_round(slope, COEF_DIGITS).alias("b"), sig_round(icpt, COEF_DIGITS).alias("a"))
-    scored = (tr.crossJoin(F.broadcast(coefs))
-              .withColumn("role", F.when(F.col("fold") == F.col("f"), F.lit("validation"))
-                          .when(F.col("level") <= F.col("L"), F.lit("train")))
-              .where(F.col("role").isNotNull())
-              .withColumn("prediction", F.col("a") + F.col("b") * F.col("__x")))
-    per = scored.groupBy("L", "f", "role").agg(r2_expr("__y", "prediction").alias("r2"),
-                                                F.count(F.lit(1)).alias("n"))
+    joined = grid.crossJoin(cell)  # a grid of cells: folds x levels squared, whatever the table's size
+    own = (F.col("fold") != F.col("f")) & (F.col("level") <= F.col("L"))
+    held = F.col("fold") == F.col("f")
+    both = joined.groupBy("f", "L").agg(
+        *[F.sum(F.when(own, F.col(c))).alias(f"t_{c}") for c in sums6],
+        *[F.sum(F.when(held, F.col(c))).alias(f"v_{c}") for c in sums6], F.first("cx").alias("cx"), F.first("cy").alias("cy"))
+    slope, icpt = _ols_from_sums(*[F.col(f"t_{c}") for c in sums6[:5]])
+    # published coefficients are those of the raw columns, rounded; back to the centred ones for the sums
+    raw_icpt = icpt + F.col("cy") - slope * F.col("cx")
+    both = both.withColumn("b", sig_round(slope, COEF_DIGITS)).withColumn("a", sig_round(raw_icpt, COEF_DIGITS))
+    both = both.withColumn("a", F.col("a") - F.col("cy") + F.col("b") * F.col("cx"))
+
+    def r2(side: str) -> Column:
+        n, sx, sy, sxx, sxy, syy = (F.col(f"{side}_{c}") for c in sums6)
+        a, b = F.col("a"), F.col("b")
+        sse = syy + n * a * a + b * b * sxx - 2 * a * sy - 2 * b * sxy + 2 * a * b * sx
+        sst = syy - sy * sy / n
+        return F.when(sst > 0, 1 - sse / sst)
+
+    per = both.select("L", "f", F.explode(F.array(
+        F.struct(F.lit("train").alias("role"), r2("t").alias("r2"), F.col("t_n").alias("n")),
+        F.struct(F.lit("validation").alias("role"), r2("v").alias("r2"), F.col("v_n").alias("n")))).alias("x")).select("L", "f", "x.*")
     return per.groupBy(F.col("L").alias("level")).agg(
         F.first(F.col("L") / F.lit(float(levels))).alias("fraction"),
         F.avg(F.when(F.col("role") == "train", F.col("n"))).alias("n_train_mean"),

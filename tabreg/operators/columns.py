@@ -21,10 +21,6 @@ def require_columns(df: DataFrame, cols: Sequence[str], what: str = "input") ->
         raise MissingColumnsError(f"{what} is missing required columns: {', '.join(missing)}")
 
 
-def require_non_empty(df: DataFrame, what: str = "input") -> None:
-    if df.isEmpty():
-        raise ValueError(f"{what} has no rows")
-
 
 def cast_numeric(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Strict cast to double: under ANSI mode a non-numeric value fails the job, naming the value."""
@@ -43,14 +39,6 @@ def invalid_numeric_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
         for i, c in enumerate(cols)])).alias("kv")).select("kv.*")
 
 
-def invalid_numeric_rows(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Rows holding at least one non-numeric value in ``cols`` (the quarantine)."""
-    bad = None
-    for c in cols:
-        b = F.col(c).isNotNull() & F.col(c).try_cast("double").isNull()
-        bad = b if bad is None else bad | b
-    return df.where(bad)
-
 
 def select_ordered(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     require_columns(df, cols)
@@ -93,16 +81,6 @@ def domain_check(df: DataFrame, rules: Mapping[str, object]) -> DataFrame:
                  F.col(f"v{i}").alias("n_violations")) for i, (c, t) in enumerate(names)])).alias("kv")).select("kv.*")
 
 
-# Allowed input ranges of the reference's building features (form limits).
-BUILDING_DOMAIN = {
-    "Relative_Compactness": (0.60, 1.00),
-    "Wall_Area": (250.0, 450.0),
-    "Roof_Area": (100.0, 220.0),
-    "Overall_Height": {3.5, 7.0},
-    "Orientation": {2, 3, 4, 5},
-    "Glazing_Area": (0.0, 0.40),
-    "Glazing_Area_Distribution": {0, 1, 2, 3, 4, 5},
-}
 # Domain of the line_charge stand-in features (TPC-H value ranges).
 LINE_DOMAIN = {
     "l_quantity": (1.0, 50.0),

@@ -108,13 +108,6 @@ def qq_points(scored: DataFrame, n_points: int = 99, label: str = "label", predi
     )
 
 
-def learning_curve_sizes(n: int, fractions: Sequence[float] = (0.2, 0.4, 0.6, 0.8, 1.0)) -> list[int]:
-    """Training sizes as scikit-learn computes them from fractions (floor of fraction * n)."""
-    return [max(1, int(f * n)) for f in fractions]
-
-
-def with_abs(col: str) -> Column:
-    return F.abs(F.col(col))
 
 
 def learning_curve(candidate, train: DataFrame, numeric, categorical, interaction, label: str, key: str,

@@ -2,13 +2,12 @@
 values, global importance and the value x weight fallback.
 
 Scale notes:
-- permutation importance builds every (feature, repeat) variant of the scored rows in ONE plan: rows
-  are replicated over the (feature, repeat) grid, permuted inside hash buckets (windows over
-  (feature, repeat, bucket), each about n/buckets rows), joined back on (bucket, position), scored by one
-  ``transform`` and reduced by one aggregation. No global sort, no driver loop over features;
-- sampled Shapley crosses the explained rows with a bounded broadcast grid (background rows x
-  permutations x steps, sizes fixed by the call), scores everything with one ``transform``, and
-  differences consecutive steps with a window over tiny (row, background, permutation) groups.
+- permutation importance pairs every row with one donor row per repeat (one window per repeat inside hash
+  buckets, whose number the caller sets); the feature variants are exploded after that shuffle, scored and
+  aggregated map-side;
+- sampled Shapley crosses the explained rows with a bounded broadcast grid (background rows x orders x steps,
+  sizes fixed by the call) and scores it; each score counts for the feature just switched on and against the
+  next one, so sums per (row, feature) collapse map-side and only k rows of a key reach the shuffle.
 """
 
 from __future__ import annotations
@@ -23,6 +22,9 @@ from pyspark.sql import functions as F
 from tabreg.functions.stats import hash_bucket, r2_expr
 
 
+BACKGROUND = 100  # fixed value: background rows of the sampled Shapley values
+
+
 def importance_native(model, names: Sequence[str]) -> DataFrame:
     """Tree importances (sum to 1) or absolute linear coefficients, one row per feature."""
     from pyspark.sql import SparkSession
@@ -34,37 +36,28 @@ def importance_native(model, names: Sequence[str]) -> DataFrame:
     else:
         raise ValueError("model exposes neither featureImportances nor coefficients")
     if len(vals) != len(names):
-        names = [f"Feature {i + 1}" for i in range(len(vals))]
+        raise ValueError(f"{len(names)} names for {len(vals)} features")
     return spark.createDataFrame([(n, float(v)) for n, v in zip(names, vals)], "feature string, importance double")
 
 
 def importance_permutation(model: PipelineModel, df: DataFrame, features: Sequence[str], key: str,
-                           label: str, repeats: int = 10, buckets: int | None = None, seed: int = 42,
-                           rows_per_bucket: int = 1_000_000) -> DataFrame:
+                           label: str, repeats: int = 10, buckets: int = 64, seed: int = 42) -> DataFrame:
     """Mean and population std over repeats of the drop in R2 when one input column is shuffled.
 
-    Values are permuted inside hash buckets of about ``rows_per_bucket`` rows (bucket count from the
-    row count unless given), so every permutation window stays bounded as the table grows.
+    Rows fall into ``buckets`` hash buckets (the same rule at every size: set it so that a bucket fits a
+    task). In each repeat the rows of a bucket are put in a random order, and every row gets the next row's
+    values (the last one the first's), one column at a time.
     """
-    if buckets is None:
-        buckets = max(1, -(-df.count() // rows_per_bucket))
     base = df.select(key, label, *features).withColumn("__b", hash_bucket(F.col(key), f"perm{seed}", buckets))
-    spark = df.sparkSession
-    grid = spark.createDataFrame([(f, r) for f in features for r in range(repeats)],
-                                 "__feature string, __repeat int")
-    rep = base.crossJoin(F.broadcast(grid))  # grid size = len(features) * repeats (fixed by the call)
-    part = Window.partitionBy("__feature", "__repeat", "__b")
-    rows = rep.withColumn("__i", F.row_number().over(part.orderBy(key)))
-    shuffle_key = F.xxhash64(F.col(key), F.col("__feature"), F.col("__repeat"), F.lit(seed))
-    value = F.coalesce(*[F.when(F.col("__feature") == f, F.col(f).cast("string")) for f in features])
-    vals = rep.select("__feature", "__repeat", "__b", value.alias("__v"),
-                      F.row_number().over(part.orderBy(shuffle_key, key)).alias("__i"))
-    joined = rows.join(vals, ["__feature", "__repeat", "__b", "__i"])
-    dtypes = dict(df.select(*features).dtypes)
-    permuted = joined.withColumns({
-        f: F.when(F.col("__feature") == f, F.col("__v").cast(dtypes[f])).otherwise(F.col(f)) for f in features})
-    scored = model.transform(permuted)
-    per_rep = scored.groupBy("__feature", "__repeat").agg(r2_expr(label, "prediction").alias("r2"))
+    rep = base.withColumn("__repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
+    order = Window.partitionBy("__repeat", "__b").orderBy(F.xxhash64(F.col(key), F.col("__repeat"), F.lit(seed)), key)
+    own = F.struct(*features)
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    paired = rep.withColumn("__donor", F.coalesce(F.lead(own).over(order), F.first(own).over(whole)))
+    variants = F.array(*[F.struct(F.lit(f).alias("__feature"), *[
+        (F.col(f"__donor.{g}") if g == f else F.col(g)).alias(g) for g in features]) for f in features])
+    shuffled = paired.select(key, label, "__repeat", F.explode(variants).alias("__x")).select(key, label, "__repeat", "__x.*")
+    per_rep = model.transform(shuffled).groupBy("__feature", "__repeat").agg(r2_expr(label, "prediction").alias("r2"))
     base_r2 = model.transform(df.select(key, label, *features)).agg(r2_expr(label, "prediction").alias("base_r2"))
     return (per_rep.crossJoin(F.broadcast(base_r2))
             .withColumn("drop", F.col("base_r2") - F.col("r2"))
@@ -108,17 +101,18 @@ def shap_sampled(model: PipelineModel, rows: DataFrame, background: DataFrame, f
     pos = {f: F.array_position(F.col("__order"), f) for f in features}  # 1-based position in the order
     mixed = comp.select(key, "__bg", "__p", "__step", "__order",
                         *[F.when(pos[f] <= F.col("__step"), F.col(f)).otherwise(F.col(f"__z_{f}")).alias(f)
-                          for f in features])
-    scored = model.transform(mixed).select(key, "__bg", "__p", "__step", "__order", "prediction")
-    w = Window.partitionBy(key, "__bg", "__p").orderBy("__step")
-    diffs = (scored.withColumn("__delta", F.col("prediction") - F.lag("prediction").over(w))
-             .where(F.col("__step") > 0)
-             .withColumn("feature", F.element_at(F.col("__order"), F.col("__step"))))
-    contrib = diffs.groupBy(key, "feature").agg(F.avg("__delta").alias("contribution"))
-    values = x.select(key, F.explode(F.array(*[
-        F.struct(F.lit(f).alias("feature"), F.col(f).cast("string").alias("value")) for f in features])).alias("kv")
-    ).select(key, "kv.*")
-    return contrib.join(values, [key, "feature"])
+                          for f in features], *[F.col(f).alias(f"__x_{f}") for f in features])
+    scored = model.transform(mixed.withColumn("__own", F.struct(*[F.col(f"__x_{f}").cast("string").alias(f) for f in features])))
+    at, order = F.col("__step"), F.col("__order")
+    feature = lambda i: F.get(order, i)  # noqa: E731 - null outside the order
+    signs = F.array(F.struct(feature(at - 1).alias("feature"), F.col("prediction").alias("d")),
+                    F.struct(feature(at).alias("feature"), (-F.col("prediction")).alias("d")))
+    parts = scored.select(key, "__own", F.explode(signs).alias("__s")).where("__s.feature is not null")
+    times = F.lit(float(permutations)) * F.lit(background.count())
+    value = F.coalesce(*[F.when(F.col("__s.feature") == f, F.col(f"__own.{f}")) for f in features])
+    return (parts.groupBy(key, F.col("__s.feature").alias("feature"))
+            .agg((F.sum("__s.d") / times).alias("contribution"), F.max(value).alias("value"))
+            .select(key, "feature", "contribution", "value"))
 
 
 def shap_global(contributions: DataFrame) -> DataFrame:

@@ -16,8 +16,11 @@ from pyspark.sql import functions as F
 LATEST_MIN, LATEST_MAX = 1, 5000
 
 
-def clamp_limit(n: int) -> int:
-    return max(LATEST_MIN, min(int(n), LATEST_MAX))
+def checked_limit(n: int, most: int = LATEST_MAX) -> int:
+    """``n`` if it lies in 1..``most``; else an error (a silently smaller answer would be incomplete)."""
+    if not LATEST_MIN <= int(n) <= most:
+        raise ValueError(f"the newest-N limit must lie in {LATEST_MIN}..{most}, not {n}")
+    return int(n)
 
 
 def history_records(df: DataFrame, id_col: str, user_col: str, ts_col: str, prediction: str,
@@ -30,8 +33,11 @@ def history_records(df: DataFrame, id_col: str, user_col: str, ts_col: str, pred
 
 
 def history_append(records: DataFrame, path: str) -> None:
-    """Append history rows, partitioned by creation date (later reads prune by date)."""
-    (records.withColumn("created_date", F.to_date("created_at"))
+    """Append history rows, partitioned by creation date (later reads prune by date).
+
+    Rows are clustered by date first, large days split by a salt that follows the rows (``rebalance``), so
+    the number of files follows the data and not tasks x dates."""
+    (records.withColumn("created_date", F.to_date("created_at")).hint("rebalance", "created_date")
      .write.mode("append").partitionBy("created_date").parquet(path))
 
 
@@ -40,14 +46,14 @@ def history_read(spark: SparkSession, path: str) -> DataFrame:
 
 
 def history_latest(history: DataFrame, n: int, user_id=None, user_col: str = "user_id",
-                   order: Sequence[str] = ("id",)) -> DataFrame:
-    """Newest N rows (by ``order`` descending) per user, N clamped to 1..5000.
+                   order: Sequence[str] = ("id",), most: int = LATEST_MAX) -> DataFrame:
+    """Newest N rows (by ``order`` descending) per user; N must lie in 1..``most``.
 
     One user: filter + TakeOrderedAndProject. All users: ``row_number() <= N`` per user, which Spark
     plans with a map-side window group limit, so even a user holding a third of all rows sends at most
     N rows per input partition to the final window.
     """
-    k = clamp_limit(n)
+    k = checked_limit(n, most)
     sort = [F.col(c).desc() for c in order]
     if user_id is not None:
         return history.where(F.col(user_col) == user_id).orderBy(*sort).limit(k)
@@ -63,8 +69,24 @@ def history_summary(history: DataFrame, value: str = "prediction", user_col: str
 
 
 def history_trend(history: DataFrame, ts: str = "created_at", value: str = "prediction",
+                  user_col: str = "user_id", key: str = "id") -> DataFrame:
+    """The saved predictions over time: every row with its position among its user's rows, by (time, id).
+
+    Positions are counts of the user's earlier days plus the place within the day, so no task holds all rows
+    of a heavy user."""
+    day = F.to_date(ts)
+    counts = history.groupBy(F.col(user_col).alias("__u"), day.alias("__d")).agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.partitionBy("__u").orderBy("__d").rowsBetween(Window.unboundedPreceding, -1)
+    base = counts.select("__u", "__d", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
+    within = Window.partitionBy(user_col, day).orderBy(ts, key)
+    rows = history.select(user_col, key, ts, value, F.row_number().over(within).alias("__i"))
+    return rows.join(base, F.col(user_col).eqNullSafe(F.col("__u")) & F.to_date(ts).eqNullSafe(F.col("__d"))).select(
+        user_col, key, ts, value, (F.col("__base") + F.col("__i")).cast("bigint").alias("position"))
+
+
+def history_daily(history: DataFrame, ts: str = "created_at", value: str = "prediction",
                   user_col: str = "user_id") -> DataFrame:
-    """Prediction over time: daily count and mean per user (aggregated, so a heavy user stays cheap)."""
+    """Daily count and mean per user (aggregated, so a heavy user stays cheap)."""
     return history.groupBy(user_col, F.to_date(ts).alias("day")).agg(
         F.count(F.lit(1)).cast("bigint").alias("n"), F.avg(value).alias("avg_prediction"))
 
@@ -85,11 +107,15 @@ def history_delete_one(history: DataFrame, requests: DataFrame, id_col: str = "i
 
 
 def orphan_check(facts: DataFrame, dims: DataFrame, fk: str, pk: str) -> DataFrame:
-    """Counts of fact rows whose key exists in the dimension (valid) and does not (orphans)."""
-    d = dims.select(F.col(pk).alias(fk)).distinct()
-    flagged = facts.select(fk).join(d.withColumn("__ok", F.lit(1)), fk, "left")
-    return flagged.agg(F.count_if(F.col("__ok").isNotNull()).cast("bigint").alias("n_valid"),
-                       F.count_if(F.col("__ok").isNull()).cast("bigint").alias("n_orphans"))
+    """Counts of fact rows whose key exists in the dimension (valid) and does not (orphans).
+
+    Facts are counted per key before the join, so a heavy key is one row there."""
+    d = dims.select(F.col(pk).alias(fk)).where(F.col(fk).isNotNull()).distinct()
+    per_key = facts.groupBy(fk).agg(F.count(F.lit(1)).alias("__n"))
+    flagged = per_key.join(d.withColumn("__ok", F.lit(1)), fk, "left")
+    zero = F.lit(0).cast("bigint")
+    return flagged.agg(F.coalesce(F.sum(F.when(F.col("__ok").isNotNull(), F.col("__n"))), zero).alias("n_valid"),
+                       F.coalesce(F.sum(F.when(F.col("__ok").isNull(), F.col("__n"))), zero).alias("n_orphans"))
 
 
 def identity_lookup(users: DataFrame, identifier: str, name_col: str, email_col: str, key: str) -> DataFrame:
@@ -101,40 +127,64 @@ def identity_lookup(users: DataFrame, identifier: str, name_col: str, email_col:
 
 def dimension_upsert(users: DataFrame, batch: DataFrame, key: str, name_col: str, email_col: str,
                      updates: Sequence[str]) -> DataFrame:
-    """Batch upsert: existing keys take non-null batch values for ``updates``; new keys are inserted
-    unless their name or email (case-insensitive) is already taken, by an existing user or by an
-    earlier (lower key) new row. Output has ``action`` in inserted / updated / unchanged / rejected.
+    """Batch upsert that keeps names and emails unique (case-insensitively).
+
+    Existing keys take non-null batch values for ``updates``; new keys are inserted. A batch row that brings a
+    name or email is rejected as a whole if another existing user holds it, or if an accepted batch row before
+    it (changes of existing users first, then new rows, each by key) brings it too; a rejected row claims
+    nothing. Output has ``action`` in inserted / updated / unchanged / rejected; rejected changes leave the
+    user as it was. NULL names and emails are never claimed.
+
+    Values are settled in rounds: a row whose claims are all the first in line is accepted, rows that share a
+    claim with an accepted one are rejected, the rest (a chain of conflicts) goes on. Minima per claim are
+    pre-aggregated, so a value that many rows want stays cheap.
     """
-    u = users.withColumn("__in_users", F.lit(True))
-    b = batch.select(key, *[F.col(c).alias(f"__b_{c}") for c in batch.columns if c != key]).withColumn(
-        "__in_batch", F.lit(True))
-    j = u.join(b, key, "full_outer")
     cols = [c for c in users.columns if c != key]
-    merged = j.select(key, *[
-        (F.coalesce(F.col(f"__b_{c}"), F.col(c)) if c in updates and f"__b_{c}" in b.columns
-         else F.coalesce(F.col(c), F.col(f"__b_{c}")) if f"__b_{c}" in b.columns else F.col(c)).alias(c)
-        for c in cols], "__in_users", "__in_batch",
-        *[F.col(f"__b_{c}").alias(f"__new_{c}") for c in updates if f"__b_{c}" in b.columns],
-        *[F.col(c).alias(f"__old_{c}") for c in updates])
-    changed = None
-    for c in updates:
-        if f"__new_{c}" in merged.columns:
-            diff = F.col(f"__new_{c}").isNotNull() & ~F.col(f"__new_{c}").eqNullSafe(F.col(f"__old_{c}"))
-            changed = diff if changed is None else changed | diff
-    changed = changed if changed is not None else F.lit(False)
-    # Uniqueness: per lower-cased name (and email) the first claimant wins: existing users first, then
-    # the lowest key. One aggregation per rule (partial aggregation keeps hot names cheap), joined back.
+    brought = [c for c in cols if c in batch.columns]
+    b = batch.select(key, *[F.col(c).alias(f"__b_{c}") for c in brought], F.lit(True).alias("__in_batch"))
+    j = users.withColumn("__in_users", F.lit(True)).join(b, key, "full_outer")
     is_new = F.col("__in_users").isNull()
-    claim = F.struct(is_new.alias("n"), F.col(key).alias("k"))
-    flagged = merged
-    for i, c in enumerate((name_col, email_col)):
-        winners = (merged.groupBy(F.lower(F.col(c)).alias(f"__lk{i}"))
-                   .agg(F.min(claim)["k"].alias(f"__win{i}")))
-        flagged = flagged.withColumn(f"__lk{i}", F.lower(F.col(c))).join(winners, f"__lk{i}", "left")
-    lost = ((F.col("__win0").isNotNull() & (F.col("__win0") != F.col(key)))
-            | (F.col("__win1").isNotNull() & (F.col("__win1") != F.col(key))))
-    action = (F.when(is_new & lost, F.lit("rejected"))
-              .when(is_new, F.lit("inserted"))
-              .when(F.col("__in_batch").isNotNull() & changed, F.lit("updated"))
-              .otherwise(F.lit("unchanged")))
-    return flagged.withColumn("action", action).select(key, *cols, "action")
+
+    def value(c: str) -> Column:
+        if c not in brought:
+            return F.col(c)
+        return F.when(is_new, F.col(f"__b_{c}")).otherwise(
+            F.coalesce(F.col(f"__b_{c}"), F.col(c)) if c in updates else F.col(c))
+
+    merged = j.select(key, *[F.col(c).alias(f"__old_{c}") for c in cols], *[value(c).alias(f"__new_{c}") for c in cols],
+                      is_new.alias("__is_new"), F.coalesce("__in_batch", F.lit(False)).alias("__in_batch"))
+    claims = [F.when(F.col(f"__new_{c}").isNotNull() & (F.col("__is_new") | ~F.lower(f"__new_{c}").eqNullSafe(F.lower(f"__old_{c}"))),
+                     F.concat(F.lit(f"{i}:"), F.lower(f"__new_{c}"))) for i, c in enumerate((name_col, email_col))]
+    wanted = (merged.where("__in_batch").select(F.struct("__is_new", key).alias("line"), F.explode(F.array_compact(F.array(*claims))).alias("claim")))
+    held = users.select(F.col(key).alias("owner"), F.explode(F.array_compact(F.array(
+        *[F.concat(F.lit(f"{i}:"), F.lower(c)) for i, c in enumerate((name_col, email_col))]))).alias("claim"))
+    taken = wanted.join(held, "claim").where(F.col("owner") != F.col(f"line.{key}")).select("line")
+    rejected = _settle(wanted, taken)
+    lost = rejected.select(F.col(f"line.{key}").alias(key), F.lit(True).alias("__lost")).distinct()
+    out = merged.join(lost, key, "left").withColumn("__lost", F.coalesce("__lost", F.lit(False)))
+    changed = F.lit(False)
+    for c in cols:
+        changed = changed | ~F.col(f"__new_{c}").eqNullSafe(F.col(f"__old_{c}"))
+    action = (F.when(F.col("__lost"), "rejected").when(F.col("__is_new"), "inserted")
+              .when(F.col("__in_batch") & changed, "updated").otherwise("unchanged"))
+    return out.select(key, *[F.when(F.col("__lost") & ~F.col("__is_new"), F.col(f"__old_{c}")).otherwise(F.col(f"__new_{c}"))
+                             .alias(c) for c in cols], action.alias("action"))
+
+
+def _settle(wanted: DataFrame, taken: DataFrame) -> DataFrame:
+    """Rows (line) that lose: those ``taken``, then rounds over the contested rest."""
+    from tabreg.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(wanted.sparkSession)
+    rejected = taken.distinct().checkpoint()
+    open_ = wanted.join(rejected, "line", "left_anti").checkpoint()
+    while True:
+        first = open_.groupBy("claim").agg(F.min("line").alias("first"))
+        in_line = open_.join(first, "claim").withColumn("wins", F.col("line") == F.col("first"))
+        accepted = in_line.groupBy("line").agg(F.min("wins").alias("wins")).where("wins").select("line")
+        gone = open_.join(accepted, "line", "left_semi").select("claim").distinct()
+        losers = open_.join(accepted, "line", "left_anti").join(gone, "claim", "left_semi").select("line").distinct().checkpoint()
+        rest = open_.join(accepted, "line", "left_anti").join(losers, "line", "left_anti").checkpoint()
+        rejected = rejected.unionByName(losers)
+        if rest.isEmpty():
+            return rejected
+        open_ = rest

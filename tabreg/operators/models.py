@@ -8,7 +8,10 @@ tree-building is distributed). Metrics come from one ``transform`` and one aggre
 
 from __future__ import annotations
 
+import json
 import math
+import re
+import sys
 import time
 from concurrent.futures import ThreadPoolExecutor
 from collections.abc import Callable, Mapping, Sequence
@@ -16,14 +19,19 @@ from dataclasses import dataclass
 
 from pyspark import StorageLevel
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.param import Param, Params, TypeConverters
+from pyspark.ml.param.shared import HasFeaturesCol, HasPredictionCol
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.ml.regression import (DecisionTreeRegressionModel, DecisionTreeRegressor, GBTRegressor,
                                    LinearRegression, RandomForestRegressor)
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabreg.operators.evaluate import regression_metrics, train_test_metrics
-from tabreg.operators.prep import preparation_pipeline
+from tabreg.operators.columns import require_columns
+from tabreg.operators.prep import preparation_pipeline, prepare_input
 from tabreg.session import ensure_checkpoint_dir
 
 
@@ -57,17 +65,17 @@ def catalogue(rounds: float = 1.0, seed: int = 42) -> dict[str, Candidate]:
             numTrees=it(300), featureSubsetStrategy="all", maxDepth=10, seed=seed)),
         "Gradient Boosting": Candidate("Gradient Boosting", False, lambda f: GBTRegressor(
             maxIter=it(300), stepSize=0.05, maxDepth=3, seed=seed)),
-        # re-aim of the XGBoost candidate: depth 5, row and column subsampling 0.9
-        "XGBoost": Candidate("XGBoost", False, lambda f: GBTRegressor(
+        # depth 5, row and column subsampling 0.9 (Spark GBT in place of a third-party booster)
+        "gbt_subsampled": Candidate("gbt_subsampled", False, lambda f: GBTRegressor(
             maxIter=it(300), stepSize=0.05, maxDepth=5, subsamplingRate=0.9, featureSubsetStrategy="0.9", seed=seed)),
-        # re-aim of LightGBM: 31 leaves ~ depth 5, fine bins
-        "LightGBM": Candidate("LightGBM", False, lambda f: GBTRegressor(
+        # 31 leaves ~ depth 5, fine bins (as above)
+        "gbt_wide": Candidate("gbt_wide", False, lambda f: GBTRegressor(
             maxIter=it(300), stepSize=0.05, maxDepth=5, maxBins=256, seed=seed)),
-        # re-aim of CatBoost: 500 rounds, rate 0.05, depth 6
-        "CatBoost": Candidate("CatBoost", False, lambda f: GBTRegressor(
+        # 500 rounds, rate 0.05, depth 6 (as above)
+        "gbt_deep": Candidate("gbt_deep", False, lambda f: GBTRegressor(
             maxIter=it(500), stepSize=0.05, maxDepth=6, seed=seed)),
-        # re-aim of Extra Trees: no bootstrap, random feature subspace per split
-        "Extra Trees": Candidate("Extra Trees", False, lambda f: RandomForestRegressor(
+        # no bootstrap, random feature subspace per split (random thresholds are not in Spark)
+        "forest_subspace": Candidate("forest_subspace", False, lambda f: RandomForestRegressor(
             numTrees=it(300), bootstrap=False, featureSubsetStrategy="onethird", maxDepth=10, seed=seed)),
         "AdaBoost": Candidate("AdaBoost", False, lambda f: AdaBoostR2(rounds=it(300), learningRate=0.05,
                                                                       maxDepth=3)),
@@ -96,6 +104,17 @@ def fit_candidate(c: Candidate, train: DataFrame, numeric, categorical, interact
     return model, time.perf_counter() - t0
 
 
+def predict_batch(model: PipelineModel, batch: DataFrame, required: Sequence[str], interaction=None,
+                  prediction: str = "prediction") -> DataFrame:
+    """Validated batch scoring: the required inputs must be there, the engineered column is derived if absent,
+    every other column of the batch is kept, the prediction is appended under ``prediction``."""
+    require_columns(batch, required)
+    ready = prepare_input(batch, interaction) if interaction else batch
+    kept = {f"__kept_{i}": c for i, c in enumerate(ready.columns)}  # stages overwrite their inputs
+    scored = model.transform(ready.withColumns({k: F.col(f"`{c}`") for k, c in kept.items()}))
+    return scored.select(*[F.col(k).alias(c) for k, c in kept.items()], F.col("prediction").alias(prediction))
+
+
 def score(model: PipelineModel, df: DataFrame) -> DataFrame:
     """Predictions with every input column kept (the last stage appends ``prediction``)."""
     return model.transform(df)
@@ -119,7 +138,7 @@ def train_all(split_df: DataFrame, candidates: Mapping[str, Candidate], numeric,
             model, secs = fit_candidate(c, train, numeric, categorical, interaction, label, facts)
             m = train_test_metrics(score(model, data), label=label).first().asDict()
             if folds:
-                cvm = cross_validate(c, train, numeric, categorical, interaction, label, key, folds, facts)
+                cvm = cross_validate(c, train, numeric, categorical, interaction, label, key, folds)
                 cv = cvm.agg(F.avg("r2").alias("cv_r2_mean"), F.stddev_pop("r2").alias("cv_r2_std"),
                              F.avg("mae").alias("cv_mae_mean"), F.avg("rmse").alias("cv_rmse_mean")).first().asDict()
             else:
@@ -140,7 +159,7 @@ def train_all(split_df: DataFrame, candidates: Mapping[str, Candidate], numeric,
             failures.append((name, err))
     data.unpersist()
     if not rows:
-        raise RuntimeError("No regression model trained successfully: " + "; ".join(m for _, m in failures))
+        raise RuntimeError("every candidate failed: " + "; ".join(m for _, m in failures))
     cols = ["algorithm", "train_mae", "train_mse", "train_rmse", "train_r2", "train_n", "mae", "mse", "rmse", "r2",
             "n", "r2_gap", "cv_r2_mean", "cv_r2_std", "cv_mae_mean", "cv_rmse_mean", "training_seconds"]
     schema = T.StructType([T.StructField(c, T.StringType() if c == "algorithm" else T.DoubleType()) for c in cols])
@@ -154,14 +173,14 @@ def _f(v):
 
 
 def cross_validate(c: Candidate, train: DataFrame, numeric, categorical, interaction, label: str, key: str,
-                   folds: int = 5, facts=None, salt: str = "fold42") -> DataFrame:
-    """k-fold CV: for each fold the whole pipeline (preparation included) is refitted on the other folds.
-    Returns (fold, n, mae, mse, rmse, r2) per fold."""
+                   folds: int = 5, salt: str = "fold42") -> DataFrame:
+    """k-fold CV: for each fold the whole pipeline (preparation included) is refitted on the other folds, with
+    the facts (row count, label std) of those rows. Returns (fold, n, mae, mse, rmse, r2) per fold."""
     from tabreg.functions.stats import hash_bucket
     data = train.withColumn("fold", hash_bucket(F.col(key), salt, folds)).persist()
 
     def one(f: int) -> dict:
-        model, _ = fit_candidate(c, data.where(F.col("fold") != f), numeric, categorical, interaction, label, facts)
+        model, _ = fit_candidate(c, data.where(F.col("fold") != f), numeric, categorical, interaction, label)
         pred = score(model, data.where(F.col("fold") == f))
         return regression_metrics(pred, label=label).withColumn("fold", F.lit(f)).first().asDict()
 
@@ -203,41 +222,76 @@ def load_model(path: str) -> PipelineModel:
 # AdaBoost.R2 (Drucker 1997) with linear loss, as an Estimator loop of weighted Spark decision trees.
 # ---------------------------------------------------------------------------------------------------
 
-class AdaBoostR2Model(Model):
-    def __init__(self, trees: Sequence[DecisionTreeRegressionModel] = (), weights: Sequence[float] = (),
-                 featuresCol: str = "features", predictionCol: str = "prediction"):
-        super().__init__()
-        self.trees, self.weights = list(trees), list(weights)
-        self._features, self._prediction = featuresCol, predictionCol
+def tree_arrays(tree: DecisionTreeRegressionModel, depth: int) -> tuple[list[int], list[float], list[float]]:
+    """A fitted tree as a complete binary tree: features and thresholds of its inner nodes (breadth first) and
+    values of its 2**depth leaves. Only splits of the form ``feature <= threshold`` are known here."""
+    lines = [x.strip() for x in tree.toDebugString.splitlines()[1:] if x.strip()]
+    feats, cuts, leaves = [0] * (2 ** depth - 1), [sys.float_info.max] * (2 ** depth - 1), [0.0] * 2 ** depth
+
+    def walk(at: int, node: int, level: int) -> int:
+        line = lines[at]
+        if line.startswith("Predict:"):
+            width = 2 ** (depth - level)
+            first = node * width + width - 1 - (2 ** depth - 1)  # leaves below this node
+            leaves[first:first + width] = [float(line.split(":")[1])] * width
+            return at + 1
+        m = re.match(r"If \(feature (\d+) <= (\S+)\)", line)
+        if not m:
+            raise ValueError(f"unknown split: {line}")
+        feats[node], cuts[node] = int(m.group(1)), float(m.group(2))
+        at = walk(at + 1, 2 * node + 1, level + 1)
+        return walk(at + 1, 2 * node + 2, level + 1)  # skips the Else line
+
+    walk(0, 0, 0)
+    return feats, cuts, leaves
+
+
+class AdaBoostR2Model(Model, HasFeaturesCol, HasPredictionCol, DefaultParamsReadable, DefaultParamsWritable):
+    """Weighted median of regression trees, kept as arrays (saved with the pipeline like any stage)."""
+
+    depth = Param(Params._dummy(), "depth", "levels of the complete trees", TypeConverters.toInt)
+    features = Param(Params._dummy(), "features", "split features of all trees", TypeConverters.toListInt)
+    thresholds = Param(Params._dummy(), "thresholds", "split thresholds of all trees", TypeConverters.toListFloat)
+    leaves = Param(Params._dummy(), "leaves", "leaf values of all trees", TypeConverters.toListFloat)
+    weights = Param(Params._dummy(), "weights", "tree weights", TypeConverters.toListFloat)
+
+    @classmethod
+    def of(cls, trees: Sequence[DecisionTreeRegressionModel], weights: Sequence[float], featuresCol: str = "features",
+           predictionCol: str = "prediction") -> "AdaBoostR2Model":
+        depth = max([1, *(t.depth for t in trees)])
+        arrays = [tree_arrays(t, depth) for t in trees]
+        return cls()._set(depth=depth, features=[x for a in arrays for x in a[0]], thresholds=[x for a in arrays for x in a[1]],
+                          leaves=[x for a in arrays for x in a[2]], weights=[float(w) for w in weights],
+                          featuresCol=featuresCol, predictionCol=predictionCol)
 
     def _transform(self, df: DataFrame) -> DataFrame:
-        """Weighted median of the trees' predictions (first prediction whose cumulative weight reaches
-        half the total), computed per row with array functions."""
-        cur = df
-        cols = []
-        for i, t in enumerate(self.trees):
-            name = f"__ada_p{i}"
-            cur = t.copy().setFeaturesCol(self._features).setPredictionCol(name).transform(cur)
-            cols.append(name)
-        pairs = F.array(*[F.struct(F.col(c).alias("p"), F.lit(w).alias("w")) for c, w in zip(cols, self.weights)])
-        total = float(sum(self.weights))
-        srt = F.array_sort(pairs)
-        cum = F.transform(srt, lambda s, i: F.struct(
-            s["p"].alias("p"),
-            F.aggregate(F.slice(srt, 1, i + 1), F.lit(0.0), lambda acc, x: acc + x["w"]).alias("c")))
-        pick = F.filter(cum, lambda s: s["c"] >= F.lit(0.5 * total))
-        return cur.withColumn(self._prediction, F.element_at(pick, 1)["p"]).drop(*cols)
-
-    def setFeaturesCol(self, v):
-        self._features = v
-        return self
-
-    def setLabelCol(self, v):
-        return self
-
-    def setPredictionCol(self, v):
-        self._prediction = v
-        return self
+        """All trees in one expression over a literal array of trees; then the first prediction, in order, whose
+        running weight reaches half the total."""
+        depth, weights = self.getOrDefault(self.depth), self.getOrDefault(self.weights)
+        inner, outer = 2 ** depth - 1, 2 ** depth
+        f, t, v = (self.getOrDefault(p) for p in (self.features, self.thresholds, self.leaves))
+        trees = F.from_json(F.lit(json.dumps([
+            {"f": f[i * inner:(i + 1) * inner], "t": t[i * inner:(i + 1) * inner], "v": v[i * outer:(i + 1) * outer], "w": w}
+            for i, w in enumerate(weights)])), "array<struct<f:array<int>,t:array<double>,v:array<double>,w:double>>")
+        x = F.col("__ada_x")
+
+        def step(tree: Column, node: Column) -> Column:
+            right = F.get(x, F.get(tree["f"], node)) > F.get(tree["t"], node)
+            return 2 * node + 1 + right.cast("int")
+
+        def leaf(tree: Column) -> Column:
+            node = F.lit(0)
+            for _ in range(depth):
+                node = step(tree, node)
+            return F.struct(F.get(tree["v"], node - inner).alias("p"), tree["w"].alias("w"))
+
+        half = F.lit(0.5 * float(sum(weights)))
+        start = F.struct(F.lit(0.0).alias("c"), F.lit(None).cast("double").alias("p"))
+        median = F.aggregate(F.array_sort(F.transform(trees, leaf)), start, lambda a, s: F.struct(
+            (a["c"] + s["w"]).alias("c"),
+            F.coalesce(a["p"], F.when(a["c"] + s["w"] >= half, s["p"])).alias("p")), lambda a: a["p"])
+        return (df.withColumn("__ada_x", vector_to_array(self.getFeaturesCol()))
+                .withColumn(self.getPredictionCol(), median).drop("__ada_x"))
 
 
 class AdaBoostR2(Estimator):
@@ -307,4 +361,4 @@ class AdaBoostR2(Estimator):
             prev = cur = nxt
         if prev is not None:
             prev.unpersist()
-        return AdaBoostR2Model(trees, weights, self._features, self._prediction)
+        return AdaBoostR2Model.of(trees, weights, self._features, self._prediction)

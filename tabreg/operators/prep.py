@@ -9,12 +9,17 @@ last level) differ from the reference's definitions, so these stages implement t
 - ``PopulationScaler``: (x - mean) / population std of the training rows; std 0 divides by 1;
 - ``DropFirstOneHot``: levels sorted from the training rows, first level dropped, unknown -> all 0.
 
+Dummy columns get reserved names (``__dummy_<n>``) and carry the display name ``Col_level`` in their metadata,
+so the assembler finds them by metadata alone: a raw column that merely looks like a dummy is never a feature,
+and levels may hold any character.
+
 Fitted statistics are a few numbers per column; they are stored as params (saved with the pipeline) and
 applied as column expressions (no join, no UDF).
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Sequence
 
 from pyspark import keyword_only
@@ -23,13 +28,14 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasInputCols, HasOutputCol
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
 from tabreg.operators.quantile import exact_quantiles
 
 MAX_LEVELS = 1000
+DUMMY = "tabreg_dummy"
 
 
 class InteractionFeature(Transformer, HasInputCols, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
@@ -83,6 +89,9 @@ class ExactMedianImputer(Estimator, HasInputCols, DefaultParamsReadable, Default
     def _fit(self, df: DataFrame) -> ExactMedianImputerModel:
         cols = self.getInputCols()
         q = {r["column"]: r["value"] for r in exact_quantiles(df, cols, [0.5]).collect()}  # one row per column
+        empty = [c for c in cols if q.get(c) is None]
+        if empty:
+            warnings.warn(f"no values to impute from, using 0: {', '.join(empty)}", stacklevel=2)
         meds = [float(q[c]) if q.get(c) is not None else 0.0 for c in cols]
         return ExactMedianImputerModel()._set(inputCols=cols, statistics=meds)
 
@@ -117,34 +126,47 @@ class DropFirstOneHotModel(Model, HasInputCols, DefaultParamsReadable, DefaultPa
     owners = Param(Params._dummy(), "owners", "input column of each kept level", TypeConverters.toListString)
 
     def outputNames(self) -> list[str]:
+        """Display names, in output order."""
         return [f"{o}_{lv}" for o, lv in zip(self.getOrDefault(self.owners), self.getOrDefault(self.levels))]
 
+    def outputColumns(self) -> list[str]:
+        return [f"__dummy_{i}" for i in range(len(self.getOrDefault(self.levels)))]
+
     def _transform(self, df: DataFrame) -> DataFrame:
-        cols = {}
-        for o, lv, name in zip(self.getOrDefault(self.owners), self.getOrDefault(self.levels), self.outputNames()):
-            cols[name] = F.when(F.col(o).cast("string") == F.lit(lv), F.lit(1.0)).otherwise(F.lit(0.0))
-        return df.withColumns(cols)
+        cols = [F.when(F.col(f"`{o}`").cast("string") == F.lit(lv), F.lit(1.0)).otherwise(F.lit(0.0))
+                .alias(name, metadata={DUMMY: shown})
+                for o, lv, name, shown in zip(self.getOrDefault(self.owners), self.getOrDefault(self.levels),
+                                              self.outputColumns(), self.outputNames())]
+        return df.select("*", *cols)
 
 
 class DropFirstOneHot(Estimator, HasInputCols, DefaultParamsReadable, DefaultParamsWritable):
-    """Levels of each column from the fitting rows (distributed distinct), sorted, first one dropped."""
+    """Levels of each column from the fitting rows (distributed distinct), sorted, first one dropped.
+
+    A column with more than ``maxLevels`` levels is an error that names it (the encoder would add that many
+    columns); the caller sets the bound."""
+
+    maxLevels = Param(Params._dummy(), "maxLevels", "most levels of one column", TypeConverters.toInt)
 
     @keyword_only
-    def __init__(self, inputCols=None):
+    def __init__(self, inputCols=None, maxLevels=MAX_LEVELS):
         super().__init__()
+        self._setDefault(maxLevels=MAX_LEVELS)
         self._set(**self._input_kwargs)
 
     def _fit(self, df: DataFrame) -> DropFirstOneHotModel:
-        cols = self.getInputCols()
+        cols, most = self.getInputCols(), self.getOrDefault(self.maxLevels)
         stacked = df.select(F.explode(F.array(*[
-            F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v")) for c in cols])).alias("kv"))
+            F.struct(F.lit(c).alias("c"), F.col(f"`{c}`").cast("string").alias("v")) for c in cols])).alias("kv"))
         distinct = stacked.where(F.col("kv.v").isNotNull()).groupBy("kv.c", "kv.v").count()
-        rows = distinct.limit(MAX_LEVELS * len(cols) + 1).collect()  # bounded: checked below
-        if len(rows) > MAX_LEVELS * len(cols):
-            raise ValueError(f"more than {MAX_LEVELS} levels per categorical column")
+        # at most maxLevels + 1 levels of each column reach the driver (map-side window group limit)
+        first = Window.partitionBy("c").orderBy("v")
+        rows = (distinct.withColumn("r", F.row_number().over(first)).where(F.col("r") <= most + 1).collect())
         owners, levels = [], []
         for c in cols:
             vals = [r["v"] for r in rows if r["c"] == c]
+            if len(vals) > most:
+                raise ValueError(f"column {c} has more than {most} levels")
             numeric = all(_is_number(v) for v in vals)
             vals = sorted(vals, key=(lambda v: float(v)) if numeric else None)
             for v in vals[1:]:
@@ -195,20 +217,39 @@ class _Assemble(Estimator, HasOutputCol, DefaultParamsReadable, DefaultParamsWri
         self._set(**self._input_kwargs)
 
     def _fit(self, df: DataFrame) -> VectorAssembler:
-        cats = set(self.getOrDefault(self.categorical))
-        dummies = [c for c in df.columns if any(c.startswith(f"{k}_") for k in cats)]
+        cats = self.getOrDefault(self.categorical)
+        dummies = [f.name for f in df.schema.fields if cats and DUMMY in (f.metadata or {})]
         names = list(self.getOrDefault(self.numeric)) + dummies
         return VectorAssembler(inputCols=names, outputCol=self.getOutputCol(), handleInvalid="error")
 
 
-def feature_names(model) -> list[str]:
-    """Names of the assembled features, in vector order (from the pipeline's VectorAssembler)."""
+def feature_columns(model) -> list[str]:
+    """Physical columns of the assembled features, in vector order."""
     for st in reversed(model.stages):
         if isinstance(st, VectorAssembler):
             return list(st.getInputCols())
     raise ValueError("pipeline has no assembled feature vector")
 
 
+def feature_names(model) -> list[str]:
+    """Display names of the assembled features (``Col_level`` for dummies), in vector order."""
+    shown: dict[str, str] = {}
+    for st in model.stages:
+        if isinstance(st, DropFirstOneHotModel):
+            shown.update(zip(st.outputColumns(), st.outputNames()))
+    return [shown.get(c, c) for c in feature_columns(model)]
+
+
+def named_features(model, df: DataFrame) -> DataFrame:
+    """``df`` through the preparation stages, feature columns under their display names, others kept."""
+    out = df
+    for st in model.stages:
+        if isinstance(st, VectorAssembler):
+            break
+        out = st.transform(out)
+    return out.withColumnsRenamed(dict(zip(feature_columns(model), feature_names(model))))
+
+
 def prepare_input(df: DataFrame, interaction: tuple[str, str, str]) -> DataFrame:
     """Add the engineered column only when it is not there yet (idempotent)."""
     name, a, b = interaction

@@ -21,30 +21,42 @@ from pyspark.sql.types import (BooleanType, DateType, DecimalType, DoubleType, F
                                TimestampNTZType, TimestampType)
 
 from tabreg.functions.bands import band_skew, possible_type
-from tabreg.functions.stats import guarded_corr, sample_kurt, sample_skew
+from tabreg.functions.stats import sample_kurt, sample_skew
 from tabreg.operators.quantile import exact_quantiles, long_values
 
-MAX_LEVELS = 10000
-
 
 def numeric_columns(df: DataFrame, exclude: Sequence[str] = ()) -> list[str]:
     return [f.name for f in df.schema.fields
             if isinstance(f.dataType, NumericType) and f.name not in set(exclude)]
 
 
-def pandas_dtype(dt) -> str:
-    """Name of the pandas dtype a column of this Spark type would load as."""
+def pandas_dtype(dt, missing: bool = False) -> str:
+    """Name of the pandas dtype a column of this Spark type would load as; integers with missing values load as
+    floats, booleans with missing values and decimals as objects."""
     if isinstance(dt, (DoubleType, FloatType)):
         return "float64"
+    if isinstance(dt, DecimalType):
+        return "object"
     if isinstance(dt, NumericType):
-        return "int64"
+        return "float64" if missing else "int64"
     if isinstance(dt, BooleanType):
-        return "bool"
+        return "object" if missing else "bool"
     if isinstance(dt, (TimestampType, TimestampNTZType, DateType)):
         return "datetime64[ns]"
     return "object"
 
 
+def _dtypes(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """(column, full, holed, position): the dtype without and with missing values, one row per column."""
+    return df.sparkSession.createDataFrame(
+        [(c, pandas_dtype(df.schema[c].dataType), pandas_dtype(df.schema[c].dataType, True), i)
+         for i, c in enumerate(cols)], "column string, full string, holed string, position int")
+
+
+def _dtype() -> Column:
+    return F.when(F.col("missing") > 0, F.col("holed")).otherwise(F.col("full")).alias("data_type")
+
+
 def is_missing(df: DataFrame, c: str) -> Column:
     """NULL, or NaN for float columns (pandas ``isna``)."""
     dt = df.schema[c].dataType
@@ -132,9 +144,7 @@ def column_summary(df: DataFrame, cols: Sequence[str] | None = None, approximate
     ``approximate=True`` uses HyperLogLog distinct counts in one pass (no value shuffle).
     """
     cols = list(cols or df.columns)
-    types = df.sparkSession.createDataFrame(
-        [(c, pandas_dtype(df.schema[c].dataType), i) for i, c in enumerate(cols)],
-        "column string, data_type string, position int")
+    types = _dtypes(df, cols)
     if approximate:
         wide = df.agg(*[F.approx_count_distinct(F.coalesce(*_typed_slots(df, c))).alias(f"u{i}")
                         for i, c in enumerate(cols)])
@@ -150,18 +160,17 @@ def column_summary(df: DataFrame, cols: Sequence[str] | None = None, approximate
             F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).cast("bigint").alias("missing"),
         ).withColumn("unique_with_null", F.col("unique") + (F.col("missing") > 0).cast("bigint"))
     return (F.broadcast(types).join(stats, "column", "left")
-            .select("column", "data_type", "missing", "unique_with_null", "unique", "position"))
+            .select("column", _dtype(), "missing", "unique_with_null", "unique", "position"))
 
 
 def profile_join(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Column / dtype table left-joined to the missing table and the distinct (with NULL) table."""
     cols = list(cols or df.columns)
-    types = df.sparkSession.createDataFrame(
-        [(c, pandas_dtype(df.schema[c].dataType)) for c in cols], "column string, data_type string")
+    types = _dtypes(df, cols)
     miss = missing_by_column(df, cols)
     uniq = distinct_counts(df, cols, dropna=False)
     return (F.broadcast(types).join(miss, "column", "left").join(uniq, "column", "left")
-            .withColumnRenamed("unique", "unique_values"))
+            .select("column", _dtype(), "missing", F.col("unique").alias("unique_values")))
 
 
 def distinct_counts(df: DataFrame, cols: Sequence[str] | None = None, dropna: bool = True) -> DataFrame:
@@ -274,71 +283,102 @@ def iqr_outlier_summary(df: DataFrame, cols: Sequence[str] | None = None, thresh
             .orderBy(F.col("outlier_count").desc(), "column"))
 
 
-def _pair_corr_sums(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
-    """Pearson r for many column pairs in two simple aggregations.
-
-    Pass 1: one mean per column (the centring constants). Pass 2: per pair, over rows where both values
-    are present (pandas pairwise-complete), n and the sums of centred x, y, x*x, y*y, x*y -- plain SUMs,
-    which stay inside whole-stage codegen. Centring keeps the sums well conditioned; r is NULL for a
-    constant side. Output: one row with columns r0, r1, ... in pair order.
+PAIR_SUMS = "a int, b int, n double, sa double, sb double, saa double, sbb double, sab double"
+
+
+def _gram(centres: list[float]):
+    """Per task, the sums of every column pair over rows where both values are present: matrix products of the
+    centred values and the presence masks, one row per pair."""
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        k, acc = len(centres), None
+        for batch in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns])
+            there = ~np.isnan(x)
+            x, m = np.where(there, x - np.array(centres), 0.0), there.astype(float)
+            part = np.stack([m.T @ m, x.T @ m, (x * x).T @ m, x.T @ x])
+            acc = part if acc is None else acc + part
+        if acc is not None:
+            a, b = np.triu_indices(k, 1)
+            n, s, q, p = acc
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(a, pa.int32()), pa.array(b, pa.int32()), *(pa.array(v) for v in (
+                    n[a, b], s[a, b], s[b, a], q[a, b], q[b, a], p[a, b]))], ["a", "b", "n", "sa", "sb", "saa", "sbb", "sab"])
+    return run
+
+
+def _pair_corr(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """(a, b, r) for every column pair a < b (positions in ``cols``): Pearson r over pairwise complete rows, NULL
+    for a constant side.
+
+    One aggregation gives the means as centring constants (a number per column), one pass over Arrow batches the
+    sums of all pairs: work is a few matrix products per batch at any width, and a task sends one row per pair.
     """
-    cols = sorted({c for p in pairs for c in p})
-    x = {c: F.when(~F.isnan(c), F.col(c).cast("double")) for c in cols}
-    means = df.agg(*[F.avg(x[c]).alias(f"m_{i}") for i, c in enumerate(cols)])
-    idx = {c: i for i, c in enumerate(cols)}
-    centred = df.crossJoin(F.broadcast(means))  # one row
-    aggs = []
-    for k, (a, b) in enumerate(pairs):
-        both = x[a].isNotNull() & x[b].isNotNull()
-        ca = F.when(both, x[a] - F.col(f"m_{idx[a]}"))
-        cb = F.when(both, x[b] - F.col(f"m_{idx[b]}"))
-        aggs += [F.count(ca).alias(f"n{k}"), F.sum(ca).alias(f"sa{k}"), F.sum(cb).alias(f"sb{k}"),
-                 F.sum(ca * ca).alias(f"saa{k}"), F.sum(cb * cb).alias(f"sbb{k}"), F.sum(ca * cb).alias(f"sab{k}")]
-    sums = centred.agg(*aggs)
-    out = []
-    for k in range(len(pairs)):
-        n, sa, sb = F.col(f"n{k}").cast("double"), F.col(f"sa{k}"), F.col(f"sb{k}")
-        vaa = n * F.col(f"saa{k}") - sa * sa
-        vbb = n * F.col(f"sbb{k}") - sb * sb
-        cov = n * F.col(f"sab{k}") - sa * sb
-        out.append(F.when((vaa > 0) & (vbb > 0), cov / F.sqrt(vaa * vbb)).alias(f"r{k}"))
-    return sums.select(*out)
+    x = [F.when(~F.isnan(c), F.col(c).cast("double")) for c in cols]
+    means = df.agg(*[F.avg(v).alias(f"m{i}") for i, v in enumerate(x)]).first()
+    sums = (df.select(*[v.alias(f"x{i}") for i, v in enumerate(x)]).mapInArrow(_gram([float(m or 0.0) for m in means]), PAIR_SUMS)
+            .groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in ("n", "sa", "sb", "saa", "sbb", "sab")]))
+    n = F.col("n")
+    vaa, vbb = n * F.col("saa") - F.col("sa") * F.col("sa"), n * F.col("sbb") - F.col("sb") * F.col("sb")
+    cov = n * F.col("sab") - F.col("sa") * F.col("sb")
+    return sums.select("a", "b", F.when((vaa > 0) & (vbb > 0), cov / F.sqrt(vaa * vbb)).alias("r"))
+
+
+def _named(position: str, cols: Sequence[str]) -> Column:
+    return F.element_at(F.array(*[F.lit(c) for c in cols]), F.col(position) + 1)
 
 
 def corr_matrix(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Lower triangle of the Pearson matrix: (column_a, column_b, r) for a before b."""
     cols = list(cols or numeric_columns(df))
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
-    wide = _pair_corr_sums(df, pairs)
-    return wide.select(F.explode(F.array(*[
-        F.struct(F.lit(a).alias("column_a"), F.lit(b).alias("column_b"), F.col(f"r{i}").alias("r"))
-        for i, (a, b) in enumerate(pairs)])).alias("kv")).select("kv.*")
+    return _pair_corr(df, cols).select(_named("a", cols).alias("column_a"), _named("b", cols).alias("column_b"), "r")
 
 
 def corr_target(df: DataFrame, target: str, cols: Sequence[str] | None = None) -> DataFrame:
-    """column, r, abs_r against the target, ordered by abs_r desc then column."""
+    """column, r, abs_r against the target, ordered by abs_r desc then column: one aggregation, a column each."""
     cols = [c for c in (cols or numeric_columns(df)) if c != target]
-    wide = _pair_corr_sums(df, [(c, target) for c in cols])
-    return (wide.select(_stack([(c, F.col(f"r{i}")) for i, c in enumerate(cols)], ("column", "r")).alias("kv"))
+    value = lambda c: F.when(~F.isnan(c), F.col(c).cast("double"))
+    y = value(target)
+    means = df.agg(F.avg(y).alias("y"), *[F.avg(value(c)).alias(f"m{i}") for i, c in enumerate(cols)]).first()
+    aggs = []
+    for i, c in enumerate(cols):
+        a, b = value(c) - F.lit(float(means[f"m{i}"] or 0.0)), y - F.lit(float(means["y"] or 0.0))
+        a, b = F.when(b.isNotNull(), a), F.when(a.isNotNull(), b)
+        aggs += [F.count(a).cast("double").alias(f"n{i}"), F.sum(a).alias(f"sa{i}"), F.sum(b).alias(f"sb{i}"),
+                 F.sum(a * a).alias(f"saa{i}"), F.sum(b * b).alias(f"sbb{i}"), F.sum(a * b).alias(f"sab{i}")]
+
+    def r(i: int) -> Column:
+        n, sa, sb, saa, sbb, sab = (F.col(f"{k}{i}") for k in ("n", "sa", "sb", "saa", "sbb", "sab"))
+        vaa, vbb = n * saa - sa * sa, n * sbb - sb * sb
+        return F.when((vaa > 0) & (vbb > 0), (n * sab - sa * sb) / F.sqrt(vaa * vbb))
+
+    return (df.agg(*aggs).select(_stack([(c, r(i)) for i, c in enumerate(cols)], ("column", "r")).alias("kv"))
             .select("kv.column", "kv.r").withColumn("abs_r", F.abs("r"))
             .orderBy(F.col("abs_r").desc_nulls_last(), "column"))
 
 
-def category_summary(df: DataFrame, cols: Sequence[str], max_levels: int = MAX_LEVELS) -> DataFrame:
+def category_levels(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """(column, level, n): one row per distinct non-missing value; no bound on their number."""
+    return (value_frequencies(df, cols).where(F.col("value").isNotNull())
+            .select("column", F.col("value").alias("level"), F.col("n").cast("bigint").alias("n")))
+
+
+def category_summary(df: DataFrame, cols: Sequence[str], max_levels: int) -> DataFrame:
     """column, unique_count, categories (sorted distinct values joined by ','); missing excluded.
 
-    Distinct values are found by a distributed ``groupBy``; only the per-column level list (at most
-    ``max_levels`` entries, checked) is gathered into one row per column.
+    The caller states the most levels that one row may list; a column with more raises when the row is made
+    (``category_levels`` lists any number).
     """
     freq = value_frequencies(df, cols).where(F.col("value").isNotNull())
     counted = freq.groupBy("column").agg(F.count(F.lit(1)).alias("unique_count"))
-    too_many = counted.where(F.col("unique_count") > max_levels).limit(1).collect()
-    if too_many:
-        raise ValueError(f"column {too_many[0]['column']} has more than {max_levels} levels")
+    bounded = freq.join(F.broadcast(counted), "column").withColumn("value", F.when(  # one row per column
+        F.col("unique_count") <= max_levels, F.col("value")).otherwise(F.raise_error(F.concat(
+            F.lit("column "), "column", F.lit(f" has more than {max_levels} levels")))))
     numeric = {c for c in cols if isinstance(df.schema[c].dataType, NumericType)}
     sort_key = F.when(F.col("column").isin(*numeric) if numeric else F.lit(False),
                       F.col("value").cast("double"))
-    levels = freq.groupBy("column").agg(
+    levels = bounded.groupBy("column").agg(
         F.sort_array(F.collect_list(F.struct(sort_key.alias("k"), F.col("value").alias("v")))).alias("lv"))
     return levels.select("column", F.size("lv").cast("bigint").alias("unique_count"),
                          F.array_join(F.transform("lv", lambda s: s["v"]), ",").alias("categories"))

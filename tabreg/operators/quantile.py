@@ -2,36 +2,32 @@
 
 Spark's ``percentile`` is exact but its final aggregation holds every distinct value of the column in
 one task; ``percentile_approx`` scales but is approximate. This operator gets the exact pandas /
-DuckDB ``quantile_cont`` answer in a distributed way:
-
-1. one wide aggregation: per column count, min, max and ``percentile_approx`` at p +- margin
-   (the sketches are merged partially on every executor);
-2. one pass that classifies every value as below / inside / above its bracket and counts values per
-   distinct value inside (partial aggregation collapses hot values and the two outside classes);
-3. a window over the bracket's distinct values only (bounded by about 4/accuracy of the rows) gives
-   exact ranks; the exact order statistics at floor/ceil of (n-1)p are interpolated.
-
-If the sketch bound ever fails (the bracket does not contain the wanted ranks), only that (column, p)
-is retried with a 16x wider bracket, and as a last resort with the full range, so the result is always
-exact.
+DuckDB ``quantile_cont`` answer in a distributed way, over the wide rows (nothing is copied per column or
+probability):
+
+1. one aggregation: per column count, min, max and ``percentile_approx`` a little beside each p, which
+   brackets each wanted quantile (the sketches are merged partially on every executor);
+2. one aggregation that counts, per (column, p), the values below and inside the bracket. A bracket that
+   does not hold the wanted ranks is widened to [min, max]; one with more than ``bracket_rows`` values is
+   narrowed by a sketch of the values inside it. The rule is the same at every size, and is repeated until
+   all brackets hold (a bracket of one value is settled at once);
+3. the values inside brackets (at most ``bracket_rows`` of each, or a few very frequent values) are counted per
+   distinct value, and a window over those gives the exact order statistics at floor/ceil of (n-1)p.
+
+Steps 1 and 2 bring a few numbers per (column, p) to the driver; the result of step 3 is lazy.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_ACCURACY = 10000
-MAX_ACCURACY = 1_000_000
-TARGET_BRACKET_ROWS = 1_000_000
-
-
-def adaptive_accuracy(n_rows: int) -> int:
-    """Sketch accuracy so that a bracket (about 4/accuracy of the rows) holds at most ~1M rows,
-    between 10^4 and 10^6 (the sketch's memory grows with the accuracy)."""
-    return int(min(MAX_ACCURACY, max(DEFAULT_ACCURACY, 4 * n_rows // TARGET_BRACKET_ROWS)))
+ACCURACY = 10_000
+BRACKET_ROWS = 1_000_000
+ROUNDS = 8
 
 
 def long_values(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -44,146 +40,98 @@ def long_values(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return stacked.where(F.col("value").isNotNull() & ~F.isnan("value"))
 
 
-def _pick(cand: DataFrame, brackets: DataFrame) -> DataFrame:
-    """Exact interpolated quantile per (column, p) from bracket candidates and outside counts."""
-    keys = ["column", "p"]
-    outside = (cand.where(F.col("side") != 0).groupBy(*keys)
-               .agg(F.sum(F.when(F.col("side") < 0, F.col("c")).otherwise(0)).alias("below"),
-                    F.sum(F.when(F.col("side") > 0, F.col("c")).otherwise(0)).alias("above")))
-    inside = cand.where(F.col("side") == 0).select(*keys, "value", "c")
-    b = brackets.join(outside, keys, "left").fillna(0, ["below", "above"])
-    w = Window.partitionBy(*keys).orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = (inside.join(F.broadcast(b.select(*keys, "below")), keys)
-              .withColumn("cum_end", F.col("below") + F.sum("c").over(w))
-              .withColumn("cum_start", F.col("cum_end") - F.col("c")))
-    picked = ranked.join(F.broadcast(b.select(*keys, "klo", "khi")), keys).groupBy(*keys).agg(
-        F.max(F.when((F.col("cum_start") <= F.col("klo")) & (F.col("klo") < F.col("cum_end")),
-                     F.col("value"))).alias("v_lo"),
-        F.max(F.when((F.col("cum_start") <= F.col("khi")) & (F.col("khi") < F.col("cum_end")),
-                     F.col("value"))).alias("v_hi"),
-    )
-    return (b.join(picked, keys, "left")
-            .withColumn("ok", (F.col("n") == 0) | ((F.col("below") <= F.col("klo"))
-                                                   & (F.col("n") - F.col("above") >= F.col("khi") + 1)))
-            .withColumn("value", F.col("v_lo") + (F.col("h") - F.col("klo")) * (F.col("v_hi") - F.col("v_lo"))))
-
-
-def _candidates(long: DataFrame, brackets: DataFrame) -> DataFrame:
-    j = long.join(F.broadcast(brackets.select("column", "p", "lo", "hi")), "column")
-    side = F.when(F.col("value") < F.col("lo"), -1).when(F.col("value") > F.col("hi"), 1).otherwise(0)
-    return (j.withColumn("side", side)
-            .groupBy("column", "p", "side", F.when(F.col("side") == 0, F.col("value")).alias("value"))
-            .agg(F.count(F.lit(1)).alias("c")))
-
-
-def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
-                    accuracy: int | None = None) -> DataFrame:
-    """Exact linear-interpolation quantiles: one row per (column, p) with ``value`` (NULL if no values).
-
-    ``accuracy`` is the sketch accuracy used only to size the brackets; by default the sketch runs at
-    10^4 in the same aggregation that counts the rows, and is redone at a higher accuracy
-    (``adaptive_accuracy``) only when a column is so large that brackets would exceed ~1M rows. The
-    broadcast bracket table has len(cols) * len(probs) rows, a bound fixed by the call, not by the data.
-    """
-    probs = [float(p) for p in probs]
-    spark = df.sparkSession
-    cols = list(cols)
-    long = long_values(df, cols)
-    acc = int(accuracy) if accuracy else DEFAULT_ACCURACY
-    result, cached = None, []
-    todo = [(c, p) for c in cols for p in probs]
-    # Bracket margin in probability: the sketch's rank error is 1/acc, so 2/acc holds; a miss (ties,
-    # tiny groups) retries only the missing pairs with a 16x wider margin, then with the full range.
-    first = True
-    for margin in ("base", "wide", None):
-        stats = None
-        if margin is not None:
-            stats = _sketch(df, sorted({c for c, _ in todo}), probs, acc, _margin(acc, margin))
-            if first and not accuracy:
-                biggest = max((r["n"] or 0) for r in stats.select("n").collect())
-                if adaptive_accuracy(biggest) > acc:  # very large table: re-sketch for small brackets
-                    acc = adaptive_accuracy(biggest)
-                    stats = _sketch(df, sorted({c for c, _ in todo}), probs, acc, _margin(acc, margin))
-        first = False
-        m = _margin(acc, margin) if margin is not None else None
-        brackets = _brackets(spark, long, stats, todo, m).cache()
-        cand = _candidates(long, brackets).cache()
-        cached += [brackets, cand]
-        part = _pick(cand, brackets)
-        failed = [(r["column"], r["p"]) for r in part.where(~F.col("ok")).select("column", "p").collect()]
-        if failed and margin is not None:
-            bad = spark.createDataFrame(failed, "column string, p double")
-            part = part.join(F.broadcast(bad), ["column", "p"], "left_anti")
-        result = part if result is None else result.unionByName(part)
-        todo = failed
-        if not todo or margin is None:
-            break
-    out = result.select("column", "p", "n", "value")
-    out = spark.createDataFrame(out.collect(), out.schema)  # len(cols) * len(probs) rows
-    for c in cached:
-        c.unpersist()
-    return out
+def _value(c: str) -> Column:
+    v = F.col(c).cast("double")
+    return F.when(~F.isnan(v), v)
+
 
+class _Bracket:
+    """A value interval meant to hold the order statistics ``klo`` and ``khi`` (0-based) of a column."""
 
-def _margin(acc: int, kind: str) -> float:
-    return (2.0 if kind == "base" else 32.0) / acc
+    def __init__(self, column: str, p: float, n: int, low, high):
+        self.column, self.p, self.n, self.low, self.high = column, p, n, low, high
+        self.h = (n - 1) * p
+        self.klo, self.khi = math.floor(self.h), math.ceil(self.h)
+        self.min, self.max = low, high
+        self.below, self.settled = 0, n == 0
 
+    def inside(self) -> Column:
+        v = _value(self.column)
+        return (v >= F.lit(self.low)) & (v <= F.lit(self.high))
 
-def _grid(probs: Sequence[float], margin: float) -> list[float]:
-    return sorted({min(1.0, max(0.0, p + s * margin)) for p in probs for s in (-1, 1)})
 
+def _sketched(df: DataFrame, wanted: list[tuple[_Bracket, Column, list[float]]], accuracy: int) -> None:
+    """Set each bracket from ``percentile_approx`` of its values at the given probabilities (first, last)."""
+    row = df.agg(*[F.percentile_approx(v, probs, accuracy).alias(f"a{i}") for i, (_, v, probs) in enumerate(wanted)]).first()
+    for i, (b, _, probs) in enumerate(wanted):
+        low, high = row[f"a{i}"]
+        b.low = b.low if probs[0] <= 0 else low
+        b.high = b.high if probs[1] >= 1 else high
 
-def _sketch(df: DataFrame, cols: Sequence[str], probs: Sequence[float], acc: int, margin: float) -> DataFrame:
-    """(column, n, mn, mx, approx): one wide aggregation over the table (one sketch per column, no
-    stacking), then stacked into len(cols) rows."""
-    grid = _grid(probs, margin)
-    aggs = []
+
+def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], accuracy: int | None = None,
+                    bracket_rows: int = BRACKET_ROWS) -> DataFrame:
+    """Exact linear-interpolation quantiles: one row per (column, p) with ``n`` and ``value`` (NULL if no values).
+
+    ``accuracy`` is the sketch accuracy; it sizes the brackets and never changes the result.
+    """
+    acc = int(accuracy or ACCURACY)
+    cols, probs = list(dict.fromkeys(cols)), list(dict.fromkeys(float(p) for p in probs))
+    margin = 2.0 / acc
+    near = lambda p: [min(1.0, max(0.0, p - margin)), min(1.0, max(0.0, p + margin))]
+    grid = sorted({q for p in probs for q in near(p)})
+    first = df.agg(*[x for i, c in enumerate(cols) for x in (
+        F.count(_value(c)).alias(f"n{i}"), F.min(_value(c)).alias(f"mn{i}"), F.max(_value(c)).alias(f"mx{i}"),
+        F.percentile_approx(_value(c), grid, acc).alias(f"a{i}"))]).first()
+    pairs = []
     for i, c in enumerate(cols):
-        v = F.col(c).cast("double")
-        v = F.when(~F.isnan(v), v)
-        aggs += [F.count(v).alias(f"n{i}"), F.min(v).alias(f"mn{i}"), F.max(v).alias(f"mx{i}"),
-                 F.percentile_approx(v, grid, acc).alias(f"a{i}")]
-    wide = df.agg(*aggs)
-    return wide.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(f"n{i}").alias("n"), F.col(f"mn{i}").alias("mn"),
-                 F.col(f"mx{i}").alias("mx"), F.col(f"a{i}").alias("approx")) for i, c in enumerate(cols)]))
-        .alias("kv")).select("kv.*")
-
-
-def _brackets(spark, long: DataFrame, stats: DataFrame | None, pairs, margin: float | None) -> DataFrame:
-    """(column, p, n, h, klo, khi, lo, hi): target ranks and a value bracket per pair.
-
-    With ``margin`` None the bracket is [min, max] (always contains the ranks)."""
-    probs = sorted({p for _, p in pairs})
-    cols = sorted({c for c, _ in pairs})
-    if stats is None:
-        stats = long.where(F.col("column").isin(*cols)).groupBy("column").agg(
-            F.count(F.lit(1)).alias("n"), F.min("value").alias("mn"), F.max("value").alias("mx"),
-            F.array().cast("array<double>").alias("approx"))
-    pos = {q: i for i, q in enumerate(_grid(probs, margin))} if margin is not None else {}
-
-    def idx(p, sgn):
-        return 0 if margin is None else pos[min(1.0, max(0.0, p + sgn * margin))]
-
-    wanted = spark.createDataFrame([(c, p, idx(p, -1), idx(p, 1)) for c, p in pairs],
-                                   "column string, p double, ilo int, ihi int")
-    m = margin if margin is not None else 2.0
-    h = (F.col("n") - 1) * F.col("p")
-    return (F.broadcast(wanted).join(stats, "column", "left")
-            .fillna(0, ["n"])
-            .withColumn("h", h)
-            .withColumn("klo", F.floor(h).cast("bigint"))
-            .withColumn("khi", F.ceil(h).cast("bigint"))
-            .withColumn("lo", F.when(F.col("p") - m <= 0, F.col("mn"))
-                        .otherwise(F.element_at("approx", F.col("ilo") + 1)))
-            .withColumn("hi", F.when(F.col("p") + m >= 1, F.col("mx"))
-                        .otherwise(F.element_at("approx", F.col("ihi") + 1)))
-            .select("column", "p", "n", "h", "klo", "khi", "lo", "hi"))
-
-
-def quantile_wide(df: DataFrame, cols: Sequence[str], probs: Sequence[float], names: Sequence[str],
-                  accuracy: int | None = None) -> DataFrame:
-    """Same result pivoted: one row per column with one field per requested probability."""
-    q = exact_quantiles(df, cols, probs, accuracy)
-    pivot_aggs = [F.max(F.when(F.col("p") == float(p), F.col("value"))).alias(nm) for p, nm in zip(probs, names)]
-    return q.groupBy("column").agg(*pivot_aggs)
+        for p in probs:
+            b = _Bracket(c, p, first[f"n{i}"], first[f"mn{i}"], first[f"mx{i}"])
+            if not b.settled:
+                low, high = near(p)
+                b.low = b.min if low <= 0 else first[f"a{i}"][grid.index(low)]
+                b.high = b.max if high >= 1 else first[f"a{i}"][grid.index(high)]
+            pairs.append(b)
+    for _ in range(ROUNDS):
+        open_ = [b for b in pairs if not b.settled]
+        if not open_:
+            break
+        row = df.agg(*[x for i, b in enumerate(open_) for x in (
+            F.count_if(_value(b.column) < F.lit(b.low)).alias(f"b{i}"), F.count_if(b.inside()).alias(f"i{i}"))]).first()
+        narrow = []
+        for i, b in enumerate(open_):
+            b.below, inside = row[f"b{i}"], row[f"i{i}"]
+            if not b.below <= b.klo <= b.khi < b.below + inside:
+                b.low, b.high = b.min, b.max
+            elif inside <= bracket_rows or b.low == b.high:
+                b.settled = True
+            else:
+                v = F.when(b.inside(), _value(b.column))
+                local = [(b.klo - b.below) / inside - margin, (b.khi - b.below) / inside + margin]
+                narrow.append((b, v, [max(0.0, local[0]), min(1.0, local[1])]))
+        if narrow:
+            _sketched(df, narrow, acc)
+    for b in (b for b in pairs if not b.settled):  # brackets of few, very frequent values: counts per value are few
+        b.below = df.agg(F.count_if(_value(b.column) < F.lit(b.low))).first()[0]
+    return _picked(df, pairs)
+
+
+def _picked(df: DataFrame, pairs: list[_Bracket]) -> DataFrame:
+    """Order statistics from the values inside the brackets, interpolated."""
+    spark = df.sparkSession
+    goals = F.broadcast(spark.createDataFrame(
+        [(i, b.column, b.p, b.n, float(b.h), b.klo, b.khi, b.below) for i, b in enumerate(pairs)],
+        "pair int, column string, p double, n bigint, h double, klo bigint, khi bigint, below bigint"))
+    held = [F.when(b.inside(), F.struct(F.lit(i).alias("pair"), _value(b.column).alias("v")))
+            for i, b in enumerate(pairs) if b.n]
+    if not held:
+        return goals.select("column", "p", "n", F.lit(None).cast("double").alias("value"))
+    counts = (df.select(F.explode(F.array_compact(F.array(*held))).alias("x")).groupBy("x.pair", "x.v")
+              .agg(F.count(F.lit(1)).alias("c")))
+    upto = Window.partitionBy("pair").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = counts.withColumn("upto", F.sum("c").over(upto)).join(goals.select("pair", "klo", "khi", "below"), "pair")
+    holds = lambda k: (F.col("below") + F.col("upto") - F.col("c") <= F.col(k)) & (F.col(k) < F.col("below") + F.col("upto"))
+    found = ranked.groupBy("pair").agg(F.max(F.when(holds("klo"), F.col("v"))).alias("lo"),
+                                       F.max(F.when(holds("khi"), F.col("v"))).alias("hi"))
+    return goals.join(found, "pair", "left").select(
+        "column", "p", "n", (F.col("lo") + (F.col("h") - F.col("klo")) * (F.col("hi") - F.col("lo"))).alias("value"))

@@ -85,23 +85,27 @@ def rank_models(results: DataFrame, partition_by: Sequence[str] = (), name: str
                            partition_by, name)
 
 
+# Openings by tier, and endings by whether the gap is large.
+TIER_TEXT = {"leader": "Top-tier: ", "strong": "Strong but below leaders: ", "lower": "Lower fit: "}
+GAP_TEXT = {True: "suggesting possible overfitting.", False: "indicating good generalisation."}
+
+
 def evidence_tier(results: DataFrame, partition_by: Sequence[str] = ()) -> DataFrame:
     """tier (leader / strong / lower) against the pool's best R2 and the evidence sentence."""
     df = results.withColumn("__best", F.max("r2").over(_pool(partition_by)))
     tier = (F.when(F.col("r2") >= F.col("__best") - LEADER_MARGIN, F.lit("leader"))
             .when(F.col("r2") >= STRONG_R2, F.lit("strong")).otherwise(F.lit("lower")))
-    head = (F.when(F.col("r2") >= F.col("__best") - LEADER_MARGIN, F.lit("Top-tier: "))
-            .when(F.col("r2") >= STRONG_R2, F.lit("Strong but below leaders: ")).otherwise(F.lit("Lower fit: ")))
+    df = df.withColumn("tier", tier)
+    head = F.element_at(F.create_map(*[F.lit(x) for kv in TIER_TEXT.items() for x in kv]), F.col("tier"))
     gap = F.abs("r2_gap")
     text = F.concat(
         head, F.format_string("R²=%.4f, RMSE=%.4f, MAE=%.4f.", "r2", "rmse", "mae"),
         F.format_string(" Train-test gap=%.4f, ", gap),
-        F.when(gap > EVIDENCE_GAP, F.lit("suggesting possible overfitting."))
-        .otherwise(F.lit("indicating good generalisation.")),
+        F.when(gap > EVIDENCE_GAP, F.lit(GAP_TEXT[True])).otherwise(F.lit(GAP_TEXT[False])),
         F.format_string(" CV R²=%.4f.", "cv_r2_mean"))
     if "deployment_score" in results.columns:
         text = F.concat(text, F.format_string(" Deployment score=%.2f/100.", "deployment_score"))
-    return df.withColumn("tier", tier).withColumn("evidence", text).drop("__best")
+    return df.withColumn("evidence", text).drop("__best")
 
 
 def importance_share(df: DataFrame, value: str = "importance", percent: bool = True,

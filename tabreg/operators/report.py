@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Preferred visible columns of the comparison report, in display order.
-COMPARISON_COLUMNS = ["deployment_rank", "algorithm", "r2", "rmse", "mae", "cv_r2_mean", "deployment_score"]
+COMPARISON_COLUMNS = ["deployment_rank", "algorithm", "train_r2", "r2", "rmse", "mae", "cv_r2_mean", "cv_r2_std", "r2_gap",
+                      "training_seconds", "deployment_score"]
 # Alias table between display names and the canonical snake_case metric names.
 METRIC_ALIASES = {
     "Algorithm": "algorithm", "R2": "r2", "RMSE": "rmse", "MAE": "mae", "MSE": "mse",
@@ -57,10 +58,9 @@ def fmt(c: str, digits: int) -> Column:
 def comparison_table(ranked: DataFrame) -> DataFrame:
     """Visible ranking columns with metrics at 4 dp and the score at 2 dp."""
     vis = visible_subset(ranked, COMPARISON_COLUMNS)
-    return vis.select(
-        "deployment_rank", "algorithm",
-        *[F.format_string("%.4f", c).alias(c) for c in ("r2", "rmse", "mae", "cv_r2_mean")],
-        F.format_string("%.2f", "deployment_score").alias("deployment_score"))
+    plain, two = ("deployment_rank", "algorithm"), ("training_seconds", "deployment_score")
+    return vis.select(*[F.col(c) if c in plain else F.replace(
+        F.format_string("%.2f" if c in two else "%.4f", c), F.lit("-0.0000"), F.lit("0.0000")).alias(c) for c in vis.columns])
 
 
 def _facts(pairs) -> Column:
@@ -80,6 +80,33 @@ def data_understanding(df: DataFrame, target: str, exclude_from_duplicates: Sequ
                               ("missing_total", F.col("missing_total"))]).alias("kv")).select("kv.*")
 
 
+def data_understanding_columns(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """The per-column part of the report: (column, fact, value) of the column summary, and of describe() for
+    the numeric ``cols`` (6-dp text)."""
+    from tabreg.operators.profile import column_summary, describe_numeric
+    s = column_summary(df)
+    facts = ("data_type", "missing", "unique_with_null", "unique")
+    summary = s.select("column", F.explode(F.array(*[
+        F.struct(F.lit(f).alias("fact"), F.col(f).cast("string").alias("value")) for f in facts])).alias("kv")).select("column", "kv.*")
+    d = describe_numeric(df, cols)
+    stats = [c for c in d.columns if c != "column"]
+    described = d.select("column", F.explode(F.array(*[
+        F.struct(F.lit(c).alias("fact"), (F.col(c).cast("string") if c == "count" else F.format_string("%.6f", F.col(c).cast("double") + F.lit(0.0)))
+                 .alias("value")) for c in stats])).alias("kv")).select("column", "kv.*")
+    return summary.unionByName(described)
+
+
+def final_facts(df: DataFrame, target: str, winner: DataFrame, exclude_from_duplicates: Sequence[str] = ()) -> DataFrame:
+    """(section, item, value): table facts (rows, columns, target, duplicates, missing) and the winner's test and
+    cross-validation metrics (4-dp text)."""
+    facts = data_understanding(df, target, exclude_from_duplicates).select(
+        F.lit("fact").alias("section"), F.col("fact").alias("item"), "value")
+    metrics = winner.select(F.explode(F.array(*[
+        F.struct(F.lit(m).alias("item"), F.format_string("%.4f", F.col(m)).alias("value"))
+        for m in ("r2", "rmse", "mae", "cv_r2_mean", "cv_r2_std")])).alias("kv")).select(F.lit("metric").alias("section"), "kv.*")
+    return facts.unionByName(metrics)
+
+
 def eda_summary(df: DataFrame, target: str, cols: Sequence[str]) -> DataFrame:
     """(section, column, value): target correlations, bias-corrected skew, IQR outlier counts."""
     from tabreg.operators.profile import corr_target, iqr_outlier_summary, moment_table

@@ -23,29 +23,30 @@ def kfold_hash(df: DataFrame, key: str, k: int = 5, salt: str = "fold42") -> Dat
 
 
 def global_rank(df: DataFrame, order_cols: list[str] | tuple[str, ...]) -> DataFrame:
-    """Adds ``rank`` = 0-based position of each row in ``order_cols`` order (keys must be unique).
-
-    Distributed: the key columns are range-partitioned (sampled bounds, balanced partitions), sorted
-    inside each partition and numbered locally (``monotonically_increasing_id`` keeps the partition id in
-    its upper bits). That numbering is materialised once with a reliable ``checkpoint()`` (range bounds
-    come from sampling, so two evaluations could partition differently); per-partition counts (one row
-    per partition, broadcast) give each partition's offset, and the ranks join back on the key. No task
-    holds more than one range partition.
+    """Adds ``rank`` = 0-based position of each row in ``order_cols`` order (NULLs first, ties in any order).
+
+    Distributed: whole rows are range-partitioned (sampled bounds, balanced partitions), sorted inside each
+    partition and numbered locally (``monotonically_increasing_id`` keeps the partition id in its upper bits).
+    That numbering is materialised once with a reliable ``checkpoint()`` (range bounds come from sampling, so
+    two evaluations could partition differently); per-partition counts (one row per partition, broadcast) give
+    each partition's offset. Every row is kept once, whatever its key, and no task holds more than one range
+    partition; rows that share a key are spread by a hash of the row.
     """
     from tabreg.session import ensure_checkpoint_dir
     ensure_checkpoint_dir(df.sparkSession)
     keys = list(order_cols)
     n_parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.select(*keys).repartitionByRange(n_parts, *keys).sortWithinPartitions(*keys)
-    ids = (ranged.withColumn("__pid", F.spark_partition_id())
+    spread = df.withColumn("__tie", F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]))
+    ids = (spread.repartitionByRange(n_parts, *keys, "__tie").sortWithinPartitions(*keys, "__tie")
+           .withColumn("__pid", F.spark_partition_id())
            .withColumn("__mid", F.monotonically_increasing_id())
            .checkpoint(eager=True))
     local = F.col("__mid") - F.shiftleft(F.col("__pid").cast("bigint"), 33)
     counts = ids.groupBy("__pid").agg(F.count(F.lit(1)).alias("__c"))
     before = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
     offsets = counts.select("__pid", F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__off"))
-    ranks = ids.join(F.broadcast(offsets), "__pid").select(*keys, (F.col("__off") + local).alias("rank"))
-    return df.join(ranks, keys)
+    return (ids.join(F.broadcast(offsets), "__pid").withColumn("rank", F.col("__off") + local)
+            .select(*df.columns, "rank"))
 
 
 def kfold_contiguous(df: DataFrame, order_cols: list[str] | tuple[str, ...], k: int = 5) -> DataFrame:

@@ -15,6 +15,7 @@ from tabreg.operators.report import alias_columns, first_present, visible_subset
 from tabreg.operators.split import split_cover, split_overlap
 from tabreg.plans.q_profile import _CORR_TARGET_SQL, _corr_sql
 from tabreg.plans.q_rank import RES_R, results_r
+from tabreg.operators.baselines import BASELINE_SQL
 from tabreg.plans.registry import query, r6, rounded
 from tabreg.sources.tables import (LINE_CHARGE_SQL, LINE_SPLIT_SQL, NUMERIC_FEATURES, line_charge, line_charge_split,
                                    load)
@@ -259,7 +260,7 @@ def q_kfold_contiguous(spark, sf_dir):
 
 
 @query("attach_actuals", sql=f"""
-  with lc as ({LINE_SPLIT_SQL}),""" + __import__("tabreg.operators.baselines", fromlist=["x"]).BASELINE_SQL + f"""
+  with lc as ({LINE_SPLIT_SQL}),""" + BASELINE_SQL + f"""
   select p.row_key, {r6('a.charge')} as actual, {r6('p.prediction')} as predicted
   from (select row_key, prediction from preds where model = 'p3' and split = 'test') p
   join (select row_key, charge from lc) a on p.row_key = a.row_key""")
@@ -267,7 +268,7 @@ def q_attach_actuals(spark, sf_dir):
     """Test predictions (p3) aligned to actual values by key (inner join on the row key)."""
     from tabreg.operators.baselines import baseline_predictions
     s = line_charge_split(spark, sf_dir)
-    preds = baseline_predictions(s).where("model = 'p3' and split = 'test'").select("row_key", "prediction")
+    preds = baseline_predictions(s, models=["p3"]).where("split = 'test'").select("row_key", "prediction")
     actual = line_charge(spark, sf_dir).select("row_key", "charge")
     return rounded(preds.join(actual, "row_key").select("row_key", F.col("charge").alias("actual"),
                                                          F.col("prediction").alias("predicted")))

@@ -13,8 +13,8 @@ from tabreg.sources.tables import LINE_SPLIT_SQL, line_charge_split
 LC_CTE = f"with lc as ({LINE_SPLIT_SQL}),"
 
 
-def baseline_preds(spark, sf_dir):
-    return baseline_predictions(line_charge_split(spark, sf_dir))
+def baseline_preds(spark, sf_dir, models=None):
+    return baseline_predictions(line_charge_split(spark, sf_dir), models=models)
 
 
 @query("regression_metrics", sql=LC_CTE + BASELINE_SQL + f"""
@@ -61,7 +61,7 @@ def q_train_test_metrics(spark, sf_dir):
 """)
 def q_residual_table(spark, sf_dir):
     """Residual table of the best baseline (p3) on the test rows."""
-    p = baseline_preds(spark, sf_dir).where((F.col("model") == "p3") & (F.col("split") == "test"))
+    p = baseline_preds(spark, sf_dir, ["p3"]).where(F.col("split") == "test")
     return rounded(residual_table(p, "row_key"))
 
 
@@ -87,7 +87,7 @@ def q_residual_summary(spark, sf_dir):
 """)
 def q_identity_line(spark, sf_dir):
     """End points of the actual-vs-predicted reference line for p3 on test rows."""
-    p = baseline_preds(spark, sf_dir).where((F.col("model") == "p3") & (F.col("split") == "test"))
+    p = baseline_preds(spark, sf_dir, ["p3"]).where(F.col("split") == "test")
     return rounded(identity_line(p))
 
 
@@ -107,5 +107,5 @@ def _qq_sql():
 @query("qq_points", sql=_qq_sql())
 def q_qq_points(spark, sf_dir):
     """Normal Q-Q points (20 grid quantiles) of p3 test residuals, exact sample quantiles."""
-    p = baseline_preds(spark, sf_dir).where((F.col("model") == "p3") & (F.col("split") == "test"))
+    p = baseline_preds(spark, sf_dir, ["p3"]).where(F.col("split") == "test")
     return rounded(qq_points(p, n_points=20))

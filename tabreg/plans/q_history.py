@@ -73,12 +73,20 @@ def q_history_summary(spark, sf_dir):
 
 
 @query("history_trend", sql=f"""
+  select user_id, id, created_at, prediction,
+         row_number() over (partition by user_id order by created_at, id) as position from {HISTORY_SQL}""")
+def q_history_trend(spark, sf_dir):
+    """Every saved prediction with its place among its user's rows, by (time, id)."""
+    return H.history_trend(history(spark, sf_dir))
+
+
+@query("history_daily", sql=f"""
   select user_id, strftime(cast(created_at as date), '%Y-%m-%d') as day, cast(count(*) as bigint) as n,
          {r6('avg(prediction)')} as avg_prediction
   from {HISTORY_SQL} group by user_id, cast(created_at as date)""")
-def q_history_trend(spark, sf_dir):
-    """Prediction over time: daily count and mean per user."""
-    t = H.history_trend(history(spark, sf_dir))
+def q_history_daily(spark, sf_dir):
+    """Daily count and mean per user."""
+    t = H.history_daily(history(spark, sf_dir))
     return rounded(t.withColumn("day", F.date_format("day", "yyyy-MM-dd")))
 
 
@@ -136,22 +144,56 @@ def q_validate_identity(spark, sf_dir):
                                          F.replace("username", F.lit("#"), F.lit("x"))).alias("error"))
 
 
+# A batch derived from customer and events: logins of event users; changes of email to another user's (rejected)
+# and to a fresh one; new users, some under a name in use, some sharing an email (the first that is not
+# rejected for its name gets it).
+_BATCH_SQL = f"""(
+  select user_id as id, cast(null as varchar) as username, cast(null as varchar) as email, max(ts) as last_login_at
+  from events where user_id % 7 <> 0 and user_id % 11 <> 0 group by user_id
+  union all
+  select c.id, null, case when c.id % 7 = 0 then upper(o.email) else 'fresh' || c.id || '@new.example' end, null
+  from {USERS_SQL} c left join {USERS_SQL} o on o.id = c.id + 1 where c.id % 7 = 0 or c.id % 11 = 0
+  union all
+  select 1000000 + id, case when id % 10 = 0 then upper(username) else 'new ' || id end,
+         'share' || (id // 20) || '@new.example', null from {USERS_SQL} where id % 5 = 0)"""
+
+
+def _batch(spark, sf_dir):
+    u = users(spark, sf_dir).select("id", "username", "email")
+    none = F.lit(None).cast("string")
+    when = F.lit(None).cast("timestamp_ntz")
+    logins = (load(spark, sf_dir, "events").where("user_id % 7 <> 0 and user_id % 11 <> 0").groupBy(F.col("user_id").alias("id"))
+              .agg(F.max("ts").cast("timestamp_ntz").alias("last_login_at")).select("id", none.alias("username"), none.alias("email"), "last_login_at"))
+    other = u.select((F.col("id") - 1).alias("id"), F.upper("email").alias("other"))
+    moves = (u.where("id % 7 = 0 or id % 11 = 0").join(other, "id", "left").select(
+        "id", none.alias("username"), F.when(F.col("id") % 7 == 0, F.col("other")).otherwise(
+            F.concat(F.lit("fresh"), "id", F.lit("@new.example"))).alias("email"), when.alias("last_login_at")))
+    new = u.where("id % 5 = 0").select(
+        (F.col("id") + 1000000).alias("id"),
+        F.when(F.col("id") % 10 == 0, F.upper("username")).otherwise(F.concat(F.lit("new "), "id")).alias("username"),
+        F.concat(F.lit("share"), F.floor(F.col("id") / 20), F.lit("@new.example")).alias("email"), when.alias("last_login_at"))
+    return logins.unionByName(moves).unionByName(new)
+
+
 @query("dimension_upsert", sql=f"""
-  with u as {USERS_SQL},
-  b as (select user_id as id, max(ts) as last_login_at from events group by user_id),
-  m as (select coalesce(u.id, b.id) as id, u.username, u.email, coalesce(b.last_login_at, u.last_login_at) as last_login_at,
-               u.is_active, u.id is not null as in_users, b.id is not null as in_batch,
-               b.last_login_at is not null and b.last_login_at is distinct from u.last_login_at as changed
-        from u full outer join b on u.id = b.id)
-  select id, username, email, last_login_at, is_active,
-         case when not in_users and username is null then 'inserted'
-              when in_batch and changed then 'updated' else 'unchanged' end as action
-  from m""")
+  with u as {USERS_SQL}, b as {_BATCH_SQL},
+  held as (select id, lower(username) as v from u union all select id, lower(email) from u),
+  lost1 as (select distinct b.id from b join held h on h.v in (lower(b.username), lower(b.email)) and h.id <> b.id),
+  first_new as (select lower(email) as e, min(id) as id from b where id >= 1000000 and id not in (select id from lost1) group by 1),
+  lost3 as (select b.id from b join first_new f on lower(b.email) = f.e where b.id >= 1000000 and b.id <> f.id),
+  lost as (select id from lost1 union select id from lost3)
+  select coalesce(u.id, b.id) as id, coalesce(u.username, b.username) as username,
+         case when u.id is null then b.email when l.id is not null then u.email else coalesce(b.email, u.email) end as email,
+         case when l.id is not null then u.last_login_at else coalesce(b.last_login_at, u.last_login_at) end as last_login_at,
+         u.is_active,
+         case when l.id is not null then 'rejected' when u.id is null then 'inserted'
+              when b.id is not null and (b.last_login_at is distinct from u.last_login_at and b.last_login_at is not null
+                   or b.email is not null and b.email <> u.email) then 'updated' else 'unchanged' end as action
+  from u full outer join b on u.id = b.id left join lost l on l.id = coalesce(u.id, b.id)""")
 def q_dimension_upsert(spark, sf_dir):
-    """Upsert of last-login times (latest event per user) into the users dimension."""
+    """Upsert of logins, email changes and new users into the users dimension, names and emails kept unique."""
     u = users(spark, sf_dir).drop("segment")
-    b = load(spark, sf_dir, "events").groupBy(F.col("user_id").alias("id")).agg(F.max("ts").alias("last_login_at"))
-    return H.dimension_upsert(u, b, "id", "username", "email", ["last_login_at"])
+    return H.dimension_upsert(u, _batch(spark, sf_dir), "id", "username", "email", ["email", "last_login_at"])
 
 
 @query("lookup_label", sql="""
@@ -163,7 +205,11 @@ def q_lookup_label(spark, sf_dir):
     c = load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"), "c_nationkey")
     n = load(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
     # nation is a fixed 25-row code table: broadcast; customer grows with the data: planner's choice.
-    return (e.join(c, "user_id", "left").join(F.broadcast(n), "c_nationkey", "left")
+    # users are labelled once each; the label then joins the rows, heavy users by a salt on both sides
+    label = c.join(F.broadcast(n), "c_nationkey", "left").select("user_id", "n_name")
+    salts = F.array(*[F.lit(i) for i in range(8)])
+    salted = label.withColumn("__salt", F.explode(salts))
+    return (e.withColumn("__salt", F.pmod(F.xxhash64("event_id"), F.lit(8)).cast("int")).join(salted, ["user_id", "__salt"], "left")
             .select("event_id", "user_id", F.coalesce("n_name", F.lit("Unknown")).alias("nation")))
 
 

@@ -9,16 +9,12 @@ from tabreg.operators import explain as X
 from tabreg.operators import models as M
 from tabreg.operators.evaluate import regression_metrics
 from tabreg.operators.prep import (DropFirstOneHot, ExactMedianImputer, PopulationScaler, feature_names,
-                                   prepare_input)
+                                   named_features, prepare_input)
 from tabreg.operators.split import hash_split
 from tabreg.plans.registry import query, r6, rounded
 from tabreg.sources.tables import (CATEGORICAL_FEATURES, INTERACTION, LINE_SPLIT_SQL, NUMERIC_FEATURES, TARGET,
                                    bucket_sql, line_charge_split, load)
 
-# Iteration scale of the registered checks: the pool keeps the reference settings (depths, rates,
-# subsampling) with 1/20 of the rounds so the driver's sf0.01 run stays short. ``catalogue(1.0)``
-# is the full-size pool.
-QUERY_ROUNDS = 0.05
 NUM = [*NUMERIC_FEATURES, INTERACTION[0]]
 
 
@@ -30,9 +26,9 @@ def _metrics_by_side(model, data):
     return rounded(regression_metrics(M.score(model, data), label=TARGET, by=["split"]))
 
 
-def _fit_one(spark, sf_dir, name, rounds=QUERY_ROUNDS):
+def _fit_one(spark, sf_dir, name):
     data = _split(spark, sf_dir)
-    c = M.catalogue(rounds)[name]
+    c = M.catalogue()[name]
     model, _ = M.fit_candidate(c, data.where(F.col("split") == "train"), NUMERIC_FEATURES, CATEGORICAL_FEATURES,
                                INTERACTION, TARGET)
     return model, data
@@ -53,44 +49,50 @@ for _key, _name, _doc in [
     ("decision_tree", "Decision Tree", "Regression tree, depth 10."),
     ("random_forest", "Random Forest", "Bootstrap forest, all features per split."),
     ("gbt", "Gradient Boosting", "Gradient-boosted trees, rate 0.05, depth 3."),
-    ("gbt_subsampled", "XGBoost", "Boosted trees, depth 5, row and column subsampling 0.9."),
-    ("gbt_wide", "LightGBM", "Boosted trees, depth 5, 256 bins."),
-    ("gbt_deep", "CatBoost", "Boosted trees, depth 6."),
-    ("forest_subspace", "Extra Trees", "Forest without bootstrap, one third of the features per split."),
+    ("gbt_subsampled", "gbt_subsampled", "Boosted trees, depth 5, row and column subsampling 0.9."),
+    ("gbt_wide", "gbt_wide", "Boosted trees, depth 5, 256 bins."),
+    ("gbt_deep", "gbt_deep", "Boosted trees, depth 6."),
+    ("forest_subspace", "forest_subspace", "Forest without bootstrap, one third of the features per split."),
     ("adaboost_r2", "AdaBoost", "AdaBoost.R2 (linear loss, depth-3 trees, weighted-median prediction)."),
 ]:
     _model_query(_key, _name, _doc)
 
 
+#: The candidates that are fitted once without rounds: their five-fold cross-validation fits in a query. The
+#: round-based ones are fitted in full by the queries above; ``workflow.train`` cross-validates the whole catalogue.
+POOL = ("Linear Regression", "Ridge Regression", "Lasso Regression", "Decision Tree")
+
+
 @query("model_pool")
 def q_model_pool(spark, sf_dir):
-    """Fit-and-compare of the Spark ML pool (reduced rounds): metrics, gap, fit time, rank."""
+    """Fit, five-fold cross-validation and ranking of the closed-form and single-tree candidates."""
     from tabreg.operators.rank import rank_models
-    data = _split(spark, sf_dir)
-    pool = {k: v for k, v in M.catalogue(0.02).items() if k != "AdaBoost"}
-    results, _, _ = M.train_all(data, pool, NUMERIC_FEATURES, CATEGORICAL_FEATURES, INTERACTION, TARGET, "row_key",
-                                workers=4)
-    res = results.withColumns({"cv_r2_mean": F.col("r2"), "cv_r2_std": F.lit(0.0)})
-    return rounded(rank_models(res).select("deployment_rank", "algorithm", "r2", "rmse", "mae", "r2_gap",
-                                           "generalisation", "complexity"))
+    pool = {k: v for k, v in M.catalogue().items() if k in POOL}
+    results, _, _ = M.train_all(_split(spark, sf_dir), pool, NUMERIC_FEATURES, CATEGORICAL_FEATURES, INTERACTION, TARGET,
+                                "row_key", folds=5)
+    return rounded(rank_models(results).select("deployment_rank", "algorithm", "r2", "rmse", "mae", "cv_r2_mean", "cv_r2_std",
+                                               "r2_gap", "generalisation", "complexity"))
 
 
 @query("cross_validate_ml")
 def q_cross_validate_ml(spark, sf_dir):
     """5-fold CV of the depth-10 tree; the whole preparation is refitted inside each fold."""
     data = _split(spark, sf_dir).where(F.col("split") == "train")
-    c = M.catalogue(QUERY_ROUNDS)["Decision Tree"]
+    c = M.catalogue()["Decision Tree"]
     return rounded(M.cross_validate(c, data, NUMERIC_FEATURES, CATEGORICAL_FEATURES, INTERACTION, TARGET,
                                     "row_key", 5))
 
 
-@query("predict_batch")
+@query("predict_batch", sql="""
+  select l_orderkey, l_linenumber, true as kept, true as predicted from lineitem""")
 def q_predict_batch(spark, sf_dir):
-    """Score a batch (every lineitem row) with the fitted pipeline; input columns are kept."""
+    """Validated batch scoring of every lineitem row: extra columns kept, one finite prediction per row."""
     model, _ = _fit_one(spark, sf_dir, "Linear Regression")
     li = load(spark, sf_dir, "lineitem")  # the batch carries extra columns (keys, dates) that are kept
-    out = M.score(model, li).withColumnRenamed("prediction", "predicted_charge")
-    return rounded(out.drop("features"))
+    out = M.predict_batch(model, li, [*NUMERIC_FEATURES, *CATEGORICAL_FEATURES], INTERACTION, "predicted_charge")
+    kept = all(c in out.columns for c in li.columns)
+    return out.select("l_orderkey", "l_linenumber", F.lit(kept).alias("kept"),
+                      (F.col("predicted_charge").isNotNull() & ~F.isnan("predicted_charge")).alias("predicted"))
 
 
 @query("importance_native")
@@ -114,10 +116,7 @@ def q_importance_permutation(spark, sf_dir):
 def _linear_contributions(spark, sf_dir):
     model, data = _fit_one(spark, sf_dir, "Linear Regression")
     names = feature_names(model)
-    prep = model.stages[:-1]
-    prepared = data
-    for st in prep[:-1]:  # all preparation stages but the assembler: named columns stay visible
-        prepared = st.transform(prepared)
+    prepared = named_features(model, data)
     train_prepared = prepared.where(F.col("split") == "train")
     means = train_prepared.agg(*[F.avg(n).alias(n) for n in names]).first()
     lr = model.stages[-1]
@@ -144,13 +143,13 @@ def _sampled(spark, sf_dir):
     model, data = _fit_one(spark, sf_dir, "Decision Tree")
     train = data.where(F.col("split") == "train")
     test = data.where(F.col("split") == "test")
-    bg = X.background_rows(train, "row_key", 10)
-    return X.shap_sampled(model, test, bg, [*NUMERIC_FEATURES, *CATEGORICAL_FEATURES], "row_key", permutations=2)
+    bg = X.background_rows(train, "row_key", X.BACKGROUND)
+    return X.shap_sampled(model, test, bg, [*NUMERIC_FEATURES, *CATEGORICAL_FEATURES], "row_key")
 
 
 @query("shap_sampled")
 def q_shap_sampled(spark, sf_dir):
-    """Sampled Shapley values (10 background rows, 2 orders) of the tree pipeline for every test row."""
+    """Sampled Shapley values (100 background rows, 2 orders) of the tree pipeline for every test row."""
     return rounded(_sampled(spark, sf_dir))
 
 
@@ -165,7 +164,7 @@ def q_learning_curve(spark, sf_dir):
     """Train/validation R2 (mean and population std over 5 folds) at 20..100 % of the training folds."""
     from tabreg.operators.evaluate import learning_curve
     data = _split(spark, sf_dir).where(F.col("split") == "train")
-    c = M.catalogue(QUERY_ROUNDS)["Linear Regression"]
+    c = M.catalogue()["Linear Regression"]
     return rounded(learning_curve(c, data, NUMERIC_FEATURES, CATEGORICAL_FEATURES, INTERACTION, TARGET, "row_key"))
 
 
@@ -221,10 +220,10 @@ def q_one_hot_drop_first(spark, sf_dir):
     """Drop-first dummies of the two categoricals (levels sorted from train rows), in long form."""
     t = _split(spark, sf_dir)
     enc = DropFirstOneHot(inputCols=CATEGORICAL_FEATURES).fit(t.where(F.col("split") == "train"))
-    names = enc.outputNames()
     out = enc.transform(t)
     return out.select("row_key", F.explode(F.array(*[
-        F.struct(F.lit(n).alias("dummy"), F.col(n).alias("value")) for n in names])).alias("kv")).select(
+        F.struct(F.lit(n).alias("dummy"), F.col(c).alias("value"))
+        for n, c in zip(enc.outputNames(), enc.outputColumns())])).alias("kv")).select(
         "row_key", "kv.dummy", "kv.value")
 
 
@@ -252,10 +251,7 @@ def _prep_query(spark, sf_dir, scale):
     t = _split(spark, sf_dir)
     pipe = preparation_pipeline(NUMERIC_FEATURES, CATEGORICAL_FEATURES, scale, INTERACTION)
     model = pipe.fit(t.where(F.col("split") == "train"))
-    out = t
-    for st in model.stages[:-1]:
-        out = st.transform(out)
-    return rounded(out.select("row_key", *feature_names(model)))
+    return rounded(named_features(model, t).select("row_key", *feature_names(model)))
 
 
 @query("prep_tree", sql=_prep_sql(False))

@@ -72,12 +72,15 @@ def q_distinct_no_null(spark, sf_dir):
     return P.distinct_counts(doc_labels(spark, sf_dir), dropna=True)
 
 
-_DOC_TYPES = {"doc_id": "int64", "lang": "object", "source": "object", "n_chars": "int64",
-              "quality": "int64", "toxic": "int64"}
+def _doc_type(c: str) -> str:
+    """SQL text: the dtype, derived from the column's kind and whether it has missing values."""
+    if c in ("lang", "source"):
+        return "'object'"
+    return f"case when count(*) > count({c}) then 'float64' else 'int64' end"
 
 
 @query("column_summary", sql="select * from (" + _union([
-    f"select '{c}' as column, '{_DOC_TYPES[c]}' as data_type, cast(count(*) - count({c}) as bigint) as missing, "
+    f"select '{c}' as column, {_doc_type(c)} as data_type, cast(count(*) - count({c}) as bigint) as missing, "
     f"cast(count(distinct {c}) + max(case when {c} is null then 1 else 0 end) as bigint) as unique_with_null, "
     f"cast(count(distinct {c}) as bigint) as unique, {i} as position from {DOC_LABELS_SQL}"
     for i, c in enumerate(DOC_COLS)]) + ")")
@@ -87,7 +90,7 @@ def q_column_summary(spark, sf_dir):
 
 
 @query("profile_join", sql="select * from (" + _union([
-    f"select '{c}' as column, '{_DOC_TYPES[c]}' as data_type, cast(count(*) - count({c}) as bigint) as missing, "
+    f"select '{c}' as column, {_doc_type(c)} as data_type, cast(count(*) - count({c}) as bigint) as missing, "
     f"cast(count(distinct {c}) + max(case when {c} is null then 1 else 0 end) as bigint) as unique_values "
     f"from {DOC_LABELS_SQL}" for c in DOC_COLS]) + ")")
 def q_profile_join(spark, sf_dir):
@@ -233,7 +236,7 @@ def q_corr_strength_filter(spark, sf_dir):
          array_to_string(list_sort(list(distinct source)), ',') from documents""")
 def q_category_summary(spark, sf_dir):
     """Sorted distinct levels and level count of the document categoricals."""
-    return P.category_summary(load(spark, sf_dir, "documents"), ["lang", "source"])
+    return P.category_summary(load(spark, sf_dir, "documents"), ["lang", "source"], max_levels=1000)
 
 
 @query("histogram", sql=f"""

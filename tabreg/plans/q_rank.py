@@ -220,8 +220,10 @@ def q_name_contains(spark, sf_dir):
 
 
 @query("report_comparison", sql=RANK_SQL + """
-  select deployment_rank, algorithm, printf('%.4f', r2) as r2, printf('%.4f', rmse) as rmse, printf('%.4f', mae) as mae,
-         printf('%.4f', cv_r2_mean) as cv_r2_mean, printf('%.2f', deployment_score) as deployment_score
+  select deployment_rank, algorithm, replace(printf('%.4f', train_r2), '-0.0000', '0.0000') as train_r2, printf('%.4f', r2) as r2,
+         printf('%.4f', rmse) as rmse, printf('%.4f', mae) as mae, printf('%.4f', cv_r2_mean) as cv_r2_mean,
+         printf('%.4f', cv_r2_std) as cv_r2_std, replace(printf('%.4f', r2_gap), '-0.0000', '0.0000') as r2_gap,
+         printf('%.2f', deployment_score) as deployment_score
   from rk""")
 def q_report_comparison(spark, sf_dir):
     """Comparison report table: preferred visible columns, 4-dp metrics, 2-dp score."""
@@ -229,9 +231,6 @@ def q_report_comparison(spark, sf_dir):
     return comparison_table(ranked(spark, sf_dir))
 
 
-_ = BASELINE_NAMES
-
-
 def _lc_sql():
     from tabreg.sources.tables import bucket_sql
     from tabreg.operators.baselines import _c

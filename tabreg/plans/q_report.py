@@ -41,6 +41,30 @@ def q_report_data_understanding(spark, sf_dir):
 _LC_NUM = [*NUMERIC_FEATURES, "charge"]
 
 
+def _understanding_sql():
+    parts = []
+    for c in ["row_key", *LC_ALL]:
+        kind = "max('object')" if c in ("row_key", "l_returnflag", "l_linestatus") else (
+            "case when count(*) > count(l_linenumber) then 'float64' else 'int64' end" if c == "l_linenumber" else "max('float64')")
+        parts += [f"select '{c}' as column, 'data_type' as fact, {kind} as value from {LC}",
+                  f"select '{c}', 'missing', cast(count(*) - count({c}) as varchar) from {LC}",
+                  f"select '{c}', 'unique', cast(count(distinct {c}) as varchar) from {LC}",
+                  f"select '{c}', 'unique_with_null', cast(count(distinct {c}) + max(case when {c} is null then 1 else 0 end) as varchar) from {LC}"]
+    for c in _LC_NUM:
+        parts.append(f"select '{c}', 'count', cast(count({c}) as varchar) from {LC}")
+        for f, e in (("mean", "avg({c})"), ("std", "stddev_samp({c})"), ("min", "min({c})"), ("q25", "quantile_cont({c}, 0.25)"),
+                     ("q50", "quantile_cont({c}, 0.5)"), ("q75", "quantile_cont({c}, 0.75)"), ("max", "max({c})")):
+            parts.append(f"select '{c}', '{f}', printf('%.6f', ({e.format(c=c)})::double + 0.0) from {LC}")
+    return " union all ".join(parts)
+
+
+@query("report_columns", sql=_understanding_sql())
+def q_report_columns(spark, sf_dir):
+    """The per-column part of the data-understanding report: column summary and describe()."""
+    lc = line_charge(spark, sf_dir)
+    return RP.data_understanding_columns(lc, _LC_NUM)
+
+
 def _eda_sql():
     parts = []
     for c in NUMERIC_FEATURES:
@@ -81,7 +105,7 @@ _EVAL = ["train_mae", "train_rmse", "train_r2", "mae", "mse", "rmse", "r2", "r2_
     + ")")
 def q_report_evaluation(spark, sf_dir):
     """Evaluation report of the selected baseline (p3): metric name and 4-dp value."""
-    p = baseline_predictions(line_charge_split(spark, sf_dir)).where(F.col("model") == "p3")
+    p = baseline_predictions(line_charge_split(spark, sf_dir), models=["p3"])
     m = rounded(train_test_metrics(p))
     return RP.evaluation_table(m, _EVAL)
 
@@ -90,16 +114,22 @@ def q_report_evaluation(spark, sf_dir):
   lc2 as {LC}
   select 'fact' as section, 'n_rows' as item, cast((select count(*) from lc2) as varchar) as value
   union all select 'fact', 'n_columns', '9'
+  union all select 'fact', 'target', 'charge'
+  union all select 'fact', 'duplicate_rows', cast((select coalesce(sum(c - 1), 0) from
+            (select count(*) as c from lc2 group by {', '.join(LC_ALL)})) as varchar)
+  union all select 'fact', 'missing_total', cast((select {' + '.join(f'count(*) - count({c})' for c in ['row_key', *LC_ALL])}
+                                         from lc2) as varchar)
+  union all select 'metric', 'r2', printf('%.4f', r2) from rk where deployment_rank = 1
+  union all select 'metric', 'rmse', printf('%.4f', rmse) from rk where deployment_rank = 1
+  union all select 'metric', 'mae', printf('%.4f', mae) from rk where deployment_rank = 1
+  union all select 'metric', 'cv_r2_mean', printf('%.4f', cv_r2_mean) from rk where deployment_rank = 1
+  union all select 'metric', 'cv_r2_std', printf('%.4f', cv_r2_std) from rk where deployment_rank = 1
   union all select 'top_model', cast(deployment_rank as varchar), algorithm from rk where deployment_rank <= 5
   union all select 'winner', algorithm, printf('%.2f', {r6('deployment_score')}) from rk where deployment_rank = 1""")
 def q_report_final(spark, sf_dir):
-    """Final report: table facts, top five ranked algorithms, winner with score."""
-    lc = line_charge(spark, sf_dir)
-    facts = lc.agg(F.count(F.lit(1)).cast("string").alias("v")).select(
-        F.explode(F.array(F.struct(F.lit("n_rows").alias("item"), F.col("v").alias("value")),
-                          F.struct(F.lit("n_columns").alias("item"), F.lit(str(len(lc.columns))).alias("value"))))
-        .alias("kv")).select(F.lit("fact").alias("section"), "kv.*")
+    """Final report: table facts, winner's metrics, top five ranked algorithms, winner with score."""
     r = rounded(ranked(spark, sf_dir))
+    facts = RP.final_facts(line_charge(spark, sf_dir), "charge", r.where(F.col("deployment_rank") == 1), ["row_key"])
     top = r.where(F.col("deployment_rank") <= 5).select(F.lit("top_model").alias("section"),
                                                         F.col("deployment_rank").cast("string").alias("item"),
                                                         F.col("algorithm").alias("value"))

@@ -32,8 +32,8 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8, app: st
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the session's checkpoint folder.
 
-    On a cluster ``spark.checkpoint.dir`` names a shared folder and is used as given. Only when it is
-    unset (local tests) is a fresh scratch folder created and registered.
+    On a cluster ``spark.checkpoint.dir`` names a shared folder and is used as given. Only in local mode is a
+    fresh scratch folder made where it is unset; elsewhere that is an error, since executors would not share it.
     """
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if conf_dir:
@@ -42,6 +42,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     local_dir = tempfile.mkdtemp(prefix="tabreg-ckpt-", dir=os.environ.get("TABREG_SCRATCH", "/tmp"))
     spark.sparkContext.setCheckpointDir(local_dir)
     try:

@@ -25,9 +25,12 @@ from tabreg.operators.split import hash_split
 from tabreg.sources.io import sink_csv, sink_json
 
 
-def read_table(spark: SparkSession, path: str) -> DataFrame:
+def read_table(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """A parquet or CSV table; a CSV needs its declared schema (no second pass over the file to guess it)."""
     if path.endswith(".csv"):
-        return spark.read.option("header", True).option("inferSchema", True).csv(path)
+        if not schema:
+            raise ValueError("a CSV needs --schema, for example 'id bigint, x double'")
+        return spark.read.option("header", True).schema(schema).csv(path)
     return spark.read.parquet(path)
 
 
@@ -44,10 +47,7 @@ def train(df: DataFrame, target: str, key: str, numeric, categorical, interactio
     winner = M.winner_row(ranked)
     sink_json(winner, os.path.join(out_dir, "model_metadata"))
     model = fitted[best["algorithm"]]
-    try:
-        M.save_model(model, os.path.join(out_dir, "model"))
-    except Exception as exc:  # noqa: BLE001 - AdaBoost.R2 is not MLWritable
-        print(f"model not persisted: {exc}")
+    M.save_model(model, os.path.join(out_dir, "model"))
     return ranked
 
 
@@ -70,6 +70,10 @@ def evaluate(df: DataFrame, target: str, key: str, numeric, categorical, interac
     raw_test = data.where(F.col("split") == "test")
     sink_csv(X.importance_permutation(model, raw_test, inputs, key, target),
              os.path.join(out_dir, "permutation_importance"))
+    background = X.background_rows(data.where(F.col("split") == "train"), key, X.BACKGROUND)
+    shap = X.shap_sampled(model, raw_test, background, inputs, key)
+    sink_csv(shap, os.path.join(out_dir, "shap_values"))
+    sink_csv(X.shap_global(shap), os.path.join(out_dir, "shap_importance"))
     if algorithm:
         cand = M.catalogue(rounds)[algorithm]
         train_rows = data.where(F.col("split") == "train")
@@ -94,9 +98,10 @@ def main(argv=None) -> None:
     ap.add_argument("--rounds", type=float, default=1.0)
     ap.add_argument("--folds", type=int, default=5)
     ap.add_argument("--algorithm", default=None)
+    ap.add_argument("--schema", default=None, help="columns and types of a CSV")
     a = ap.parse_args(argv)
     spark = SparkSession.builder.getOrCreate()
-    df = read_table(spark, a.data)
+    df = read_table(spark, a.data, a.schema)
     numeric = [c for c in a.numeric.split(",") if c]
     categorical = [c for c in a.categorical.split(",") if c]
     inter = tuple(a.interaction.split(",")) if a.interaction else None

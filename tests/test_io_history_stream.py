@@ -56,8 +56,11 @@ def test_history_append_latest_clear_delete(spark, scratch):
     h = H.history_read(spark, path)
     assert h.count() == e.count()
     assert h.where("inputs_json is null").count() == 0
-    latest = H.history_latest(h, 99999)  # clamped to 5000
+    latest = H.history_latest(h, 5000)
     assert latest.count() == h.count()
+    with pytest.raises(ValueError, match="99999"):
+        H.history_latest(h, 99999)
+    assert H.history_latest(h, 99999, most=100_000).count() == h.count()
     one = H.history_latest(h, 2, user_id=8).collect()
     ids = sorted((r["id"] for r in h.where("user_id = 8").collect()), reverse=True)[:2]
     assert [r["id"] for r in one] == ids
@@ -121,3 +124,39 @@ def test_workflow_train_then_evaluate(spark, scratch):
     for sub in ("model_comparison", "model_metadata", "unseen_test_predictions", "evaluation_metrics",
                 "learning_curve", "cross_validation_scores", "permutation_importance"):
         assert os.path.isdir(os.path.join(scratch, sub)), sub
+
+
+USERS = "id long, name string, mail string, seen string"
+
+
+def test_upsert_rejected_rows_claim_nothing(spark):
+    users = spark.createDataFrame([(1, "Ann", "ann@x.io", None)], USERS)
+    batch = spark.createDataFrame([(2, "ANN", "bob@x.io", None), (3, "Bob", "bob@x.io", None), (4, "bob", "c@x.io", None),
+                                   (5, None, None, None), (6, None, None, None)], USERS)
+    got = {r["id"]: r["action"] for r in H.dimension_upsert(users, batch, "id", "name", "mail", ["mail"]).collect()}
+    assert got == {1: "unchanged", 2: "rejected", 3: "inserted", 4: "rejected", 5: "inserted", 6: "inserted"}
+
+
+def test_upsert_keeps_emails_of_updates_unique(spark):
+    users = spark.createDataFrame([(1, "Ann", "ann@x.io", None), (2, "Bob", "bob@x.io", None), (3, "Cy", None, None)], USERS)
+    batch = spark.createDataFrame([(2, None, "ANN@x.io", "now"), (3, None, "new@x.io", None), (9, "Di", "NEW@x.io", None)], USERS)
+    rows = {r["id"]: r for r in H.dimension_upsert(users, batch, "id", "name", "mail", ["mail", "seen"]).collect()}
+    assert rows[2]["action"] == "rejected" and rows[2]["mail"] == "bob@x.io" and rows[2]["seen"] is None
+    assert rows[3]["action"] == "updated" and rows[3]["mail"] == "new@x.io" and rows[9]["action"] == "rejected"
+
+
+def test_upsert_settles_chains(spark):
+    users = spark.createDataFrame([], USERS)
+    batch = spark.createDataFrame([(i, f"n{i // 2}", f"m{(i + 1) // 2}", None) for i in range(8)], USERS)
+    taken, want = set(), {}
+    for i in range(8):  # in key order, a row is taken if both its values are free
+        mine = {f"n{i // 2}", f"m{(i + 1) // 2}"}
+        want[i] = "rejected" if mine & taken else "inserted"
+        taken |= mine if want[i] == "inserted" else set()
+    got = {r["id"]: r["action"] for r in H.dimension_upsert(users, batch, "id", "name", "mail", []).collect()}
+    assert got == want
+
+
+def test_orphan_check_counts_null_keys_as_orphans(spark):
+    facts = spark.createDataFrame([(1,), (1,), (2,), (None,)], "k long")
+    assert tuple(H.orphan_check(facts, spark.createDataFrame([(1,), (None,)], "id long"), "k", "id").first()) == (2, 2)

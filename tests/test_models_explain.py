@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tabreg.operators import explain as X
 from tabreg.operators import models as M
-from tabreg.operators.prep import feature_names
+from tabreg.operators.prep import feature_names, named_features
 from tabreg.sources.tables import CATEGORICAL_FEATURES, INTERACTION, NUMERIC_FEATURES, line_charge_split
 
 from conftest import SF_SMALL
@@ -73,9 +73,7 @@ def test_lasso_matches_coordinate_descent(data):
 def test_linear_contributions_sum_to_prediction_minus_mean(spark, data):
     model = _fit("Linear Regression", data)
     names = feature_names(model)
-    prepared = data
-    for st in model.stages[:-2]:
-        prepared = st.transform(prepared)
+    prepared = named_features(model, data)
     means = prepared.agg(*[F.avg(n).alias(n) for n in names]).first()
     lr = model.stages[-1]
     contrib = X.shap_linear(prepared, names, lr.coefficients.toArray().tolist(), "row_key",
@@ -122,7 +120,7 @@ def test_weighted_median_rule(spark):
     from pyspark.ml.regression import DecisionTreeRegressor
     df = spark.createDataFrame([(Vectors.dense([float(i)]), float(i)) for i in range(10)], ["features", "label"])
     trees = [DecisionTreeRegressor(maxDepth=1).fit(df.withColumn("label", F.lit(v))) for v in (1.0, 5.0, 9.0)]
-    m = M.AdaBoostR2Model(trees, [0.2, 0.5, 0.3])
+    m = M.AdaBoostR2Model.of(trees, [0.2, 0.5, 0.3])
     # sorted predictions 1 (0.2), 5 (0.5 -> cum 0.7 >= 0.5): weighted median is 5
     assert {r["prediction"] for r in m.transform(df).collect()} == {5.0}
 
@@ -142,3 +140,50 @@ def test_model_save_load_round_trip(spark, data, scratch):
     a = model.transform(data).select("row_key", "prediction")
     b = back.transform(data).select("row_key", F.col("prediction").alias("p2"))
     assert a.join(b, "row_key").where(F.abs(F.col("prediction") - F.col("p2")) > 1e-9).count() == 0
+
+
+def test_adaboost_saves_and_matches_its_trees(spark, data, scratch):
+    model = _fit("AdaBoost", data)
+    M.save_model(model, f"{scratch}/ada")
+    back = M.load_model(f"{scratch}/ada")
+    a = model.transform(data).select("row_key", "prediction")
+    b = back.transform(data).select("row_key", F.col("prediction").alias("p2"))
+    assert a.join(b, "row_key").where("prediction <> p2").count() == 0
+
+
+def test_tree_arrays_predict_as_the_tree(spark):
+    from pyspark.ml.linalg import Vectors
+    from pyspark.ml.regression import DecisionTreeRegressor
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(200, 3))
+    df = spark.createDataFrame([(Vectors.dense(r), float(r[0] * 2 + (r[1] > 0) - r[2] ** 2)) for r in x], ["features", "label"])
+    tree = DecisionTreeRegressor(maxDepth=4).fit(df)
+    one = M.AdaBoostR2Model.of([tree], [1.0], predictionCol="p2")
+    assert one.transform(tree.transform(df)).where("prediction <> p2").count() == 0
+
+
+def test_predict_batch_checks_keeps_and_derives(data):
+    model = _fit("Linear Regression", data)
+    out = M.predict_batch(model, data, [*NUM, *CAT], INTERACTION, "p")
+    assert out.columns == [*data.columns, INTERACTION[0], "p"]
+    assert out.join(data, data.columns).count() == data.count()  # inputs come back as they went in
+    with pytest.raises(Exception, match="l_tax"):
+        M.predict_batch(model, data.drop("l_tax"), [*NUM, *CAT], INTERACTION)
+
+
+def test_permutation_importance_of_an_unused_column_is_zero(spark, data):
+    model = _fit("Linear Regression", data)
+    lr = model.stages[-1]
+    imp = {r["feature"]: r for r in X.importance_permutation(
+        model, data.where("split = 'test'"), [*NUM, *CAT], "row_key", "charge", repeats=3, buckets=1).collect()}
+    assert len(imp) == len(NUM) + len(CAT) and abs(imp["l_linenumber"]["importance_mean"]) < 0.01
+    assert imp["l_extendedprice"]["importance_mean"] > 0.5 and len(lr.coefficients) == len(feature_names(model))
+
+
+def test_cross_validation_uses_the_folds_own_facts(data):
+    seen = []
+    real = M.training_facts
+    c = M.Candidate("Ridge", True, lambda f: (seen.append(f["n"]), M.catalogue()["Ridge Regression"].build(f))[1])
+    train = data.where("split = 'train'")
+    M.cross_validate(c, train, NUM, CAT, INTERACTION, "charge", "row_key", 3)
+    assert len(seen) == 3 and sum(seen) == 2 * train.count() and real is M.training_facts

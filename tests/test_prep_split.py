@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tabreg.operators.columns import MissingColumnsError, require_columns, select_ordered
 from tabreg.operators.prep import (DropFirstOneHot, ExactMedianImputer, InteractionFeature, PopulationScaler,
-                                   feature_names, preparation_pipeline, prepare_input)
+                                   feature_names, named_features, preparation_pipeline, prepare_input)
 from tabreg.operators.split import hash_split
 from tabreg.sources.tables import CATEGORICAL_FEATURES, INTERACTION, NUMERIC_FEATURES, line_charge
 
@@ -113,3 +113,32 @@ def test_global_rank_is_a_permutation_in_key_order(spark):
     assert keys == sorted(keys)
     sizes = sorted(x["count"] for x in kfold_contiguous(lc, ["row_key"], 5).groupBy("fold").count().collect())
     assert sizes[-1] - sizes[0] <= 1 and sum(sizes) == n
+
+
+def test_lookalike_columns_are_never_features_and_levels_hold_any_character(spark):
+    rows = [(1.0, "a", 2.0, 10.0), (2.0, "b", 3.5, 20.0), (3.0, "a", 2.0, 30.0)]
+    df = spark.createDataFrame(rows, "x double, kind string, h double, kind_total double")
+    m = preparation_pipeline(["x"], ["kind", "h"], False).fit(df)
+    assert feature_names(m) == ["x", "kind_b", "h_3.5"]
+    assert [tuple(r["features"].toArray()) for r in m.transform(df).collect()] == [(1, 0, 0), (2, 1, 1), (3, 0, 0)]
+    assert "h_3.5" in named_features(m, df).columns
+
+
+def test_too_many_levels_names_the_column(spark):
+    df = spark.createDataFrame([(str(i), "k") for i in range(6)], "a string, b string")
+    with pytest.raises(ValueError, match="column a has more than 5 levels"):
+        DropFirstOneHot(inputCols=["a", "b"], maxLevels=5).fit(df)
+    assert len(DropFirstOneHot(inputCols=["a", "b"], maxLevels=6).fit(df).outputNames()) == 5
+
+
+def test_all_missing_column_warns(spark):
+    with pytest.warns(UserWarning, match="x"):
+        ExactMedianImputer(inputCols=["x"]).fit(spark.createDataFrame([(None,)], "x double"))
+
+
+def test_global_rank_keeps_null_and_repeated_keys(spark):
+    from tabreg.operators.split import global_rank
+    df = spark.createDataFrame([("a", 1), ("b", 2), (None, 3), ("c", 4), ("c", 5)], "k string, v int")
+    rows = sorted(global_rank(df, ["k"]).collect(), key=lambda r: r["rank"])
+    assert [r["rank"] for r in rows] == [0, 1, 2, 3, 4]
+    assert [r["k"] for r in rows] == [None, "a", "b", "c", "c"] and {r["v"] for r in rows} == {1, 2, 3, 4, 5}

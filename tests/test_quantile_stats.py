@@ -75,3 +75,41 @@ def test_duplicate_rows_digest_matches_exact(spark):
     exact = duplicate_rows(df).first()[0]
     digest = duplicate_rows(df, by_digest=True).first()[0]
     assert exact == digest == 4
+
+
+def test_exact_quantiles_narrow_crowded_brackets(spark):
+    import numpy as np
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(size=4000), np.full(2500, 0.25), np.full(50, -3.0)])
+    df = spark.createDataFrame([(float(v), float(i % 7)) for i, v in enumerate(x)], "x double, y double").repartition(6)
+    probs = [0.0, 0.01, 0.25, 0.5, 0.77, 0.999, 1.0]
+    got = {(r["column"], r["p"]): r["value"] for r in exact_quantiles(df, ["x", "y"], probs, accuracy=20, bracket_rows=30).collect()}
+    for c, v in (("x", x), ("y", np.arange(len(x)) % 7.0)):
+        for p in probs:
+            assert got[c, p] == pytest.approx(np.quantile(v, p), abs=1e-12), (c, p)
+
+
+def test_correlations_of_many_columns_with_gaps(spark):
+    import numpy as np
+    from tabreg.operators.profile import corr_matrix, corr_target
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(300, 60)) * 1e-3 + 1e6
+    x[:, 1] = x[:, 0] * 2
+    x[:, 2] = 5.0
+    x[rng.random(x.shape) < .05] = np.nan
+    df = spark.createDataFrame([tuple(None if np.isnan(v) else float(v) for v in r) for r in x], ", ".join(f"c{i} double" for i in range(60)))
+    got = {(r["column_a"], r["column_b"]): r["r"] for r in corr_matrix(df).collect()}
+    assert len(got) == 60 * 59 // 2
+    for i, j in ((0, 1), (3, 40), (58, 59), (2, 7)):
+        both = ~np.isnan(x[:, i]) & ~np.isnan(x[:, j])
+        a, b = x[both, i] - 1e6, x[both, j] - (2e6 if j == 1 else 1e6)
+        want = None if i == 2 else np.corrcoef(a, b)[0, 1]
+        assert got[f"c{i}", f"c{j}"] is None if want is None else got[f"c{i}", f"c{j}"] == pytest.approx(want, abs=1e-6)
+    assert {r["column"]: r["r"] for r in corr_target(df, "c40").collect()}["c3"] == pytest.approx(got["c3", "c40"], abs=1e-9)
+
+
+def test_dtype_of_integers_with_missing_values(spark):
+    from tabreg.operators.profile import column_summary
+    df = spark.createDataFrame([(1, 1, True, None), (2, None, None, None)], "a int, b int, c boolean, d decimal(5,2)")
+    assert {r["column"]: r["data_type"] for r in column_summary(df).collect()} == {
+        "a": "int64", "b": "float64", "c": "object", "d": "object"}
