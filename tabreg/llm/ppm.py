@@ -60,6 +60,11 @@ def _mask(k: int) -> np.uint64:
     return np.uint64((1 << _BITS * k) - 1)
 
 
+def _narrow(x: np.ndarray) -> np.ndarray:
+    """Counts in 32 bits where they fit."""
+    return x.astype(np.uint32 if not len(x) or x.max() < 1 << 32 else np.int64)
+
+
 def _sum_by(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     by = np.argsort(keys)
     keys = keys[by]
@@ -137,8 +142,8 @@ class Trie:
             first = np.flatnonzero(np.append(True, ctx[1:] != ctx[:-1])) if len(ctx) else np.zeros(0, np.int64)
             total = np.add.reduceat(counts, first) if len(first) else counts[:0]
             kinds = np.diff(np.append(first, len(ctx)))
-            self.levels.append({"entry": codes, "count": counts.astype(np.float64), "ctx": ctx[first],
-                                "first": first, "n": total.astype(np.float64), "t": kinds.astype(np.float64)})
+            self.levels.append({"entry": codes, "count": _narrow(counts), "ctx": ctx[first], "first": first,
+                                "n": _narrow(total), "t": _narrow(kinds)})
         self.levels.reverse()
         for k in range(1, order + 1):
             self._left(k)
@@ -148,10 +153,16 @@ class Trie:
         up, down = self.levels[k], self.levels[k - 1]
         if len(up["entry"]):
             at = np.searchsorted(down["entry"], up["entry"] & _mask(k))
-            seen = np.add.reduceat(down["count"][at], up["first"])
+            seen = np.add.reduceat(down["count"][at].astype(np.int64), up["first"])
             node = np.searchsorted(down["ctx"], up["ctx"] & _mask(k - 1))
-            up["n_left"] = down["n"][node] - seen
-            up["t_left"] = down["t"][node] - up["t"]
+            up["n_left"] = _narrow(down["n"][node] - seen)
+            up["t_left"] = _narrow(down["t"][node].astype(np.int64) - up["t"])
+
+    def packed(self) -> "Trie":
+        """Without what only the building needs."""
+        for level in self.levels:
+            level.pop("first", None)
+        return self
 
     def replace_short(self, whole: "Trie") -> None:
         """Take the contexts of under two symbols from ``whole`` (counts of all shards)."""
@@ -179,7 +190,7 @@ class Trie:
             e = np.minimum(np.searchsorted(lv["entry"], c), len(lv["entry"]) - 1)
             hit = lv["entry"][e] == c
             pays = hit | (t > 0)
-            gain = np.where(hit, lv["count"][e], t)
+            gain = np.where(hit, lv["count"][e], t).astype(np.float64)
             lp[i[pays]] += np.log10(gain[pays]) - np.log10((n + t)[pays])
             if k:
                 n_left[i] = lv["n_left"][node]
@@ -188,7 +199,7 @@ class Trie:
             done[np.flatnonzero(known)[hit]] = True
             live = live[~done]
         if len(live):
-            left = SYMBOLS - (self.levels[0]["t"][0] if len(self.levels[0]["t"]) else 0)
+            left = SYMBOLS - (int(self.levels[0]["t"][0]) if len(self.levels[0]["t"]) else 0)
             lp[live] -= np.log10(left)
         return lp
 
@@ -202,7 +213,7 @@ def _score(tables, train_tokens: int, distinct: int):
         for batch in batches:
             data, off = B.text_bytes(batch.column("__text"))
             add = {c: [] for c in ("__tokens", "__known", "__base", "__score")}
-            for lo, hi in B.blocks(off):
+            for lo, hi in B.blocks(off, 1 << 20):
                 rows = hi - lo
                 score = np.zeros(rows)
                 if trie is not None:
@@ -217,7 +228,7 @@ def _score(tables, train_tokens: int, distinct: int):
                 row = np.append(row, np.arange(rows))
                 u, back = np.unique(h, return_inverse=True)
                 at = np.minimum(np.searchsorted(words, u), max(len(words) - 1, 0))
-                c = np.where(words[at] == u, counts[at], 0) if len(words) else np.zeros(len(u), np.int64)
+                c = np.where(words[at] == u, counts[at], 0).astype(np.int64) if len(words) else np.zeros(len(u), np.int64)
                 c = c[back]
                 add["__tokens"].append(np.bincount(row, minlength=rows))
                 add["__known"].append(np.bincount(row[c > 0], minlength=rows))
@@ -270,12 +281,15 @@ def score(docs: DataFrame, model: DataFrame, text_col: str = "text", order: int
             part = model.where(F.when(F.col("kind") == 0, of_gram).otherwise(F.pmod(F.xxhash64("code"), F.lit(shards))) == i)
         words, counts = _columns(part.where("kind = 1"))
         by = np.argsort(words)
+        words, counts = words[by], _narrow(counts[by])
+        del by
         trie = Trie(*_columns(part.where("kind = 0")), order)
         if shards > 1 and order > 1:
             trie.replace_short(Trie(*short, 1))
         gram_shards = shards if order > 1 else 1
-        table = spark.sparkContext.broadcast({"trie": trie if i < gram_shards else None, "words": words[by],
-                                              "counts": counts[by], "shard": i, "of": gram_shards})
+        table = spark.sparkContext.broadcast({"trie": trie.packed() if i < gram_shards else None, "words": words,
+                                              "counts": counts, "shard": i, "of": gram_shards})
+        del trie, words, counts
         out = out.transform(arrow, _score(table, tokens, vocab), out.schema)
     names = {"__tokens": "n_tokens", "__known": "n_known", "__base": "base_score", "__score": "score"}
     return out.select(*(F.col("__text").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns),
