@@ -29,7 +29,7 @@ from pyspark.sql import Window
 from tabreg.llm import bytesops as B
 from tabreg.llm.shared import arrow, written
 
-PER_CLASS, FEATURES, LEAST_TEXTS, STRONG, PENALTY, STEPS = 6000, 4096, 4, 5.0, 1e-3, 400
+PER_CLASS, FEATURES, LEAST_TEXTS, LEAST_Z, STRONG, PENALTY, STEPS = 6000, 4096, 4, 3.0, 5.0, 1e-5, 400
 IS_WORD = np.zeros(256, bool)
 IS_WORD[0x61:0x7B] = IS_WORD[0x80:] = True
 
@@ -125,7 +125,8 @@ class Scorer:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "toxic",
-        given: bool = False, per_class: int = PER_CLASS, features: int = FEATURES, least: int = LEAST_TEXTS) -> Scorer:
+        given: bool = False, per_class: int = PER_CLASS, features: int = FEATURES, least: int = LEAST_TEXTS,
+        least_z: float = LEAST_Z, penalty: float = PENALTY) -> Scorer:
     """Fit on a bounded sample. ``given``: ``grade_col`` holds grades 0, 1, 2, ...; else it holds 0 or 1."""
     known = (labels.where(F.col(id_col).isNotNull() & F.col(grade_col).isNotNull())
              .groupBy(F.col(id_col).alias("__id")).agg(F.max(F.col(grade_col)).cast("int").alias("grade")))
@@ -149,7 +150,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     z = F.log(a * (neg + 1 - b) / (b * (pos + 1 - a))) / F.sqrt(1 / a + 1 / b)
     counted = (rows.select((F.col("grade") > 0).alias("t"), F.explode("words").alias("word")).groupBy("word")
                .agg(F.count_if("t").alias("a"), F.count_if(~F.col("t")).alias("b")).where(F.col("a") + F.col("b") >= least)
-               .withColumn("z", z))
+               .withColumn("z", z).where(F.abs("z") >= least_z))
     picked = counted.orderBy(F.desc(F.abs("z")), "word").limit(features).select("word", "z").collect()
     words = np.array([r["word"] for r in picked], np.int64)
     strong = {r["word"] for r in picked if r["z"] >= STRONG}
@@ -168,7 +169,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     row = np.repeat(np.arange(len(taken)), [len(r["words"]) for r in taken])
     col = np.array([at[w] for r in taken for w in r["words"]], np.int64)
     weight = np.where(grade > 0, share[True] / pos, share[False] / neg)
-    model = Ordinal(len(words), int(grade.max()) + 1).fit(row, col, grade, weight)
+    model = Ordinal(len(words), int(grade.max()) + 1).fit(row, col, grade, weight, penalty)
     return Scorer(words, model)
 
 
