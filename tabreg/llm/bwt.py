@@ -312,9 +312,11 @@ def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     runs = written(texts.transform(arrow, _emit_runs(min_len, gram), RUNS), "runs")
     # keys seen twice; written, so that the join below deals out plain shuffles and can split a hot key
     again = written(runs.groupBy("key").agg(F.count("*").alias("total")).where("total > 1").select("key"), "again")
-    distinct = (runs.join(again, "key").groupBy("key", "ctx")
+    # grouped by the pair as one value: its partial counts are made before a shuffle of their own, whatever the join
+    # made of a key that a large share of the rows holds
+    distinct = (runs.join(again, "key").groupBy(F.struct("key", "ctx").alias("what"))
                 .agg(F.count("*").alias("n"), F.min(F.struct("row_key", "s0", "n_win", "off")).alias("one")))
-    distinct = written(distinct.select("key", "ctx", "n", "one.*"), "distinct")
+    distinct = written(distinct.select("what.*", "n", "one.*"), "distinct")
     crowded = distinct.groupBy("key").agg(F.count("*").alias("kinds")).where(F.col("kinds") > hot)
     wanted = (distinct.join(crowded, "key", "left").groupBy("row_key")
               .agg(F.collect_list(F.struct("s0", "n_win", "off", "key", "ctx", F.least("n", F.lit(2)).cast("int").alias("n"),
