@@ -272,3 +272,34 @@ def q_attach_actuals(spark, sf_dir):
     actual = line_charge(spark, sf_dir).select("row_key", "charge")
     return rounded(preds.join(actual, "row_key").select("row_key", F.col("charge").alias("actual"),
                                                          F.col("prediction").alias("predicted")))
+
+
+@query("scan_batch", sql="""
+  select cast(l_quantity as double) as l_quantity, cast(l_tax as double) as l_tax, l_returnflag, cast(l_orderkey as varchar) as note
+  from lineitem""")
+def q_scan_batch(spark, sf_dir):
+    """A batch as CSV text, read by its declared (text) schema, required inputs cast strictly, the rest kept."""
+    from tabreg.sources import io
+    li = load(spark, sf_dir, "lineitem")
+    lines = li.select(F.to_csv(F.struct(F.col("l_quantity").cast("double"), F.col("l_tax").cast("double"), "l_returnflag",
+                                        F.col("l_orderkey"))).alias("line"))
+    rows = io.parse_csv(lines, "line", "`l_quantity ` string, l_tax string, l_returnflag string, note string")
+    return io.checked_batch(rows, ["l_quantity", "l_tax"])
+
+
+@query("scan_json", sql="select event_id, event_type, value from events")
+def q_scan_json(spark, sf_dir):
+    """Event records as JSON text, read back by their declared schema."""
+    from tabreg.sources import io
+    e = load(spark, sf_dir, "events")
+    lines = e.select(F.to_json(F.struct("event_id", "event_type", "value")).alias("line"))
+    return io.parse_json(lines, "line", "event_id bigint, event_type string, value double")
+
+
+@query("require_columns", sql=f"select row_key, {', '.join(NUMERIC_FEATURES)} from ({LINE_CHARGE_SQL}) lc")
+def q_require_columns(spark, sf_dir):
+    """The inputs of a table that has them all (a table without is an error that names them, see the tests)."""
+    from tabreg.operators.columns import require_columns
+    lc = line_charge(spark, sf_dir)
+    require_columns(lc, NUMERIC_FEATURES)
+    return lc.select("row_key", *NUMERIC_FEATURES)

@@ -50,9 +50,24 @@ def scan_csv(spark: SparkSession, candidates: Sequence[str] | str, schema: Struc
 def scan_batch(spark: SparkSession, path: str, required: Sequence[str]) -> DataFrame:
     """Uploaded batch to score: required columns must exist and are cast strictly to double; extra
     columns are kept as they are."""
-    df = strip_names(spark.read.option("header", True).csv(path))
+    return checked_batch(spark.read.option("header", True).csv(path), required)
+
+
+def checked_batch(df: DataFrame, required: Sequence[str]) -> DataFrame:
+    """A batch of text columns: names trimmed, required columns there and cast strictly to double, others kept."""
+    df = strip_names(df)
     require_columns(df, required, "batch")
-    return df.withColumns({c: F.col(c).cast("double") for c in required})
+    return df.withColumns({c: F.col(f"`{c}`").cast("double") for c in required})
+
+
+def parse_csv(lines: DataFrame, column: str, schema: str) -> DataFrame:
+    """Rows of CSV text in ``column``, by a declared schema."""
+    return lines.select(F.from_csv(column, schema).alias("__row")).select("__row.*")
+
+
+def parse_json(lines: DataFrame, column: str, schema: str) -> DataFrame:
+    """Rows of JSON text in ``column``, by a declared schema."""
+    return lines.select(F.from_json(column, schema).alias("__row")).select("__row.*")
 
 
 def scan_json(spark: SparkSession, path: str, schema: StructType | None = None,
