@@ -39,7 +39,7 @@ def lookup_table(spark: SparkSession, names: list[str], size: int | None = None)
         raise ValueError("shard names must be given and differ")
     if not n <= size <= MOST or prime_from(size) != size:
         raise ValueError(f"size must be a prime from {n} to {MOST}")
-    shards = spark.createDataFrame([(i, x) for i, x in enumerate(names)], "i int, name string")
+    shards = spark.range(1).select(F.posexplode(F.array(*[F.lit(x) for x in names])).alias("i", "name"))
     prefs = shards.selectExpr(
         "i", f"{hashed('concat(name, \"/offset\")')} % {size} as o",
         f"{hashed('concat(name, \"/skip\")')} % {size - 1} + 1 as k").agg(
