@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tabreg.session import ensure_checkpoint_dir
 
 
+SALTS = 8
 _shipped: set[str] = set()
 
 
@@ -70,9 +71,9 @@ def components(edges: DataFrame, u: str = "u", v: str = "v", max_rounds: int = 6
     """Connected components of an edge list by alternating large-star and small-star rounds.
 
     Returns (node, root) for every node of a non-loop edge, root the smallest node of its component.
-    Each round is two aggregations and two joins; its results are written to the shared folder, so a lost
-    executor costs one round at most. Minima are pre-aggregated and written before the joins, so a node with
-    many edges is one row there and its edges can be split among tasks.
+    Each round is two aggregations and two joins; its result is written to the shared folder, so a lost
+    executor costs one round at most. Minima are pre-aggregated, and the edges of a node with many are dealt out
+    by a salt of ``SALTS`` before they meet them.
     Null ends and loops are dropped. Raises if the rounds do not settle in ``max_rounds``.
     """
     spark = edges.sparkSession
@@ -81,22 +82,19 @@ def components(edges: DataFrame, u: str = "u", v: str = "v", max_rounds: int = 6
     cur, seen = read_back(spark, path, schema), None
     for _ in range(max_rounds):
         both = cur.unionByName(cur.select(F.col("p").alias("c"), F.col("c").alias("p")))
-        low_path, low_schema = write_table(both.groupBy("c").agg(F.min("p").alias("low")).select(
-            "c", F.least("c", "low").alias("low")), "cc")
-        low = read_back(spark, low_path, low_schema)
-        large = both.join(low, "c").where("p > c").select(F.col("p").alias("c"), F.col("low").alias("p")).distinct()
-        large_path, large_schema = write_table(large, "cc")
-        large = read_back(spark, large_path, large_schema)
-        low2_path, low2_schema = write_table(large.groupBy("c").agg(F.min("p").alias("low")), "cc")
-        paired = large.join(read_back(spark, low2_path, low2_schema), "c")
+        low = (both.groupBy("c").agg(F.min("p").alias("low"))
+               .select("c", F.least("c", "low").alias("low"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("s")))
+        salted = both.withColumn("s", F.pmod(F.xxhash64("p"), F.lit(SALTS)).cast("int"))
+        large = salted.join(low, ["c", "s"]).where("p > c").select(F.col("p").alias("c"), F.col("low").alias("p")).distinct()
+        low2 = large.groupBy("c").agg(F.min("p").alias("low"))
+        paired = large.join(low2, "c")
         new = (paired.select(F.explode(F.array(F.struct("c", F.col("low").alias("p")),
                                                F.struct(F.col("p").alias("c"), F.col("low").alias("p")))).alias("e"))
                .select("e.*").where("c > p").distinct())
         new_path, _ = write_table(new, "cc")
         new = read_back(spark, new_path, schema)
         now = new.agg(F.count("*").alias("n"), F.sum(F.xxhash64("c", "p").cast("decimal(38,0)")).alias("h")).first()
-        for old in (path, low_path, large_path, low2_path):
-            drop_table(spark, old)
+        drop_table(spark, path)
         cur, path = new, new_path
         if now == seen:
             roots = cur.select(F.col("p").alias("c"), "p").distinct()
