@@ -23,10 +23,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from tabreg.llm import bytesops as B
-from tabreg.llm.shared import arrow, row_key, written
+from tabreg.llm.shared import arrow, least_rows, row_key, written
 
 BUCKETS, PER_LANGUAGE, MOST_LANGUAGES, MOST_GRAMS, MIN_POSTERIOR = 1 << 15, 2000, 64, 200, 0.5
 SMOOTH, PRIOR_WEIGHT, UNKNOWN = 0.05, 10.0, "und"
@@ -77,8 +76,8 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     src = labelled.where(F.col(lang_col).isNotNull()).select(
         F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("h"))
     top = src.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).select("lang")
-    ids = (src.select("lang", "h").withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h")))
-           .where(F.col("r") <= per_language).join(F.broadcast(top), "lang").select("lang", "h").distinct())
+    ids = (least_rows(src.select("lang", "h").join(F.broadcast(top), "lang"), "lang", "h", per_language)
+           .select("lang", "h").distinct())
     sample = src.join(F.broadcast(ids), ["lang", "h"])  # at most per_language * MOST_LANGUAGES hashes
     counts = (sample.select("lang", "text").transform(arrow, _count, "lang string, gram int, n long")
               .groupBy("lang", "gram").agg(F.sum("n").alias("n")).collect())

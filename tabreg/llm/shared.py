@@ -7,7 +7,7 @@ import tempfile
 import uuid
 import zipfile
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tabreg.session import ensure_checkpoint_dir
@@ -62,6 +62,17 @@ def drop_table(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def least_rows(df: DataFrame, by: str, order: str, n: int) -> DataFrame:
+    """The ``n`` rows of each value of ``by`` with the least ``order``: first within parts of each value (one per
+    shuffle partition, by a hash), then among the parts' winners, so no task sees all rows of a value."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    first = Window.partitionBy(by, "__part").orderBy(order)
+    last = Window.partitionBy(by).orderBy(order)
+    return (df.withColumn("__part", F.pmod(F.xxhash64(order), F.lit(parts)))
+            .withColumn("__r", F.row_number().over(first)).where(F.col("__r") <= n).drop("__part")
+            .withColumn("__r", F.row_number().over(last)).where(F.col("__r") <= n).drop("__r"))
+
+
 def row_key(id_col: str, text_col: str) -> Column:
     """Identity of a row by content: rows share it only if id and text agree, and then any result too."""
     return F.xxhash64(F.col(id_col), F.col(text_col), F.lit(7)).alias("row_key")

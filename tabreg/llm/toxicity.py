@@ -24,10 +24,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from tabreg.llm import bytesops as B
-from tabreg.llm.shared import arrow, written
+from tabreg.llm.shared import arrow, least_rows, written
 
 PER_CLASS, FEATURES, LEAST_TEXTS, LEAST_Z, STRONG, PENALTY, STEPS = 6000, 4096, 4, 3.0, 5.0, 1e-5, 400
 IS_WORD = np.zeros(256, bool)
@@ -132,8 +131,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
              .groupBy(F.col(id_col).alias("__id")).agg(F.max(F.col(grade_col)).cast("int").alias("grade")))
     known = known.withColumn("toxic", F.col("grade") > 0)
     share = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    order = Window.partitionBy("toxic").orderBy(F.xxhash64("__id"), "__id")
-    sample = known.withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_class).select("__id", "grade")
+    sample = least_rows(known.withColumn("__h", F.xxhash64("__id")), "toxic", "__h", per_class).select("__id", "grade")
     rows = written(docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
                    .join(F.broadcast(sample), "__id")  # at most 2 * per_class rows
                    .select(F.xxhash64("__id", "__text").alias("sample"), "grade", "__text")
