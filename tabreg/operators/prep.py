@@ -34,7 +34,7 @@ from pyspark.sql.types import DoubleType, FloatType
 
 from tabreg.operators.quantile import exact_quantiles
 
-MAX_LEVELS = 1000
+MAX_LEVELS = 500  # under the planner's limit for map-side group limits
 DUMMY = "tabreg_dummy"
 
 
