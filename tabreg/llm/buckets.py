@@ -56,8 +56,18 @@ def groups(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBa
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
-def pairs(batch: pa.RecordBatch, most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Local pairs i < j of each group: all of a group (b, b), those across the blocks of a group (a, b)."""
+def large(batch: pa.RecordBatch, over: int) -> list[tuple[int, int, bool]]:
+    """(first row, end, across blocks) of the groups of more than ``over`` rows."""
+    k = [batch.column(c).to_numpy() for c in ("key", "bi", "bj")]
+    new = np.ones(len(batch), bool)
+    new[1:] = (k[0][1:] != k[0][:-1]) | (k[1][1:] != k[1][:-1]) | (k[2][1:] != k[2][:-1])
+    heads = np.append(np.flatnonzero(new), len(batch))
+    return [(int(a), int(b), bool(k[1][a] != k[2][a])) for a, b in zip(heads, heads[1:]) if b - a > over]
+
+
+def pairs(batch: pa.RecordBatch, most: int = 1 << 20, upto: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Local pairs i < j of each group: all of a group (b, b), those across the blocks of a group (a, b).
+    Groups of more than ``upto`` rows (if given) are left to the caller."""
     k = [batch.column(c).to_numpy() for c in ("key", "bi", "bj")]
     me = batch.column("me").to_numpy()
     n = len(me)
@@ -66,6 +76,9 @@ def pairs(batch: pa.RecordBatch, most: int = 1 << 20) -> Iterator[tuple[np.ndarr
     heads = np.flatnonzero(new)
     end = np.repeat(np.append(heads[1:], n), np.diff(np.append(heads, n)))
     after = end - np.arange(n) - 1
+    if upto is not None:
+        size = np.repeat(np.diff(np.append(heads, n)), np.diff(np.append(heads, n)))
+        after = np.where(size > upto, 0, after)
     cross = k[1] != k[2]
     total = np.cumsum(after)
     a = 0

@@ -23,7 +23,7 @@ from tabreg.llm import bytesops as B
 from tabreg.llm import buckets
 from tabreg.llm.shared import arrow, components, written
 
-THRESHOLD, TABLES, PROBES, SCALE, CAP, SEED = 0.93, 8, 4, 1.1, 1024, 7
+THRESHOLD, TABLES, PROBES, SCALE, CAP, SEED, LARGE = 0.93, 8, 4, 1.1, 1024, 7, 32
 
 
 def _minimal() -> np.ndarray:
@@ -121,12 +121,24 @@ def _compare(threshold: float, tables: int, probes: int, scale: float, seed: int
             for d in np.unique(size):
                 yield from solve(batch if (size == d).all() else batch.take(pa.array(np.flatnonzero(size == d))))
 
+    def candidates(batch, x):
+        """Pairs of small groups as they are, of large ones those that a matrix product finds near."""
+        yield from buckets.pairs(batch, 1 << 17, LARGE)
+        me = batch.column("me").to_numpy()
+        for a, b, across in buckets.large(batch, LARGE):
+            for top in range(a, b, 256):
+                rows = np.arange(top, min(top + 256, b))
+                i, j = np.nonzero(x[rows] @ x[a:b].T >= threshold - 1e-9)
+                i, j = rows[i], j + a
+                ok = (i < j) & ((me[i] != me[j]) | (not across))
+                yield i[ok], j[ok]
+
     def solve(batch):
         x = _rows(batch.column("vec"))
         copies, node, t = (batch.column(c).to_numpy() for c in ("copies", "node", "t"))
         cell = batch.column("cell").to_numpy().view(np.uint64)
         gain, us, vs, reg = np.zeros(len(x), np.int64), [], [], None
-        for i, j in buckets.pairs(batch, 1 << 17):
+        for i, j in candidates(batch, x):
             near = np.einsum("ij,ij->i", x[i], x[j]) >= threshold
             i, j = i[near], j[near]
             if not len(i):
