@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabreg.llm import bytesops as B
@@ -115,12 +115,19 @@ def _fingerprints(shingle: int):
     return run
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """(id, fp): the signed 64-bit value of each document's fingerprint."""
+def _marks(text_col: str) -> dict[str, Column]:
+    """128 bits of a text, by which a row is known again beside its id."""
+    return {f"__mark{i}": F.xxhash64(F.lit(i), F.col(text_col)) for i in (1, 2)}
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
+                 marks: bool = False) -> DataFrame:
+    """(id, fp): the signed 64-bit value of each document's fingerprint; with ``marks``, those of its text too."""
     kind = docs.schema[id_col].dataType.simpleString()
-    return (docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
-            .transform(arrow, _fingerprints(shingle), f"__id {kind}, __fp long")
-            .select(F.col("__id").alias("id"), F.col("__fp").alias("fp")))
+    more = _marks(text_col) if marks else {}
+    return (docs.select(F.col(id_col).alias("__id"), *(c.alias(n) for n, c in more.items()), F.col(text_col).alias("__text"))
+            .transform(arrow, _fingerprints(shingle), f"__id {kind}, {''.join(f'{n} long, ' for n in more)}__fp long")
+            .select(F.col("__id").alias("id"), F.col("__fp").alias("fp"), *more))
 
 
 def _file(batches):
@@ -159,14 +166,19 @@ def linked(fps: DataFrame, max_bits: int = MAX_BITS, cap: int = CAP) -> DataFram
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
-                    max_bits: int = MAX_BITS, cap: int = CAP) -> DataFrame:
-    """(id, fp, component_id) per row; component_id is the smallest id reachable by links."""
-    fps = written(fingerprints(docs, id_col, text_col, shingle), "fp")
+                    max_bits: int = MAX_BITS, cap: int = CAP, marks: bool = False) -> DataFrame:
+    """(id, fp, root, component_id) per row, with ``marks`` also those of ``fingerprints``.
+
+    root is a fingerprint that stands for the component; component_id is the smallest id reachable by links, null
+    if there is none.
+    """
+    fps = written(fingerprints(docs, id_col, text_col, shingle, marks), "fp")
     each = fps.groupBy("fp").agg(F.min("id").alias("low"))
     roots = linked(each, max_bits, cap)
     each = each.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     low = each.groupBy("root").agg(F.min("low").alias("component_id"))
-    return fps.join(each.join(low, "root").select("fp", "component_id"), "fp").select("id", "fp", "component_id")
+    return fps.join(each.join(low, "root").select("fp", "root", "component_id"), "fp").select(
+        "id", "fp", "root", "component_id", *(_marks(text_col) if marks else ()))
 
 
 def digests(docs: DataFrame, **how) -> DataFrame:
@@ -177,12 +189,21 @@ def digests(docs: DataFrame, **how) -> DataFrame:
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """``docs`` with one row of each component: the one of the smallest id (of repeated ids, one by content).
 
-    Rows with a null id stay only if their component has no id at all; one such row stays then.
+    Rows with a null id stay only if their component has no id at all; one such row stays then. Rows are known by
+    id and text, so an id that several components share keeps a row in each of which it is the smallest.
     """
-    near = near_duplicates(docs.select(id_col, text_col), id_col, text_col, **how)
-    pick = near.where(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("id").agg(F.count("*").alias("__n"))
-    kept = docs.join(pick.select(F.col("id").alias("__id"), "__n"), F.col(id_col).eqNullSafe(F.col("__id")), "inner")
-    single = kept.where("__n = 1").drop("__id", "__n")
-    # an id that several rows share: one of them, the least by content
-    several = kept.where("__n > 1").drop("__n").groupBy("__id").agg(F.min(F.struct(*docs.columns)).alias("__row"))
+    near = near_duplicates(docs.select(id_col, text_col), id_col, text_col, marks=True, **how)
+    marks = _marks(text_col)
+    least = written(near.where(F.col("id").eqNullSafe(F.col("component_id"))).select("root", "id", *marks), "least")
+    shared = written(least.groupBy("root").count().where("count > 1").select("root"), "shared")
+    # plain exchanges on both sides of both joins: copies that share id and text can split
+    pick = written(least.distinct().join(shared.withColumn("__several", F.lit(True)), "root", "left").select(
+        F.col("root").alias("__root"), F.col("id").alias("__id"), *(F.col(m).alias(f"{m}_") for m in marks), "__several"), "pick")
+    same = F.col(id_col).eqNullSafe(F.col("__id"))
+    for m in marks:
+        same &= F.col(m) == F.col(f"{m}_")
+    kept = docs.withColumns(marks).join(pick, same)
+    single = kept.where("__several is null").select(*docs.columns)
+    # a smallest id that several rows of a component share: one of them, the least by content
+    several = kept.where("__several").groupBy("__root").agg(F.min(F.struct(*docs.columns)).alias("__row"))
     return single.unionByName(several.select("__row.*"))

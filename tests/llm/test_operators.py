@@ -173,6 +173,23 @@ def test_golay_repeated_ids_and_empty(spark):
     assert golay.digests(docs.limit(0)).count() == 0 and golay.keep_one(docs.limit(0)).count() == 0
 
 
+def test_golay_keep_one_row_of_every_component(spark):
+    """Null ids, ids that components share, and repeated rows: by brute force, the least id (nulls last), then content."""
+    rng = random.Random(8)
+    base = [blurb(rng, 40) for _ in range(7)]
+    rows = [(None, base[0], 1), (None, base[1], 1), (None, base[1], 0), (None, base[2], 1), (None, None, 1), (None, "", 1),
+            (5, base[3], 1), (5, base[4], 1), (5, base[4] + " ", 1), (6, base[4], 1),  # an id of two components
+            (7, base[5], 1), (None, base[5], 1), (5, base[5], 2), (5, base[5], 1),
+            (8, base[6], 3), (8, base[6], 3), (None, base[6].upper(), 1)]
+    fps = [brute.fingerprint(t) for _, t, _ in rows]
+    lab = brute.groups(len(rows), lambda i, j: bin(fps[i] ^ fps[j]).count("1") <= 4)
+    order = lambda r: (r[0] is None, r[0] or 0, r[1] is not None, r[1] or "", r[2])
+    want = [min((rows[i] for i in range(len(rows)) if lab[i] == c), key=order) for c in sorted(set(lab))]
+    assert len(want) == 8
+    got = golay.keep_one(spark.createDataFrame(rows, "doc_id long, text string, n int")).collect()
+    assert sorted(map(tuple, got), key=order) == sorted(want, key=order)
+
+
 # ---- embedding near-dedup ------------------------------------------------------------------------
 
 def test_e8_nearest_is_nearest():
