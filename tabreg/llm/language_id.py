@@ -7,8 +7,8 @@ languages per host, smoothed towards its domain, that towards the address suffix
 Shares and declarations are grouped aggregations of the texts' own posteriors over all rows; a row's own
 share is taken out of its host prior. A background model (all buckets alike) stands for no known language.
 
-The trigram models are fitted on at most ``per_language`` labelled rows of each language (the least by a hash
-of id and text) and ``MOST_LANGUAGES`` languages, a documented bound; all else covers all rows.
+Every labelled language has a trigram model, fitted on at most ``per_language`` of its rows (the least by a hash
+of id and text), a documented bound; all else covers all rows. The driver and each task hold 128 KB per language.
 
 A row is rejected if no known language gets ``min_posterior``. Null or empty texts, and texts under
 one trigram, rest on the other evidence; without any, they are rejected. Null hosts, suffixes and
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from tabreg.llm import bytesops as B
 from tabreg.llm.shared import arrow, least_rows, row_key, written
 
-BUCKETS, PER_LANGUAGE, MOST_LANGUAGES, MOST_GRAMS, MIN_POSTERIOR = 1 << 15, 2000, 64, 200, 0.5
+BUCKETS, PER_LANGUAGE, MOST_GRAMS, MIN_POSTERIOR = 1 << 15, 2000, 200, 0.5
 SMOOTH, PRIOR_WEIGHT, UNKNOWN = 0.05, 10.0, "und"
 
 
@@ -56,13 +56,26 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, off = B.text_bytes(batch.column(1))
         for lo, hi in B.blocks(off):
             names = sorted(set(langs[lo:hi]))
-            code = np.array([names.index(x) for x in langs[lo:hi]])
+            at = {x: i for i, x in enumerate(names)}
+            code = np.array([at[x] for x in langs[lo:hi]])
             g, row = _grams(data, off, lo, hi)
             u, n = np.unique(code[row] * BUCKETS + g, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in u // BUCKETS], pa.string()),
                                               pa.array(u % BUCKETS, pa.int32()), pa.array(n, pa.int64())], ["lang", "gram", "n"])
 
 
+def _log_row(gram: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Log-likelihood of each bucket from the counts of those that occur."""
+    row = np.full(BUCKETS, SMOOTH)
+    row[gram] += n
+    return np.log(row / row.sum()).astype(np.float32)
+
+
+def _log_rows(counts: pa.Table) -> pa.Table:
+    row = _log_row(counts.column("gram").to_numpy(), counts.column("n").to_numpy())
+    return pa.table({"lang": counts.column("lang").slice(0, 1), "row": pa.array([row.tobytes()], pa.binary())})
+
+
 class Model:
     """Log-likelihood table: languages by buckets, the last row for no known language."""
 
@@ -75,18 +88,15 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     """Fit the trigram models on a bounded sample of labelled rows (null labels are left out)."""
     src = labelled.where(F.col(lang_col).isNotNull()).select(
         F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("h"))
-    top = src.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).select("lang")
-    ids = (least_rows(src.select("lang", "h").join(F.broadcast(top), "lang"), "lang", "h", per_language)
-           .select("lang", "h").distinct())
-    sample = src.join(F.broadcast(ids), ["lang", "h"])  # at most per_language * MOST_LANGUAGES hashes
+    ids = least_rows(src.select("lang", "h"), "lang", "h", per_language).select("lang", "h").distinct()
+    sample = src.join(F.broadcast(ids), ["lang", "h"])  # at most per_language hashes of each language
     counts = (sample.select("lang", "text").transform(arrow, _count, "lang string, gram int, n long")
-              .groupBy("lang", "gram").agg(F.sum("n").alias("n")).collect())
-    langs = sorted({r["lang"] for r in counts})
-    table = np.full((len(langs) + 1, BUCKETS), SMOOTH)
-    at = {x: i for i, x in enumerate(langs)}
-    for r in counts:
-        table[at[r["lang"]], r["gram"]] += r["n"]
-    return Model(langs, np.log(table / table.sum(1, keepdims=True)).astype(np.float32))
+              .groupBy("lang", "gram").agg(F.sum("n").alias("n")))
+    # a group holds a language's buckets, BUCKETS rows at most
+    rows = sorted(counts.groupBy("lang").applyInArrow(_log_rows, "lang string, row binary").collect())
+    none = np.zeros(0, np.int64)
+    return Model([r["lang"] for r in rows],
+                 np.stack([*(np.frombuffer(r["row"], np.float32) for r in rows), _log_row(none, none)]))
 
 
 def _likelihood(model, most_grams: int):

@@ -423,6 +423,21 @@ def test_language_keep_known_keeps_columns(spark):
     assert language_id.keep_known(empty, language_id.fit(empty)).count() == 0
 
 
+def test_language_models_of_every_label(spark):
+    rng = random.Random(6)
+    rows, i = [], 0
+    for k in range(80):  # rarer and rarer languages, each with words of its own
+        words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 8))) for _ in range(12)]
+        for _ in range(2 + (80 - k) // 10):
+            rows.append((i, " ".join(rng.choice(words) for _ in range(60)), f"l{k:02d}"))
+            i += 1
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit(docs)
+    assert model.langs == sorted({r[2] for r in rows}) and model.table.shape == (81, language_id.BUCKETS)
+    got = {r.id: r for r in language_id.identify(docs, model, declared_col="lang").collect()}
+    assert all(got[i].language == got[i].text_language == lang and got[i].accepted for i, _, lang in rows)
+
+
 # ---- toxicity ------------------------------------------------------------------------------------
 
 def test_ordinal_recovers_shared_weights():
