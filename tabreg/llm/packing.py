@@ -12,7 +12,8 @@ per length) is sent back; the k-th piece of a length takes the k-th slot of its
 Ranks within a length come from counts per (length, bucket of rows), so no task holds all pieces of a length.
 Null text is empty (one closing id). Repeated rows are packed as often as they occur. An empty table gives no
 rows. Ids are those of the tokenizer file; the rank file of the same vocabulary gives them faster and is used
-where its result is the same (texts that name a special token go through the tokenizer file itself).
+where its result is the same (texts that name a special token, or that the rank file's pattern fails on, such as
+a run of a million blanks, go through the tokenizer file itself).
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ SIZE, END, GRAIN, PER_BUCKET = 2048, 0, 1, 20_000
 
 
 class Encoder:
-    """Ids of a text: by the rank file, or by the tokenizer file where a text may name a special token."""
+    """Ids of a text: by the rank file, or by the tokenizer file where a text may name a special token or that fails."""
 
     def __init__(self, tokenizer: str, ranks: str | None, pattern: str | None):
         self.file, self.whole, self.fast = tokenizer, None, None
@@ -50,7 +51,10 @@ class Encoder:
     def __call__(self, text: str) -> np.ndarray:
         if self.fast is None or "<|" in text:
             return self.slow(text)
-        return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4")
+        try:
+            return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4")
+        except ValueError:  # the pattern's stack overflows on very long runs of white space
+            return self.slow(text)
 
 
 _encoders: dict = {}

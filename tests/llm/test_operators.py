@@ -259,6 +259,13 @@ def test_encoder_is_the_tokenizer():
         assert list(enc(t)) == list(enc.slow(t))
 
 
+@pytest.mark.parametrize("sign", [" ", "\n"])
+def test_encoder_of_a_million_blanks(sign):
+    enc = packing.Encoder(*queries.TOKENIZER)
+    t = "a" + sign * 1_000_000 + "b"
+    assert np.array_equal(enc(t), enc.slow(t))
+
+
 def test_plan_uses_every_piece_once_and_few_sequences():
     rng = np.random.default_rng(1)
     for size, n in ((64, 500), (2048, 4000)):
