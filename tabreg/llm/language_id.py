@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabreg.llm import bytesops as B
-from tabreg.llm.shared import arrow, least_rows, row_key, written
+from tabreg.llm.shared import arrow, least_rows, written
 
 BUCKETS, PER_LANGUAGE, MOST_GRAMS, MIN_POSTERIOR = 1 << 15, 2000, 200, 0.5
 SMOOTH, PRIOR_WEIGHT, UNKNOWN = 0.05, 10.0, "und"
@@ -137,16 +137,22 @@ def _smoothed(n: Column, parent: Column, weight: float) -> Column:
     return F.zip_with(n, parent, lambda x, p: (x + weight * p) / (total + weight))
 
 
+def _row_key(*cols: str | None) -> Column:
+    """Identity of a row by all that its verdict rests on; a null counts apart from every value."""
+    return F.xxhash64(*(x for c in cols for x in ((F.col(c).isNull(), F.col(c)) if c else (F.lit(True),)))).alias("row_key")
+
+
 def identify(rows: DataFrame, model: Model, text_col: str = "text", id_col: str = "doc_id", host_col: str | None = None,
              domain_col: str | None = None, suffix_col: str | None = None, declared_col: str | None = None,
              most_grams: int = MOST_GRAMS, prior_weight: float = PRIOR_WEIGHT, min_posterior: float = MIN_POSTERIOR) -> DataFrame:
-    """(row_key, id, language, posterior, text_language, n_grams, accepted) per row."""
+    """(row_key, id, language, posterior, text_language, n_grams, accepted) per row; row_key is that of id, text and evidence."""
     spark = rows.sparkSession
     k = len(model.langs) + 1
     names = F.array(*(F.lit(x) for x in [*model.langs, UNKNOWN]))
     kind = rows.schema[id_col].dataType.simpleString()
     opt = lambda c: (F.col(c).cast("string") if c else F.lit(None).cast("string"))
-    src = rows.select(F.col(id_col).alias("__id"), row_key(id_col, text_col).alias("__key"), opt(host_col).alias("__host"),
+    src = rows.select(F.col(id_col).alias("__id"), _row_key(id_col, text_col, host_col, domain_col, suffix_col, declared_col).alias("__key"),
+                      opt(host_col).alias("__host"),
                       opt(domain_col).alias("__domain"), opt(suffix_col).alias("__suffix"),
                       F.lower(opt(declared_col)).alias("__declared"), F.col(text_col).alias("__text"))
     table = spark.sparkContext.broadcast(model)
@@ -193,7 +199,8 @@ def keep_known(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
     """``docs`` without the rows that are rejected, columns as they were."""
     judged = identify(docs, model, text_col, id_col, **evidence)
     gone = written(judged.where("not accepted").select("row_key").distinct(), "rejected")
-    return (docs.withColumn("__row_key", row_key(id_col, text_col))
+    key = _row_key(id_col, text_col, *(evidence.get(f"{c}_col") for c in ("host", "domain", "suffix", "declared")))
+    return (docs.withColumn("__row_key", key)
             .join(gone.select(F.col("row_key").alias("__row_key")), "__row_key", "left_anti").drop("__row_key"))
 
 

@@ -74,7 +74,7 @@ def least_rows(df: DataFrame, by: str, order: str, n: int) -> DataFrame:
 
 
 def row_key(id_col: str, text_col: str) -> Column:
-    """Identity of a row by content: rows share it only if id and text agree, and then any result too."""
+    """Identity of a row by content: rows share it only if id and text agree, and then any result that rests on these alone."""
     return F.xxhash64(F.col(id_col), F.col(text_col), F.lit(7)).alias("row_key")
 
 

@@ -430,6 +430,16 @@ def test_language_keep_known_keeps_columns(spark):
     assert language_id.keep_known(empty, language_id.fit(empty)).count() == 0
 
 
+def test_language_keep_known_tells_evidence_apart(spark):
+    """Rows that share id and text: those with evidence stay when the one without goes."""
+    model = language_id.fit(spark.read.parquet(SMALL + "/documents.parquet"))
+    rows = [(None, "", "en", "s1"), (None, "", None, None), (None, None, "en", "s1"), (7, "", None, None), (7, "", "en", "s1"),
+            *((i, "the and of to in is that it was for " * 5, "en", "s1") for i in range(10, 40))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    out = language_id.keep_known(docs, model, host_col="source", declared_col="lang").collect()
+    assert sorted(map(str, map(tuple, out))) == sorted(str(r) for r in rows if r[2])
+
+
 def test_language_models_of_every_label(spark):
     rng = random.Random(6)
     rows, i = [], 0
