@@ -187,3 +187,20 @@ def test_cross_validation_uses_the_folds_own_facts(data):
     train = data.where("split = 'train'")
     M.cross_validate(c, train, NUM, CAT, INTERACTION, "charge", "row_key", 3)
     assert len(seen) == 3 and sum(seen) == 2 * train.count() and real is M.training_facts
+
+
+def test_model_pool_cross_validates_the_whole_catalogue(spark, monkeypatch):
+    from tabreg.plans import q_models
+    asked = {}
+
+    def train_all(data, pool, *rest, folds=0, **how):
+        asked.update(pool=list(pool), folds=folds)
+        row = lambda n, x: (n, x, 1 - x, 1 - x, 0.1, x, 0.01)
+        return (spark.createDataFrame([row(n, 0.9 - i / 100) for i, n in enumerate(pool)],
+                                      "algorithm string, r2 double, rmse double, mae double, r2_gap double, "
+                                      "cv_r2_mean double, cv_r2_std double"),
+                spark.createDataFrame([], "algorithm string, failure string"), {})
+    monkeypatch.setattr(M, "train_all", train_all)
+    out = q_models.q_model_pool(spark, SF_SMALL).collect()
+    assert asked == {"pool": list(M.catalogue()), "folds": 5}
+    assert sorted(r["deployment_rank"] for r in out) == list(range(1, 12))
