@@ -6,6 +6,9 @@ cells of the ``probes`` next best minimal vectors, per label and length. Vectors
 cosine in double precision, in bounded blocks. A pair is counted in the first table and the least cell they
 share, so each link counts once; blocks emit sums of links and a spanning forest, never the pairs.
 
+Not exact: links that share no cell are lost. Measured on 4000 pairs of 64 components with the production setting,
+recall is 0.9993 at cosine 0.93 and 1.0 at 0.94 and 0.95 (8 tables: 0.9953, 0.9995, 1.0).
+
 Equal vectors of a label are one class with a count. Null labels, and vectors that are null, empty, zero or
 hold null or non-finite components, link with nothing. Repeated rows are vectors of their own. An empty
 table gives no rows. Vectors of unlike lengths never link. Classes are told apart by 64 bits of hash.
@@ -23,7 +26,7 @@ from tabreg.llm import bytesops as B
 from tabreg.llm import buckets
 from tabreg.llm.shared import arrow, components, written
 
-THRESHOLD, TABLES, PROBES, SCALE, CAP, SEED, LARGE = 0.93, 8, 4, 1.1, 1024, 7, 32
+THRESHOLD, TABLES, PROBES, SCALE, CAP, SEED, LARGE = 0.93, 12, 4, 1.1, 1024, 7, 32
 
 
 def _minimal() -> np.ndarray:

@@ -249,6 +249,19 @@ def test_lattice_recall_at_the_threshold():
         assert met >= least, (cos, met)
 
 
+def test_lattice_production_recall_at_093():
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(4000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    noise = rng.normal(size=x.shape)
+    noise -= (noise * x).sum(1, keepdims=True) * x
+    noise /= np.linalg.norm(noise, axis=1, keepdims=True)
+    y = .93 * x + np.sqrt(1 - .93 ** 2) * noise
+    how = (lattice.TABLES, lattice.PROBES, lattice.SCALE, lattice.SEED)
+    a, b = lattice.cells(x, *how), lattice.cells(y, *how)
+    assert (a[:, :, :, None] == b[:, :, None, :]).any((1, 2, 3)).mean() >= .998
+
+
 # ---- packing -------------------------------------------------------------------------------------
 
 def test_encoder_is_the_tokenizer():
