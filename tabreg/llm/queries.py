@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabreg.llm import bwt, golay, language_id, lattice, lookup, packing, ppm, toxicity, url_trees, wumanber
+from tabreg.llm import (bwt, golay, language_id, lattice, lines, lookup, merkle, packing, ppm, toxicity, url_trees,
+                        wumanber)
 
 #: Tokenizer files are named here alone; operators take them as parameters.
 TOKENIZER = (public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"),
@@ -83,9 +84,19 @@ def op10_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wumanber.digests(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_two_bloom_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document its lines, those that other documents hold too, and a digest of the rest."""
+    return lines.digests(table(spark, sf_dir, "documents"))
+
+
+def op12_jump_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merkle proofs of all documents by language, checked against tampered rows."""
+    return merkle.digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (op1_language_id, op2_toxicity, op3_lattice_dedup, op4_pattern_packing, op5_golay_simhash,
                                    op6_ppm_score, op7_lookup_shards, op8_url_trees, op9_bwt_dedup, op10_wu_manber,
-                                   language_id_pages)}
+                                   op11_two_bloom_lines, op12_jump_manifest, language_id_pages)}
 
 _A_Z = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 _N = lookup.SHARDS
@@ -151,4 +162,61 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items,
        sha256(coalesce(ids, '')) AS items_sha256,
        coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r)""",
+    "op11_two_bloom_lines": f"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents
+), l AS (
+  SELECT r, doc_id, generate_subscripts(ls, 1) AS i, unnest(ls) AS line FROM d
+), k AS (
+  SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), {_A_Z}) AS key FROM l
+), often AS (
+  SELECT key, max(doc_id) AS keeper FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT r) >= 5
+), g AS (
+  SELECT k.*, often.key IS NOT NULL AND doc_id IS DISTINCT FROM keeper AS gone FROM k LEFT JOIN often USING (key)
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM g GROUP BY r, doc_id""",
+    "op12_jump_manifest": f"""
+WITH RECURSIVE f AS (
+  SELECT row_number() OVER () AS r, doc_id, lang, n_chars, coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id::VARCHAR, '-') || coalesce(strlen(source::VARCHAR) || ':' || source::VARCHAR, '-') || coalesce(strlen(lang::VARCHAR) || ':' || lang::VARCHAR, '-') AS a, coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars::VARCHAR, '-') AS n0, coalesce(strlen((n_chars + 1)::VARCHAR) || ':' || (n_chars + 1)::VARCHAR, '-') AS n1, coalesce(strlen(text::VARCHAR) || ':' || text::VARCHAR, '-') AS z
+  FROM documents
+), bits AS (
+  SELECT r, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT) AS b FROM f WHERE doc_id IS NOT NULL
+), crc AS (
+  SELECT r, xor(list_reduce(list_prepend(4294967295::BIGINT, b), lambda c, x:
+    list_reduce(list_prepend(xor(c, x), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda y, z:
+      CASE WHEN y & 1 = 1 THEN xor(y >> 1, 3988292384::BIGINT) ELSE y >> 1 END)), 4294967295::BIGINT) AS c FROM bits
+), leaf AS (
+  SELECT f.r, doc_id, lang, sha256(a || n0 || z) AS leaf,
+         sha256(a || CASE WHEN coalesce(c % 7 = 0, false) THEN n1 ELSE n0 END || z) AS shown FROM f LEFT JOIN crc USING (r)
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx FROM leaf
+), low AS (
+  SELECT lang, 0 AS lv, list(leaf ORDER BY idx) AS a FROM placed GROUP BY lang
+  UNION ALL
+  SELECT lang, lv + 1, list_transform(range((len(a) + 1) // 2), lambda i: sha256(a[2 * i + 1] || coalesce(a[2 * i + 2], '')))
+  FROM low WHERE len(a) > 1
+), subs AS (
+  SELECT lang, a[1] AS subroot, row_number() OVER (ORDER BY lang COLLATE C NULLS FIRST) - 1 AS t FROM low WHERE len(a) = 1
+), high AS (
+  SELECT 0 AS lv, list(subroot ORDER BY t) AS a FROM subs
+  UNION ALL
+  SELECT lv + 1, list_transform(range((len(a) + 1) // 2), lambda i: sha256(a[2 * i + 1] || coalesce(a[2 * i + 2], '')))
+  FROM high WHERE len(a) > 1
+), steps AS (
+  SELECT r, lv AS s, a[xor(idx >> lv, 1) + 1] AS sib, (idx >> lv) & 1 AS odd FROM placed JOIN low ON placed.lang IS NOT DISTINCT FROM low.lang AND len(a) > 1
+  UNION ALL
+  SELECT r, 100 + lv, a[xor(t >> lv, 1) + 1], (t >> lv) & 1 FROM placed JOIN subs ON placed.lang IS NOT DISTINCT FROM subs.lang JOIN high ON len(a) > 1
+), proof AS (
+  SELECT r, sha256(string_agg(coalesce(sib, ''), '' ORDER BY s)) AS p, list({{'sib': sib, 'odd': odd}} ORDER BY s) AS path FROM steps GROUP BY r
+), fold AS (
+  SELECT placed.r, shown AS h, 0 AS k, path FROM placed LEFT JOIN proof USING (r)
+  UNION ALL
+  SELECT r, CASE WHEN path[k + 1].sib IS NULL THEN sha256(h) WHEN path[k + 1].odd = 1 THEN sha256(path[k + 1].sib || h)
+            ELSE sha256(h || path[k + 1].sib) END, k + 1, path FROM fold WHERE k < coalesce(len(path), 0)
+)
+SELECT doc_id, leaf, subroot, root, coalesce(p, sha256('')) AS proof_sha256, h AS folded_root, h = root AS verified
+FROM placed JOIN subs ON placed.lang IS NOT DISTINCT FROM subs.lang CROSS JOIN (SELECT a[1] AS root FROM high WHERE len(a) = 1)
+LEFT JOIN proof USING (r) JOIN fold ON fold.r = placed.r AND fold.k = coalesce(len(fold.path), 0)""",
 }

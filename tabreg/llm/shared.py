@@ -112,3 +112,15 @@ def components(edges: DataFrame, u: str = "u", v: str = "v", max_rounds: int = 6
             return cur.unionByName(roots).select(F.col("c").alias("node"), F.col("p").alias("root"))
         seen = now
     raise RuntimeError("components did not settle")
+
+
+def hot_join(left: DataFrame, right: DataFrame, key: str, n: str, total: int, hot_keys: int = 2048) -> DataFrame:
+    """Inner join on ``key``, unique in ``right``, whose column ``n`` counts the rows of ``left`` (``total`` in all).
+
+    Keys with more than ``total`` / ``hot_keys`` rows (fewer than ``hot_keys`` of them, so a bounded table) meet
+    theirs by a broadcast; the rest, none of which is hot, by a shuffle or as the planner chooses.
+    """
+    limit = total // hot_keys
+    hot = F.broadcast(right.where(F.col(n) > limit))
+    rest = left.join(hot.select(key), key, "left_anti").join(right.where(F.col(n) <= limit), key)
+    return left.join(hot, key).unionByName(rest)
