@@ -6,12 +6,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabreg.llm import (bwt, golay, language_id, lattice, lines, lookup, merkle, packing, ppm, toxicity, url_trees,
+from tabreg.llm import (align, bwt, golay, language_id, lattice, lines, lookup, merkle, packing, ppm, toxicity, url_trees,
                         wumanber)
 
 #: Tokenizer files are named here alone; operators take them as parameters.
 TOKENIZER = (public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"),
              public_tokenizers.PATTERN)
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -94,9 +95,14 @@ def op12_jump_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.digests(table(spark, sf_dir, "documents"))
 
 
+def op13_identity_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links between the tokens of two tokenizers in every document, and how common they are in the corpus."""
+    return align.digests(table(spark, sf_dir, "documents"), (*TOKENIZER, PIECES))
+
+
 QUERIES = {f.__name__: f for f in (op1_language_id, op2_toxicity, op3_lattice_dedup, op4_pattern_packing, op5_golay_simhash,
                                    op6_ppm_score, op7_lookup_shards, op8_url_trees, op9_bwt_dedup, op10_wu_manber,
-                                   op11_two_bloom_lines, op12_jump_manifest, language_id_pages)}
+                                   op11_two_bloom_lines, op12_jump_manifest, op13_identity_align, language_id_pages)}
 
 _A_Z = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 _N = lookup.SHARDS

@@ -21,7 +21,7 @@ def test_registered():
     assert [n for n in entry.queries() if n.startswith("op") and n[2].isdigit()] == list(f for f in (
         "op1_language_id", "op2_toxicity", "op3_lattice_dedup", "op4_pattern_packing", "op5_golay_simhash", "op6_ppm_score",
         "op7_lookup_shards", "op8_url_trees", "op9_bwt_dedup", "op10_wu_manber", "op11_two_bloom_lines",
-        "op12_jump_manifest"))
+        "op12_jump_manifest", "op13_identity_align"))
     assert entry.queries()["pipeline"] is pipeline.run and len(pipeline.STAGES) == 5
 
 
