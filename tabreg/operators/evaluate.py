@@ -119,6 +119,14 @@ def learning_curve(candidate, train: DataFrame, numeric, categorical, interactio
     population std over folds."""
     from tabreg.functions.stats import hash_bucket
     from tabreg.operators.models import fit_candidate, run_concurrently, score
+    if how := candidate.moments(None):
+        from tabreg.operators.linear import curve_scores
+        bucket = hash_bucket(F.col(key), size_salt, 1000)
+        level = F.coalesce(*[F.when(bucket < int(round(x * 1000)), i) for i, x in enumerate(fractions)], F.lit(len(fractions)))
+        scores = curve_scores(train.withColumn("__level", level), hash_bucket(F.col(key), salt, folds), folds, F.col("__level"),
+                              len(fractions) + 1, numeric, categorical, interaction, label, *how)
+        rows = [(float(fractions[top]), f, n, a, b) for top, f, n, a, b in scores if top < len(fractions)]
+        return _curve(train.sparkSession, rows)
     data = (train.withColumn("__fold", hash_bucket(F.col(key), salt, folds))
             .withColumn("__size", hash_bucket(F.col(key), size_salt, 1000)).persist())
 
@@ -132,7 +140,11 @@ def learning_curve(candidate, train: DataFrame, numeric, categorical, interactio
 
     rows = run_concurrently(one, [(frac, f) for frac in fractions for f in range(folds)])
     data.unpersist()
-    per_fold = train.sparkSession.createDataFrame(
+    return _curve(train.sparkSession, rows)
+
+
+def _curve(spark, rows: list[tuple]) -> DataFrame:
+    per_fold = spark.createDataFrame(
         rows, "fraction double, fold int, n_train bigint, train_r2 double, validation_r2 double")
     return per_fold.groupBy("fraction").agg(
         F.avg("n_train").alias("n_train_mean"), F.avg("train_r2").alias("train_r2_mean"),

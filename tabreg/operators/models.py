@@ -1,4 +1,4 @@
-"""Spark ML model pool: candidate catalogue, fit/compare loop, AdaBoost.R2, winner selection, persistence.
+"""Model pool: candidate catalogue, fit/compare loop, winner selection, persistence.
 
 Each candidate is ``preparation pipeline + regressor`` (a ``Pipeline``) fitted on the training rows.
 Training data are prepared once and cached (``persist`` spills to disk when needed); every candidate is
@@ -8,31 +8,25 @@ tree-building is distributed). Metrics come from one ``transform`` and one aggre
 
 from __future__ import annotations
 
-import json
-import math
-import re
-import sys
+import threading
 import time
 from concurrent.futures import ThreadPoolExecutor
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
-from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.param import Param, Params, TypeConverters
-from pyspark.ml.param.shared import HasFeaturesCol, HasPredictionCol
-from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
-from pyspark.ml.regression import (DecisionTreeRegressionModel, DecisionTreeRegressor, GBTRegressor,
-                                   LinearRegression, RandomForestRegressor)
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+from pyspark.ml import Estimator, Pipeline, PipelineModel
+from pyspark.ml.regression import DecisionTreeRegressor
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tabreg.operators.boosting import AdaBoostR2, BoostedTrees
 from tabreg.operators.evaluate import regression_metrics, train_test_metrics
+from tabreg.operators.forest import UnlimitedForest
+from tabreg.operators.linear import MomentRegression, fold_scores
 from tabreg.operators.columns import require_columns
 from tabreg.operators.prep import preparation_pipeline, prepare_input
-from tabreg.session import ensure_checkpoint_dir
 
 
 @dataclass(frozen=True)
@@ -41,44 +35,46 @@ class Candidate:
     scaled: bool  # linear models see standardised inputs
     build: Callable[[Mapping[str, float]], Estimator]  # receives training facts (n, label std)
 
+    def moments(self, facts) -> tuple[str, float] | None:
+        """(kind, alpha) of a candidate that can be fitted from second moments."""
+        if not self.scaled:
+            return None
+        est = self.build(facts or {"n": 1.0, "label_std": 1.0})
+        if not isinstance(est, MomentRegression):
+            return None
+        return est.getOrDefault("kind"), est.getOrDefault("alpha")
 
-# Candidate settings (rounds, depth, rate, alpha) as in the reference pool; re-aims of
-# the engines that are not available on Spark are noted per entry. ``rounds`` scales the iteration counts
+
+# Candidate settings (rounds, depth, rate, alpha) as in the reference pool; boosters carry
+# names of their own. ``rounds`` scales the iteration counts
 # (1.0 = reference sizes) so small checks can run the same pool quickly.
 def catalogue(rounds: float = 1.0, seed: int = 42) -> dict[str, Candidate]:
     def it(n: int) -> int:
         return max(1, int(round(n * rounds)))
 
     return {
-        "Linear Regression": Candidate("Linear Regression", True, lambda f: LinearRegression(
-            regParam=0.0, elasticNetParam=0.0, solver="normal", standardization=False)),
-        # scikit-learn Ridge(alpha) minimises SSE + alpha*|w|^2; Spark's l-bfgs objective equals it with
-        # regParam = alpha / n * stddev_samp(y)
-        "Ridge Regression": Candidate("Ridge Regression", True, lambda f: LinearRegression(
-            regParam=1.0 / f["n"] * f["label_std"], elasticNetParam=0.0, solver="l-bfgs", standardization=False,
-            maxIter=1000, tol=1e-10)),
-        "Lasso Regression": Candidate("Lasso Regression", True, lambda f: LinearRegression(
-            regParam=0.001, elasticNetParam=1.0, standardization=False, maxIter=1000, tol=1e-10)),
+        "Linear Regression": Candidate("Linear Regression", True, lambda f: MomentRegression(kind="ols")),
+        "Ridge Regression": Candidate("Ridge Regression", True, lambda f: MomentRegression(kind="ridge", alpha=1.0)),
+        "Lasso Regression": Candidate("Lasso Regression", True, lambda f: MomentRegression(kind="lasso", alpha=0.001)),
         "Decision Tree": Candidate("Decision Tree", False, lambda f: DecisionTreeRegressor(
             maxDepth=10, maxBins=256, seed=seed)),
-        "Random Forest": Candidate("Random Forest", False, lambda f: RandomForestRegressor(
-            numTrees=it(300), featureSubsetStrategy="all", maxDepth=10, seed=seed)),
-        "Gradient Boosting": Candidate("Gradient Boosting", False, lambda f: GBTRegressor(
-            maxIter=it(300), stepSize=0.05, maxDepth=3, seed=seed)),
-        # depth 5, row and column subsampling 0.9 (Spark GBT in place of a third-party booster)
-        "gbt_subsampled": Candidate("gbt_subsampled", False, lambda f: GBTRegressor(
-            maxIter=it(300), stepSize=0.05, maxDepth=5, subsamplingRate=0.9, featureSubsetStrategy="0.9", seed=seed)),
-        # 31 leaves ~ depth 5, fine bins (as above)
-        "gbt_wide": Candidate("gbt_wide", False, lambda f: GBTRegressor(
-            maxIter=it(300), stepSize=0.05, maxDepth=5, maxBins=256, seed=seed)),
-        # 500 rounds, rate 0.05, depth 6 (as above)
-        "gbt_deep": Candidate("gbt_deep", False, lambda f: GBTRegressor(
-            maxIter=it(500), stepSize=0.05, maxDepth=6, seed=seed)),
-        # no bootstrap, random feature subspace per split (random thresholds are not in Spark)
-        "forest_subspace": Candidate("forest_subspace", False, lambda f: RandomForestRegressor(
-            numTrees=it(300), bootstrap=False, featureSubsetStrategy="onethird", maxDepth=10, seed=seed)),
-        "AdaBoost": Candidate("AdaBoost", False, lambda f: AdaBoostR2(rounds=it(300), learningRate=0.05,
-                                                                      maxDepth=3)),
+        "Random Forest": Candidate("Random Forest", False, lambda f: UnlimitedForest(
+            numTrees=it(300), randomThresholds=False, bootstrap=True, seed=seed)),
+        "Gradient Boosting": Candidate("Gradient Boosting", False, lambda f: BoostedTrees(
+            rounds=it(300), rate=0.05, depth=3, l2=0.0, minChild=1.0, seed=seed)),
+        # second-order gain, depth 5, row and column shares 0.9
+        "gbt_subsampled": Candidate("gbt_subsampled", False, lambda f: BoostedTrees(
+            rounds=it(300), rate=0.05, depth=5, l2=1.0, minChild=1.0, rowShare=0.9, columnShare=0.9, seed=seed)),
+        # leaf-wise to 31 leaves of 20 rows at least
+        "gbt_wide": Candidate("gbt_wide", False, lambda f: BoostedTrees(
+            rounds=it(300), rate=0.05, grow="leaf", maxLeaves=31, l2=0.0, minChild=20.0, maxBins=255, seed=seed)),
+        # oblivious trees, 500 rounds, rate 0.05, depth 6
+        "gbt_deep": Candidate("gbt_deep", False, lambda f: BoostedTrees(
+            rounds=it(500), rate=0.05, depth=6, grow="oblivious", l2=3.0, maxBins=255, seed=seed)),
+        # extremely randomised trees: all rows, one random threshold per node and feature
+        "Extra Trees": Candidate("Extra Trees", False, lambda f: UnlimitedForest(
+            numTrees=it(300), randomThresholds=True, bootstrap=False, seed=seed)),
+        "AdaBoost": Candidate("AdaBoost", False, lambda f: AdaBoostR2(rounds=it(300), rate=0.05, depth=3, seed=seed)),
     }
 
 
@@ -125,39 +121,70 @@ def train_all(split_df: DataFrame, candidates: Mapping[str, Candidate], numeric,
               workers: int = 1) -> tuple[DataFrame, DataFrame, dict[str, PipelineModel]]:
     """Fit every candidate on the train rows, time it, compute train/test metrics and optional k-fold CV.
 
-    One failure does not stop the rest; failures are returned as an (algorithm, failure) DataFrame and an
-    error is raised only if nothing trained. Returns (results, failures, fitted models).
+    The table is prepared once per training set (the train rows, and the rest of each fold) and kind of preparation, and all
+    candidates are fitted on it. One failure does not stop the rest; failures are returned as an (algorithm, failure)
+    DataFrame and an error is raised only if nothing trained. Returns (results, failures, fitted models).
     """
     spark = split_df.sparkSession
     data = split_df.persist()
     train = data.where(F.col("split") == "train")
     facts = training_facts(train, label)
-    def one(item):
+    frames = _Prepared(numeric, categorical, interaction)
+    failed: dict[str, str] = {}
+
+    def attempt(item, work):
         name, c = item
+        if name in failed:
+            return None
         try:
-            model, secs = fit_candidate(c, train, numeric, categorical, interaction, label, facts)
-            m = train_test_metrics(score(model, data), label=label).first().asDict()
-            if folds:
-                cvm = cross_validate(c, train, numeric, categorical, interaction, label, key, folds)
-                cv = cvm.agg(F.avg("r2").alias("cv_r2_mean"), F.stddev_pop("r2").alias("cv_r2_std"),
-                             F.avg("mae").alias("cv_mae_mean"), F.avg("rmse").alias("cv_rmse_mean")).first().asDict()
-            else:
-                cv = {"cv_r2_mean": None, "cv_r2_std": None, "cv_mae_mean": None, "cv_rmse_mean": None}
-            row = {"algorithm": name, **{k: _f(v) for k, v in m.items()}, **{k: _f(v) for k, v in cv.items()},
-                   "training_seconds": secs}
-            return name, row, model, None
+            return work(name, c)
         except Exception as exc:  # noqa: BLE001 - one candidate's failure must not stop the pool
-            return name, None, None, f"{type(exc).__name__}: {exc}"[:1000]
+            failed[name] = f"{type(exc).__name__}: {exc}"[:1000]
+            return None
+
+    def whole(name, c):
+        prep, ready = frames.of("train", c.scaled, train, data)
+        t0 = time.perf_counter()
+        last = _final(c, facts, label).fit(ready.where(F.col("split") == "train"))
+        secs = time.perf_counter() - t0
+        metrics = train_test_metrics(last.transform(ready), label=label).first().asDict()
+        return {"algorithm": name, **{k: _f(v) for k, v in metrics.items()}, "training_seconds": secs}, PipelineModel([*prep.stages, last])
 
     # workers > 1 overlaps the candidates' jobs (fit times then include contention)
-    rows, failures, fitted = [], [], {}
-    for name, row, model, err in run_concurrently(one, list(candidates.items()), workers):
-        if err is None:
-            rows.append(row)
-            fitted[name] = model
-        else:
-            failures.append((name, err))
+    items = list(candidates.items())
+    done = {i[0]: r for i, r in zip(items, run_concurrently(lambda i: attempt(i, whole), items, workers)) if r is not None}
+    frames.release("train")
+    cv: dict[str, list[dict]] = {n: [] for n in done}
+    if folds:
+        tagged = _folded(train, key, folds).persist()
+        linear = [i for i in items if i[0] in done and i[1].moments(facts)]
+        others = [i for i in items if i[0] in done and not i[1].moments(facts)]
+        for name, rows in zip([i[0] for i in linear], run_concurrently(
+                lambda i: attempt(i, lambda n, c: cross_validate(c, train, numeric, categorical, interaction, label, key, folds).collect()),
+                linear, workers)):
+            cv[name] = [r.asDict() for r in rows or []]
+        for f in range(folds if others else 0):
+            rest = tagged.where(F.col("fold") != f)
+            own = training_facts(rest, label)
+
+            def held_out(name, c):
+                _, ready = frames.of(f, c.scaled, rest, tagged)
+                last = _final(c, own, label).fit(ready.where(F.col("fold") != f))
+                return regression_metrics(last.transform(ready.where(F.col("fold") == f)), label=label).first().asDict()
+            for (name, _), r in zip(others, run_concurrently(lambda i: attempt(i, held_out), others, max(workers, 4))):
+                if r is not None:
+                    cv[name].append(r)
+            frames.release(f)
+        tagged.unpersist()
     data.unpersist()
+    rows = []
+    for name, (row, _) in done.items():
+        if name not in failed:
+            got = {k: [r[k] for r in cv[name] if r[k] is not None] for k in ("r2", "mae", "rmse")}
+            mean = lambda v: float(np.mean(v)) if v else None
+            rows.append(row | {"cv_r2_mean": mean(got["r2"]), "cv_r2_std": float(np.std(got["r2"])) if got["r2"] else None,
+                               "cv_mae_mean": mean(got["mae"]), "cv_rmse_mean": mean(got["rmse"])})
+    failures = [(n, failed[n]) for n in candidates if n in failed]
     if not rows:
         raise RuntimeError("every candidate failed: " + "; ".join(m for _, m in failures))
     cols = ["algorithm", "train_mae", "train_mse", "train_rmse", "train_r2", "train_n", "mae", "mse", "rmse", "r2",
@@ -165,7 +192,35 @@ def train_all(split_df: DataFrame, candidates: Mapping[str, Candidate], numeric,
     schema = T.StructType([T.StructField(c, T.StringType() if c == "algorithm" else T.DoubleType()) for c in cols])
     results = spark.createDataFrame([tuple(r.get(c) for c in cols) for r in rows], schema)  # one row per model
     fails = spark.createDataFrame(failures, "algorithm string, failure string")
-    return results, fails, fitted
+    return results, fails, {n: m for n, (_, m) in done.items() if n not in failed}
+
+
+def _final(c: Candidate, facts: Mapping[str, float], label: str) -> Estimator:
+    return c.build(facts).setFeaturesCol("features").setLabelCol(label).setPredictionCol("prediction")
+
+
+class _Prepared:
+    """Preparations fitted once per training set and kind, and the persisted rows that went through them."""
+
+    def __init__(self, numeric, categorical, interaction):
+        self.how, self.held, self.lock = (numeric, categorical, interaction), {}, threading.Lock()
+
+    def of(self, name, scaled: bool, rows: DataFrame, data: DataFrame) -> tuple[PipelineModel, DataFrame]:
+        numeric, categorical, interaction = self.how
+        with self.lock:
+            if (name, scaled) not in self.held:
+                prep = preparation_pipeline(numeric, categorical, scaled, interaction).fit(rows)
+                self.held[name, scaled] = prep, prep.transform(data).persist()
+            return self.held[name, scaled]
+
+    def release(self, name) -> None:
+        for k in [k for k in self.held if k[0] == name]:
+            self.held.pop(k)[1].unpersist()
+
+
+def _folded(train: DataFrame, key: str, folds: int, salt: str = "fold42") -> DataFrame:
+    from tabreg.functions.stats import hash_bucket
+    return train.withColumn("fold", hash_bucket(F.col(key), salt, folds))
 
 
 def _f(v):
@@ -175,9 +230,13 @@ def _f(v):
 def cross_validate(c: Candidate, train: DataFrame, numeric, categorical, interaction, label: str, key: str,
                    folds: int = 5, salt: str = "fold42") -> DataFrame:
     """k-fold CV: for each fold the whole pipeline (preparation included) is refitted on the other folds, with
-    the facts (row count, label std) of those rows. Returns (fold, n, mae, mse, rmse, r2) per fold."""
-    from tabreg.functions.stats import hash_bucket
-    data = train.withColumn("fold", hash_bucket(F.col(key), salt, folds)).persist()
+    the facts (row count, label std) of those rows; linear candidates get all folds from one read's moments.
+    Returns (fold, n, mae, mse, rmse, r2) per fold."""
+    data = _folded(train, key, folds, salt)
+    if how := c.moments(None):
+        rows = fold_scores(data, F.col("fold"), folds, numeric, categorical, interaction, label, *how)
+        return train.sparkSession.createDataFrame(rows, "fold int, n bigint, mae double, mse double, rmse double, r2 double")
+    data = data.persist()
 
     def one(f: int) -> dict:
         model, _ = fit_candidate(c, data.where(F.col("fold") != f), numeric, categorical, interaction, label)
@@ -216,149 +275,3 @@ def save_model(model: PipelineModel, path: str) -> None:
 
 def load_model(path: str) -> PipelineModel:
     return PipelineModel.load(path)
-
-
-# ---------------------------------------------------------------------------------------------------
-# AdaBoost.R2 (Drucker 1997) with linear loss, as an Estimator loop of weighted Spark decision trees.
-# ---------------------------------------------------------------------------------------------------
-
-def tree_arrays(tree: DecisionTreeRegressionModel, depth: int) -> tuple[list[int], list[float], list[float]]:
-    """A fitted tree as a complete binary tree: features and thresholds of its inner nodes (breadth first) and
-    values of its 2**depth leaves. Only splits of the form ``feature <= threshold`` are known here."""
-    lines = [x.strip() for x in tree.toDebugString.splitlines()[1:] if x.strip()]
-    feats, cuts, leaves = [0] * (2 ** depth - 1), [sys.float_info.max] * (2 ** depth - 1), [0.0] * 2 ** depth
-
-    def walk(at: int, node: int, level: int) -> int:
-        line = lines[at]
-        if line.startswith("Predict:"):
-            width = 2 ** (depth - level)
-            first = node * width + width - 1 - (2 ** depth - 1)  # leaves below this node
-            leaves[first:first + width] = [float(line.split(":")[1])] * width
-            return at + 1
-        m = re.match(r"If \(feature (\d+) <= (\S+)\)", line)
-        if not m:
-            raise ValueError(f"unknown split: {line}")
-        feats[node], cuts[node] = int(m.group(1)), float(m.group(2))
-        at = walk(at + 1, 2 * node + 1, level + 1)
-        return walk(at + 1, 2 * node + 2, level + 1)  # skips the Else line
-
-    walk(0, 0, 0)
-    return feats, cuts, leaves
-
-
-class AdaBoostR2Model(Model, HasFeaturesCol, HasPredictionCol, DefaultParamsReadable, DefaultParamsWritable):
-    """Weighted median of regression trees, kept as arrays (saved with the pipeline like any stage)."""
-
-    depth = Param(Params._dummy(), "depth", "levels of the complete trees", TypeConverters.toInt)
-    features = Param(Params._dummy(), "features", "split features of all trees", TypeConverters.toListInt)
-    thresholds = Param(Params._dummy(), "thresholds", "split thresholds of all trees", TypeConverters.toListFloat)
-    leaves = Param(Params._dummy(), "leaves", "leaf values of all trees", TypeConverters.toListFloat)
-    weights = Param(Params._dummy(), "weights", "tree weights", TypeConverters.toListFloat)
-
-    @classmethod
-    def of(cls, trees: Sequence[DecisionTreeRegressionModel], weights: Sequence[float], featuresCol: str = "features",
-           predictionCol: str = "prediction") -> "AdaBoostR2Model":
-        depth = max([1, *(t.depth for t in trees)])
-        arrays = [tree_arrays(t, depth) for t in trees]
-        return cls()._set(depth=depth, features=[x for a in arrays for x in a[0]], thresholds=[x for a in arrays for x in a[1]],
-                          leaves=[x for a in arrays for x in a[2]], weights=[float(w) for w in weights],
-                          featuresCol=featuresCol, predictionCol=predictionCol)
-
-    def _transform(self, df: DataFrame) -> DataFrame:
-        """All trees in one expression over a literal array of trees; then the first prediction, in order, whose
-        running weight reaches half the total."""
-        depth, weights = self.getOrDefault(self.depth), self.getOrDefault(self.weights)
-        inner, outer = 2 ** depth - 1, 2 ** depth
-        f, t, v = (self.getOrDefault(p) for p in (self.features, self.thresholds, self.leaves))
-        trees = F.from_json(F.lit(json.dumps([
-            {"f": f[i * inner:(i + 1) * inner], "t": t[i * inner:(i + 1) * inner], "v": v[i * outer:(i + 1) * outer], "w": w}
-            for i, w in enumerate(weights)])), "array<struct<f:array<int>,t:array<double>,v:array<double>,w:double>>")
-        x = F.col("__ada_x")
-
-        def step(tree: Column, node: Column) -> Column:
-            right = F.get(x, F.get(tree["f"], node)) > F.get(tree["t"], node)
-            return 2 * node + 1 + right.cast("int")
-
-        def leaf(tree: Column) -> Column:
-            node = F.lit(0)
-            for _ in range(depth):
-                node = step(tree, node)
-            return F.struct(F.get(tree["v"], node - inner).alias("p"), tree["w"].alias("w"))
-
-        half = F.lit(0.5 * float(sum(weights)))
-        start = F.struct(F.lit(0.0).alias("c"), F.lit(None).cast("double").alias("p"))
-        median = F.aggregate(F.array_sort(F.transform(trees, leaf)), start, lambda a, s: F.struct(
-            (a["c"] + s["w"]).alias("c"),
-            F.coalesce(a["p"], F.when(a["c"] + s["w"] >= half, s["p"])).alias("p")), lambda a: a["p"])
-        return (df.withColumn("__ada_x", vector_to_array(self.getFeaturesCol()))
-                .withColumn(self.getPredictionCol(), median).drop("__ada_x"))
-
-
-class AdaBoostR2(Estimator):
-    """AdaBoost.R2: each round fits a depth-limited tree with the current sample weights (``weightCol``,
-    the deterministic counterpart of weighted resampling), scores the training rows, computes linear
-    losses e/max(e) (one aggregation), the weighted error and beta, and updates the weights as a column
-    expression. Lineage is cut with a reliable ``checkpoint()`` every ``checkpoint_every`` rounds."""
-
-    def __init__(self, rounds: int = 50, learningRate: float = 1.0, maxDepth: int = 3, seed: int = 42,
-                 checkpoint_every: int = 5):
-        super().__init__()
-        self.rounds, self.lr, self.depth, self.seed = rounds, learningRate, maxDepth, seed
-        self.checkpoint_every = checkpoint_every
-        self._features, self._label, self._prediction = "features", "label", "prediction"
-
-    def setFeaturesCol(self, v):
-        self._features = v
-        return self
-
-    def setLabelCol(self, v):
-        self._label = v
-        return self
-
-    def setPredictionCol(self, v):
-        self._prediction = v
-        return self
-
-    def _fit(self, df: DataFrame) -> AdaBoostR2Model:
-        ensure_checkpoint_dir(df.sparkSession)
-        n = df.count()
-        cur = df.select(self._features, F.col(self._label).cast("double").alias("__y"),
-                        F.lit(1.0 / n).alias("__w"))
-        trees, weights = [], []
-        prev = None
-        for r in range(self.rounds):
-            tree = DecisionTreeRegressor(maxDepth=self.depth, weightCol="__w", labelCol="__y",
-                                         featuresCol=self._features, predictionCol="__p", seed=self.seed + r).fit(cur)
-            scored = tree.transform(cur).withColumn("__e", F.abs(F.col("__y") - F.col("__p")))
-            # one aggregation: max error and the weight sums give the weighted linear loss
-            st = scored.agg(F.max("__e").alias("emax"), F.sum(F.col("__w") * F.col("__e")).alias("we"),
-                            F.sum("__w").alias("w")).first()
-            emax = st["emax"] or 0.0
-            if emax <= 0:  # perfect fit: this tree alone decides
-                trees.append(tree)
-                weights.append(1.0)
-                break
-            loss = F.col("__e") / F.lit(emax)
-            err = st["we"] / emax / st["w"]
-            if err >= 0.5:
-                if not trees:
-                    trees.append(tree)
-                    weights.append(1.0)
-                break
-            beta = max(err, 1e-12) / (1.0 - err)
-            trees.append(tree)
-            weights.append(self.lr * math.log(1.0 / beta))
-            # weights are not renormalised each round: the tree's weighted impurity and the weighted
-            # error above are both invariant to a common scale
-            nxt = scored.select(self._features, "__y",
-                                (F.col("__w") * F.pow(F.lit(beta), (F.lit(1.0) - loss) * self.lr)).alias("__w"))
-            if (r + 1) % self.checkpoint_every == 0:
-                nxt = nxt.checkpoint(eager=True)  # reliable: cuts the lineage of the weight updates
-            else:
-                nxt = nxt.persist(StorageLevel.MEMORY_AND_DISK)  # recomputable from the last checkpoint
-            if prev is not None:
-                prev.unpersist()
-            prev = cur = nxt
-        if prev is not None:
-            prev.unpersist()
-        return AdaBoostR2Model.of(trees, weights, self._features, self._prediction)

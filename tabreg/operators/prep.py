@@ -9,7 +9,7 @@ last level) differ from the reference's definitions, so these stages implement t
 - ``PopulationScaler``: (x - mean) / population std of the training rows; std 0 divides by 1;
 - ``DropFirstOneHot``: levels sorted from the training rows, first level dropped, unknown -> all 0.
 
-Dummy columns get reserved names (``__dummy_<n>``) and carry the display name ``Col_level`` in their metadata,
+Dummy columns get reserved names (``__dummy_<stage id>_<n>``) and carry the display name ``Col_level`` in their metadata,
 so the assembler finds them by metadata alone: a raw column that merely looks like a dummy is never a feature,
 and levels may hold any character.
 
@@ -130,7 +130,8 @@ class DropFirstOneHotModel(Model, HasInputCols, DefaultParamsReadable, DefaultPa
         return [f"{o}_{lv}" for o, lv in zip(self.getOrDefault(self.owners), self.getOrDefault(self.levels))]
 
     def outputColumns(self) -> list[str]:
-        return [f"__dummy_{i}" for i in range(len(self.getOrDefault(self.levels)))]
+        """Reserved names that carry the stage's id, so two encoders never meet."""
+        return [f"__dummy_{self.uid}_{i}" for i in range(len(self.getOrDefault(self.levels)))]
 
     def _transform(self, df: DataFrame) -> DataFrame:
         cols = [F.when(F.col(f"`{o}`").cast("string") == F.lit(lv), F.lit(1.0)).otherwise(F.lit(0.0))
@@ -156,23 +157,26 @@ class DropFirstOneHot(Estimator, HasInputCols, DefaultParamsReadable, DefaultPar
 
     def _fit(self, df: DataFrame) -> DropFirstOneHotModel:
         cols, most = self.getInputCols(), self.getOrDefault(self.maxLevels)
-        stacked = df.select(F.explode(F.array(*[
-            F.struct(F.lit(c).alias("c"), F.col(f"`{c}`").cast("string").alias("v")) for c in cols])).alias("kv"))
-        distinct = stacked.where(F.col("kv.v").isNotNull()).groupBy("kv.c", "kv.v").count()
-        # at most maxLevels + 1 levels of each column reach the driver (map-side window group limit)
-        first = Window.partitionBy("c").orderBy("v")
-        rows = (distinct.withColumn("r", F.row_number().over(first)).where(F.col("r") <= most + 1).collect())
-        owners, levels = [], []
-        for c in cols:
-            vals = [r["v"] for r in rows if r["c"] == c]
-            if len(vals) > most:
-                raise ValueError(f"column {c} has more than {most} levels")
-            numeric = all(_is_number(v) for v in vals)
-            vals = sorted(vals, key=(lambda v: float(v)) if numeric else None)
-            for v in vals[1:]:
-                owners.append(c)
-                levels.append(v)
-        return DropFirstOneHotModel()._set(inputCols=cols, owners=owners, levels=levels)
+        levels = sorted_levels(df, cols, most)
+        kept = [(c, v) for c in cols for v in levels[c][1:]]
+        return DropFirstOneHotModel()._set(inputCols=cols, owners=[c for c, _ in kept], levels=[v for _, v in kept])
+
+
+def sorted_levels(df: DataFrame, cols: Sequence[str], most: int = MAX_LEVELS) -> dict[str, list[str]]:
+    """Levels of each column (as numbers if all are), ``most`` at most; more are an error that names the column."""
+    stacked = df.select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("c"), F.col(f"`{c}`").cast("string").alias("v")) for c in cols])).alias("kv"))
+    distinct = stacked.where(F.col("kv.v").isNotNull()).groupBy("kv.c", "kv.v").count()
+    # at most ``most`` + 1 levels of each column reach the driver (map-side window group limit)
+    first = Window.partitionBy("c").orderBy("v")
+    rows = distinct.withColumn("r", F.row_number().over(first)).where(F.col("r") <= most + 1).collect()
+    out = {}
+    for c in cols:
+        vals = [r["v"] for r in rows if r["c"] == c]
+        if len(vals) > most:
+            raise ValueError(f"column {c} has more than {most} levels")
+        out[c] = sorted(vals, key=float if all(map(_is_number, vals)) else None)
+    return out
 
 
 def _is_number(v: str) -> bool:

@@ -47,13 +47,13 @@ for _key, _name, _doc in [
     ("ridge", "Ridge Regression", "Ridge (alpha 1.0, penalty matched to the SSE + alpha|w|^2 objective)."),
     ("lasso", "Lasso Regression", "Lasso (alpha 0.001)."),
     ("decision_tree", "Decision Tree", "Regression tree, depth 10."),
-    ("random_forest", "Random Forest", "Bootstrap forest, all features per split."),
+    ("random_forest", "Random Forest", "Bootstrap forest, all features per split, no depth limit."),
     ("gbt", "Gradient Boosting", "Gradient-boosted trees, rate 0.05, depth 3."),
-    ("gbt_subsampled", "gbt_subsampled", "Boosted trees, depth 5, row and column subsampling 0.9."),
-    ("gbt_wide", "gbt_wide", "Boosted trees, depth 5, 256 bins."),
-    ("gbt_deep", "gbt_deep", "Boosted trees, depth 6."),
-    ("forest_subspace", "forest_subspace", "Forest without bootstrap, one third of the features per split."),
-    ("adaboost_r2", "AdaBoost", "AdaBoost.R2 (linear loss, depth-3 trees, weighted-median prediction)."),
+    ("gbt_subsampled", "gbt_subsampled", "Second-order boosted trees, depth 5, row and column shares 0.9."),
+    ("gbt_wide", "gbt_wide", "Leaf-wise boosted trees, 31 leaves."),
+    ("gbt_deep", "gbt_deep", "Oblivious boosted trees, depth 6, 500 rounds."),
+    ("forest_subspace", "Extra Trees", "Extremely randomised trees, no depth limit."),
+    ("adaboost_r2", "AdaBoost", "AdaBoost.R2 (linear loss, depth-3 trees on weighted resamples, weighted-median prediction)."),
 ]:
     _model_query(_key, _name, _doc)
 

@@ -115,14 +115,10 @@ def test_adaboost_runs_and_predicts_in_label_range(spark, data):
     assert r[0] == out.count() and lo <= r[1] <= r[2] <= hi
 
 
-def test_weighted_median_rule(spark):
-    from pyspark.ml.linalg import Vectors
-    from pyspark.ml.regression import DecisionTreeRegressor
-    df = spark.createDataFrame([(Vectors.dense([float(i)]), float(i)) for i in range(10)], ["features", "label"])
-    trees = [DecisionTreeRegressor(maxDepth=1).fit(df.withColumn("label", F.lit(v))) for v in (1.0, 5.0, 9.0)]
-    m = M.AdaBoostR2Model.of(trees, [0.2, 0.5, 0.3])
+def test_weighted_median_rule():
+    from tabreg.operators.boosting import weighted_median
     # sorted predictions 1 (0.2), 5 (0.5 -> cum 0.7 >= 0.5): weighted median is 5
-    assert {r["prediction"] for r in m.transform(df).collect()} == {5.0}
+    assert weighted_median(np.array([[9.0], [1.0], [5.0]]), np.array([0.3, 0.2, 0.5])).tolist() == [5.0]
 
 
 def test_train_all_isolates_failures(spark, data):
@@ -151,17 +147,6 @@ def test_adaboost_saves_and_matches_its_trees(spark, data, scratch):
     assert a.join(b, "row_key").where("prediction <> p2").count() == 0
 
 
-def test_tree_arrays_predict_as_the_tree(spark):
-    from pyspark.ml.linalg import Vectors
-    from pyspark.ml.regression import DecisionTreeRegressor
-    rng = np.random.default_rng(0)
-    x = rng.normal(size=(200, 3))
-    df = spark.createDataFrame([(Vectors.dense(r), float(r[0] * 2 + (r[1] > 0) - r[2] ** 2)) for r in x], ["features", "label"])
-    tree = DecisionTreeRegressor(maxDepth=4).fit(df)
-    one = M.AdaBoostR2Model.of([tree], [1.0], predictionCol="p2")
-    assert one.transform(tree.transform(df)).where("prediction <> p2").count() == 0
-
-
 def test_predict_batch_checks_keeps_and_derives(data):
     model = _fit("Linear Regression", data)
     out = M.predict_batch(model, data, [*NUM, *CAT], INTERACTION, "p")
@@ -183,7 +168,7 @@ def test_permutation_importance_of_an_unused_column_is_zero(spark, data):
 def test_cross_validation_uses_the_folds_own_facts(data):
     seen = []
     real = M.training_facts
-    c = M.Candidate("Ridge", True, lambda f: (seen.append(f["n"]), M.catalogue()["Ridge Regression"].build(f))[1])
+    c = M.Candidate("Tree", False, lambda f: (seen.append(f["n"]), M.catalogue()["Decision Tree"].build(f))[1])
     train = data.where("split = 'train'")
     M.cross_validate(c, train, NUM, CAT, INTERACTION, "charge", "row_key", 3)
     assert len(seen) == 3 and sum(seen) == 2 * train.count() and real is M.training_facts

@@ -66,7 +66,8 @@ def test_one_hot_drops_first_sorted_level_and_unknown_is_zero(spark):
     enc = DropFirstOneHot(inputCols=["k"]).fit(train)
     assert enc.outputNames() == ["k_b", "k_c"]
     out = enc.transform(spark.createDataFrame([("a",), ("c",), ("zz",)], "k string")).collect()
-    assert [(r["k_b"], r["k_c"]) for r in out] == [(0.0, 0.0), (0.0, 1.0), (0.0, 0.0)]
+    b, c = enc.outputColumns()
+    assert [(r[b], r[c]) for r in out] == [(0.0, 0.0), (0.0, 1.0), (0.0, 0.0)]
     nums = DropFirstOneHot(inputCols=["o"]).fit(spark.createDataFrame([(10,), (2,), (3,)], "o int"))
     assert nums.outputNames() == ["o_3", "o_10"]  # numeric levels sort numerically
 
