@@ -9,8 +9,8 @@ least ``min_len`` bytes.
 Spark brings together what can match. Every window of ``min_len`` bytes elects its least hashed gram
 (``gram`` bytes); equal windows elect the same gram at the same offset, so all windows that elect one place
 form a context (under 2 * min_len bytes), and equal windows lie in contexts of the same key. Contexts are
-counted by (key, content); only keys seen twice are read again, one copy of each distinct context (two
-where it occurs more than once). A key with more than ``hot`` distinct contexts is split exactly: its
+counted by (key, content). One that occurs more than once is covered as a whole; keys of several
+distinct contexts are read again, one copy of each. A key with more than ``hot`` of them is split exactly: its
 windows are regrouped by the string that a band of neighbouring windows has in common, at last by the
 window itself, which leaves one distinct context a key.
 
@@ -249,16 +249,12 @@ def _covered(starts: np.ndarray, part: np.ndarray, min_len: int):
 def _expand(min_len: int, block: int):
     """Blocks of whole keys from a partition sorted by key -> (key, ctx, size, covered ranges)."""
     def solve(keys, ctx, n, data, off):
-        twice = np.repeat(np.arange(len(n)), np.where(n > 1, 2, 1))
-        lens = np.diff(off)[twice]
-        body = data[B.spans_to_indices(off[:-1][twice], lens)]
-        at = np.concatenate([[0], np.cumsum(lens)])
-        marks = np.flatnonzero(repeated_starts((body, at), min_len))
-        part = np.searchsorted(at[:-1] + np.arange(len(lens)), marks, "right") - 1
-        one = np.ones(len(part), bool)
-        one[:] = (part == 0) | (twice[part] != twice[part - 1])  # the first copy of each context
-        marks, part = marks[one], part[one]
-        which, a, b = _covered(marks - at[part] - part, twice[part], min_len)
+        marks = np.flatnonzero(repeated_starts((data, off), min_len))
+        at = off[:-1] - off[0] + np.arange(len(n))
+        part = np.searchsorted(at, marks, "right") - 1
+        open_ = n[part] == 1  # a context that occurs twice is covered as a whole already
+        marks, part = marks[open_], part[open_]
+        which, a, b = _covered(marks - at[part], part, min_len)
         if len(which):
             yield pa.RecordBatch.from_arrays(
                 [pa.array(keys[which]), pa.array(ctx[which]), pa.array(np.diff(off)[which], pa.int32()),
@@ -317,15 +313,18 @@ def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     distinct = (runs.join(again, "key").groupBy(F.struct("key", "ctx").alias("what"))
                 .agg(F.count("*").alias("n"), F.min(F.struct("row_key", "s0", "n_win", "off")).alias("one")))
     distinct = written(distinct.select("what.*", "n", "one.*"), "distinct")
-    crowded = distinct.groupBy("key").agg(F.count("*").alias("kinds")).where(F.col("kinds") > hot)
-    wanted = (distinct.join(crowded, "key", "left").groupBy("row_key")
+    # a context that occurs twice is covered as a whole; only keys of several contexts go through the transform
+    twice = distinct.where("n > 1").select("key", "ctx", (F.col("n_win") + (min_len - 1)).alias("size"))
+    several = written(distinct.groupBy("key").agg(F.count("*").alias("kinds")).where("kinds > 1"), "several")
+    wanted = (distinct.join(several, "key").groupBy("row_key")
               .agg(F.collect_list(F.struct("s0", "n_win", "off", "key", "ctx", F.least("n", F.lit(2)).cast("int").alias("n"),
-                                           F.col("kinds").isNotNull().alias("hot"))).alias("wanted")))
-    cut = texts.join(wanted, "row_key").select("text", "wanted")
+                                           (F.col("kinds") > hot).alias("hot"))).alias("wanted")))
+    cut = texts.join(wanted, "row_key").dropDuplicates(["row_key"]).select("text", "wanted")  # rows that repeat are cut once
     contexts = written(cut.transform(
         arrow, _cut_contexts(min_len), "key long, ctx long, off int, n int, hot boolean, body binary"), "ctx")
     contexts = contexts.withColumn("size", F.length("body"))
-    found = _solve(contexts.where("not hot"), min_len, block)
+    whole = lambda df: df.select("key", "ctx", "size", F.lit(0).alias("a"), F.col("size").alias("b"))
+    found = _solve(contexts.where("not hot"), min_len, block).unionByName(whole(twice))
     # hot keys: the same windows under finer keys, exactly; results carried back to the context they lie in
     heated, back = contexts.where("hot"), None
     for width in (min(16, min_len), 1):
@@ -339,7 +338,7 @@ def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         again = kinds.groupBy("key").agg(F.sum("n").alias("total"), F.count("*").alias("kinds")).where("total > 1")
         kinds = written(kinds.join(again, "key").select(
             "key", "ctx", "off", F.least("n", F.lit(2)).cast("int").alias("n"), "size", "body",
-            (F.col("kinds") > hot).alias("hot")), "kinds")
+            F.col("kinds"), (F.col("kinds") > hot).alias("hot")), "kinds")
         links = fine.select("key", "ctx", "size", "up_key", "up_ctx", "up_size", "shift")
         if back is not None:  # to the contexts of the first level
             up = back.select(F.col("key").alias("up_key"), F.col("ctx").alias("up_ctx"), F.col("size").alias("up_size"),
@@ -349,7 +348,8 @@ def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 "key", "ctx", "size", F.col("k0").alias("up_key"), F.col("c0").alias("up_ctx"),
                 F.col("z0").alias("up_size"), (F.col("shift") + F.col("shift0")).alias("shift"))
         links = links.distinct()
-        solved = _solve(kinds.where("not hot"), min_len, block).join(links, ["key", "ctx", "size"])
+        solved = (_solve(kinds.where("not hot and kinds > 1"), min_len, block).unionByName(whole(kinds.where("n > 1")))
+                  .join(links, ["key", "ctx", "size"]))
         found = found.unionByName(solved.select(
             F.col("up_key").alias("key"), F.col("up_ctx").alias("ctx"), F.col("up_size").alias("size"),
             (F.col("a") + F.col("shift")).alias("a"), (F.col("b") + F.col("shift")).alias("b")))
@@ -357,7 +357,7 @@ def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     per_ctx = written(found.groupBy("key", "ctx", "size").agg(F.collect_list(F.struct("a", "b")).alias("spans")), "found")
     return (runs.withColumn("size", F.col("n_win") + (min_len - 1)).join(per_ctx, ["key", "ctx", "size"])
             .groupBy("row_key")
-            .agg(F.flatten(F.collect_list(F.transform("spans", lambda x: F.struct(
+            .agg(F.flatten(F.collect_set(F.transform("spans", lambda x: F.struct(  # a set: rows that repeat add nothing
                 (x["a"] + F.col("s0")).alias("a"), (x["b"] + F.col("s0")).alias("b"))))).alias("ranges")))
 
 
@@ -408,7 +408,7 @@ def digests(docs: DataFrame, **how) -> DataFrame:
     """Per document the sizes of what is removed and a digest of what is kept (bytes)."""
     return (with_ranges(docs.select("doc_id", F.col("text").cast("binary").alias("text")), **how)
             .select("doc_id", "text", "ranges")
-            .transform(arrow, _digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"))
+            .transform(arrow, _digest, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string"))
 
 
 def _clean(batches):

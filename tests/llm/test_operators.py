@@ -59,6 +59,18 @@ def test_bwt_dedup_is_brute_force(spark, hot):
     assert {r.doc_id: tuple(r)[1:] for r in got} == want
 
 
+def test_bwt_many_copies_of_one_row(spark):
+    """Repeated rows (same id and text), and many distinct texts that share a passage with them."""
+    text = blurb(random.Random(3), 300)
+    rows = [(None, text)] * 5000 + [(str(i), text[40:400] + f" {i} own") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string").repartition(4)
+    got = bwt.digests(docs).groupBy("doc_id", "n_bytes", "n_removed", "n_spans").count().collect()
+    raw = [(t or "").encode() for _, t in rows[4999:]]
+    raw = [raw[0]] + raw  # one more copy stands for the others
+    want = {(i, *brute.dedup_row(t, m)[:3]): 1 for (i, _), t, m in zip(rows[4998:], raw, brute.covered(raw, 200))}
+    assert {tuple(r)[:4]: r["count"] for r in got} == {k: 5000 if k[0] is None else 1 for k in want}
+
+
 def test_bwt_very_long_text(spark, monkeypatch):
     rng = random.Random(1)
     text = blurb(rng, 400) + "#" + blurb(random.Random(2), 30) + "-" * 5 + blurb(random.Random(2), 30)
