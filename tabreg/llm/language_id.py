@@ -25,8 +25,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabreg.llm import bytesops as B
-from tabreg.llm.shared import arrow, least_rows, written
+from tabreg.llm.shared import arrow, hot_join, least_rows, written
 
+MOST_LABELS, SAID_BYTES = 1000, 16 << 20
 BUCKETS, PER_LANGUAGE, MOST_GRAMS, MIN_POSTERIOR = 1 << 15, 2000, 200, 0.5
 SMOOTH, PRIOR_WEIGHT, UNKNOWN = 0.05, 10.0, "und"
 
@@ -88,8 +89,12 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     """Fit the trigram models on a bounded sample of labelled rows (null labels are left out)."""
     src = labelled.where(F.col(lang_col).isNotNull()).select(
         F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("h"))
-    ids = least_rows(src.select("lang", "h"), "lang", "h", per_language).select("lang", "h").distinct()
-    sample = src.join(F.broadcast(ids), ["lang", "h"])  # at most per_language hashes of each language
+    n = src.select("lang").distinct().count()
+    if n > MOST_LABELS:
+        raise ValueError(f"{n} language labels; {MOST_LABELS} at most (a model of {BUCKETS * 4 >> 10} KB each)")
+    ids = least_rows(src.select("lang", "h").distinct(), "lang", "h", per_language)
+    # at most per_language rows of each language: of rows that repeat, one
+    sample = src.join(F.broadcast(ids), ["lang", "h"]).dropDuplicates(["lang", "h"])
     counts = (sample.select("lang", "text").transform(arrow, _count, "lang string, gram int, n long")
               .groupBy("lang", "gram").agg(F.sum("n").alias("n")))
     # a group holds a language's buckets, BUCKETS rows at most
@@ -173,12 +178,17 @@ def identify(rows: DataFrame, model: Model, text_col: str = "text", id_col: str
         "__suffix", "__domain", F.when(F.col("__domain").isNull(), F.col("__p1")).otherwise(_smoothed(F.col("__n"), F.col("__p1"), prior_weight)).alias("__p2"))
     host = chain.withColumnsRenamed({"__suffix": "__s", "__domain": "__d"}).join(
         domain, F.col("__s").eqNullSafe(F.col("__suffix")) & F.col("__d").eqNullSafe(F.col("__domain"))).select(
-        F.xxhash64("__s", "__d", "__host").alias("__place"), F.col("__n").alias("__host_n"), "__p2")
+        F.xxhash64("__s", "__d", "__host").alias("__place"), F.col("__n").alias("__host_n"), "__p2",
+        F.round(F.aggregate("__n", F.lit(0.0), lambda a, b: a + b)).cast("long").alias("__rows"))  # posteriors of a row sum to 1
     said = _shares(seen.where("__declared is not null"), ["__declared"], k).crossJoin(F.broadcast(every)).crossJoin(
         F.broadcast(_shares(seen.where("__declared is not null"), [], k).select(F.col("__n").alias("__total")))).select(
         F.col("__declared").alias("__say"),
         F.transform(F.arrays_zip("__n", "__total"), lambda x: F.log((x["__n"] + 0.1) / (x["__total"] + 1.0))).alias("__log_said"))
-    fused = (seen.withColumn("__place", F.xxhash64("__suffix", "__domain", "__host")).join(host, "__place", "left")
+    said = written(said, "said")
+    if said.count() * k * 8 <= SAID_BYTES:
+        said = F.broadcast(said)
+    placed = seen.withColumn("__place", F.xxhash64("__suffix", "__domain", "__host"))
+    fused = (hot_join(placed, written(host, "host"), "__place", "__rows", seen.count())
              .join(said, F.col("__declared") == F.col("__say"), "left"))
     own = F.zip_with("__host_n", "__post", lambda n, p: F.greatest(n - p, F.lit(0.0)))
     prior = F.when(F.col("__host").isNull(), F.col("__p2")).otherwise(_smoothed(own, F.col("__p2"), prior_weight))

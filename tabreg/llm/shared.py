@@ -63,14 +63,23 @@ def drop_table(spark: SparkSession, path: str) -> None:
 
 
 def least_rows(df: DataFrame, by: str, order: str, n: int) -> DataFrame:
-    """The ``n`` rows of each value of ``by`` with the least ``order``: first within parts of each value (one per
-    shuffle partition, by a hash), then among the parts' winners, so no task sees all rows of a value."""
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    first = Window.partitionBy(by, "__part").orderBy(order)
+    """The ``n`` rows of each value of ``by`` with the least ``order``, a uniform 64-bit hash (ties in any order).
+
+    Values are counted first (a row per value is broadcast, so ``by`` must be few). Then only rows under the share
+    1.5 n / count of the hash space are kept, wider where that proves too few, and these few are ranked.
+    """
+    counts = written(df.groupBy(by).agg(F.count("*").alias("__all")), "values")
+    wide = 1.5
+    while True:
+        share = F.lit(wide * n) / F.col("__all")
+        kept = written(df.join(F.broadcast(counts), by).where((F.col(order).cast("double") / F.lit(2.0 ** 64) + 0.5) <= share), "least")
+        missing = counts.join(kept.groupBy(by).agg(F.count("*").alias("__kept")), by, "left").where(
+            (F.coalesce("__kept", F.lit(0)) < F.least(F.lit(n), F.col("__all"))) & (F.lit(wide * n) < F.col("__all")))
+        if missing.isEmpty():
+            break
+        wide *= 8
     last = Window.partitionBy(by).orderBy(order)
-    return (df.withColumn("__part", F.pmod(F.xxhash64(order), F.lit(parts)))
-            .withColumn("__r", F.row_number().over(first)).where(F.col("__r") <= n).drop("__part")
-            .withColumn("__r", F.row_number().over(last)).where(F.col("__r") <= n).drop("__r"))
+    return kept.drop("__all").withColumn("__r", F.row_number().over(last)).where(F.col("__r") <= n).drop("__r")
 
 
 def row_key(id_col: str, text_col: str) -> Column:

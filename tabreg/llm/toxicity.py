@@ -134,7 +134,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     sample = least_rows(known.withColumn("__h", F.xxhash64("__id")), "toxic", "__h", per_class).select("__id", "grade")
     rows = written(docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
                    .join(F.broadcast(sample), "__id")  # at most 2 * per_class rows
-                   .select(F.xxhash64("__id", "__text").alias("sample"), "grade", "__text")
+                   .select(F.xxhash64("__id", "__text").alias("sample"), "grade", "__text", F.xxhash64("__id").alias("of"))
+                   .groupBy("of").agg(F.min(F.struct("sample", "grade", "__text")).alias("one")).select("one.*")  # one row of an id
                    .transform(arrow, _features, "sample long, grade int, words array<long>"), "toxic")
     size = {r["t"]: r["n"] for r in rows.groupBy((F.col("grade") > 0).alias("t")).agg(F.count("*").alias("n")).collect()}
     pos, neg = size.get(True, 0), size.get(False, 0)
