@@ -1,13 +1,13 @@
-"""Model explanation: native and permutation importance, exact linear contributions, sampled Shapley
-values, global importance and the value x weight fallback.
+"""Model explanation: native and permutation importance, exact linear and tree contributions, sampled Shapley
+values for any other model, global importance and the value x weight fallback.
 
 Scale notes:
-- permutation importance pairs every row with one donor row per repeat (one window per repeat inside hash
-  buckets, whose number the caller sets); the feature variants are exploded after that shuffle, scored and
-  aggregated map-side;
-- sampled Shapley crosses the explained rows with a bounded broadcast grid (background rows x orders x steps,
-  sizes fixed by the call) and scores it; each score counts for the feature just switched on and against the
-  next one, so sums per (row, feature) collapse map-side and only k rows of a key reach the shuffle.
+- permutation importance numbers the rows once (a distributed sort); a repeat's permutation is a keyed bijection on these
+  numbers, computed row by row, so a join on it gives each row its donor. The feature variants are exploded
+  after that shuffle, scored and aggregated map-side;
+- tree contributions are computed in place, batch by batch (``treeshap``); no row is copied;
+- sampled Shapley (models without trees or coefficients) crosses the explained rows with a bounded broadcast grid
+  (background rows x orders x steps, sizes fixed by the call) and scores it; sums per (row, feature) collapse map-side.
 """
 
 from __future__ import annotations
@@ -15,11 +15,18 @@ from __future__ import annotations
 import random
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import PipelineModel
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabreg.functions.stats import hash_bucket, r2_expr
+from tabreg.cluster import ship
+from tabreg.functions.stats import r2_expr
+from tabreg.operators.prep import feature_names
+from tabreg.operators.split import global_rank
+from tabreg.operators.treeshap import Explainer, model_trees
 
 
 BACKGROUND = 100  # fixed value: background rows of the sampled Shapley values
@@ -40,20 +47,44 @@ def importance_native(model, names: Sequence[str]) -> DataFrame:
     return spark.createDataFrame([(n, float(v)) for n, v in zip(names, vals)], "feature string, importance double")
 
 
+def permuted(rank: np.ndarray, n: int, key: int) -> np.ndarray:
+    """A keyed bijection on 0..n-1: four Feistel rounds over the next even number of bits, walked back into range."""
+    half = max(1, ((max(n - 1, 1)).bit_length() + 1) // 2)
+    mask = np.uint64((1 << half) - 1)
+
+    def once(v):
+        left, right = v >> np.uint64(half), v & mask
+        for r in range(4):
+            h = (right + np.uint64(key * 4 + r + 1)) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(32)
+            h *= np.uint64(0xD6E8FEB86659FD93)
+            left, right = right, left ^ ((h >> np.uint64(29)) & mask)
+        return left << np.uint64(half) | right
+    out = once(rank.astype(np.uint64))
+    while (far := out >= n).any():
+        out[far] = once(out[far])
+    return out.astype(np.int64)
+
+
 def importance_permutation(model: PipelineModel, df: DataFrame, features: Sequence[str], key: str,
-                           label: str, repeats: int = 10, buckets: int = 64, seed: int = 42) -> DataFrame:
-    """Mean and population std over repeats of the drop in R2 when one input column is shuffled.
+                           label: str, repeats: int = 10, seed: int = 42) -> DataFrame:
+    """Mean and population std over repeats of the drop in R2 when one input column is permuted over the whole table.
 
-    Rows fall into ``buckets`` hash buckets (the same rule at every size: set it so that a bucket fits a
-    task). In each repeat the rows of a bucket are put in a random order, and every row gets the next row's
-    values (the last one the first's), one column at a time.
+    In each repeat every row takes the value of the row whose number the repeat's bijection gives, one column at a
+    time, so each value is used exactly once.
     """
-    base = df.select(key, label, *features).withColumn("__b", hash_bucket(F.col(key), f"perm{seed}", buckets))
-    rep = base.withColumn("__repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
-    order = Window.partitionBy("__repeat", "__b").orderBy(F.xxhash64(F.col(key), F.col("__repeat"), F.lit(seed)), key)
-    own = F.struct(*features)
-    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    paired = rep.withColumn("__donor", F.coalesce(F.lead(own).over(order), F.first(own).over(whole)))
+    ship(df.sparkSession)
+    ranked = global_rank(df.select(key, label, *features), [key])
+    n = ranked.count()
+
+    @F.arrow_udf("array<long>")
+    def donors(rank: pa.Array) -> pa.Array:
+        r = rank.to_numpy(zero_copy_only=False)
+        each = np.stack([permuted(r, n, seed * 1000 + i) for i in range(repeats)], 1)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(r) + 1) * repeats, pa.int32()), pa.array(each.ravel()))
+    own = ranked.select("rank", F.struct(*features).alias("__donor"))
+    asked = ranked.select(key, label, *features, F.posexplode(donors("rank")).alias("__repeat", "__rank"))
+    paired = asked.join(own.withColumnRenamed("rank", "__rank"), "__rank")
     variants = F.array(*[F.struct(F.lit(f).alias("__feature"), *[
         (F.col(f"__donor.{g}") if g == f else F.col(g)).alias(g) for g in features]) for f in features])
     shuffled = paired.select(key, label, "__repeat", F.explode(variants).alias("__x")).select(key, label, "__repeat", "__x.*")
@@ -65,6 +96,30 @@ def importance_permutation(model: PipelineModel, df: DataFrame, features: Sequen
             .agg(F.avg("drop").alias("importance_mean"), F.stddev_pop("drop").alias("importance_std")))
 
 
+def shap_tree(model: PipelineModel, rows: DataFrame, background: DataFrame, key: str) -> DataFrame:
+    """Exact Shapley values of the pipeline's tree model on its own (prepared) features, against the background rows
+    (a bounded sample). Long form: key, feature, value, contribution; a row's contributions sum to f(x) - mean f(background)."""
+    ship(rows.sparkSession)
+    prep, last, names = PipelineModel(model.stages[:-1]), model.stages[-1], feature_names(model)
+    vector = last.getFeaturesCol()
+    known = prep.transform(background).select(vector_to_array(vector).alias("x")).collect()
+    if not known:
+        raise ValueError("no background rows")
+    explainer = rows.sparkSession.sparkContext.broadcast(Explainer(model_trees(last), np.array([r["x"] for r in known]).T))
+
+    @F.arrow_udf("array<double>")
+    def contributions(x: pa.Array) -> pa.Array:
+        n = len(x)
+        flat = np.ascontiguousarray(x.flatten().to_numpy(zero_copy_only=False).reshape(n, -1).T)
+        phi = explainer.value(flat)
+        return pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * len(phi), pa.int32()), pa.array(phi.T.ravel()))
+    x = prep.transform(rows).select(key, vector_to_array(vector).alias("__x"))
+    both = F.arrays_zip(F.array(*map(F.lit, names)).alias("feature"), F.col("__x").alias("value"), F.col("__phi").alias("contribution"))
+    return (x.withColumn("__phi", contributions("__x")).select(key, F.explode(both).alias("kv"))
+            .select(key, F.col("kv").getField("feature").alias("feature"), F.col("kv").getField("contribution").alias("contribution"),
+                    F.col("kv").getField("value").alias("value")))
+
+
 def shap_linear(prepared: DataFrame, names: Sequence[str], coefficients: Sequence[float], key: str,
                 background_means: Sequence[float]) -> DataFrame:
     """Exact Shapley values of a linear model on its own (prepared) features:

@@ -176,15 +176,15 @@ def _settle(wanted: DataFrame, taken: DataFrame) -> DataFrame:
     from tabreg.session import ensure_checkpoint_dir
     ensure_checkpoint_dir(wanted.sparkSession)
     rejected = taken.distinct().checkpoint()
-    open_ = wanted.join(rejected, "line", "left_anti").checkpoint()
-    while True:
+    live = wanted.join(rejected, "line", "left_anti")
+    contested = live.groupBy("claim").agg(F.min("line").alias("a"), F.max("line").alias("b")).where("a <> b").select("claim")
+    open_ = live.join(contested, "claim", "left_semi").checkpoint()  # claims of one row decide nothing
+    while not open_.isEmpty():
         first = open_.groupBy("claim").agg(F.min("line").alias("first"))
         in_line = open_.join(first, "claim").withColumn("wins", F.col("line") == F.col("first"))
         accepted = in_line.groupBy("line").agg(F.min("wins").alias("wins")).where("wins").select("line")
         gone = open_.join(accepted, "line", "left_semi").select("claim").distinct()
         losers = open_.join(accepted, "line", "left_anti").join(gone, "claim", "left_semi").select("line").distinct().checkpoint()
-        rest = open_.join(accepted, "line", "left_anti").join(losers, "line", "left_anti").checkpoint()
         rejected = rejected.unionByName(losers)
-        if rest.isEmpty():
-            return rejected
-        open_ = rest
+        open_ = open_.join(accepted, "line", "left_anti").join(losers, "line", "left_anti").checkpoint()
+    return rejected

@@ -13,13 +13,17 @@ Design rules (for tables far larger than memory):
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import (BooleanType, DateType, DecimalType, DoubleType, FloatType, NumericType,
                                TimestampNTZType, TimestampType)
 
+from tabreg.cluster import arrow
 from tabreg.functions.bands import band_skew, possible_type
 from tabreg.functions.stats import sample_kurt, sample_skew
 from tabreg.operators.quantile import exact_quantiles, long_values
@@ -459,3 +463,88 @@ def binned_trend(df: DataFrame, x: str, y: str, bins: int = 20) -> DataFrame:
                 F.least(F.floor((F.col("x") - F.col("lo")) / width), F.lit(bins - 1))).cast("int"))
             .groupBy("bin").agg(F.avg("x").alias("x_mean"), F.avg("y").alias("y_mean"),
                                 F.count(F.lit(1)).cast("bigint").alias("count")))
+
+
+LOWESS_POWERS = 12  # |d|^9 of the weights times d^2
+
+
+def _cell_powers(breaks: np.ndarray):
+    """Per cell of x: sums of t^k and y t^k, t the place in the cell from -1 to 1."""
+    def run(batches):
+        total = np.zeros((2, LOWESS_POWERS, len(breaks) + 1))
+        for batch in batches:
+            x, y = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            cell = np.searchsorted(breaks, x)
+            mid, half = _cells(breaks)
+            t, p = (x - mid[cell]) / half[cell], np.ones(len(x))
+            for k in range(LOWESS_POWERS):
+                total[0, k] += np.bincount(cell, p, len(breaks) + 1)
+                total[1, k] += np.bincount(cell, p * y, len(breaks) + 1)
+                p = p * t
+        k, cell = np.nonzero(total.any(0))
+        yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int32()), pa.array(k, pa.int32()), pa.array(total[0, k, cell]),
+                                          pa.array(total[1, k, cell])], ["cell", "k", "s", "sy"])
+    return run
+
+
+def _cells(breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    edges = np.concatenate([breaks[:1], breaks, breaks[-1:]])
+    half = (edges[1:] - edges[:-1]) / 2
+    return (edges[1:] + edges[:-1]) / 2, np.where(half > 0, half, 1.0)
+
+
+def lowess(df: DataFrame, x: str, y: str, points: int = 25, frac: float = 2 / 3) -> DataFrame:
+    """Locally weighted line of y on x at an even grid over [min, max]: (point, x, bandwidth, trend).
+
+    The window of a grid point holds the nearest ceil(frac n) rows (bandwidth: distance to the last of them, exact),
+    with tricube weights and no robustness rounds. On either side of the point the weights are a polynomial in the distance,
+    so all sums come from power sums per cell, the cells being cut at the points and the ends of their windows: one
+    read for the bandwidths' quantiles, one for the power sums, no pairs of rows. A window of one x value gives its mean.
+    """
+    clean = lambda c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))
+    base = df.select(clean(x).alias("x"), clean(y).alias("y")).where("x is not null and y is not null")
+    st = base.agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count("*").alias("n")).first()
+    schema = "point int, x double, bandwidth double, trend double"
+    if not st["n"]:
+        return df.sparkSession.createDataFrame([], schema)
+    grid = st["lo"] + np.arange(points) * (st["hi"] - st["lo"]) / max(points - 1, 1)
+    n = st["n"]
+    k = min(n, max(1, math.ceil(frac * n - 1e-9)))
+    away = base.select(*[F.abs(F.col("x") - F.lit(float(g))).alias(f"d{i}") for i, g in enumerate(grid)])
+    p = (k - 1) / (n - 1) if n > 1 else 0.0
+    width = {r["column"]: r["value"] for r in exact_quantiles(away, away.columns, [p]).collect()}  # a row per point
+    h = np.array([width[f"d{i}"] for i in range(points)])
+    breaks = np.unique(np.concatenate([grid, grid - h, grid + h]))
+    rows = (base.transform(arrow, _cell_powers(breaks), "cell int, k int, s double, sy double").groupBy("cell", "k")
+            .agg(F.sum("s").alias("s"), F.sum("sy").alias("sy")).collect())  # cells x powers
+    sums = np.zeros((2, LOWESS_POWERS, len(breaks) + 1))
+    for r in rows:
+        sums[0, r["k"], r["cell"]], sums[1, r["k"], r["cell"]] = r["s"], r["sy"]
+    mid, half = _cells(breaks)
+    out = []
+    for i, g in enumerate(grid.tolist()):
+        trend = _local_line(g, h[i], breaks, mid, half, sums) if h[i] > 0 else None
+        if trend is None:
+            trend = base.where(F.col("x") == F.lit(g)).agg(F.avg("y")).first()[0]
+        out.append((i, g, float(h[i]), None if trend is None else float(trend)))
+    return df.sparkSession.createDataFrame(out, schema)
+
+
+def _local_line(g: float, h: float, breaks: np.ndarray, mid: np.ndarray, half: np.ndarray, sums: np.ndarray) -> float | None:
+    """Value at ``g`` of the line fitted with tricube weights of bandwidth ``h``."""
+    w = np.zeros((2, 3))  # weighted sums of u^j and y u^j, u = (x - g) / h
+    first, last = np.searchsorted(breaks, g - h), np.searchsorted(breaks, g + h)
+    for cell in range(first + 1, last + 1):  # cells between the window's ends (searchsorted: a cell holds its upper end)
+        a, b = (mid[cell] - g) / h, half[cell] / h
+        side = -1.0 if breaks[cell] <= g else 1.0
+        u = np.zeros((2, LOWESS_POWERS))
+        for p in range(LOWESS_POWERS):
+            for q in range(p + 1):
+                u[:, p] += math.comb(p, q) * a ** (p - q) * b ** q * sums[:, q, cell]
+        for i in range(4):
+            w += math.comb(3, i) * (-1) ** i * side ** i * u[:, 3 * i:3 * i + 3]
+    (s0, s1, s2), (y0, y1, _) = w
+    if not s0 > 0:
+        return None
+    det = s0 * s2 - s1 * s1
+    return (s2 * y0 - s1 * y1) / det if det > 1e-12 * s0 * s0 else y0 / s0

@@ -293,6 +293,23 @@ def q_binned_trend(spark, sf_dir):
     return rounded(P.binned_trend(line_charge(spark, sf_dir), "l_extendedprice", "charge", 20))
 
 
+@query("lowess_trend", sql=f"""
+  with lc as (select l_extendedprice as x, charge as y from ({LINE_CHARGE_SQL})),
+  st as (select min(x) as lo, max(x) as hi, cast(ceil(2 * count(*) / 3.0 - 1e-9) as bigint) as k from lc),
+  g as (select cast(range as integer) as point from range(25)),
+  d as (select g.point, lo + g.point * (hi - lo) / 24 as xg, x - (lo + g.point * (hi - lo) / 24) as d, y, k,
+               row_number() over (partition by g.point order by abs(x - (lo + g.point * (hi - lo) / 24))) as rn
+        from lc cross join st cross join g),
+  h as (select point, max(abs(d)) as h from d where rn = k group by point),
+  w as (select d.point, xg, h, d / h as u, y, pow(1 - pow(abs(d / h), 3), 3) as w from d join h using (point) where abs(d) < h),
+  s as (select point, any_value(xg) as xg, any_value(h) as h, sum(w) as s0, sum(w * u) as s1, sum(w * u * u) as s2, sum(w * y) as y0,
+               sum(w * u * y) as y1 from w group by point)
+  select point, {r6('xg')} as x, {r6('h')} as bandwidth, {r6('(s2 * y0 - s1 * y1) / (s0 * s2 - s1 * s1)')} as trend from s""")
+def q_lowess_trend(spark, sf_dir):
+    """Locally weighted trend of charge on l_extendedprice at 25 points, windows of two thirds of the rows."""
+    return rounded(P.lowess(line_charge(spark, sf_dir), "l_extendedprice", "charge"))
+
+
 @query("pair_sample", sql=f"""
   select row_key, l_extendedprice, l_discount, l_quantity, l_tax, l_linenumber, charge
   from ({LINE_CHARGE_SQL}) where {bucket_sql('row_key', 'pair42', 100)} < 5""")

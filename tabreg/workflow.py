@@ -71,7 +71,10 @@ def evaluate(df: DataFrame, target: str, key: str, numeric, categorical, interac
     sink_csv(X.importance_permutation(model, raw_test, inputs, key, target),
              os.path.join(out_dir, "permutation_importance"))
     background = X.background_rows(data.where(F.col("split") == "train"), key, X.BACKGROUND)
-    shap = X.shap_sampled(model, raw_test, background, inputs, key)
+    try:
+        shap = X.shap_tree(model, raw_test, background, key)
+    except ValueError:  # no trees
+        shap = X.shap_sampled(model, raw_test, background, inputs, key)
     sink_csv(shap, os.path.join(out_dir, "shap_values"))
     sink_csv(X.shap_global(shap), os.path.join(out_dir, "shap_importance"))
     if algorithm:

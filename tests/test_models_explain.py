@@ -101,7 +101,7 @@ def test_sampled_shapley_efficiency(spark, data):
 def test_permutation_importance_shapes(spark, data):
     model = _fit("Linear Regression", data)
     imp = X.importance_permutation(model, data.where("split = 'test'"), [*NUM, *CAT], "row_key", "charge",
-                                   repeats=2, buckets=4).collect()
+                                   repeats=2).collect()
     assert {r["feature"] for r in imp} == {*NUM, *CAT}
     by = {r["feature"]: r["importance_mean"] for r in imp}
     assert by["l_extendedprice"] > by["l_linenumber"]
@@ -160,7 +160,7 @@ def test_permutation_importance_of_an_unused_column_is_zero(spark, data):
     model = _fit("Linear Regression", data)
     lr = model.stages[-1]
     imp = {r["feature"]: r for r in X.importance_permutation(
-        model, data.where("split = 'test'"), [*NUM, *CAT], "row_key", "charge", repeats=3, buckets=1).collect()}
+        model, data.where("split = 'test'"), [*NUM, *CAT], "row_key", "charge", repeats=3).collect()}
     assert len(imp) == len(NUM) + len(CAT) and abs(imp["l_linenumber"]["importance_mean"]) < 0.01
     assert imp["l_extendedprice"]["importance_mean"] > 0.5 and len(lr.coefficients) == len(feature_names(model))
 
@@ -189,3 +189,90 @@ def test_model_pool_cross_validates_the_whole_catalogue(spark, monkeypatch):
     out = q_models.q_model_pool(spark, SF_SMALL).collect()
     assert asked == {"pool": list(M.catalogue()), "folds": 5}
     assert sorted(r["deployment_rank"] for r in out) == list(range(1, 12))
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 7, 64, 1000, 4097])
+def test_permutations_are_bijections(n):
+    rank = np.arange(n)
+    a, b = X.permuted(rank, n, 1), X.permuted(rank, n, 2)
+    assert sorted(a.tolist()) == sorted(b.tolist()) == rank.tolist()
+    if n > 60:
+        assert (a != b).any() and (a != rank).mean() > 0.9 and abs(np.corrcoef(a, rank)[0, 1]) < 0.35
+
+
+def test_permutation_uses_each_value_once_and_drops_as_numpy_says(spark):
+    from pyspark.ml import PipelineModel
+    from pyspark.ml.feature import VectorAssembler
+    from tabreg.operators.linear import MomentRegression
+    rng = np.random.default_rng(0)
+    a, b = rng.normal(size=500), rng.normal(size=500)
+    df = spark.createDataFrame([(i, float(p), float(q), float(2 * p + q)) for i, (p, q) in enumerate(zip(a, b))], "id int, a double, b double, label double")
+    assemble = VectorAssembler(inputCols=["a", "b"], outputCol="features")
+    model = PipelineModel([assemble, MomentRegression().fit(assemble.transform(df))])
+    got = {r["feature"]: r for r in X.importance_permutation(model, df.repartition(4), ["a", "b"], "id", "label", repeats=3, seed=5).collect()}
+    y, want = 2 * a + b, {"a": [], "b": []}
+    for i in range(3):
+        p = X.permuted(np.arange(500), 500, 5000 + i)
+        for f, pred in (("a", 2 * a[p] + b), ("b", 2 * a + b[p])):
+            want[f].append(((y - pred) ** 2).sum() / ((y - y.mean()) ** 2).sum())
+    for f in "ab":
+        assert got[f]["importance_mean"] == pytest.approx(np.mean(want[f]), rel=1e-6)
+        assert got[f]["importance_std"] == pytest.approx(np.std(want[f]), rel=1e-5)
+
+
+def _plain_shapley(f, x, background):
+    """By enumeration of all subsets of features."""
+    from itertools import combinations
+    from math import factorial
+    k = len(x)
+
+    def v(s):
+        z = background.copy()
+        z[:, list(s)] = x[list(s)]
+        return f(z).mean()
+    out = np.zeros(k)
+    for i in range(k):
+        others = [j for j in range(k) if j != i]
+        for r in range(k):
+            for s in combinations(others, r):
+                out[i] += factorial(r) * factorial(k - r - 1) / factorial(k) * (v({*s, i}) - v(s))
+    return out
+
+
+@pytest.mark.parametrize("kind", ["own", "spark"])
+def test_tree_shapley_is_enumeration(spark, kind):
+    from pyspark.ml.linalg import Vectors
+    from pyspark.ml.regression import DecisionTreeRegressor, RandomForestRegressor
+    from tabreg.operators import treegrow as G
+    from tabreg.operators.boosting import BoostedTrees
+    from tabreg.operators.treeshap import Explainer, model_trees
+    rng = np.random.default_rng(1)
+    x = np.round(rng.normal(size=(200, 4)), 1)
+    df = spark.createDataFrame([(Vectors.dense(r), float(r[0] * r[1] + (r[2] > 0) - r[3] ** 2)) for r in x], ["features", "label"])
+    models = ([BoostedTrees(rounds=4, depth=3, rate=0.5).fit(df), BoostedTrees(rounds=2, grow="leaf", maxLeaves=9, minChild=2.0).fit(df)] if kind == "own"
+              else [DecisionTreeRegressor(maxDepth=4).fit(df), RandomForestRegressor(numTrees=3, maxDepth=3, seed=1).fit(df)])
+    for model in models:
+        trees = model_trees(model)
+        f = lambda z: sum(w * G.predict(t, np.ascontiguousarray(z.T)) for w, t in trees)
+        start = model.getOrDefault("start") if kind == "own" else 0.0
+        pred = [r.prediction for r in model.transform(df).collect()]
+        assert np.allclose(f(x) + start, pred)
+        phi = Explainer(trees, x[:30].T)(x[100:110].T)
+        for i in range(10):
+            assert np.allclose(phi[:, i], _plain_shapley(f, x[100 + i], x[:30].copy()))
+
+
+def test_tree_contributions_sum_to_prediction_minus_background(spark, data):
+    for name in ("Decision Tree", "gbt_wide"):
+        model = _fit(name, data)
+        test = data.where("split = 'test'")
+        bg = X.background_rows(data.where("split = 'train'"), "row_key", 20)
+        contrib = X.shap_tree(model, test, bg, "row_key")
+        assert {r[0] for r in contrib.select("feature").distinct().collect()} == set(feature_names(model))
+        sums = contrib.groupBy("row_key").agg(F.sum("contribution").alias("s"))
+        fz = model.transform(bg).agg(F.avg("prediction")).first()[0]
+        joined = sums.join(model.transform(test).select("row_key", F.col("prediction").alias("fx")), "row_key")
+        assert joined.count() == test.count()
+        assert joined.where(F.abs(F.col("s") - (F.col("fx") - fz)) > 1e-6 * F.abs(F.col("fx"))).count() == 0
+    with pytest.raises(ValueError, match="no trees"):
+        X.shap_tree(_fit("Linear Regression", data), test, bg, "row_key")

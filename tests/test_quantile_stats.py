@@ -113,3 +113,39 @@ def test_dtype_of_integers_with_missing_values(spark):
     df = spark.createDataFrame([(1, 1, True, None), (2, None, None, None)], "a int, b int, c boolean, d decimal(5,2)")
     assert {r["column"]: r["data_type"] for r in column_summary(df).collect()} == {
         "a": "int64", "b": "float64", "c": "object", "d": "object"}
+
+
+def _plain_lowess(x, y, grid, frac):
+    out = []
+    k = min(len(x), max(1, int(np.ceil(frac * len(x) - 1e-9))))
+    for g in grid:
+        d = np.abs(x - g)
+        h = np.sort(d)[k - 1]
+        if h == 0:
+            out.append((h, y[d == 0].mean()))
+            continue
+        w = np.where(d < h, (1 - (d / h) ** 3) ** 3, 0.0)
+        a = np.column_stack([np.ones(len(x)), x - g])
+        coef = np.linalg.lstsq(a * np.sqrt(w)[:, None], y * np.sqrt(w), rcond=None)[0]
+        out.append((h, coef[0]))
+    return out
+
+
+def test_lowess_is_the_plain_one(spark):
+    from tabreg.operators.profile import lowess
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.exponential(3, 300), [2.0] * 40]) + 1000
+    y = np.sin(x) * 5 + rng.normal(size=len(x))
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, y)] + [(None, 1.0), (float("nan"), 2.0), (3.0, None)], "x double, y double")
+    for frac in (2 / 3, 0.2):
+        got = lowess(df.repartition(4), "x", "y", 12, frac).orderBy("point").collect()
+        want = _plain_lowess(x, y, [r["x"] for r in got], frac)
+        assert np.allclose([r["bandwidth"] for r in got], [w[0] for w in want])
+        assert np.allclose([r["trend"] for r in got], [w[1] for w in want], rtol=1e-7, atol=1e-7)
+
+
+def test_lowess_of_little(spark):
+    from tabreg.operators.profile import lowess
+    flat = lowess(spark.createDataFrame([(2.0, 1.0), (2.0, 3.0)], "x double, y double"), "x", "y", 3).collect()
+    assert [r["trend"] for r in flat] == [2.0] * 3
+    assert lowess(spark.createDataFrame([], "x double, y double"), "x", "y").collect() == []
