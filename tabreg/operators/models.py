@@ -27,6 +27,7 @@ from tabreg.operators.forest import UnlimitedForest
 from tabreg.operators.linear import MomentRegression, fold_scores
 from tabreg.operators.columns import require_columns
 from tabreg.operators.prep import preparation_pipeline, prepare_input
+from tabreg.operators.svr import KernelSVR
 
 
 @dataclass(frozen=True)
@@ -71,6 +72,7 @@ def catalogue(rounds: float = 1.0, seed: int = 42) -> dict[str, Candidate]:
         # oblivious trees, 500 rounds, rate 0.05, depth 6
         "gbt_deep": Candidate("gbt_deep", False, lambda f: BoostedTrees(
             rounds=it(500), rate=0.05, depth=6, grow="oblivious", l2=3.0, maxBins=255, seed=seed)),
+        "SVR": Candidate("SVR", True, lambda f: KernelSVR(c=100.0, epsilon=0.05, seed=seed)),
         # extremely randomised trees: all rows, one random threshold per node and feature
         "Extra Trees": Candidate("Extra Trees", False, lambda f: UnlimitedForest(
             numTrees=it(300), randomThresholds=True, bootstrap=False, seed=seed)),

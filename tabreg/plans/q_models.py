@@ -52,6 +52,7 @@ for _key, _name, _doc in [
     ("gbt_subsampled", "gbt_subsampled", "Second-order boosted trees, depth 5, row and column shares 0.9."),
     ("gbt_wide", "gbt_wide", "Leaf-wise boosted trees, 31 leaves."),
     ("gbt_deep", "gbt_deep", "Oblivious boosted trees, depth 6, 500 rounds."),
+    ("svr", "SVR", "Support vector regression on random Fourier features of a Gaussian kernel (C 100, epsilon 0.05)."),
     ("forest_subspace", "Extra Trees", "Extremely randomised trees, no depth limit."),
     ("adaboost_r2", "AdaBoost", "AdaBoost.R2 (linear loss, depth-3 trees on weighted resamples, weighted-median prediction)."),
 ]:

@@ -304,10 +304,11 @@ def q_binned_trend(spark, sf_dir):
   w as (select d.point, xg, h, d / h as u, y, pow(1 - pow(abs(d / h), 3), 3) as w from d join h using (point) where abs(d) < h),
   s as (select point, any_value(xg) as xg, any_value(h) as h, sum(w) as s0, sum(w * u) as s1, sum(w * u * u) as s2, sum(w * y) as y0,
                sum(w * u * y) as y1 from w group by point)
-  select point, {r6('xg')} as x, {r6('h')} as bandwidth, {r6('(s2 * y0 - s1 * y1) / (s0 * s2 - s1 * s1)')} as trend from s""")
+  select point, {r6('xg')} as x, {r6('h')} as bandwidth, {r6('round((s2 * y0 - s1 * y1) / (s0 * s2 - s1 * s1), 2)')} as trend from s""")
 def q_lowess_trend(spark, sf_dir):
     """Locally weighted trend of charge on l_extendedprice at 25 points, windows of two thirds of the rows."""
-    return rounded(P.lowess(line_charge(spark, sf_dir), "l_extendedprice", "charge"))
+    out = P.lowess(line_charge(spark, sf_dir), "l_extendedprice", "charge")
+    return rounded(out.withColumn("trend", F.round("trend", 2)))  # cents: the table's own precision
 
 
 @query("pair_sample", sql=f"""
