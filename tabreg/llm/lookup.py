@@ -4,10 +4,12 @@ Each shard prefers the slots of a table of prime size in the order (offset + j *
 skip from hashes of its name. Shards take turns: each claims the next slot of its order that is still free,
 until the table is full. A key goes to the shard of slot hash(key) mod size; the table is broadcast (its size
 is a parameter, ``MOST`` rows at most), so placing a row is one hash lookup. When a shard is added or goes,
-few keys move, and shards differ by one slot at most.
+few keys move, and shards differ by one slot at most. The fill copies the table at each claim, in one task, so its
+cost grows with the square of the size; ``MOST`` is a size that it was measured at (see README).
 
 A null key is placed by the text 'null'; repeated keys share a shard; keys of a hot group differ and so
-spread evenly. An empty table gives no rows. All columns are kept; slot and shard follow.
+spread evenly. An empty table gives no rows. All columns are kept; slot and shard follow, and input columns of
+these names are kept as ``<name>_input`` (with more underscores if that is taken too).
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SHARDS, PER_SHARD, MOST = 16, 100, 1_000_003
+SHARDS, PER_SHARD, MOST = 16, 100, 10_007
 
 
 def prime_from(n: int) -> int:
@@ -63,9 +65,14 @@ def place(rows: DataFrame, key_col: str, names: list[str], size: int | None = No
     size = size or prime_from(PER_SHARD * len(names))
     table = lookup_table(rows.sparkSession, names, size).select(F.col("slot").alias("__slot"), F.col("shard").alias("__shard"))
     keyed = rows.withColumn("__slot", F.expr(f"cast({hashed(f'coalesce(cast(`{key_col}` as string), \"null\")')} % {size} as int)"))
+    kept = {}
+    for c in rows.columns:
+        name = f"{c}_input" if c in (slot_col, shard_col) else c
+        while name != c and (name in rows.columns or name in kept.values()):
+            name += "_"
+        kept[c] = name
     return keyed.join(F.broadcast(table), "__slot").select(
-        *(F.col(f"`{c}`") for c in rows.columns if c not in (slot_col, shard_col)),
-        F.col("__slot").alias(slot_col), F.col("__shard").alias(shard_col))
+        *(F.col(f"`{c}`").alias(name) for c, name in kept.items()), F.col("__slot").alias(slot_col), F.col("__shard").alias(shard_col))
 
 
 def shard_names(n: int = SHARDS) -> list[str]:

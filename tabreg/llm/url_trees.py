@@ -50,8 +50,11 @@ def ruled(rows: DataFrame, rules=RULES) -> DataFrame:
     return rows.withColumn("__rule", hit).withColumn("__ruled", verdict)
 
 
-def features(rows: DataFrame, stats: DataFrame, total: float) -> DataFrame:
-    """The feature columns of ``__url``, ``__host`` and ``__path``; suffix statistics joined from ``stats``."""
+def features(rows: DataFrame, stats: DataFrame, total: float, own: str | None = None) -> DataFrame:
+    """The feature columns of ``__url``, ``__host`` and ``__path``; suffix statistics joined from ``stats``. ``own``: the
+    label column of training rows, whose own share is taken out of the statistics they see."""
+    mine = F.col(own) if own else F.lit(0.0)
+    seen = F.col("__seen") - (1.0 if own else 0.0)
     u = F.coalesce(F.col("__url"), F.lit(""))
     n = F.length(u)
     times = lambda c, what: (F.length(c) - F.length(F.replace(c, F.lit(what)))).cast("double")
@@ -66,9 +69,9 @@ def features(rows: DataFrame, stats: DataFrame, total: float) -> DataFrame:
                "f_digits": F.when(n > 0, F.length(F.regexp_replace(u, "[^0-9]", "")) / n).otherwise(0.0),
                "f_entropy": F.when(n > 0, entropy).otherwise(0.0), "f_params": times(u, "=") + times(u, "&"),
                "f_hyphens": times(u, "-") + times(u, "_"), "f_escapes": times(u, "%"),
-               "f_suffix_rate": F.coalesce("__rate", F.lit(0.5)),
-               "f_suffix_share": F.coalesce(F.col("__seen") / max(total, 1.0), F.lit(0.0))}))
-    return out.drop("__suffix", "__rate", "__seen")
+               "f_suffix_rate": F.coalesce((F.col("__b") - mine + SMOOTH * F.col("__all")) / (seen + SMOOTH), F.lit(0.5)),
+               "f_suffix_share": F.coalesce(seen / max(total, 1.0), F.lit(0.0))}))
+    return out.drop("__suffix", "__b", "__seen", "__all")
 
 
 def fit(labelled: DataFrame, url_col: str = "url", label_col: str = "label", most_rows: int = MOST_ROWS,
@@ -81,13 +84,11 @@ def fit(labelled: DataFrame, url_col: str = "url", label_col: str = "label", mos
     total = float(sum(share.values()))
     rate = share.get(1.0, 0) / total if total else 0.0
     stats = (rows.groupBy(F.substring_index("__host", ".", -1).alias("__suffix"))
-             .agg(F.count("*").alias("__seen"), F.sum("label").alias("b"))
-             .select("__suffix", F.col("__seen").cast("double").alias("__seen"),
-                     ((F.col("b") + SMOOTH * rate) / (F.col("__seen") + SMOOTH)).alias("__rate")))
+             .agg(F.count("*").cast("double").alias("__seen"), F.sum("label").alias("__b")).withColumn("__all", F.lit(rate)))
     if len(share) < 2:
         return None, stats, total, "block" if rate > 0 else "allow"
     sample = rows.withColumn("__h", F.xxhash64("__url", "label")).orderBy("__h").limit(most_rows).drop("__h")
-    train = written(features(sample, stats, total).select("label", *FEATURES), "urlfeatures")
+    train = written(features(sample, stats, total, own="label").select("label", *FEATURES), "urlfeatures")
     model = GBTClassifier(featuresCol="features", labelCol="label", maxIter=trees, maxDepth=depth, seed=seed).fit(
         VectorAssembler(inputCols=FEATURES, outputCol="features").transform(train))
     return model, stats, total, "allow"

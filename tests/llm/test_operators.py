@@ -404,6 +404,8 @@ def test_lookup_moves_few_keys_and_keeps_rows(spark):
     assert out.columns == [*docs.columns, "at", "to"] and out.count() == len(ODD)
     plan = out._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "BroadcastHashJoin" in plan
+    both = lookup.place(spark.createDataFrame([(1, "a", "b", "c")], "doc_id long, slot string, slot_input string, shard string"), "doc_id", names)
+    assert both.columns == ["doc_id", "slot_input_", "slot_input", "shard_input", "slot", "shard"] and both.first()[1:4] == ("a", "b", "c")
     odd = spark.createDataFrame([(None,), (1,), (1,)], "doc_id long")
     assert lookup.place(odd, "doc_id", names).count() == 3
     with pytest.raises(ValueError):
@@ -549,6 +551,35 @@ def test_url_trees_learn(spark):
     assert np.mean([(r.verdict == "block") == (r.page_id % 2 == 1) for r in got]) > .95
 
 
+def test_url_features_are_the_plain_ones(spark):
+    import math
+    from pyspark.sql import functions as F
+    rows = [("http://a.b.net/x/y-1?k=v&w=%20", 1), ("http://c.net/", 0), ("http://d.net/q_q", 1), ("http://e.org/9", 0), (None, 1)]
+    labelled = spark.createDataFrame(rows, "u string, label int")
+    fitted = url_trees.fit(labelled, "u")
+    stats, total = fitted[1], fitted[2]
+    src = labelled.select(F.col("u").alias("__url"), F.col("label").cast("double").alias("label"))
+    host, path = url_trees.host_and_path(F.col("__url"))
+    src = src.withColumn("__host", host).withColumn("__path", path)
+    rate = 3 / 5
+    for own in (None, "label"):
+        for r in url_trees.features(src, stats, total, own).collect():
+            u = r["__url"] or ""
+            rest = u.split("://", 1)[1] if "://" in u else ""
+            h = rest.split("/")[0]
+            p = rest[len(h):].split("?")[0]
+            same = [y for v, y in rows if ((v or "").split("://")[1].split("/")[0] if v else "").rsplit(".", 1)[-1] == h.rsplit(".", 1)[-1]]
+            b, n = sum(same), len(same)
+            if own:
+                b, n = b - r["label"], n - 1
+            assert (r["f_length"], r["f_host"], r["f_path"], r["f_depth"], r["f_labels"]) == (len(u), len(h), len(p), p.count("/"), h.count("."))
+            assert r["f_digits"] == pytest.approx(sum(c.isdigit() for c in u) / max(len(u), 1))
+            assert r["f_entropy"] == pytest.approx(-sum(u.count(c) / len(u) * math.log(u.count(c) / len(u)) for c in set(u)))
+            assert (r["f_params"], r["f_hyphens"], r["f_escapes"]) == (u.count("=") + u.count("&"), u.count("-") + u.count("_"), u.count("%"))
+            assert r["f_suffix_rate"] == pytest.approx((b + url_trees.SMOOTH * rate) / (n + url_trees.SMOOTH))
+            assert r["f_suffix_share"] == pytest.approx(n / 5)
+
+
 def test_url_empty(spark):
     none = spark.createDataFrame([], "page_id long, url string")
     assert url_trees.verdicts(none, url_trees.fit(url_trees.rule_labels(none))).count() == 0
