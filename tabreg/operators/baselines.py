@@ -57,6 +57,22 @@ def score_simple(df: DataFrame, fit: DataFrame, inputs: Mapping[str, Column]) ->
     return scored.withColumns(cols)
 
 
+def baseline_wide(split_df: DataFrame, label: str = "charge") -> DataFrame:
+    """The rows with one prediction column (``pred_<model>``) per baseline predictor."""
+    inputs = ols_inputs()
+    return score_simple(split_df, fit_simple_ols(split_df.where(F.col("split") == "train"), label, inputs), inputs)
+
+
+def prediction_columns() -> dict[str, str]:
+    return {m: f"pred_{m}" for m in ("p0", "p1", *ols_inputs())}
+
+
+def baseline_metrics(split_df: DataFrame, label: str = "charge") -> DataFrame:
+    """(model, split, n, mae, mse, rmse, r2) of all baseline predictors: one read to fit, one to score."""
+    from tabreg.operators.evaluate import wide_metrics
+    return wide_metrics(baseline_wide(split_df, label), prediction_columns(), "split", label)
+
+
 def baseline_predictions(split_df: DataFrame, label: str = "charge", models: Sequence[str] | None = None) -> DataFrame:
     """Long table (model, split, key, label, prediction) for the wanted baseline predictors (all five if None)."""
     inputs = {k: v for k, v in ols_inputs().items() if models is None or k in models}
@@ -122,7 +138,7 @@ def baseline_cv_predictions(split_df: DataFrame, label: str = "charge", folds: i
 
 
 def baseline_cv_on_folds(train: DataFrame, label: str = "charge") -> DataFrame:
-    """K-fold predictions for rows that already carry a ``fold`` column (hash or contiguous folds)."""
+    """K-fold predictions (a column per predictor) for rows that already carry a ``fold`` column (hash or contiguous folds)."""
     y = F.col(label).cast("double")
     sums = [F.count(F.lit(1)).cast("double").alias("n"), F.sum(y).alias("sy")]
     inputs = ols_inputs()
@@ -146,17 +162,13 @@ def baseline_cv_on_folds(train: DataFrame, label: str = "charge") -> DataFrame:
     cols = {"pred_p0": F.col("mean_label"), "pred_p1": F.col("l_extendedprice")}
     for name, x in inputs.items():
         cols[f"pred_{name}"] = F.col(f"{name}_intercept") + F.col(f"{name}_slope") * x
-    scored = scored.withColumns(cols)
-    models = ["p0", "p1", *inputs]
-    return scored.select("fold", F.col(label).alias("label"), F.explode(F.array(*[
-        F.struct(F.lit(m).alias("model"), F.col(f"pred_{m}").alias("prediction")) for m in models])).alias("mp")
-    ).select("mp.model", "fold", "label", "mp.prediction")
+    return scored.withColumns(cols)
 
 
-def cv_fold_metrics(cv_preds: DataFrame) -> DataFrame:
-    """R2, MAE, RMSE per (model, fold)."""
-    from tabreg.operators.evaluate import regression_metrics
-    return regression_metrics(cv_preds, by=["model", "fold"])
+def cv_fold_metrics(scored: DataFrame, label: str = "charge") -> DataFrame:
+    """R2, MAE, RMSE per (model, fold), from one aggregation of the scored rows."""
+    from tabreg.operators.evaluate import wide_metrics
+    return wide_metrics(scored, prediction_columns(), "fold", label)
 
 
 def cv_summary(fold_metrics: DataFrame, by: str = "model") -> DataFrame:
@@ -168,8 +180,8 @@ def cv_summary(fold_metrics: DataFrame, by: str = "model") -> DataFrame:
 
 def baseline_results(split_df: DataFrame, label: str = "charge") -> DataFrame:
     """Results table of the baseline pool: train/test metrics, gap and CV summary per algorithm."""
-    from tabreg.operators.evaluate import train_test_metrics
-    tt = train_test_metrics(baseline_predictions(split_df, label), by=["model"])
+    from tabreg.operators.evaluate import sides
+    tt = sides(baseline_metrics(split_df, label))
     cv = cv_summary(cv_fold_metrics(baseline_cv_predictions(split_df, label)))
     names = F.create_map(*[x for k, v in BASELINE_NAMES.items() for x in (F.lit(k), F.lit(v))])
     return tt.join(cv, "model").withColumn("algorithm", names[F.col("model")])

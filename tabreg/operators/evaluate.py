@@ -6,7 +6,7 @@ matter how many rows are scored.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -52,6 +52,29 @@ def train_test_metrics(scored: DataFrame, label: str = "label", prediction: str
     return agg.withColumn("r2_gap", F.col("train_r2") - F.col("r2"))
 
 
+def wide_metrics(wide: DataFrame, predictions: Mapping[str, str], by: str, label: str = "label") -> DataFrame:
+    """(model, by, n, mae, mse, rmse, r2): ``regression_metrics`` of several prediction columns from one aggregation
+    of the rows as they are (no copy of a row per model)."""
+    y = F.col(label)
+    sums = [F.count(F.lit(1)).cast("bigint").alias("n"), (F.var_pop(y) * F.count(F.lit(1))).alias("sst")]
+    for i, c in enumerate(predictions.values()):
+        e = y - F.col(c)
+        sums += [F.sum(F.abs(e)).alias(f"a{i}"), F.sum(e * e).alias(f"q{i}")]
+    per = wide.groupBy(by).agg(*sums).select(by, "n", "sst", F.explode(F.array(*[
+        F.struct(F.lit(m).alias("model"), F.col(f"a{i}").alias("a"), F.col(f"q{i}").alias("q")) for i, m in enumerate(predictions)])).alias("x"))
+    mse = F.col("x.q") / F.col("n")
+    return per.select("x.model", by, "n", (F.col("x.a") / F.col("n")).alias("mae"), mse.alias("mse"), F.sqrt(mse).alias("rmse"),
+                      (F.lit(1.0) - F.try_divide(F.col("x.q"), F.when(F.col("sst") != 0, F.col("sst")))).alias("r2"))
+
+
+def sides(metrics: DataFrame, split: str = "split") -> DataFrame:
+    """``train_test_metrics`` per model from (model, split, n, mae, mse, rmse, r2), a row per model and side."""
+    at = lambda side, c: F.max(F.when(F.col(split) == side, F.col(c)))
+    out = metrics.groupBy("model").agg(*[at(side, c).alias(f"{prefix}{c}") for side, prefix in (("train", "train_"), ("test", ""))
+                                         for c in ("mae", "mse", "rmse", "r2", "n")])
+    return out.withColumn("r2_gap", F.col("train_r2") - F.col("r2"))
+
+
 def residual_table(scored: DataFrame, key: str, label: str = "label", prediction: str = "prediction") -> DataFrame:
     """Per row: key, actual, predicted, residual, absolute and squared error (no shuffle)."""
     res = F.col(label) - F.col(prediction)

@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tabreg.operators.baselines import BASELINE_SQL, baseline_predictions
-from tabreg.operators.evaluate import (identity_line, qq_points, regression_metrics, residual_summary,
-                                       residual_table, train_test_metrics)
+from tabreg.operators.baselines import BASELINE_SQL, baseline_metrics, baseline_predictions
+from tabreg.operators.evaluate import identity_line, qq_points, residual_summary, residual_table, sides
 from tabreg.plans.registry import query, r6, rounded
 from tabreg.sources.tables import LINE_SPLIT_SQL, line_charge_split
 
@@ -27,7 +26,7 @@ def baseline_preds(spark, sf_dir, models=None):
 """)
 def q_regression_metrics(spark, sf_dir):
     """Five baseline predictors fitted on the hash-split train rows; MAE/MSE/RMSE/R2 per model and side."""
-    return rounded(regression_metrics(baseline_preds(spark, sf_dir), by=["model", "split"]))
+    return rounded(baseline_metrics(line_charge_split(spark, sf_dir)))
 
 
 @query("train_test_metrics", sql=LC_CTE + BASELINE_SQL + """,
@@ -50,7 +49,7 @@ def q_regression_metrics(spark, sf_dir):
     f"{r6('sqrt(mse)')} as rmse", f"{r6('r2')} as r2", "n", f"{r6('train_r2 - r2')} as r2_gap"]) + " from side")
 def q_train_test_metrics(spark, sf_dir):
     """One wide row per baseline model: train and test metrics and the train-test R2 gap (results table)."""
-    return rounded(train_test_metrics(baseline_preds(spark, sf_dir), by=["model"]))
+    return rounded(sides(baseline_metrics(line_charge_split(spark, sf_dir))))
 
 
 @query("residual_table", sql=LC_CTE + BASELINE_SQL + f"""
