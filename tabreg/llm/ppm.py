@@ -291,6 +291,9 @@ def score(docs: DataFrame, model: DataFrame, text_col: str = "text", order: int
                                               "counts": counts, "shard": i, "of": gram_shards})
         del trie, words, counts
         out = out.transform(arrow, _score(table, tokens, vocab), out.schema)
+        if i + 1 < shards:  # a pass of its own: tasks hold one shard's tables at a time
+            out = written(out, "ppm-pass")
+            table.unpersist()
     names = {"__tokens": "n_tokens", "__known": "n_known", "__base": "base_score", "__score": "score"}
     return out.select(*(F.col("__text").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns),
                       *(F.col(c).alias(prefix + x) for c, x in names.items()),
