@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tabreg.functions.bands import driver_direction, driver_direction_sql
 from tabreg.operators import explain as X
 from tabreg.operators import models as M
 from tabreg.operators.evaluate import regression_metrics
@@ -34,12 +35,68 @@ def _fit_one(spark, sf_dir, name):
     return model, data
 
 
+# Least squares in SQL: the features are made orthogonal one after another on the train rows; what is left of a feature
+# is a combination of itself and those before it, so predictions and coefficients follow from simple sums.
+_OLS = [*((c, f"cast({c} as double)") for c in NUMERIC_FEATURES), (INTERACTION[0], f"{INTERACTION[1]} * {INTERACTION[2]}"),
+        *((f"{c}_{v}", f"case when {c} = '{v}' then 1.0 else 0.0 end::double") for c, v in (
+            ("l_returnflag", "N"), ("l_returnflag", "R"), ("l_linestatus", "O")))]
+
+
+def _ols_sql(final: str) -> str:
+    k = len(_OLS)
+    ctes = ["t0 as materialized (select row_key, split, charge as y, " + ", ".join(f"{e} as x{i}" for i, (_, e) in enumerate(_OLS, 1))
+            + f" from ({LINE_SPLIT_SQL}))"]
+    for i in range(1, k + 1):
+        b = "".join(f", sum(z{j} * x{i}) / sum(z{j} * z{j}) as b{i}_{j}" for j in range(1, i))
+        ctes.append(f"s{i} as materialized (select avg(x{i}) as m{i}, stddev_pop(x{i}) as sd{i}{b} from t{i - 1} where split = 'train')")
+        rest = "".join(f" - b{i}_{j} * z{j}" for j in range(1, i))
+        ctes.append(f"t{i} as materialized (select t{i - 1}.*, x{i} - m{i}{rest} as z{i} from t{i - 1}, s{i})")
+    ctes.append("c as materialized (select avg(y) as ybar, " + ", ".join(f"sum(z{i} * y) / sum(z{i} * z{i}) as c{i}" for i in range(1, k + 1))
+                + f" from t{k} where split = 'train')")
+    ctes.append(f"p as (select row_key, split, y as label, ybar + {' + '.join(f'c{i} * z{i}' for i in range(1, k + 1))} as prediction from t{k}, c)")
+    back = [f"c{i}" + "".join(f" - b{j}_{i} * w{j}" for j in range(i + 1, k + 1)) + f" as w{i}" for i in range(k, 0, -1)]
+    ctes.append(f"w as materialized (select {', '.join(back)}, {', '.join(f'm{i}, sd{i}' for i in range(1, k + 1))} from c, "
+                + ", ".join(f"s{i}" for i in range(1, k + 1)) + ")")
+    return "with " + ", ".join(ctes) + " " + final
+
+
+_METRICS_SQL = f"""select split, cast(count(*) as bigint) as n, {r6('avg(abs(label - prediction))')} as mae,
+  {r6('avg((label - prediction) * (label - prediction))')} as mse,
+  {r6('sqrt(avg((label - prediction) * (label - prediction)))')} as rmse,
+  {r6('1 - sum((label - prediction) * (label - prediction)) / nullif(var_pop(label) * count(*), 0)')} as r2 from p group by split"""
+_numeric = len(NUMERIC_FEATURES) + 1
+_CONTRIBUTIONS_SQL = " union all ".join(
+    f"select row_key, '{n}' as feature, " + (f"(x{i} - m{i}) / sd{i}" if i <= _numeric else f"x{i}") + f" as value, w{i} * (x{i} - m{i}) as contribution "
+    f"from t0, w where split = 'test'" for i, (n, _) in enumerate(_OLS, 1))
+
+
+def _ridge_sql(alpha: float, final: str) -> str:
+    """Ridge as least squares with one more row per feature: sqrt(alpha) there, 0 elsewhere, label 0 (features and label centred)."""
+    k = len(_OLS)
+    means = ", ".join(f"avg({e}) as m{i}, stddev_pop({e}) as sd{i}" for i, (_, e) in enumerate(_OLS, 1))
+    scaled = ", ".join(f"({e} - m{i})" + (f" / sd{i}" if i <= _numeric else "") + f" as x{i}" for i, (_, e) in enumerate(_OLS, 1))
+    more = " union all ".join(f"select null, 'more', 0.0, 0.0, " + ", ".join(str(alpha ** 0.5 if i == j else 0.0) for i in range(1, k + 1))
+                              for j in range(1, k + 1))
+    ctes = [f"lc as materialized (select * from ({LINE_SPLIT_SQL}))", f"st as materialized (select avg(charge) as ybar, {means} from lc where split = 'train')",
+            f"t0 as materialized (select row_key, split, charge as label, charge - ybar as y, {scaled} from lc, st union all {more})"]
+    for i in range(1, k + 1):
+        b = ", ".join(f"sum(z{j} * x{i}) / sum(z{j} * z{j}) as b{i}_{j}" for j in range(1, i)) or "max(1) as one"
+        ctes.append(f"s{i} as materialized (select {b} from t{i - 1} where split <> 'test')")
+        ctes.append(f"t{i} as materialized (select t{i - 1}.*, x{i}" + "".join(f" - b{i}_{j} * z{j}" for j in range(1, i)) + f" as z{i} from t{i - 1}, s{i})")
+    ctes.append("c as materialized (select " + ", ".join(f"sum(z{i} * y) / sum(z{i} * z{i}) as c{i}" for i in range(1, k + 1)) + f" from t{k} where split <> 'test')")
+    ctes.append(f"p as (select split, label, ybar + {' + '.join(f'c{i} * z{i}' for i in range(1, k + 1))} as prediction from t{k}, c, st where split <> 'more')")
+    return "with " + ", ".join(ctes) + " " + final
+
+
+_SQL = {"ols": _ols_sql(_METRICS_SQL), "ridge": _ridge_sql(1.0, _METRICS_SQL)}
+
+
 def _model_query(key: str, name: str, doc: str):
     def fn(spark, sf_dir):
         model, data = _fit_one(spark, sf_dir, name)
         return _metrics_by_side(model, data)
     fn.__doc__ = doc
-    query(key)(fn)
+    query(key, sql=_SQL.get(key))(fn)
 
 
 for _key, _name, _doc in [
@@ -122,17 +179,18 @@ def _linear_contributions(spark, sf_dir):
     return contrib
 
 
-@query("shap_linear")
+@query("shap_linear", sql=_ols_sql(f"select row_key, feature, {r6('value')} as value, {r6('round(contribution, 2)')} as contribution from ({_CONTRIBUTIONS_SQL})"))
 def q_shap_linear(spark, sf_dir):
     """Exact linear contributions coef * (x - train mean) on the model's own features, test rows."""
-    return rounded(_linear_contributions(spark, sf_dir))
+    return rounded(_linear_contributions(spark, sf_dir).withColumn("contribution", F.round("contribution", 2)))
 
 
-@query("driver_direction")
+@query("driver_direction", sql=_ols_sql(f"""select row_key, feature, {r6('value')} as value, {r6('contribution')} as contribution,
+  {driver_direction_sql('contribution')} as direction
+  from (select row_key, feature, value, round(contribution, 2) as contribution from ({_CONTRIBUTIONS_SQL}))"""))
 def q_driver_direction(spark, sf_dir):
     """Increases / Reduces label of every linear contribution."""
-    from tabreg.functions.bands import driver_direction
-    c = _linear_contributions(spark, sf_dir)
+    c = _linear_contributions(spark, sf_dir).withColumn("contribution", F.round("contribution", 2))  # cents
     return rounded(c.withColumn("direction", driver_direction(F.col("contribution"))))
 
 
