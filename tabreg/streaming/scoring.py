@@ -7,16 +7,21 @@ exactly-once appends of the history rows, partitioned by date like the batch ``h
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from tabreg.operators.forest import UnlimitedForestModel
+
 
 def score_stream(model: PipelineModel, stream: DataFrame, prediction_col: str = "prediction") -> DataFrame:
-    """Stateless scoring of a streaming DataFrame; input columns are kept."""
+    """Stateless scoring of a streaming DataFrame; input columns are kept. Forests, whose model is a table, write
+    between their steps and go by ``score_batches``."""
+    if stream.isStreaming and any(isinstance(s, UnlimitedForestModel) for s in model.stages):
+        raise ValueError("a forest scores streams by batches: use score_batches")
     out = model.transform(stream)
     return out.withColumnRenamed("prediction", prediction_col) if prediction_col != "prediction" else out
 
@@ -37,3 +42,12 @@ def append_history_stream(history_rows: DataFrame, path: str, checkpoint: str,
          .partitionBy("created_date").outputMode("append"))
     w = w.trigger(availableNow=True) if trigger_once else w
     return w.start()
+
+
+def score_batches(model: PipelineModel, stream: DataFrame, path: str, checkpoint: str,
+                  rows: Callable[[DataFrame], DataFrame] = lambda scored: scored) -> StreamingQuery:
+    """Score a stream batch by batch with any model and keep each batch's ``rows`` under ``path/batch_id=<id>``; a batch
+    that runs again replaces its own folder, so its rows are there once."""
+    def one(batch: DataFrame, batch_id: int) -> None:
+        rows(model.transform(batch)).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+    return stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

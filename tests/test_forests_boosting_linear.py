@@ -347,3 +347,18 @@ def test_two_encoders_and_a_look_alike_column(spark):
     assert [r[one.outputColumns()[0]] for r in out.orderBy("k").collect()] == [0.0, 1.0]
     model = preparation_pipeline(["v"], ["k"], False).fit(df)
     assert [len(r.features) for r in model.transform(df).collect()] == [2, 2]
+
+
+def test_forest_scores_a_stream_by_batches(spark, scratch):
+    from pyspark.ml import PipelineModel
+    from tabreg.streaming.scoring import score_batches, score_stream
+    x, y = table(60)
+    df = frame(spark, x, y)
+    model = PipelineModel([UnlimitedForest(numTrees=2, seed=1).fit(df)])
+    df.repartition(2).write.parquet(f"{scratch}/in")
+    stream = spark.readStream.schema(df.schema).parquet(f"{scratch}/in")
+    with pytest.raises(ValueError, match="score_batches"):
+        score_stream(model, stream)
+    score_batches(model, stream, f"{scratch}/out", f"{scratch}/ckpt", lambda s: s.select("id", "prediction")).awaitTermination()
+    got = spark.read.parquet(f"{scratch}/out").select("id", "prediction").orderBy("id").collect()
+    assert got == model.transform(df).select("id", "prediction").orderBy("id").collect()
