@@ -13,8 +13,9 @@ Design rules (for tables far larger than memory):
 
 from __future__ import annotations
 
+import functools
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -73,6 +74,16 @@ def _stack(pairs: Sequence[tuple[str, Column]], names=("column", "value")) -> Co
     return F.explode(F.array(*[F.struct(F.lit(k).alias(names[0]), v.alias(names[1])) for k, v in pairs]))
 
 
+def _per_column(df: DataFrame, cols: Sequence[str], stats: Mapping[str, Callable[[Column], Column]]) -> DataFrame:
+    """(column, one field per statistic) of the non-missing values as doubles: one aggregation over the wide rows."""
+    cols = list(dict.fromkeys(cols))
+    value = lambda c: F.when(~F.isnan(c), F.col(c).cast("double"))
+    wide = df.select(*[value(c).alias(f"v{i}") for i, c in enumerate(cols)]).agg(
+        *[f(F.col(f"v{i}")).alias(f"{s}{i}") for i in range(len(cols)) for s, f in stats.items()])
+    return wide.select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("column"), *[F.col(f"{s}{i}").alias(s) for s in stats]) for i, c in enumerate(cols)])).alias("kv")).select("kv.*")
+
+
 def table_shape(df: DataFrame, target: str | None = None, n_features: int | None = None) -> DataFrame:
     """Rows, columns, feature count and target name as one row."""
     n_cols = len(df.columns)
@@ -142,6 +153,26 @@ def value_frequencies(df: DataFrame, cols: Sequence[str] | None = None) -> DataF
     return freq.select("column", text.alias("value"), "n")
 
 
+def _distinct_values(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """(column, there, n): a row per distinct value and one for the missing ones, with its rows.
+
+    Columns of one kind (integral, floating, text) are grouped together on their number and one slot: keys of numbers
+    have a fixed width, and no value is turned into text.
+    """
+    kinds: dict[int, list] = {}
+    for i, c in enumerate(cols):
+        slots = _typed_slots(df, c)
+        dt = df.schema[c].dataType
+        kind = 1 if isinstance(dt, (DoubleType, FloatType)) else 0 if isinstance(dt, NumericType) and not isinstance(dt, DecimalType) else 2
+        kinds.setdefault(kind, []).append((i, slots[kind]))
+    counted = []
+    for pairs in kinds.values():
+        stacked = df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("i"), v.alias("v")) for i, v in pairs])).alias("kv")).select("kv.*")
+        counted.append(stacked.groupBy("i", "v").agg(F.count(F.lit(1)).alias("n"))
+                       .select(F.element_at(F.array(*[F.lit(c) for c in cols]), F.col("i") + 1).alias("column"), F.col("v").isNotNull().alias("there"), "n"))
+    return functools.reduce(DataFrame.unionByName, counted)
+
+
 def column_summary(df: DataFrame, cols: Sequence[str] | None = None, approximate: bool = False) -> DataFrame:
     """column, data_type, missing, unique_with_null, unique (pandas ``nunique`` with/without NaN).
 
@@ -158,10 +189,9 @@ def column_summary(df: DataFrame, cols: Sequence[str] | None = None, approximate
         stats = uniq.join(miss, "column").withColumn(
             "unique_with_null", F.col("unique") + (F.col("missing") > 0).cast("bigint"))
     else:
-        freq = value_frequencies(df, cols)
-        stats = freq.groupBy("column").agg(
-            F.count("value").cast("bigint").alias("unique"),
-            F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).cast("bigint").alias("missing"),
+        stats = _distinct_values(df, cols).groupBy("column").agg(
+            F.count_if("there").cast("bigint").alias("unique"),
+            F.coalesce(F.sum(F.when(~F.col("there"), F.col("n"))), F.lit(0)).cast("bigint").alias("missing"),
         ).withColumn("unique_with_null", F.col("unique") + (F.col("missing") > 0).cast("bigint"))
     return (F.broadcast(types).join(stats, "column", "left")
             .select("column", _dtype(), "missing", "unique_with_null", "unique", "position"))
@@ -192,10 +222,8 @@ def unique_value_types(df: DataFrame, cols: Sequence[str] | None = None, limit:
 def describe_numeric(df: DataFrame, cols: Sequence[str] | None = None, accuracy: int | None = None) -> DataFrame:
     """pandas ``describe()`` transposed: column, count, mean, std, min, q25, q50, q75, max (exact quartiles)."""
     cols = list(cols or numeric_columns(df))
-    long = long_values(df, cols)
-    moments = long.groupBy("column").agg(
-        F.count(F.lit(1)).cast("bigint").alias("count"), F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"))
+    moments = _per_column(df, cols, {
+        "count": lambda v: F.count(v).cast("bigint"), "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max})
     q = exact_quantiles(df, cols, [0.25, 0.5, 0.75], accuracy).groupBy("column").agg(
         *[F.max(F.when(F.col("p") == p, F.col("value"))).alias(n)
           for p, n in ((0.25, "q25"), (0.5, "q50"), (0.75, "q75"))])
@@ -235,10 +263,8 @@ def target_summary(df: DataFrame, target: str, accuracy: int | None = None) -> D
 def moment_table(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """(column, n, skewness, kurtosis) with bias-corrected skew and excess kurtosis; one pass."""
     cols = list(cols or numeric_columns(df))
-    long = long_values(df, cols)
-    return long.groupBy("column").agg(F.count(F.lit(1)).cast("bigint").alias("n"),
-                                      sample_skew("value").alias("skewness"),
-                                      sample_kurt("value").alias("kurtosis"))
+    return _per_column(df, cols, {"n": lambda v: F.count(v).cast("bigint"), "skewness": sample_skew,
+                                  "kurtosis": sample_kurt}).where(F.col("n") > 0)
 
 
 def skewness_table(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
@@ -273,13 +299,13 @@ def iqr_outlier_summary(df: DataFrame, cols: Sequence[str] | None = None, thresh
     """column, outlier_count, outlier_pct (2 dp, of all rows), lower and upper bound (4 dp)."""
     cols = list(cols or numeric_columns(df))
     b = iqr_bounds(df, cols, threshold, accuracy)
-    long = df.select(_stack([(c, F.col(c).cast("double")) for c in cols]).alias("kv")).select(
-        "kv.column", "kv.value")
-    counts = (long.join(F.broadcast(b.select("column", "lower", "upper")), "column")
-              .groupBy("column").agg(
-                  F.count_if((F.col("value") < F.col("lower")) | (F.col("value") > F.col("upper")))
-                  .cast("bigint").alias("outlier_count"),
-                  F.count(F.lit(1)).alias("n")))
+    own = list(dict.fromkeys(cols))
+    pick = lambda c, name: F.max(F.when(F.col("column") == c, F.col(name)))
+    bounds = b.agg(*[pick(c, name).alias(f"__{name}{i}") for i, c in enumerate(own) for name in ("lower", "upper")])  # one row
+    outside = lambda i, c: (F.col(c).cast("double") < F.col(f"__lower{i}")) | (F.col(c).cast("double") > F.col(f"__upper{i}"))
+    wide = df.select(*own).crossJoin(F.broadcast(bounds)).agg(
+        F.count(F.lit(1)).alias("n"), *[F.count_if(outside(i, c)).cast("bigint").alias(f"o{i}") for i, c in enumerate(own)]).where("n > 0")
+    counts = wide.select("n", _stack([(c, F.col(f"o{i}")) for i, c in enumerate(own)], ("column", "outlier_count")).alias("kv")).select("kv.*", "n")
     return (counts.join(b, "column")
             .select("column", "outlier_count",
                     F.round(F.col("outlier_count") / F.col("n") * 100, 2).alias("outlier_pct"),
