@@ -10,6 +10,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabreg.cluster import written
+
 # Preferred visible columns of the comparison report, in display order.
 COMPARISON_COLUMNS = ["deployment_rank", "algorithm", "train_r2", "r2", "rmse", "mae", "cv_r2_mean", "cv_r2_std", "r2_gap",
                       "training_seconds", "deployment_score"]
@@ -130,6 +132,7 @@ def findings(df: DataFrame, target: str, cols: Sequence[str]) -> DataFrame:
     missing values, with IQR outliers, highly skewed columns, and the target's shape."""
     from tabreg.functions.bands import band_target_shape
     from tabreg.operators.profile import corr_target, iqr_outlier_summary, missing_by_column, moment_table
+    df = written(df.select(*dict.fromkeys([*cols, target])), "findings-rows")  # read some eight times: what made it runs once
     ct = corr_target(df, target, cols)
     r = F.col("r")
     corr = ct.select(
