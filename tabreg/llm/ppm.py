@@ -9,7 +9,8 @@ symbol exclusion is a lookup. The base model beside it is a word unigram model w
 
 The counts are Spark aggregations over all training texts, pre-aggregated within tasks. For scoring, trie and
 vocabulary are sorted tables, sent in shards of at most ``shard_rows`` entries; each shard is one pass over
-the texts that adds to the rows' sums, so larger models take more passes and no more memory.
+the texts that adds to the rows' sums, so larger models take more passes and no more memory. A pass sorts and looks up only the
+places of its own shard, and hashes words only while shards of the vocabulary are left.
 
 Null text is empty and scores as its end alone. Texts' contexts start empty (a start mark). Repeated rows
 score alike. With no training text all symbols are equally likely and no token is known. Words are told
@@ -38,17 +39,18 @@ def _symbols(data, off, lo, hi, order):
     """Rows lo..hi as symbols, each row closed by 0; codes of (context, symbol) with contexts cut at the row."""
     o = off[lo:hi + 1] - off[lo]
     n = hi - lo
-    t = np.zeros(int(o[-1]) + n, np.uint64)
-    t[np.arange(int(o[-1])) + np.repeat(np.arange(n), np.diff(o))] = data[off[lo]:off[hi]].astype(np.uint64) + np.uint64(1)
     ends = o[1:] + np.arange(n)  # place of each row's end symbol
     starts = o[:-1] + np.arange(n)
+    inside = np.ones(int(o[-1]) + n, bool)
+    inside[ends] = False
+    t = np.zeros(len(inside), np.uint64)
+    t[inside] = data[off[lo]:off[hi]]
+    t += inside
     code = t.copy()
     for d in range(1, order + 1):
-        prev = np.zeros_like(t)
-        prev[d:] = t[:-d]
         # places within d of their row's start see no earlier symbols: the 0 that closes the row before is
         # in the window anyway, what lies before that is masked
-        code |= prev << np.uint64(_BITS * d)
+        code[d:] |= t[:-d] << np.uint64(_BITS * d)
     for d in range(order):  # place d of a row: keep d symbols of context
         at = starts + d
         at = at[at <= ends]
@@ -210,19 +212,22 @@ def _score(tables, train_tokens: int, distinct: int):
         tab = tables.value
         trie, words, counts = tab["trie"], tab["words"], tab["counts"]
         below = np.log10(train_tokens + distinct + 1.0)
+        mine = None if tab["of"] == 1 else _shard(np.arange(1 << 2 * _BITS, dtype=np.uint64) << np.uint64(_BITS), tab["of"]) == tab["shard"]
         for batch in batches:
             data, off = B.text_bytes(batch.column("__text"))
-            add = {c: [] for c in ("__tokens", "__known", "__base", "__score")}
+            add = {c: [] for c in ((("__score",) if trie is not None else ()) + (("__tokens", "__known", "__base") if words is not None else ()))}
             for lo, hi in B.blocks(off, 1 << 20):
                 rows = hi - lo
-                score = np.zeros(rows)
                 if trie is not None:
-                    code, starts, _ = _symbols(data, off, lo, hi, trie.order)
+                    code, starts, ends = _symbols(data, off, lo, hi, trie.order)
+                    row = np.repeat(np.arange(rows), ends - starts + 1)
+                    if mine is not None:
+                        own = mine[(code >> np.uint64(_BITS)) & _mask(2)]
+                        code, row = code[own], row[own]
                     u, back = np.unique(code, return_inverse=True)
-                    mine = slice(None) if tab["of"] == 1 else _shard(u, tab["of"]) == tab["shard"]
-                    lp = np.zeros(len(u))
-                    lp[mine] = trie.log10(u[mine])
-                    score = np.add.reduceat(lp[back], starts)
+                    add["__score"].append(np.bincount(row, trie.log10(u)[back], minlength=rows))
+                if words is None:
+                    continue
                 h, row = _word_hashes(data, off, lo, hi)
                 h = np.append(h, np.zeros(rows, np.int64))
                 row = np.append(row, np.arange(rows))
@@ -236,14 +241,13 @@ def _score(tables, train_tokens: int, distinct: int):
                 if tab["shard"] == 0:
                     base = base - np.bincount(row, minlength=rows) * below
                 add["__base"].append(base)
-                add["__score"].append(score)
             new = {c: np.concatenate(x) if x else np.zeros(0) for c, x in add.items()}
             cols = []
             for name in batch.schema.names:
                 col = batch.column(name)
                 if name in new and name != "__tokens":
                     col = pa.array(col.to_numpy() + new[name].astype(np.int64 if name == "__known" else np.float64))
-                elif name == "__tokens":
+                elif name in new:
                     col = pa.array(new[name].astype(np.int64))
                 cols.append(col)
             yield pa.RecordBatch.from_arrays(cols, batch.schema.names)
@@ -274,15 +278,18 @@ def score(docs: DataFrame, model: DataFrame, text_col: str = "text", order: int
     rest = [c for c in docs.columns if c != text_col]
     out = docs.select(*(F.col(f"`{c}`") for c in rest), F.col(text_col).alias("__text"), F.lit(0).cast("long").alias("__tokens"),
                       F.lit(0).cast("long").alias("__known"), F.lit(0.0).alias("__base"), F.lit(0.0).alias("__score"))
+    word_shards = max(1, -(-vocab // shard_rows))
     for i in range(shards):
         part = model
         if shards > 1:
             of_gram = F.pmod(F.floor(_last(F.col("code")) * 40503 / 64), F.lit(shards)) if order > 1 else F.lit(0)
-            part = model.where(F.when(F.col("kind") == 0, of_gram).otherwise(F.pmod(F.xxhash64("code"), F.lit(shards))) == i)
-        words, counts = _columns(part.where("kind = 1"))
-        by = np.argsort(words)
-        words, counts = words[by], _narrow(counts[by])
-        del by
+            part = model.where(F.when(F.col("kind") == 0, of_gram).otherwise(F.pmod(F.xxhash64("code"), F.lit(word_shards))) == i)
+        words = counts = None
+        if i < word_shards:
+            words, counts = _columns(part.where("kind = 1"))
+            by = np.argsort(words)
+            words, counts = words[by], _narrow(counts[by])
+            del by
         trie = Trie(*_columns(part.where("kind = 0")), order)
         if shards > 1 and order > 1:
             trie.replace_short(Trie(*short, 1))
